@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import op4_mix_sources
+from .packing import op2_best_fit_packing
 from .quality_rules import op5_quality_rules
+from .secret_scan import op10_secret_scan
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
