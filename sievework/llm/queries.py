@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .language_id import op6_language_id
 from .mixing import op4_mix_sources
 from .packing import op2_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
+from .simhash import op7_simhash
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
+    "op7_simhash": op7_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
