@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .chat_format import OP8_SQL, op8_chat_format
+from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
 from .mixing import op4_mix_sources
 from .packing import op2_best_fit_packing
@@ -11,10 +13,14 @@ from .simhash import op7_simhash
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_chat_format": op8_chat_format,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_chat_format": OP8_SQL,
+}
