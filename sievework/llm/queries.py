@@ -10,8 +10,10 @@ from .packing import op2_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op7_simhash
+from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_mix_sources": op4_mix_sources,
