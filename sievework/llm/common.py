@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # The word rule is [^\x20\x09-\x0D]+, which is what bytes.split() splits by.
@@ -70,7 +71,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each (at least one row), so that memory follows the longest text."""
-    sizes = np.fromiter((x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()), np.int64, batch.num_rows)
+    sizes = np.fromiter((x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()), np.int64, batch.num_rows)
     ends, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
