@@ -50,12 +50,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes every staged table; call it once the results that read them are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _staged.pop())
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat_format import OP8_SQL, op8_chat_format
 from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
@@ -11,6 +13,7 @@ from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op7_simhash
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -21,8 +24,11 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLE_SQL = {
     "op8_chat_format": OP8_SQL,
 }
