@@ -1,4 +1,6 @@
 """All queries of the engine, by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import base, scalars
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
