@@ -89,7 +89,7 @@ def indexed(step_no: Column, plugin: Column, status: Column, documents: Column,
 
 
 def wall_clock_ms(started: Column, finished: Column) -> Column:
-    return F.greatest(F.lit(0), F.unix_millis(finished) - F.unix_millis(started))
+    return F.greatest(F.lit(0), F.unix_millis(finished.cast("timestamp")) - F.unix_millis(started.cast("timestamp")))
 
 
 def billing_units(units: DataFrame) -> DataFrame:

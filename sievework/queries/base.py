@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def sample(texts: list[str], id_: Column) -> Column:
     """A text by row; # stands for the row's number."""
-    return F.replace(F.element_at(F.array(*map(F.lit, texts)), (id_ % len(texts) + 1).cast("int")), F.lit("#"), id_.cast("string"))
+    return F.replace(F.get(F.array(*map(F.lit, texts)), (id_ % len(texts)).cast("int")), F.lit("#"), id_.cast("string"))
 
 
 def sql_text(x: str) -> str:
@@ -84,7 +84,7 @@ MEASURES_SQL = (
 def jobs_table(spark: SparkSession, d: str) -> DataFrame:
     """orders as jobs; every third names the job before it as its parent."""
     o = table(spark, d, "orders")
-    status = F.element_at(F.array(*map(F.lit, ["queued", "running", "succeeded", "failed", "cancelled"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    status = F.get(F.array(*map(F.lit, ["queued", "running", "succeeded", "failed", "cancelled"])), (F.col("o_orderkey") % 5).cast("int"))
     return o.select(
         F.col("o_orderkey").alias("job_id"), F.concat(F.lit("t"), (F.col("o_custkey") % 5).cast("string")).alias("tenant_id"), status.alias("status"), F.col("o_orderpriority").alias("pipeline_uid"), F.col("o_orderdate").alias("started_at"),
         (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("updated_at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") - 1).alias("parent_job_id"),

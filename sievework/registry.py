@@ -1,6 +1,8 @@
 """All queries of the engine, by name."""
 
-from .queries import base, scalars
+from .queries import base, relations, scalars
+
+__all__ = ["ORACLE_SQL", "QUERIES", "relations", "scalars"]
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
