@@ -1,8 +1,9 @@
 """All queries of the engine, by name."""
 
-from .queries import base, relations, scalars
+from .queries import base, documents, relations, scalars
 
-__all__ = ["ORACLE_SQL", "QUERIES", "relations", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "documents", "flagship", "relations", "scalars"]
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
+flagship = documents.flagship
