@@ -75,14 +75,20 @@ def base_name(path: Column) -> Column:
 
 
 def glob_to_regex(pattern: str) -> str:
-    """`*` and `?` of a glob as an anchored, case-insensitive regular expression."""
-    return "(?is)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in re.sub(r"\*+", "*", pattern)) + "$"
+    """A glob's `*` and `?` as an anchored, case-insensitive regular expression. What stands between two stars matches where
+    it first can and is not tried again (an atomic group), so that many stars cost no more than the name's length each."""
+    first, *more = ["".join("." if c == "?" else re.escape(c) for c in x) for x in re.split(r"\*+", pattern)]
+    return "(?is)^" + first + "".join(f"(?>.*?{x})" for x in more[:-1]) + (f".*{more[-1]}" if more else "") + "$"
 
 
 def glob_match(pattern: Column, name: Column) -> Column:
-    """`*` and `?` against a name's last part, whatever the case; names over 1024 bytes never match."""
-    literal = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
-    regex = F.concat(F.lit("(?is)^"), F.replace(F.regexp_replace(literal, r"\*+", ".*"), F.lit("?"), F.lit(".")), F.lit("$"))
+    """`*` and `?` against a name's last part, whatever the case; names over 1024 bytes never match. As glob_to_regex() has it."""
+    literal = F.replace(F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1"), F.lit("?"), F.lit("."))
+    parts = F.split(literal, r"\*+")
+    n = F.size(parts)
+    inner = F.array_join(F.transform(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("(?>.*?"), x, F.lit(")"))), "")
+    end = F.when(n > 1, F.concat(inner, F.lit(".*"), F.element_at(parts, -1))).otherwise(F.lit(""))
+    regex = F.concat(F.lit("(?is)^"), F.get(parts, F.lit(0)), end, F.lit("$"))
     return (F.octet_length(name) <= 1024) & F.regexp_like(base_name(name), regex)
 
 

@@ -89,4 +89,9 @@ def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "s
             kept = kept.join(gone.select("id"), "id", "left_anti")
             touched = touched.union(gone.select("shard")).distinct()
         out = upsert(kept.withColumn("shard", shard).join(F.broadcast(touched), "shard", "left_semi").drop("shard"), docs, "id", order).checkpoint()
-    out.withColumn("shard", shard).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    out = out.withColumn("shard", shard)
+    emptied = [] if stored is None else [r["shard"] for r in touched.join(out.select("shard").distinct(), "shard", "left_anti").collect()]  # at most SHARDS rows
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for k in emptied:  # an overwrite leaves partitions without new rows alone
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
