@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def _stream(spark: SparkSession, d: str, dedup: bool) -> DataFrame:
     shaped = events.select("ts", F.col("event_id"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("project_id"), F.col("event_type").alias("kind"), F.floor("value").alias("value"))
     made = usage_stream.dedup(shaped, "60 days") if dedup else usage_stream.daily_counts(usage_stream.with_event_time(shaped, "1 day"))
     name = f"s{abs(hash((d, dedup))) % 10**9}_{'dedup' if dedup else 'daily'}"
-    q = made.writeStream.format("memory").queryName(name).outputMode("append" if dedup else "complete").option("checkpointLocation", tempfile.mkdtemp(prefix="sievework-stream-") if spark.sparkContext.master.startswith("local[") else None).trigger(availableNow=True).start()
+    q = made.writeStream.format("memory").queryName(name).outputMode("append" if dedup else "complete").option("checkpointLocation", f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
