@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,12 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs no recompute."""
+def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Cuts lineage: writes df as Parquet in the shared folder and reads it back, so a lost executor costs no recompute.
+
+    free: lets the driver's JVM collect its garbage, upon which Spark deletes the shuffle files that df needed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _staged.append(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -108,7 +108,7 @@ class Parse:
             name, s, e, first = name[keep], s[keep], e[keep], first[keep]
             if near:
                 ds, de = ds[keep], de[keep]
-                self._offer(turn, name, ds, de, joins[keep])
+                self._offer(turn, ds, de, joins[keep])
         bare = self.valid & (self.best == 0)
         at = np.flatnonzero(bare)
         self.best[at] = (self.h1.of(at, at + window) >> _U(4)) | _U(1)
@@ -121,16 +121,16 @@ class Parse:
         order = np.argsort(self.start[wide], kind="stable")
         self.start, self.end, self.stretch = (x[wide][order] for x in (self.start, self.end, self.stretch))
 
-    def _offer(self, turn: int, name: np.ndarray, ds: np.ndarray, de: np.ndarray, new: np.ndarray) -> None:
-        """New symbols offer themselves to all windows that hold all they depend on."""
-        at = np.flatnonzero(new & (de - ds <= self.window))
+    def _offer(self, turn: int, ds: np.ndarray, de: np.ndarray, new: np.ndarray) -> None:
+        """New symbols offer the hash of all words that they depend on to all windows that hold those."""
+        at = np.flatnonzero(new & (de - ds <= self.window) & (de < len(self.h1.sums)))
         lo, hi = np.maximum(0, de[at] - self.window), ds[at]
         ok = hi >= lo
         at, lo, hi = at[ok], lo[ok], hi[ok]
         span = hi - lo + 1
         # the windows of one document alone: from its first word on, as far as they are valid
         index = np.repeat(lo - np.append(0, np.cumsum(span)[:-1])[: len(span)], span) + np.arange(int(span.sum()))
-        key = np.repeat((_U(turn) << _U(60)) | (mix64(name[at] + _U(turn)) >> _U(4)), span)
+        key = np.repeat((_U(turn) << _U(60)) | (self.h1.of(ds[at], de[at]) >> _U(4)), span)
         inside = self.ends[index] == np.repeat(self.ends[ds[at]], span) if len(index) else np.zeros(0, bool)
         np.maximum.at(self.best, index[inside], key[inside])
 
@@ -254,8 +254,8 @@ def spans_of(done: np.ndarray, window: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (of removed words), kept (the other words joined by a space): one row for each row of docs."""
     ordered = in_order(docs)
-    shared = stage(shared_names(ordered, window), "substring-names")
-    places = repeated_windows(ordered, shared, window)
+    shared = stage(shared_names(ordered, window), "substring-names", free=True)
+    places = stage(repeated_windows(ordered, shared, window), "substring-places", free=True)
     known = shared.select("d", "seen").join(places, "d", "full_outer")
 
     def drop(batches):
