@@ -61,9 +61,9 @@ def parse_level(x: np.ndarray, doc: np.ndarray, level: int) -> tuple[np.ndarray,
         new[:1], new[1:] = 0, 2 * low + bit
         new[first] = (label[first] & np.asarray(1, label.dtype)).astype(np.uint8)
         label = new
-    peak = first.copy()
-    if len(label) > 2:
-        peak[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    peak, after = first.copy(), np.append(label[1:], label[:1])[: len(label)]
+    after[np.append(first[1:], True)[: len(label)]] = 0  # nothing follows a text's last symbol
+    peak[1:] |= (label[1:] > label[:-1]) & (label[1:] >= after[1:])
     at = np.flatnonzero(peak)
     place = (np.arange(len(x)) - np.repeat(at, np.diff(at, append=len(x)))).astype(np.uint64)
     names = np.add.reduceat(mix64(x + place * np.uint64(0xD6E8FEB86659FD93)), at) if len(at) else np.zeros(0, np.uint64)
