@@ -79,7 +79,7 @@ def base_udf(text: pa.Array) -> pa.Array:
 
 
 def _ratio(base: Column, name: str) -> Column:
-    return base[RATIOS[name][0]] / base["n_words"]
+    return F.try_divide(base[RATIOS[name][0]], base["n_words"])
 
 
 def base_failed(base: Column) -> Column:
