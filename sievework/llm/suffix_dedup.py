@@ -6,7 +6,7 @@
    with the earliest document that has it, so copies cost one segment. Equal strings have equal minimizers, so
    segments go to buckets by minimizer; a minimizer with over HOT different segments is dealt again, each of
    its strings alone, by the string's hash.
-3. A bucket's segments form two shards. Each shard has its Burrows-Wheeler transform; their merge starts as one
+3. A minimizer with one segment is one interval of copies. A bucket's other segments form two shards. Each shard has its Burrows-Wheeler transform; their merge starts as one
    interval and is refined symbol by symbol (the interleave of step t orders all suffixes by t symbols, from
    the interleave of step t-1 and the two transforms alone). The step at which two neighbours part is their common
    prefix; intervals that hold together through WINDOW steps are the repeated strings, and each learns the
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import mix64, read_table, slices, stage, utf8
 from .substring_dedup import in_order, spans_of
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 20
 #: Different segments of one minimizer beyond which its strings are dealt one by one.
 HOT = 8000
 #: Windows in a segment at most, bytes of segments in a bucket about.
@@ -147,6 +147,8 @@ def merge(one: np.ndarray, other: np.ndarray, depth: int) -> tuple[np.ndarray, n
 
 def earliest(parts: list[bytes], least: np.ndarray, window: int) -> list[np.ndarray]:
     """parts: a bucket's segments; least: the earliest document of each. Of every string in a part: its earliest document."""
+    if not parts:
+        return []
     half = (len(parts) + 1) // 2
     sides = []
     for group in (parts[:half], parts[half:]):
@@ -174,7 +176,7 @@ def repeated_strings(found: DataFrame, window: int) -> DataFrame:
     """found: segments(). h1, h2 (of a segment), first: its strings' earliest documents, for segments that can lose bytes."""
     spark = found.sparkSession
     own = found.groupBy("name", "bytes").agg(F.min("d").alias("least"), F.count("*").alias("n"))
-    one = stage(own, "suffix-segments")
+    one = stage(own, "suffix-segments", free=True)
     hot = one.groupBy("name").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("name")
     total = one.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
@@ -191,12 +193,16 @@ def repeated_strings(found: DataFrame, window: int) -> DataFrame:
     def refine(table: pa.Table) -> pa.Table:
         parts = utf8(table.column("bytes"))
         least = table.column("least").to_numpy()
-        first = earliest(parts, least, window)
+        _, of, times = np.unique(table.column("name").to_numpy(), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(times[of] > 1)
+        first = [np.full(len(x) - window + 1, d) for x, d in zip(parts, least, strict=True)]
+        for k, x in zip(several, earliest([parts[k] for k in several], least[several], window), strict=True):
+            first[k] = x
         many = table.column("n").to_numpy() > 1
         keep = [k for k, x in enumerate(first) if many[k] or (x < least[k]).any()]
         return pa.table({"bytes": pa.array([parts[k] for k in keep], pa.binary()), "first": pa.array([first[k] for k in keep], pa.list_(pa.int64()))})
 
-    out = bucketed.select("bucket", "bytes", "least", "n").groupBy("bucket").applyInArrow(refine, "bytes binary, first array<bigint>").select(*_key("bytes"), "first")
+    out = bucketed.select("bucket", "name", "bytes", "least", "n").groupBy("bucket").applyInArrow(refine, "bytes binary, first array<bigint>").select(*_key("bytes"), "first")
     if hot.isEmpty():
         return out
     back = one.join(hot, "name", "left_semi").select("bytes", F.posexplode(alone).alias("at", "string"))
@@ -207,12 +213,27 @@ def repeated_strings(found: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, spans (of removed bytes), kept (binary): one row for each row of docs."""
     ordered = in_order(docs)
-    shared = shared_minimizers(ordered, window, gram)
-    found = stage(segments(ordered, shared, window, gram), "suffix-found")
+    shared = stage(shared_minimizers(ordered, window, gram), "suffix-shared", free=True)
+    found = stage(segments(ordered, shared, window, gram), "suffix-found", free=True)
     first = repeated_strings(found, window)
     met = found.select("d", "at", *_key("bytes")).join(first, ["h1", "h2"])
-    places = F.transform(F.filter(F.transform("first", lambda x, i: F.when(x < F.col("d"), F.col("at") + i)), lambda x: x.isNotNull()), lambda x: x.cast("int"))
-    at = met.select("d", places.alias("at")).where(F.size("at") > 0).groupBy("d").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+    def runs(batches):
+        for batch in batches:
+            first, d = batch.column("first"), batch.column("d").to_numpy()
+            n = first.value_lengths().to_numpy()
+            starts = np.append(0, np.cumsum(n)[:-1])[: len(n)]
+            place = np.arange(int(n.sum())) - np.repeat(starts - batch.column("at").to_numpy(), n)
+            hit = np.append(np.append(False, first.flatten().to_numpy() < np.repeat(d, n)), False)
+            hit_start = hit[1:-1] & (~hit[:-2] | (np.isin(np.arange(len(place)), starts)))
+            begin = np.flatnonzero(hit_start)
+            hit_end = hit[1:-1] & (~hit[2:] | np.append(hit_start[1:], True)[: len(place)])
+            length = np.flatnonzero(hit_end) - begin + 1
+            owner = np.repeat(d, n)[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(place[begin].astype(np.int32)), pa.array(length.astype(np.int32))], names=["d", "start", "n"])
+
+    hits = met.select("d", "at", "first").mapInArrow(runs, "d long, start int, n int")
+    at = hits.groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
     def drop(batches):
         for whole in batches:
@@ -221,7 +242,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 for raw, at in zip(texts, batch.column("at"), strict=True):
                     done = np.zeros(len(raw), bool)
                     if at.is_valid:
-                        done[at.values.to_numpy()] = True
+                        edge = np.zeros(len(raw) + 1, np.int32)
+                        start, n = (at.values.field(k).to_numpy() for k in (0, 1))
+                        np.add.at(edge, start, 1)
+                        np.add.at(edge, start + n, -1)
+                        done = np.cumsum(edge)[:-1] > 0
                     spans.append(spans_of(done, window))
                     edges = [0, *(x for s in spans[-1] for x in s), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in list(pairwise(edges))[::2]))
