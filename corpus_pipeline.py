@@ -13,28 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.llm import common, mixing, packing, quality_rules, secret_scan, simhash
 
 
+#: Rows in an Arrow batch: documents are kilobytes each, and a worker holds a batch and what it makes of it.
+BATCH_ROWS = "500"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or their group's thresholds reject go."""
+    _small_batches(spark)
     return quality_rules.filter_quality(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    _small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts become [REDACTED]; every document stays."""
+    _small_batches(spark)
     return secret_scan.redact_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, shortened or left out, so that sources come to their target weights."""
+    _small_batches(spark)
     return mixing.mix_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their places in training sequences."""
+    _small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -33,7 +33,7 @@ END_ID = 2
 #: As many as there are shuffle partitions, within these bounds.
 BUCKETS = (64, 1024)
 #: Distinct chunks whose ids a worker remembers; it starts afresh beyond.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 PIECES = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
