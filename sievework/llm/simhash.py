@@ -203,24 +203,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _by_component(marked: DataFrame, first: Column) -> DataFrame:
+    """marked: fp and what first aggregates. fp, label (the component's, whatever its ids) and first of each fp."""
+    keys = stage(marked.groupBy("fp").agg(first.alias("first")), "simhash-keys")
+    label = components(fingerprint_links(keys.select("fp"))).withColumnRenamed("node", "fp")
+    return keys.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (a signed 64-bit number), component_id: one row for each row of docs."""
     marked = stage(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "simhash-fingerprints")
-    keys = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-keys")
-    label = components(fingerprint_links(keys.select("fp"))).withColumnRenamed("node", "fp")
-    named = keys.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = _by_component(marked, F.min("doc_id"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_key = named.select("fp", "label").join(least, "label").select("fp", "component_id")
     return marked.join(by_key, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id (of equal ones, the one with the smallest text hash)."""
-    key, text = temp_name("key"), temp_name("text")
-    found = near_duplicates(docs)
-    kept = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias(key))
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi").withColumn(text, F.xxhash64("text"))
-    return chosen.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row of each component: that of its smallest doc_id, null last (of equal ones, the one with the smallest
+    text hash, then the smallest hash of all columns).
+
+    Rows are known by both hashes, not by doc_id, so null and repeated ids lose nothing.
+    """
+    text, row = temp_name("text"), temp_name("row")
+    tags = [F.xxhash64("text").alias(text), F.xxhash64(*(F.isnull(c) for c in docs.columns), *docs.columns).alias(row)]
+    marked = stage(docs.select(fingerprint_udf("text").alias("fp"), F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *tags).alias("order")), "simhash-fingerprints")
+    kept = _by_component(marked, F.min("order")).groupBy("label").agg(F.min("first").alias("order")).select(F.col(f"order.{text}"), F.col(f"order.{row}"))
+    one = docs.select(*docs.columns, *tags).dropDuplicates([text, row])  # rows that are equal in all columns stand for each other
+    return one.join(stage(kept, "simhash-kept"), [text, row], "left_semi").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

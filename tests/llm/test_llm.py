@@ -325,6 +325,24 @@ def test_simhash(docs, corpus, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_a_row_of_every_component(spark):
+    rng = random.Random(14)
+    say = lambda: " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60))
+    a, b, c, d, e, y = (say() for _ in range(6))
+    rows = [(None, a, "p"), (None, b, "p"), (None, b, "p"), (None, c, "p"), (3, d, "p"), (5, d, "p"), (5, y, "p"), (None, d, "p"), (7, e, None), (7, e, "q"), (None, None, "p"), (9, "", "p")]
+    seen = set()
+    for parts in (1, 4):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept = [tuple(r) for r in simhash.drop_near_duplicates(df).collect()]
+        assert Counter(r[:2] for r in kept) == Counter([(None, a), (None, b), (None, c), (3, d), (5, y), (7, e), (9, "")])
+        seen.add(frozenset(kept))
+    assert len(seen) == 1
+    tie = spark.createDataFrame([(1, x) for x in (a, a.upper(), a.title())], "doc_id long, text string")
+    want = tie.orderBy(F.xxhash64("text")).first()["text"]
+    assert [r["text"] for r in simhash.drop_near_duplicates(tie).collect()] == [want]
+
+
 @pytest.mark.parametrize("most", [4096, 8])
 def test_simhash_links(spark, most, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_GROUP", most)
