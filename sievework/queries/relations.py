@@ -216,6 +216,10 @@ query("index_sink", "SELECT user_id AS id, arg_max(event_type, event_id) AS v FR
 query("to_index_json", """SELECT doc_id, '{"id":"' || doc_id || '","content":' || to_json(left(text, 50))::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"_meta":{"language":' || to_json(lang)::VARCHAR || '}}' AS j FROM documents""")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.left("text", F.lit(50)), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
 )
+# the whole text, of which to_index_json and its SQL compare the first 50 code points
+query("to_index_json_whole")(
+    lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("text"), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
+)
 query("plan_batches", """WITH RECURSIVE s AS (SELECT source AS part, doc_id AS seq, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
  r AS (SELECT part, seq, size, k, 0::BIGINT AS batch, 1 AS n, size + 2 AS b FROM s WHERE k = 1 UNION ALL SELECT s.part, s.seq, s.size, s.k, CASE WHEN n = 20 OR b + s.size + 1 > 200000 THEN batch + 1 ELSE batch END, CASE WHEN n = 20 OR b + s.size + 1 > 200000 THEN 1 ELSE n + 1 END, CASE WHEN n = 20 OR b + s.size + 1 > 200000 THEN s.size + 2 ELSE b + s.size + 1 END FROM r JOIN s ON s.part = r.part AND s.k = r.k + 1)
  SELECT part, seq, size, batch FROM r""")(lambda spark, d: sink.plan_batches(table(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("seq"), F.octet_length("text").cast("long").alias("size")), 20, 200_000))
