@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ids import id_stem
+from ..functions.ids import id_stem, sanitize_id
 
 # A document's columns; fields is a JSON object.
 DOC_SCHEMA = T.StructType(
@@ -22,9 +22,9 @@ DOC_SCHEMA = T.StructType(
     ]
 )
 BLOB_SCHEMA = T.StructType([T.StructField("data", T.BinaryType())] + [T.StructField(x, T.StringType()) for x in ("mime", "filename", "origin", "charset")])
-_MADE = T.ArrayType(T.StructType([T.StructField("suffix", T.StringType()), *[f for f in DOC_SCHEMA.fields[1:]]]))
+_MADE = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("suffix", T.StringType()), *[f for f in DOC_SCHEMA.fields[1:]]]))
 
-#: bytes -> dicts of suffix (behind the file's stem), title, content, fields (JSON text), section, page.
+#: bytes -> dicts of suffix (behind the file's stem) or an id of its own, title, content, fields (JSON text), section, page.
 Kernel = Callable[[bytes], list[dict]]
 
 
@@ -35,11 +35,11 @@ def read_blobs(spark, path: str) -> DataFrame:
 
 def extract(blobs: DataFrame, kernel: Kernel) -> DataFrame:
     """blobs: BLOB_SCHEMA. Documents of DOC_SCHEMA with filename and mime; ids are pure functions of filename, origin and position."""
-    keys = ("suffix", "title", "content", "fields", "section", "page")
+    keys = ("id", "suffix", "title", "content", "fields", "section", "page")
 
     @F.udf(_MADE, useArrow=True)
     def run(data):
         return [{k: d.get(k, "" if k in ("suffix", "content") else None) for k in keys} for d in kernel(bytes(data))] if data is not None else []
 
     rows = blobs.select("filename", "mime", id_stem(F.col("filename"), F.col("origin")).alias("stem"), F.explode(run("data")).alias("d"))
-    return rows.select(F.concat("stem", "d.suffix").alias("id"), "d.title", "d.content", "d.fields", "d.section", "d.page", "filename", "mime")
+    return rows.select(F.coalesce(sanitize_id(F.col("d.id")), F.concat("stem", "d.suffix")).alias("id"), "d.title", "d.content", "d.fields", "d.section", "d.page", "filename", "mime")

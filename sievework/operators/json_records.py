@@ -168,6 +168,20 @@ def flatten_payloads(blobs: DataFrame, config: FlattenConfig | None = None, data
     return rows.select(stem, "n", F.coalesce(F.when(F.col("d.id").isNotNull(), given), made).alias("id"), "d.title", "d.content", "d.fields")
 
 
+def reflatten(docs: DataFrame, config: FlattenConfig | None = None) -> DataFrame:
+    """docs: id, title, content, fields (a JSON object) and others. The fields flattened anew; id, title and content stay where fields name none."""
+    config = config or FlattenConfig()
+
+    @F.udf(DOCUMENTS.elementType, useArrow=True)
+    def run(id_, title, content, fields):
+        d = document(json.loads(fields) if fields else {}, "", config, {"id": id_, "title": title, "content": content})
+        return {"id": d["id"], "title": d["title"], "content": d["content"], "fields": d["fields"]}
+
+    made = docs.withColumn("fields", run("id", "title", "content", "fields"))
+    new = {"id": F.coalesce(sanitize_id(F.col("fields.id")), F.col("id")), "title": F.col("fields.title"), "content": F.col("fields.content"), "fields": F.col("fields.fields")}
+    return made.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
 def wrapper_key(payload: Column) -> Column:
     """The key under which a JSON object's records are; null for none."""
     v = F.try_parse_json(payload)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import archives, audio, binary_records, chunker, csv, enrich, html, json_records, markdown, office, pdf
+from ..operators import archives, audio, binary_records, chunker, csv, enrich, html, json_records, markdown, office, parquet, pdf
 from ..operators.documents import extract
 from .pipeline import Operator
 
@@ -48,6 +48,10 @@ def _html(data: bytes, config: dict) -> list[dict]:
     return [] if page is None else [{"title": page["title"], "content": page["content"]}]
 
 
+def _flatten(df: DataFrame, config: dict) -> DataFrame:
+    return _text(_json)(df, config) if "data" in df.columns else json_records.reflatten(df, json_records.FlattenConfig(**config))
+
+
 def _chunk(df: DataFrame, config: dict) -> DataFrame:
     if "data" in df.columns:  # raw text
         df = extract(df, lambda data: [{"content": data.decode()}])
@@ -69,8 +73,9 @@ OPERATORS: dict[str, Operator] = {
     "html_extractor": _text(_html),
     "markdown_extractor": _kernel(markdown.markdown_documents),
     "csv_parser": _text(_csv),
-    "json_flattener": _text(_json),
+    "json_flattener": _flatten,
     "msgpack_parser": _kernel(binary_records.msgpack_documents),
+    "parquet_parser": _kernel(parquet.parquet_documents),
     "avro_parser": _kernel(binary_records.avro_documents),
     "chunker": _chunk,
     "video_audio_extractor": lambda df, config: df.withColumn("data", F.udf(lambda d: audio.resample(bytes(d), config.get("sample_rate", 16000), config.get("mono", True)), "binary", useArrow=True)("data")),

@@ -63,7 +63,8 @@ query("json_flatten", """SELECT 'ev' || event_id || '_0' AS id, event_id, json_e
     .select("id", F.regexp_extract("stem", r"\d+", 0).cast("long").alias("event_id"), F.get_json_object("fields", "$.k").cast("long").alias("k"), "content")
 )
 query("reflatten", "SELECT event_id, event_type AS content, json_extract_string(props, '$.k') AS k FROM events")(
-    lambda spark, d: table(spark, d, "events").select("event_id", F.col("event_type").alias("content"), F.try_variant_get(F.parse_json("props"), "$.k", "string").alias("k"))
+    lambda spark, d: json_records.reflatten(table(spark, d, "events").select("event_id", F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("title"), F.col("event_type").alias("content"), F.col("props").alias("fields")))
+    .select("event_id", "content", F.get_json_object("fields", "$.k").alias("k"))
 )
 _WRAPPED = ['{"documents": [{"id": #}, {"id": 1}]}', '{"data": [1, 2, 3]}', '[{"id": 1}]', '{"data": 3, "items": [{"x": #}]}', '{"hits": {}}', '{"results": []}']
 query("json_roots", f"SELECT event_id, n::INT AS n FROM (SELECT event_id, unnest(range(CASE event_id % 6 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END)) AS n FROM events)")(

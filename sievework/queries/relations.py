@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import control, sink, usage
+from ..operators.documents import read_blobs
+from ..plans.catalog import OPERATORS
 from .base import JOBS_SQL, MEASURES_SQL, RUNS_SQL, USAGE_SQL, jobs_table, query, runs_table, table, usage_events
 
 _DAILY = "SELECT project_id, ts::DATE AS day, pipeline_uid, plugin, count(*) AS rows_count, {m} FROM {t} GROUP BY ALL"
@@ -223,9 +226,18 @@ query("to_index_json_whole")(
 query("plan_batches", """WITH RECURSIVE s AS (SELECT source AS part, doc_id AS seq, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
  r AS (SELECT part, seq, size, k, 0::BIGINT AS batch, 1 AS n, size + 2 AS b FROM s WHERE k = 1 UNION ALL SELECT s.part, s.seq, s.size, s.k, CASE WHEN n = 20 OR b + s.size + 1 > 200000 THEN batch + 1 ELSE batch END, CASE WHEN n = 20 OR b + s.size + 1 > 200000 THEN 1 ELSE n + 1 END, CASE WHEN n = 20 OR b + s.size + 1 > 200000 THEN s.size + 2 ELSE b + s.size + 1 END FROM r JOIN s ON s.part = r.part AND s.k = r.k + 1)
  SELECT part, seq, size, batch FROM r""")(lambda spark, d: sink.plan_batches(table(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("seq"), F.octet_length("text").cast("long").alias("size")), 20, 200_000))
+
+
+def _parsed(spark: SparkSession, d: str, name: str, config: dict) -> DataFrame:
+    """A table's files as documents by the operator."""
+    return OPERATORS["parquet_parser"](read_blobs(spark, f"{d}/{name}.parquet"), config)
+
+
 query("parquet_parse", """SELECT 'customer_r' || c_custkey AS id, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS fields FROM customer""")(
-    lambda spark, d: table(spark, d, "customer").select(F.concat(F.lit("customer_r"), F.col("c_custkey").cast("string")).alias("id"), F.to_json(F.struct("c_custkey", "c_name", "c_nationkey")).alias("fields"))
+    lambda spark, d: _parsed(spark, d, "customer", {"columns": ["c_custkey", "c_name", "c_nationkey"]}).select(F.concat(F.lit("customer_r"), F.get_json_object("fields", "$.c_custkey")).alias("id"), "fields")
 )
+# parquet_parse numbers rows by key, as its SQL does. All columns, and the operator's own ids: numbers have no common text form with DuckDB, so no SQL
+query("parquet_parse_all")(lambda spark, d: _parsed(spark, d, "customer", {}))
 query("incremental_skip", "SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")(
     lambda spark, d: (lambda t: t.join(t.where("doc_id % 3 = 0 and doc_id % 2 = 0"), ["doc_id", "hash"], "left_anti"))(table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash")))
 )

@@ -1,7 +1,17 @@
 """Queries and operators on the whole of their input, where the SQL compares a part or there is none."""
 
+import io
 import json
+from datetime import date, datetime, timezone
+from decimal import Decimal
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 import __spark_entry__ as entry
+from sievework.operators import parquet
+from sievework.plans import catalog
 
 QUERIES = entry.queries()
 
@@ -14,3 +24,71 @@ def test_index_json_holds_the_whole_text(spark, tmp_path):
     for k, text, lang, source in rows:
         want = {"id": str(k), "content": text, "source": source, "_meta": {"language": lang} if lang else None}
         assert json.dumps(json.loads(got[k])) == json.dumps({x: v for x, v in want.items() if v is not None})
+
+
+def file_of(table: pa.Table, **options) -> bytes:
+    out = io.BytesIO()
+    pq.write_table(table, out, **options)
+    return out.getvalue()
+
+
+TABLE = pa.table(
+    {
+        "n": pa.array([1, None, 3], pa.int64()),
+        "s": ["x", "y", None],
+        "d": pa.array([Decimal("1.50"), None, Decimal("-2.25")], pa.decimal128(15, 2)),
+        "w": pa.array([Decimal("12345678901234567890.1234567890"), None, Decimal("0.5")], pa.decimal128(30, 10)),
+        "f": pa.array([0.1, float("nan"), None], pa.float32()),
+        "t": pa.array([datetime(2020, 1, 2, 3, 4, 5, 60000), None, datetime(2020, 1, 2)], pa.timestamp("us")),
+        "z": pa.array([datetime(2020, 1, 2, tzinfo=timezone.utc), None, None], pa.timestamp("ms", "Europe/Paris")),
+        "day": pa.array([date(1969, 12, 31), None, None]),
+        "b": pa.array([b"\x00\xff", None, None]),
+        "o": pa.array([{"p": 1, "q": {"r": None, "u": "v"}}, None, {"p": None, "q": None}]),
+        "l": pa.array([[1, None], [], None], pa.list_(pa.int64())),
+        "m": pa.array([[("k", 1), ("j", None)], None, []], pa.map_(pa.string(), pa.int64())),
+        "c": pa.array(["u", "u", None]).dictionary_encode(),
+    }
+)
+FIRST = {"n": 1, "s": "x", "d": 1.5, "w": "12345678901234567890.1234567890", "f": 0.1, "t": "2020-01-02T03:04:05.060", "z": "2020-01-02T01:00:00+01:00", "day": "1969-12-31", "b": "00ff", "o": {"p": 1, "q": {"u": "v"}}, "l": [1, None], "m": {"k": 1}, "c": "u"}
+
+
+@pytest.mark.parametrize("batch", [1, 2, 1024])
+def test_parquet_records(batch):
+    data = file_of(TABLE, row_group_size=2)
+    rows = parquet.parquet_records(data, batch_size=batch)
+    assert rows == [FIRST, {"s": "y", "f": None, "l": [], "c": "u"}, {"n": 3, "d": -2.25, "w": "0.5000000000", "t": "2020-01-02T00:00:00", "o": {}, "m": {}}]
+    assert parquet.parquet_records(data, max_rows=2, batch_size=batch) == rows[:2]
+    assert parquet.parquet_records(data, columns=["o.q", "n"], max_rows=1) == [{"n": 1, "o": {"q": {"u": "v"}}}]
+
+
+def test_parquet_errors(monkeypatch):
+    data = file_of(TABLE)
+    for config in ({"columns": ["none"]}, {"columns": []}, {"max_rows": 0}, {"batch_size": 0}):
+        with pytest.raises(ValueError, match="invalid config"):
+            parquet.parquet_records(data, **config)
+    for bad in (b"", b"PAR1", data[:-1], b"PAR1" + b"\0" * 20 + b"PAR1", data[:4] + b"\0" * 8 + data[-4:]):
+        with pytest.raises(ValueError, match="invalid input"):
+            parquet.parquet_records(bad)
+    monkeypatch.setattr(parquet.json_records, "MAX_ROWS", 2)
+    with pytest.raises(ValueError, match="nothing is cut off"):
+        parquet.parquet_records(data)
+    assert len(parquet.parquet_records(data, max_rows=2)) == 2
+
+
+def test_parquet_operator(spark):
+    data = file_of(pa.table({"id": ["a b", None], "name": ["N", "M"], "k": [1, 2]}))
+    blobs = spark.createDataFrame([(data, "application/vnd.apache.parquet", "set.parquet", None, None)], "data binary, mime string, filename string, origin string, charset string")
+    got = [(r["id"], r["title"], r["content"], r["fields"]) for r in catalog.OPERATORS["parquet_parser"](blobs, {"title_field": "name"}).collect()]
+    assert got == [("a_b", "N", "", '{"k":1}'), ("set_r2", "M", "", '{"k":2}')]
+
+
+def test_parquet_query_reads_all_columns(spark, tmp_path):
+    pq.write_table(pa.table({"c_custkey": [1], "c_name": ["x"], "c_nationkey": [2], "c_acctbal": [1.25], "c_mktsegment": [None]}), f"{tmp_path}/customer.parquet")
+    (row,) = QUERIES["parquet_parse_all"](spark, str(tmp_path)).collect()
+    assert (row["id"], json.loads(row["fields"])) == ("customer_r1", {"c_custkey": 1, "c_name": "x", "c_nationkey": 2, "c_acctbal": 1.25})
+
+
+def test_reflatten_operator(spark):
+    docs = spark.createDataFrame([("u", "T", "C", '{"a":{"b":1},"x":"y"}', 5), ("w", None, "", '{"id":"n w","x":"y"}', 6), ("v", None, "C", None, 7)], "id string, title string, content string, fields string, page int")
+    got = [tuple(r) for r in catalog.OPERATORS["json_flattener"](docs, {}).collect()]
+    assert got == [("u", "T", "C", '{"a.b":1,"x":"y"}', 5), ("n_w", None, "y", '{"x":"y"}', 6), ("v", None, "C", "{}", 7)]
