@@ -72,14 +72,14 @@ class Ids(dict):
 
     The vocabulary's split rule always starts a new word at a single space between two other characters,
     so such chunks are encoded alone, by a faster merge over the same file's ranks where it allows that.
-    A chunk that touches other white space is None: its text is encoded whole by tokenizers.
+    A chunk that touches other white space is None: its text is encoded whole by tokenizers, as is one with an added token.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunk = self.encode
         if ranks := merge_ranks(vocabulary):
             import public_tokenizers
@@ -106,7 +106,7 @@ class Ids(dict):
 
     def text(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
+        if not rest or not first or first[-1].isspace() or any(x in text for x in self.added):
             return self.encode(text) if text else b""
         found = [self[x] for x in rest]
         return self.encode(text) if None in found else self.chunk(first) + b"".join(found)

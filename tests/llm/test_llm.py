@@ -179,6 +179,17 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(ids.text(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    fresh, ids = Tokenizer.from_file(packing.default_vocabulary()), packing.Ids(packing.default_vocabulary())
+    assert ids.added
+    for x in ids.added:
+        for t in (x, f"a {x} b", f"a b{x}c d", f"x y {x}{x}\n z", f"a b {x[:-1]} {x[1:]}", f"a b {x.upper()}"):
+            assert np.frombuffer(ids.text(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert fresh.token_to_id(ids.added[0]) in np.frombuffer(ids.text(f"a {ids.added[0]} b"), "<u4")
+
+
 def test_fingerprints(docs, corpus, empty):
     rows = {r["doc_id"]: r for r in fingerprints.compare_with_edits(docs).collect()}
     assert sorted(rows) == list(range(len(corpus)))
