@@ -67,7 +67,8 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """Counts of the training rows: lang, bucket indexes and counts."""
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
     # by hash alone first, so that the rows of the most common language need no sort in one task
-    hashed = fit.select("lang", F.xxhash64("text").alias("h"))
+    # copies count once, so that a text with many of them takes one place
+    hashed = fit.select("lang", F.xxhash64("text").alias("h")).distinct()
     bucket = F.pmod("h", F.lit(64))
     near = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang", bucket).orderBy("h"))).where(F.col("k") <= per_language)
     rank = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)

@@ -300,6 +300,17 @@ def test_language_id(spark, empty):
     assert {r["lang_pred"] for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_takes_distinct_texts(spark):
+    rows = [(k, f"{WORDS[k % len(WORDS)]} word{k}", "en") for k in range(60)]
+    least = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~F.coalesce(language_id.held_out(), F.lit(False))).orderBy(F.xxhash64("text")).first()
+    rows += [(k, least["text"], "en") for k in range(1000, 1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = df.where(~F.coalesce(language_id.held_out(), F.lit(False))).select("text").distinct().count()
+    assert fit > 30
+    for most in (1, 10, 30, 400):
+        assert language_id.sample(df, most).count() == min(most, fit)
+
+
 def brute_fingerprint(t) -> int:
     w = (t or "").translate({c: c + 32 for c in range(65, 91)})
     w = words(w)
