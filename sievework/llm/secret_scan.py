@@ -2,7 +2,8 @@
 
 A run of 20 or more key characters is random when a tiktoken vocabulary needs many tokens for it: under
 MOST_RATIO characters per token. Known digests (hex of MD5, SHA-1, SHA-2 length), UUIDs, numbers, and
-identifiers (words joined by _ - . / in one case) are excluded first.
+identifiers (words of under 20 letters joined by _ - . / in one case) are excluded first. Of a run that
+overlaps fixed-pattern spans, each part outside them is tested by itself, however short.
 
 Defined results: null and empty text have no spans; every text is read whole; spans of the method never
 overlap those of the fixed patterns; repeated rows are scanned one by one; other columns pass through.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,10 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 IDENTIFIER = re.compile(r"(?:[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/=+-]*\Z|[0-9_/=+-]+\Z")
-#: Characters per token below which a run is random, and the kinds of characters (lower, upper, digit) that it mixes at least.
-MOST_RATIO, LEAST_CLASSES = 2.0, 2
+#: A word of so many letters is no identifier by its case alone.
+LONG_WORD = re.compile(r"[A-Za-z]{20}")
+#: Characters per token below which a run is random.
+MOST_RATIO = 2.0
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -64,17 +68,38 @@ def base_spans(raw: bytes, text: str) -> list[tuple[int, int, str]]:
 
 
 def is_random(run: str, vocabulary) -> bool:
-    classes = sum(any(test(c) for c in run) for test in (str.islower, str.isupper, str.isdigit))
-    if classes < LEAST_CLASSES or DIGEST.match(run) or IDENTIFIER.match(run):
+    if DIGEST.match(run) or IDENTIFIER.match(run) and not LONG_WORD.search(run):
         return False
     return len(run) < MOST_RATIO * len(vocabulary.encode_ordinary(run))
 
 
+def outside(runs: Iterable[tuple[int, int]], spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of runs that no span covers; both in order."""
+    covered: list[list[int]] = []
+    for a, b, _ in spans:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    k = 0
+    for at, end in runs:
+        while k < len(covered) and covered[k][1] <= at:
+            k += 1
+        i = k
+        while i < len(covered) and covered[i][0] < end:
+            if covered[i][0] > at:
+                yield at, covered[i][0]
+            at = covered[i][1]
+            i += 1
+        if at < end:
+            yield at, end
+
+
 def all_spans(raw: bytes, vocabulary) -> tuple[list, list]:
     """(spans of the fixed patterns, all spans), each (start, end, kind) in order."""
     text = raw.decode()
     base = base_spans(raw, text)
-    more = [(*m.span(), "random") for m in RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in base) and is_random(m[0], vocabulary)]
+    more = [(a, b, "random") for a, b in outside((m.span() for m in RUN.finditer(text)), base) if is_random(text[a:b], vocabulary)]
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
