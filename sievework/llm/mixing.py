@@ -2,7 +2,7 @@
 
 Each source's words are laid end to end (documents by hash bucket, then doc_id) and cut into blocks of fixed
 length. Every output shard draws its source counts from a multinomial without replacement, so that the shards
-together hold each source's target. A source's k-th slot maps through a pseudorandom permutation of its block
+together hold each source's target; the draw splits slots into shards, but shards are not written. A source's k-th slot maps through a pseudorandom permutation of its block
 indexes (a keyed Feistel network, a new key each time the source begins again), and slots meet blocks by index.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops at
@@ -15,6 +15,8 @@ taken; repeated rows are separate documents; an empty table gives an empty resul
 
 from __future__ import annotations
 
+from math import exp, lgamma, log1p
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,19 +71,41 @@ def permute(index: np.ndarray, domain: np.ndarray, key: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good, at any size: Devroye's rejection for log-concave distributions."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+
+    def log(x: int) -> float:
+        return -sum(map(lgamma, (x + 1, good - x + 1, n - x + 1, bad - n + x + 1)))
+
+    top = exp(log(mode) + sum(map(lgamma, (good + 1, bad + 1, n + 1, good + bad - n + 1))) - lgamma(good + bad + 1))
+    w = 1 + top / 2
+    while True:
+        u, v, sign = rng.random(), rng.random(), 1 if rng.random() < 0.5 else -1
+        y = v * w / top if u <= w / (1 + w) else (w - log1p(-v)) / top
+        x = mode + sign * round(y)
+        if low <= x <= high and rng.random() * min(1.0, exp(w - top * y)) <= exp(log(x) - log(mode)):
+            return x
+
+
 def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
     """Rows: output shards; columns: sources. Each shard's draw; the columns add up to slots."""
     total = sum(slots)
     shards = max(1, min(MOST_SHARDS, -(-total // SHARD_BLOCKS)))
-    rng, left, out = np.random.default_rng(seed), np.array(slots, np.int64), []
+    rng, left, out = np.random.default_rng(seed), list(slots), []
     for i in range(shards):
-        size = int(left.sum()) // (shards - i)
-        # numpy's exact sampler takes at most 10^9; larger shards take the expected counts
-        draw = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 1_000_000_000 else np.floor(left * (size / left.sum())).astype(np.int64)
+        size, rest = sum(left) // (shards - i), sum(left)
+        draw = []
+        for n in left:
+            rest -= n
+            draw.append(hypergeometric(rng, n, rest, size))
+            size -= draw[-1]
         out.append(draw)
-        left = left - draw
-    out[-1] = out[-1] + left
-    return np.array(out)
+        left = [n - d for n, d in zip(left, draw, strict=True)]
+    return np.array(out, np.int64)
 
 
 def lay_out(docs: DataFrame) -> tuple[DataFrame, list[dict]]:

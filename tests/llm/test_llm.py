@@ -245,6 +245,23 @@ def test_mixing_parts():
     assert counts.sum(axis=0).tolist() == [10_000, 30_000, 1] and len(counts) == 10
 
 
+def test_shards_are_drawn_by_one_rule():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((5, 7, 4), (1, 1, 1), (40, 3, 20), (500, 800, 300), (3 * 10**9, 2 * 10**9, 4 * 10**6)):
+        got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        total = good + bad
+        mean, var = n * good / total, n * good * bad * (total - n) / (total**2 * max(1, total - 1))
+        assert got.min() >= max(0, n - bad) and got.max() <= min(n, good)
+        assert abs(got.mean() - mean) < 4 * (var / 4000) ** 0.5 and got.var() == pytest.approx(var, rel=0.15)
+    for scale in (1, 10**6):
+        slots = [3000 * scale, 2000 * scale, 1000 * scale, 0]
+        counts = mixing.shard_counts(slots)
+        assert counts.sum(axis=0).tolist() == slots and (counts >= 0).all() and np.ptp(counts.sum(axis=1)) <= 1
+        if len(counts) > 2:  # shards differ from each other as draws do
+            mean, size = counts[:, 0].mean(), counts[0].sum()
+            assert counts[:, 0].std() == pytest.approx((size / 4) ** 0.5, rel=0.15) and mean == slots[0] / len(counts)
+
+
 def test_mixing_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a b c d", "s")] * 3 + [(2, "e f", "s")], "doc_id long, text string, source string")
     assert sum(len(words(r["text"])) for r in mixing.mix_documents(rows).collect()) == sum(r["taken"] for r in mixing.mix_amounts(rows).collect()) == 14
