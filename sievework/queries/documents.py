@@ -44,6 +44,8 @@ query("html_links")(lambda spark, d: html.extract_pages(table(spark, d, "pages")
 query("html_title", r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>')""")(
     lambda spark, d: html.extract_pages(table(spark, d, "pages").where(F.col("html").rlike(r"(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>"))).select("page_id", "title")
 )
+# all pages, also those whose title has entities or markup or is missing, which html_title's SQL cannot follow
+query("html_title_all")(lambda spark, d: html.extract_pages(table(spark, d, "pages")).select("page_id", "title"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,14 @@ def test_index_json_holds_the_whole_text(spark, tmp_path):
         assert json.dumps(json.loads(got[k])) == json.dumps({x: v for x, v in want.items() if v is not None})
 
 
+def test_titles_of_all_pages(spark, tmp_path):
+    body = "<body><main><p>text</p></main></body>"
+    pages = [("<title>A &amp; B &lt;c&gt; &eacute;&#8212;</title>", "A & B <c> é—"), ("<title> two\n words </title>", "two words"), ("<title></title>", None), ("<title> \n </title>", None), ("", None)]
+    spark.createDataFrame([(k, f"http://h/{k}", f"<html><head>{head}</head>{body}</html>") for k, (head, _) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["title"] for r in QUERIES["html_title_all"](spark, str(tmp_path)).collect()}
+    assert {k: v or None for k, v in got.items()} == dict(enumerate(t for _, t in pages))
+
+
 def file_of(table: pa.Table, **options) -> bytes:
     out = io.BytesIO()
     pq.write_table(table, out, **options)
