@@ -66,10 +66,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = common.read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = f"{common.shared_dir(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        common.release(spark)
+        with common.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             common.delete(spark, before)
         before, docs = path, spark.read.parquet(path)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 # The word rule is [^\x20\x09-\x0D]+, which is what bytes.split() splits by.
 ASCII_SPACE = " \t\n\v\f\r"
 
-#: Tables written by stage(), by session, so that release() can delete them.
-_staged: list[str] = []
+#: Paths that stage() wrote within the innermost open scope() (none outside one: such tables stay).
+_open: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def temp_name(stem: str) -> str:
@@ -50,7 +52,9 @@ def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append(path)
+    within = _open.get()
+    if within is not None:
+        within.append(path)
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
@@ -62,10 +66,35 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every staged table; call it once the results that read them are written."""
-    while _staged:
-        delete(spark, _staged.pop())
+def drop(staged: DataFrame) -> None:
+    """Deletes a table of stage() that nothing reads any more."""
+    for path in {x.rsplit("/", 1)[0] for x in staged.inputFiles()}:
+        delete(staged.sparkSession, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged within it, and nothing else: other results keep their tables."""
+    mine: list[str] = []
+    token = _open.set(mine)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in mine:
+            delete(spark, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), written once; all that it staged on the way goes. The result's own table stays for its readers."""
+    outer = _open.get()
+    with scope(spark):
+        out = make()
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        out.write.option("compression", "zstd").parquet(path)
+    if outer is not None:
+        outer.append(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -99,3 +128,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def first_in_batch(who: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (a document each, `who`) by key: the pre-aggregation that bounds the rows of a hot key by the number of batches.
+
+    Returns indexes: of each key's row with the least document (the only one that must ask other batches about the
+    key), of the rows of later documents (for them this batch has an earlier one), and of the least rows of keys that
+    several documents of the batch have. Rows that repeat a key within one document are left out.
+    """
+    order = np.lexsort((who, *keys))
+    new_key = np.zeros(len(order), bool)
+    new_key[:1] = True
+    for k in keys:
+        x = k[order]
+        new_key[1:] |= x[1:] != x[:-1]
+    w = who[order]
+    new_row = new_key.copy()
+    new_row[1:] |= w[1:] != w[:-1]
+    several = np.zeros(len(order), bool)
+    starts = np.flatnonzero(new_key)
+    if len(starts):
+        several[starts] = np.add.reduceat(new_row, starts) > 1
+    return order[new_key], order[new_row & ~new_key], order[several]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, slices, stage, utf8
+from .common import first_in_batch, mix64, read_table, slices, stage, utf8
 
 WINDOW = 20
 #: Rounds whose symbols serve as anchors, and rounds until the high symbols (about 40 words long).

@@ -1,17 +1,20 @@
 """Suffix dedup on bytes: merged Burrows-Wheeler transforms of shards.
 
-1. Every WINDOW-byte string is known by its minimizer, the least hash of its GRAM-byte substrings. Documents name their
-   minimizers; strings whose minimizer no other document has stand in one document only.
-2. The rest is cut into segments, each the bytes under a run of strings with one minimizer. Equal segments become one,
-   with the earliest document that has it, so copies cost one segment. Equal strings have equal minimizers, so
-   segments go to buckets by minimizer; a minimizer with over HOT different segments is dealt again, each of
-   its strings alone, by the string's hash.
-3. A minimizer with one segment is one interval of copies. A bucket's other segments form two shards. Each shard has its Burrows-Wheeler transform; their merge starts as one
-   interval and is refined symbol by symbol (the interleave of step t orders all suffixes by t symbols, from
-   the interleave of step t-1 and the two transforms alone). The step at which two neighbours part is their common
-   prefix; intervals that hold together through WINDOW steps are the repeated strings, and each learns the
-   earliest document of its interval.
-4. Bytes under strings that an earlier document has go.
+1. Texts that are equal as a whole become one, the earliest.
+2. Every WINDOW-byte string is known by its minimizer, the least hash of its GRAM-byte substrings. Documents name their
+   minimizers; strings whose minimizer no other document has stand in one document only and take no further part.
+3. What is left are regions. Regions are cut at places that the minimizers choose, into stretches that copies share; equal
+   stretches become one, with the earliest document that has it. Later ones are repeats as a whole.
+4. Stretches are cut into segments, each the bytes under a run of strings with one minimizer, and go to buckets by minimizer.
+   A bucket deals its segments to SHARDS shards. Each shard has its Burrows-Wheeler transform, and the transforms are
+   merged by refinement of their interleave: step t orders the suffixes by t symbols, from the order of step t-1 and
+   the transforms alone. Neighbours that step t parts have t-1 symbols in common, so intervals that hold together
+   through WINDOW steps are the repeated strings, and each learns the earliest document of its interval. An
+   interval with one document only can hold no repeat; its suffixes leave the refinement as soon as that shows.
+5. Bytes under strings that an earlier document has go.
+
+Hot keys: of the rows with one minimizer or one stretch, a batch of texts sends one, so a key has at most as many rows as
+there are batches. A minimizer with over HOT different segments is dealt again, each of its strings alone, by string.
 
 Defined results: null and empty texts have no bytes; texts under WINDOW bytes lose none; rows with equal doc_id,
 and null ones (first of all), go in the order of their text, and a repeated row repeats all; an empty table
@@ -28,38 +31,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix64, read_table, slices, stage, utf8
-from .substring_dedup import in_order, spans_of
+from .common import drop, first_in_batch, mix64, read_table, settled, slices, stage, utf8
+from .substring_dedup import Sums, in_order, spans_of
 
 WINDOW, GRAM = 50, 20
 #: Different segments of one minimizer beyond which its strings are dealt one by one.
 HOT = 8000
-#: Windows in a segment at most, bytes of segments in a bucket about.
-SEGMENT, BUCKET_BYTES = 64, 1 << 20
-
-
-def minimizers(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every place of the texts laid end to end: the least gram hash of the window there; and the texts' bounds."""
-    bounds = np.cumsum([0, *map(len, texts)])
-    x = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    if len(x) < window:
-        return np.zeros(0, np.uint64), bounds
-    span = 1
-    while span < gram:  # hashes of spans of 1, 2, 4, ... bytes
-        step = min(span, gram - span)
-        x = mix64(x[:-step] * np.uint64(0x9E3779B97F4A7C15) + x[step:])
-        span += step
-    span, wide = 1, window - gram + 1
-    while span < wide:
-        step = min(span, wide - span)
-        x = np.minimum(x[:-step], x[step:])
-        span += step
-    return x, bounds
-
-
-def _each(least: np.ndarray, bounds: np.ndarray, window: int):
-    for a, b in pairwise(bounds.tolist()):
-        yield least[a : max(a, b - window + 1)]
+#: Windows in a segment and in a stretch at most, bytes of segments in a bucket about, shards in a bucket.
+SEGMENT, STRETCH, BUCKET_BYTES, SHARDS = 64, 512, 1 << 20, 4
+#: One in so many minimizers begins a stretch.
+CUT = 8
+
+_U = np.uint64
+#: Odd multipliers and their inverses modulo 2**64.
+_P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+_PI, _QI = (_U(pow(int(p), -1, 1 << 64)) for p in (_P, _Q))
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
+class Runs:
+    """Texts laid end to end, and their runs of windows with one minimizer: start, n (windows), name, row (of the text)."""
+
+    def __init__(self, texts: list[bytes], window: int, gram: int):
+        self.raw = b"".join(texts)
+        self.bounds = np.cumsum([0, *map(len, texts)])
+        self.x = _BYTE[np.frombuffer(self.raw, np.uint8)]
+        places = len(self.x) - window + 1
+        if places < 1:
+            self.start = self.n = self.row = np.zeros(0, np.int64)
+            self.name = np.zeros(0, np.uint64)
+            return
+        at = np.arange(len(self.x) - gram + 1)
+        least, span, wide = Sums(self.x, _P, _PI).of(at, at + gram), 1, window - gram + 1
+        while span < wide:
+            step = min(span, wide - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        whole = np.zeros(places + window, bool)  # windows within one text
+        for a, b in pairwise(self.bounds.tolist()):
+            whole[a : max(a, b - window + 1)] = True
+        whole = whole[:places]
+        edge = np.ones(places, bool)
+        edge[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+        edge[self.bounds[self.bounds < places]] = True
+        starts = np.flatnonzero(edge)
+        n, ok = np.diff(starts, append=places), whole[starts]
+        self.start, self.n = starts[ok], n[ok]
+        self.name = least[self.start]
+        self.row = np.searchsorted(self.bounds, self.start, "right") - 1
+
+
+def _longs(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
 def shared_minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -68,40 +95,82 @@ def shared_minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def name(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                found = [np.unique(x) for x in _each(*minimizers(utf8(batch.column("text")), window, gram), window)]
-                d = np.repeat(batch.column("d").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)), pa.array(d)], names=["name", "d"])
+                runs = Runs(utf8(batch.column("text")), window, gram)
+                who = _longs(batch, "d")[runs.row]
+                ask, later, least = first_in_batch(who, runs.name)
+                told = np.concatenate([later, least])
+                names, d = runs.name.view(np.int64), who
+                key = np.concatenate([names[ask], mix64(d[told].view(np.uint64)).view(np.int64)])
+                at = np.concatenate([ask, told])
+                yield _rows(key=key, name=names[at], d=d[at], told=np.arange(len(at)) >= len(ask))
+
+    named = docs.select("d", "text").mapInArrow(name, "key long, name long, d long, told boolean")
+    same = Window.partitionBy("key").orderBy("d")  # told rows have their document for key: they only travel with the rest
+    near = named.withColumns({"before": F.lag("d").over(same), "after": F.lead("d").over(same)})
+    shared = near.where("told or before <> d or after <> d")
+    return shared.groupBy("d").agg(F.collect_list("name").alias("names"))
 
-    named = docs.select("d", "text").mapInArrow(name, "name long, d long")
-    order = Window.partitionBy("name").orderBy("d")
-    both = named.withColumns({"before": F.lag("d").over(order), "after": F.lead("d").over(order)})
-    return both.where("before is not null or after is not null").groupBy("d").agg(F.collect_list("name").alias("names"))
 
+def stretches(docs: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
+    """d, at, n (windows), h1, h2, bytes, later: stretches of windows with shared minimizers.
 
-def segments(docs: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """d, at, name, bytes: runs of strings with one shared minimizer."""
+    Of equal ones in a batch, the first of the least document has the bytes, that document's other ones have none, and
+    those of other documents are known to be later ones.
+    """
 
     def cut(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                texts = utf8(batch.column("text"))
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                for d, raw, least, names in zip(batch.column("d").to_pylist(), texts, _each(*minimizers(texts, window, gram), window), batch.column("names").to_pylist(), strict=True):
-                    ok = np.isin(least, np.array(names, np.int64).view(np.uint64))
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    new = np.append(True, (np.diff(at) > 1) | (least[at[1:]] != least[at[:-1]]))
-                    runs = np.flatnonzero(new)
-                    for first, n, key in zip(at[runs].tolist(), np.diff(runs, append=len(at)).tolist(), least[at[runs]].view(np.int64).tolist(), strict=True):
-                        for k in range(0, n, SEGMENT):
-                            rows[0].append(d)
-                            rows[1].append(first + k)
-                            rows[2].append(key)
-                            rows[3].append(raw[first + k : first + min(n, k + SEGMENT) + window - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["d", "at", "name", "bytes"])
-
-    return docs.select("d", "text").join(shared.hint("shuffle_hash"), "d").mapInArrow(cut, "d long, at int, name long, bytes binary")
+                runs = Runs(utf8(batch.column("text")), window, gram)
+                names = batch.column("names")
+                of = np.repeat(np.arange(len(names)), names.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                salt = lambda name, row: name + mix64(row.astype(np.uint64))
+                ok = np.isin(salt(runs.name, runs.row), salt(names.flatten().to_numpy().view(np.uint64), of))
+                start, n, row, name = (x[ok] for x in (runs.start, runs.n, runs.row, runs.name))
+                new = np.ones(len(start), bool)
+                new[1:] = (start[1:] != start[:-1] + n[:-1]) | (row[1:] != row[:-1]) | (mix64(name[1:]) % _U(CUT) == 0)
+                first = np.flatnonzero(new)
+                total = np.add.reduceat(n, first) if len(first) else n
+                parts = -(-total // STRETCH)
+                k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+                a = np.repeat(start[first], parts) + k * STRETCH
+                n = np.minimum(STRETCH, np.repeat(total, parts) - k * STRETCH)
+                row = np.repeat(row[first], parts)
+                b = a + n + window - 1
+                h1, h2 = (Sums(x, p, q).of(a, b) for x, p, q in ((runs.x, _P, _PI), (mix64(runs.x), _Q, _QI)))
+                who = _longs(batch, "d")[row]
+                ask, later, _ = first_in_batch(who, h1, h2)
+                state = np.zeros(len(a), np.int8)  # 0: again in the least document
+                state[ask], state[later] = 1, 2
+                if len(later):  # further places in later documents are later, too
+                    order = np.lexsort((who, h1, h2))
+                    head = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
+                    least = np.repeat(who[order][head], np.diff(np.flatnonzero(head), append=len(order)))
+                    state[order[who[order] != least]] = 2
+                held = [runs.raw[i:j] if s == 1 else None for i, j, s in zip(a.tolist(), b.tolist(), state.tolist(), strict=True)]
+                yield _rows(d=who, at=(a - runs.bounds[row]).astype(np.int32), n=n.astype(np.int32), h1=h1.view(np.int64), h2=h2.view(np.int64), bytes=pa.array(held, pa.binary()), later=state == 2)
+
+    joined = docs.select("d", "text").join(shared.hint("shuffle_hash"), "d")
+    return joined.mapInArrow(cut, "d long, at int, n int, h1 long, h2 long, bytes binary, later boolean")
+
+
+def segments(own: DataFrame, window: int, gram: int) -> DataFrame:
+    """own: distinct stretches (d, h1, h2, bytes). d, h1, h2, at (in the stretch), name, bytes: runs of strings with one minimizer."""
+
+    def cut(batches):
+        for whole in batches:
+            for batch in slices(whole, "bytes", 2 << 20):
+                runs = Runs(batch.column("bytes").to_pylist(), window, gram)
+                parts = -(-runs.n // SEGMENT)
+                k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+                a = np.repeat(runs.start, parts) + k * SEGMENT
+                b = a + np.minimum(SEGMENT, np.repeat(runs.n, parts) - k * SEGMENT) + window - 1
+                row = np.repeat(runs.row, parts)
+                held = [runs.raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                of = {c: _longs(batch, c)[row] for c in ("d", "h1", "h2")}
+                yield _rows(**of, at=(a - runs.bounds[row]).astype(np.int32), name=np.repeat(runs.name, parts).view(np.int64), bytes=pa.array(held, pa.binary()))
+
+    return own.select("d", "h1", "h2", "bytes").mapInArrow(cut, "d long, h1 long, h2 long, at int, name long, bytes binary")
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -117,149 +186,176 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     ahead = lambda x, k: np.append(x[k:], np.zeros(min(k, n), x.dtype))
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | ahead(text, k).astype(np.uint64)
+        key = key << _U(8) | ahead(text, k).astype(np.uint64)
     rank = _ranks(key)
     while span < depth:  # ranks by 8, 16, 32, ... symbols
         step = min(span, depth - span)
-        rank = _ranks(rank << np.uint64(32) | ahead(rank, step))
+        rank = _ranks(rank << _U(32) | ahead(rank, step))
         span += step
     order = np.argsort(rank, kind="stable")
     return order, np.append(text[-1:], text[:-1])[order]
 
 
-def merge(one: np.ndarray, other: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two transforms -> the interleave by `depth` symbols (whether each suffix is the other's), the number of the interval
-    of each, and the step at which each parted from the one before it (0: never)."""
-    n = len(one) + len(other)
-    side = np.zeros(n, bool)
-    side[len(one) :] = True
-    interval, parted = np.zeros(n, np.int32), np.zeros(n, np.uint8)
-    symbols = np.empty(n, np.uint8)
-    for step in range(1, depth + 1):
-        symbols[~side], symbols[side] = one, other
-        order = np.argsort(symbols, kind="stable")
-        side, before, first = side[order], interval[order], symbols[order]
-        new = np.append(False, (before[1:] != before[:-1]) | (first[1:] != first[:-1]))[:n]
-        parted[new & (parted == 0)] = step
-        interval = np.cumsum(new, dtype=np.int32)
-    return side, interval, parted
+def merge(shards: list[tuple[np.ndarray, np.ndarray]], docs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """shards: (suffix places, symbols before them) of texts whose parts end with symbol 0; docs: the document of every place
+    of the texts laid end to end. The places, in order by `depth` symbols, whose string of that length several documents
+    have, and the number of each one's interval.
+    """
+    before = np.concatenate([symbols for _, symbols in shards])
+    place, base, into = np.empty(len(before), np.int64), 0, np.empty(len(before), np.int64)
+    for order, _ in shards:  # where in the shard's order the suffix that begins one symbol earlier is
+        of = np.empty(len(order), np.int64)
+        of[order] = np.arange(len(order)) + base
+        into[base : base + len(order)] = of[order - 1]
+        place[base : base + len(order)] = order + base
+        base += len(order)
+    who = docs[place]
+    at, interval = np.arange(len(before)), np.zeros(len(before), np.int64)
+    for _ in range(depth):
+        symbol = before[at]
+        inside = symbol != 0
+        at, interval, symbol = at[inside], interval[inside], symbol[inside]
+        order = np.argsort(symbol, kind="stable")
+        at, interval, symbol = into[at[order]], interval[order], symbol[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1])
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            break
+        d = who[at]
+        several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+        keep = np.repeat(several, np.diff(starts, append=len(at)))
+        at, interval = at[keep], np.cumsum(new)[keep]
+    return place[at], interval
 
 
 def earliest(parts: list[bytes], least: np.ndarray, window: int) -> list[np.ndarray]:
     """parts: a bucket's segments; least: the earliest document of each. Of every string in a part: its earliest document."""
-    if not parts:
-        return []
-    half = (len(parts) + 1) // 2
-    sides = []
-    for group in (parts[:half], parts[half:]):
-        text = np.frombuffer(b"".join(x + b"\xff" for x in group), np.uint8) + np.uint8(1)  # an end is 0; UTF-8 has no byte 255
-        sides.append((text, *transform(text, window)) if len(text) else (text, np.zeros(0, np.int64), text))
-    side, interval, _ = merge(sides[0][2], sides[1][2], window)
-    place = np.empty(len(side), np.int64)
-    place[~side], place[side] = sides[0][1], sides[1][1] + len(sides[0][0])
-    ends = np.cumsum([len(x) + 1 for x in parts])
-    owner = np.repeat(np.arange(len(parts)), [len(x) + 1 for x in parts])[place]
-    whole = place + window < ends[owner]  # strings that end within their part
-    kept, group = place[whole], interval[whole]
-    first = np.full(int(ends[-1]), np.iinfo(np.int64).max)
-    if len(kept):
-        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        first[kept] = np.repeat(np.minimum.reduceat(least[owner[whole]], cuts), np.diff(cuts, append=len(kept)))
-    return [first[e - len(x) - 1 : e - window] for e, x in zip(ends, parts, strict=True)]
-
-
-def _key(column: str) -> list:
-    return [F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(1), column).alias("h2")]
-
-
-def repeated_strings(found: DataFrame, window: int) -> DataFrame:
-    """found: segments(). h1, h2 (of a segment), first: its strings' earliest documents, for segments that can lose bytes."""
-    spark = found.sparkSession
-    own = found.groupBy("name", "bytes").agg(F.min("d").alias("least"), F.count("*").alias("n"))
-    one = stage(own, "suffix-segments", free=True)
-    hot = one.groupBy("name").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("name")
-    total = one.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    shards, base, spans = [], 0, []
+    for k in range(min(SHARDS, len(parts))):
+        text = np.frombuffer(b"".join(x + b"\xff" for x in parts[k::SHARDS]), np.uint8) + np.uint8(1)  # an end is 0; UTF-8 has no byte 255
+        shards.append(transform(text, window))
+    lengths = [[len(x) + 1 for x in parts[k::SHARDS]] for k in range(len(shards))]
+    flat = np.array([n for x in lengths for n in x], np.int64)
+    dealt = np.concatenate([np.arange(len(parts))[k::SHARDS] for k in range(len(shards))]) if parts else np.zeros(0, np.int64)
+    docs = np.repeat(least[dealt], flat)
+    first = docs.copy()
+    if parts:
+        at, interval = merge(shards, docs, window)
+        if len(at):
+            starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+            first[at] = np.repeat(np.minimum.reduceat(docs[at], starts), np.diff(starts, append=len(at)))
+    for n in flat.tolist():
+        spans.append(first[base : base + n - window])
+        base += n
+    out: list[np.ndarray] = [first[:0]] * len(parts)
+    for k, x in zip(dealt.tolist(), spans, strict=True):
+        out[k] = x
+    return out
+
+
+def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    """(start, length) of the runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+
+
+def repeated_strings(cut: DataFrame, window: int) -> DataFrame:
+    """cut: segments(), staged. h1, h2, start, n: runs of strings of a stretch that an earlier document has."""
+    spark = cut.sparkSession
+    hot = stage(cut.groupBy("name").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("name"), "suffix-hot")
+    total = cut.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    pieces = one.select("name", "bytes", "least", "n")
-    hot = stage(hot, "suffix-hot")
-    if not hot.isEmpty():
-        alone = F.transform(F.sequence(F.lit(1), F.length("bytes") - window + 1), lambda i: F.substring("bytes", i, F.lit(window)))
-        dealt = pieces.join(hot, "name", "left_semi").select(F.explode(alone).alias("bytes"), "least", "n")
-        dealt = dealt.groupBy("bytes").agg(F.min("least").alias("least"), F.sum("n").alias("n")).select(F.xxhash64("bytes").alias("name"), "bytes", "least", "n")
-        alone_first = dealt.select("bytes", "least")
-        pieces = pieces.join(hot, "name", "left_anti")
-    bucketed = pieces.withColumn("bucket", F.pmod(F.col("name"), F.lit(buckets)))
+    crowded = not hot.isEmpty()
+    usual = cut.join(hot, "name", "left_anti") if crowded else cut
 
     def refine(table: pa.Table) -> pa.Table:
-        parts = utf8(table.column("bytes"))
-        least = table.column("least").to_numpy()
-        _, of, times = np.unique(table.column("name").to_numpy(), return_inverse=True, return_counts=True)
-        several = np.flatnonzero(times[of] > 1)
-        first = [np.full(len(x) - window + 1, d) for x, d in zip(parts, least, strict=True)]
-        for k, x in zip(several, earliest([parts[k] for k in several], least[several], window), strict=True):
-            first[k] = x
-        many = table.column("n").to_numpy() > 1
-        keep = [k for k, x in enumerate(first) if many[k] or (x < least[k]).any()]
-        return pa.table({"bytes": pa.array([parts[k] for k in keep], pa.binary()), "first": pa.array([first[k] for k in keep], pa.list_(pa.int64()))})
-
-    out = bucketed.select("bucket", "name", "bytes", "least", "n").groupBy("bucket").applyInArrow(refine, "bytes binary, first array<bigint>").select(*_key("bytes"), "first")
-    if hot.isEmpty():
-        return out
-    back = one.join(hot, "name", "left_semi").select("bytes", F.posexplode(alone).alias("at", "string"))
-    told = back.join(alone_first.withColumnRenamed("bytes", "string"), "string").groupBy("bytes").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("first"))
-    return out.unionByName(told.select(*_key("bytes"), "first"))
+        number: dict[bytes, int] = {}
+        of = np.array([number.setdefault(x, len(number)) for x in table.column("bytes").to_pylist()], np.int64)
+        parts, d, name = list(number), table.column("d").to_numpy(), table.column("name").to_numpy()
+        least = np.full(len(parts), np.iinfo(np.int64).max)
+        np.minimum.at(least, of, d)
+        named = np.empty(len(parts), np.int64)
+        named[of] = name
+        _, group = np.unique(named, return_inverse=True)
+        lo, hi = np.full(len(parts), np.iinfo(np.int64).max), np.full(len(parts), np.iinfo(np.int64).min)
+        np.minimum.at(lo, group, least)
+        np.maximum.at(hi, group, least)
+        several = np.flatnonzero(lo[group] != hi[group])  # segments of different documents under one minimizer
+        first = {k: x for k, x in zip(several.tolist(), earliest([parts[k] for k in several], least[several], window), strict=True)}
+        rows: list[tuple] = []
+        for i, (p, mine) in enumerate(zip(of.tolist(), d.tolist(), strict=True)):
+            if p in first:
+                rows += [(i, a, n) for a, n in runs_of(first[p] < mine)]
+            elif least[p] < mine:
+                rows.append((i, 0, len(parts[p]) - window + 1))
+        row, a, n = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
+        pick = {c: table.column(c).to_numpy()[row] for c in ("h1", "h2", "at")}
+        return pa.table({"h1": pick["h1"], "h2": pick["h2"], "start": (pick["at"] + a).astype(np.int32), "n": n.astype(np.int32)})
+
+    found = usual.withColumn("bucket", F.pmod(F.col("name"), F.lit(buckets))).groupBy("bucket").applyInArrow(refine, "h1 long, h2 long, start int, n int")
+    if not crowded:
+        return found
+    alone = F.transform(F.sequence(F.lit(1), F.length("bytes") - window + 1), lambda i: F.substring("bytes", i, F.lit(window)))
+    dealt = cut.join(hot, "name", "left_semi").select("d", "h1", "h2", "at", F.posexplode(alone).alias("k", "string"))
+    first = dealt.groupBy("string").agg(F.min("d").alias("first"))
+    told = dealt.join(first, "string").where("first < d").select("h1", "h2", (F.col("at") + F.col("k")).alias("start"), F.lit(1).alias("n"))
+    return found.unionByName(told)
+
+
+def repeats(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """texts: d, text (distinct). d, at: structs (start, n) of windows that an earlier document has."""
+    shared = stage(shared_minimizers(texts, window, gram), "suffix-shared", free=True)
+    cut = stage(stretches(texts, shared, window, gram), "suffix-stretches", free=True)
+    drop(shared)
+    asked = cut.where("not later")
+    first = asked.groupBy("h1", "h2").agg(F.min("d").alias("least"))
+    marked = asked.join(first, ["h1", "h2"]).select("h1", "h2", "d", "at", "n", (F.col("d") > F.col("least")).alias("later"), F.when(F.col("d") == F.col("least"), F.col("bytes")).alias("bytes"))
+    marked = stage(marked, "suffix-marked", free=True)
+    pieces = stage(segments(marked.where("bytes is not null"), window, gram), "suffix-segments")
+    inside = stage(repeated_strings(pieces, window), "suffix-repeats", free=True)
+    drop(pieces)
+    here = marked.where("not later").select("h1", "h2", "d", "at").join(inside, ["h1", "h2"]).select("d", (F.col("at") + F.col("start")).alias("start"), "n")
+    wholes = [x.where("later").select("d", F.col("at").alias("start"), "n") for x in (cut, marked)]
+    return here.unionByName(wholes[0]).unionByName(wholes[1]).groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("at"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, spans (of removed bytes), kept (binary): one row for each row of docs."""
     ordered = in_order(docs)
-    shared = stage(shared_minimizers(ordered, window, gram), "suffix-shared", free=True)
-    found = stage(segments(ordered, shared, window, gram), "suffix-found", free=True)
-    first = repeated_strings(found, window)
-    met = found.select("d", "at", *_key("bytes")).join(first, ["h1", "h2"])
-
-    def runs(batches):
-        for batch in batches:
-            first, d = batch.column("first"), batch.column("d").to_numpy()
-            n = first.value_lengths().to_numpy()
-            starts = np.append(0, np.cumsum(n)[:-1])[: len(n)]
-            place = np.arange(int(n.sum())) - np.repeat(starts - batch.column("at").to_numpy(), n)
-            hit = np.append(np.append(False, first.flatten().to_numpy() < np.repeat(d, n)), False)
-            hit_start = hit[1:-1] & (~hit[:-2] | (np.isin(np.arange(len(place)), starts)))
-            begin = np.flatnonzero(hit_start)
-            hit_end = hit[1:-1] & (~hit[2:] | np.append(hit_start[1:], True)[: len(place)])
-            length = np.flatnonzero(hit_end) - begin + 1
-            owner = np.repeat(d, n)[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(place[begin].astype(np.int32)), pa.array(length.astype(np.int32))], names=["d", "start", "n"])
-
-    hits = met.select("d", "at", "first").mapInArrow(runs, "d long, start int, n int")
-    at = hits.groupBy("d").agg(F.collect_list(F.struct("start", "n")).alias("at"))
-
-    def drop(batches):
+    tags = ordered.select("d", F.octet_length("text").alias("size"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).where(F.col("size") >= window)
+    least = tags.groupBy("t1", "t2", "size").agg(F.min("d").alias("least"))
+    copies = stage(tags.join(least, ["t1", "t2", "size"]).where("d > least").select("d"), "suffix-copies")
+    texts = ordered.where(F.octet_length("text") >= window).join(copies, "d", "left_anti")  # Spark broadcasts the ids if they are small
+    at = stage(repeats(texts, window, gram), "suffix-spans", free=True)
+    known = at.unionByName(copies.select("d", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("n"))).alias("at")))
+
+    def apart(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 spans, kept, texts = [], [], utf8(batch.column("text"))
                 for raw, at in zip(texts, batch.column("at"), strict=True):
                     done = np.zeros(len(raw), bool)
                     if at.is_valid:
-                        edge = np.zeros(len(raw) + 1, np.int32)
                         start, n = (at.values.field(k).to_numpy() for k in (0, 1))
+                        edge = np.zeros(len(raw) + 1, np.int32)
                         np.add.at(edge, start, 1)
-                        np.add.at(edge, start + n, -1)
+                        np.add.at(edge, np.where(n < 0, max(0, len(raw) - window + 1), start + n), -1)  # -1: all windows
                         done = np.cumsum(edge)[:-1] > 0
                     spans.append(spans_of(done, window))
                     edges = [0, *(x for s in spans[-1] for x in s), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in list(pairwise(edges))[::2]))
                 pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pair)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
-                )
+                yield _rows(doc_id=batch.column("doc_id"), n_bytes=pa.array(list(map(len, texts)), pa.int64()), spans=pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pair)), kept=pa.array(kept, pa.binary()))
 
-    joined = ordered.join(at.hint("shuffle_hash"), "d", "left").select("doc_id", "text", "at")
-    return joined.mapInArrow(drop, "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    joined = ordered.join(known.hint("shuffle_hash"), "d", "left").select("doc_id", "text", "at")
+    return joined.mapInArrow(apart, "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(read_table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    def digests() -> DataFrame:
+        found = remove_repeats(read_table(spark, sf_dir, "documents"))
+        removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+    return settled(spark, "op9", digests)

@@ -110,18 +110,21 @@ def test_suffix_dedup(docs, corpus, empty, hot, monkeypatch):
 
 def test_merge_of_transforms():
     rng = random.Random(2)
-    sides = [np.frombuffer(bytes(rng.choice(b"\1\2\3") for _ in range(200)) + b"\0", np.uint8) for _ in range(2)]
-    (o1, b1), (o2, b2) = (suffix_dedup.transform(x, 8) for x in sides)
-    side, interval, _ = suffix_dedup.merge(b1, b2, 8)
-    cyclic = [bytes(np.roll(x, -k)[:8]) for x in sides for k in range(201)]
-    place = np.empty(402, int)
-    place[~side], place[side] = o1, o2 + 201
-    found = [cyclic[p] for p in place]
-    inside = [f for f in found if b"\0" not in f]
-    assert inside == sorted(inside)
-    for k in range(1, 402):
-        if b"\0" not in found[k] and b"\0" not in found[k - 1]:
-            assert (interval[k] == interval[k - 1]) == (found[k] == found[k - 1])
+    for sides in (1, 2, 3, 4):
+        parts = [bytes(rng.choice(b"\2\3") for _ in range(rng.randint(3, 60))) for _ in range(4 * sides)]
+        docs = [rng.randint(0, 5) for _ in parts]
+        texts = [b"".join(x + b"\0" for x in parts[k::sides]) for k in range(sides)]
+        flat = [(x, d) for k in range(sides) for x, d in zip(parts[k::sides], docs[k::sides], strict=True)]
+        of = np.repeat([d for _, d in flat], [len(x) + 1 for x, _ in flat])
+        place, interval = suffix_dedup.merge([suffix_dedup.transform(np.frombuffer(x, np.uint8), 9) for x in texts], of, 9)
+        whole, want = b"".join(x + b"\0" for x, _ in flat), defaultdict(set)
+        for k in range(len(whole) - 8):
+            if b"\0" not in whole[k : k + 9]:
+                want[whole[k : k + 9]].add(int(of[k]))
+        shared = {k for k in range(len(whole) - 8) if len(want.get(whole[k : k + 9], ())) > 1}
+        found = [whole[p : p + 9] for p in place]
+        assert set(place.tolist()) == shared and found == sorted(found)
+        assert [a == b for a, b in zip(interval, interval[1:], strict=False)] == [a == b for a, b in zip(found, found[1:], strict=False)]
 
 
 def test_packing(docs, corpus, empty):
