@@ -43,10 +43,20 @@ _P1, _P2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)  # odd
 _I1, _I2 = (_U(pow(int(p), -1, 1 << 64)) for p in (_P1, _P2))
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(p: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, p, np.uint64)
+    """p to the powers 0 to n; up to 2**20 they are made once."""
+    most = 1 << 20
+    if n <= most and int(p) in _known:
+        return _known[int(p)][: n + 1]
+    out = np.full(max(n, most) + 1, p, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= most:
+        _known[int(p)] = out
+    return out[: n + 1]
 
 
 class Sums:
@@ -59,6 +69,11 @@ class Sums:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
+    def rolling(self, size: int) -> np.ndarray:
+        """of() for every stretch of one size."""
+        total = self.sums[size:] - self.sums[:-size]
+        return mix64(total * self.inverse[: len(total)] + _U(size))
+
 
 class Parse:
     """Recompression of the words of some documents, laid end to end at `bounds`."""

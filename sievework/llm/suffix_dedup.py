@@ -41,6 +41,8 @@ HOT = 8000
 SEGMENT, STRETCH, BUCKET_BYTES, SHARDS = 64, 512, 1 << 20, 4
 #: One in so many minimizers begins a stretch.
 CUT = 8
+#: Bytes of text that a task works on at once (or one text).
+TEXT_BYTES = 1 << 20
 
 _U = np.uint64
 #: Odd multipliers and their inverses modulo 2**64.
@@ -53,7 +55,7 @@ class Runs:
     """Texts laid end to end, and their runs of windows with one minimizer: start, n (windows), name, row (of the text)."""
 
     def __init__(self, texts: list[bytes], window: int, gram: int):
-        self.raw = b"".join(texts)
+        self.raw, self.sums = b"".join(texts), None
         self.bounds = np.cumsum([0, *map(len, texts)])
         self.x = _BYTE[np.frombuffer(self.raw, np.uint8)]
         places = len(self.x) - window + 1
@@ -61,8 +63,8 @@ class Runs:
             self.start = self.n = self.row = np.zeros(0, np.int64)
             self.name = np.zeros(0, np.uint64)
             return
-        at = np.arange(len(self.x) - gram + 1)
-        least, span, wide = Sums(self.x, _P, _PI).of(at, at + gram), 1, window - gram + 1
+        self.sums = Sums(self.x, _P, _PI)
+        least, span, wide = self.sums.rolling(gram), 1, window - gram + 1
         while span < wide:
             step = min(span, wide - span)
             least = np.minimum(least[:-step], least[step:])
@@ -94,7 +96,7 @@ def shared_minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def name(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", TEXT_BYTES):
                 runs = Runs(utf8(batch.column("text")), window, gram)
                 who = _longs(batch, "d")[runs.row]
                 ask, later, least = first_in_batch(who, runs.name)
@@ -120,7 +122,7 @@ def stretches(docs: DataFrame, shared: DataFrame, window: int, gram: int) -> Dat
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", TEXT_BYTES):
                 runs = Runs(utf8(batch.column("text")), window, gram)
                 names = batch.column("names")
                 of = np.repeat(np.arange(len(names)), names.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -137,7 +139,7 @@ def stretches(docs: DataFrame, shared: DataFrame, window: int, gram: int) -> Dat
                 n = np.minimum(STRETCH, np.repeat(total, parts) - k * STRETCH)
                 row = np.repeat(row[first], parts)
                 b = a + n + window - 1
-                h1, h2 = (Sums(x, p, q).of(a, b) for x, p, q in ((runs.x, _P, _PI), (mix64(runs.x), _Q, _QI)))
+                h1, h2 = (sums.of(a, b) if len(a) else runs.name[:0] for sums in (runs.sums, Sums(mix64(runs.x), _Q, _QI) if len(a) else None))
                 who = _longs(batch, "d")[row]
                 ask, later, _ = first_in_batch(who, h1, h2)
                 state = np.zeros(len(a), np.int8)  # 0: again in the least document
@@ -159,7 +161,7 @@ def segments(own: DataFrame, window: int, gram: int) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "bytes", 2 << 20):
+            for batch in slices(whole, "bytes", TEXT_BYTES):
                 runs = Runs(batch.column("bytes").to_pylist(), window, gram)
                 parts = -(-runs.n // SEGMENT)
                 k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -231,35 +233,27 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], docs: np.ndarray, depth:
 
 def earliest(parts: list[bytes], least: np.ndarray, window: int) -> list[np.ndarray]:
     """parts: a bucket's segments; least: the earliest document of each. Of every string in a part: its earliest document."""
-    shards, base, spans = [], 0, []
+    if not parts:
+        return []
+    shards, base = [], 0
     for k in range(min(SHARDS, len(parts))):
         text = np.frombuffer(b"".join(x + b"\xff" for x in parts[k::SHARDS]), np.uint8) + np.uint8(1)  # an end is 0; UTF-8 has no byte 255
         shards.append(transform(text, window))
-    lengths = [[len(x) + 1 for x in parts[k::SHARDS]] for k in range(len(shards))]
-    flat = np.array([n for x in lengths for n in x], np.int64)
-    dealt = np.concatenate([np.arange(len(parts))[k::SHARDS] for k in range(len(shards))]) if parts else np.zeros(0, np.int64)
-    docs = np.repeat(least[dealt], flat)
+    dealt = [p for k in range(len(shards)) for p in range(k, len(parts), SHARDS)]
+    sizes = np.array([len(parts[p]) + 1 for p in dealt], np.int64)
+    docs = np.repeat(least[dealt], sizes)
     first = docs.copy()
-    if parts:
-        at, interval = merge(shards, docs, window)
-        if len(at):
-            starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-            first[at] = np.repeat(np.minimum.reduceat(docs[at], starts), np.diff(starts, append=len(at)))
-    for n in flat.tolist():
-        spans.append(first[base : base + n - window])
+    at, interval = merge(shards, docs, window)
+    if len(at):
+        starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+        first[at] = np.repeat(np.minimum.reduceat(docs[at], starts), np.diff(starts, append=len(at)))
+    out = [first[:0]] * len(parts)
+    for p, n in zip(dealt, sizes.tolist(), strict=True):
+        out[p] = first[base : base + n - window]
         base += n
-    out: list[np.ndarray] = [first[:0]] * len(parts)
-    for k, x in zip(dealt.tolist(), spans, strict=True):
-        out[k] = x
     return out
 
 
-def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
-    """(start, length) of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
-
-
 def repeated_strings(cut: DataFrame, window: int) -> DataFrame:
     """cut: segments(), staged. h1, h2, start, n: runs of strings of a stretch that an earlier document has."""
     spark = cut.sparkSession
@@ -282,16 +276,21 @@ def repeated_strings(cut: DataFrame, window: int) -> DataFrame:
         np.minimum.at(lo, group, least)
         np.maximum.at(hi, group, least)
         several = np.flatnonzero(lo[group] != hi[group])  # segments of different documents under one minimizer
-        first = {k: x for k, x in zip(several.tolist(), earliest([parts[k] for k in several], least[several], window), strict=True)}
-        rows: list[tuple] = []
-        for i, (p, mine) in enumerate(zip(of.tolist(), d.tolist(), strict=True)):
-            if p in first:
-                rows += [(i, a, n) for a, n in runs_of(first[p] < mine)]
-            elif least[p] < mine:
-                rows.append((i, 0, len(parts[p]) - window + 1))
-        row, a, n = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
-        pick = {c: table.column(c).to_numpy()[row] for c in ("h1", "h2", "at")}
-        return pa.table({"h1": pick["h1"], "h2": pick["h2"], "start": (pick["at"] + a).astype(np.int32), "n": n.astype(np.int32)})
+        n = np.array([len(x) - window + 1 for x in parts], np.int64)
+        first = [np.full(k, x) for k, x in zip(n.tolist(), least.tolist(), strict=True)]
+        for k, x in zip(several.tolist(), earliest([parts[k] for k in several], least[several], window), strict=True):
+            first[k] = x
+        flat, begin = np.concatenate([*first, least[:0]]), np.cumsum(n) - n
+        times = n[of]  # strings of each row, then of all rows end to end
+        base = np.cumsum(times) - times
+        row = np.repeat(np.arange(len(of)), times)
+        k = np.arange(len(row)) - base[row]
+        hit = np.append(flat[begin[of][row] + k] < d[row], False)
+        opens = np.flatnonzero(hit[:-1] & (~np.append(False, hit[:-2]) | (k == 0)))
+        ends = np.flatnonzero(hit[:-1] & (~hit[1:] | (np.append(k, 0)[1:] == 0)))
+        owner = row[opens]
+        pick = {c: table.column(c).to_numpy()[owner] for c in ("h1", "h2", "at")}
+        return pa.table({"h1": pick["h1"], "h2": pick["h2"], "start": (pick["at"] + k[opens]).astype(np.int32), "n": (ends - opens + 1).astype(np.int32)})
 
     found = usual.withColumn("bucket", F.pmod(F.col("name"), F.lit(buckets))).groupBy("bucket").applyInArrow(refine, "h1 long, h2 long, start int, n int")
     if not crowded:
@@ -332,7 +331,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     def apart(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", TEXT_BYTES):
                 spans, kept, texts = [], [], utf8(batch.column("text"))
                 for raw, at in zip(texts, batch.column("at"), strict=True):
                     done = np.zeros(len(raw), bool)
