@@ -14,8 +14,9 @@ Spark rounds then work on names that documents share:
    two independent 64-bit hashes of all their words; all but the first are repeats.
 3. Words under repeated windows go.
 
-Windows without an anchor (one word over and over) are named by their own hash. Nothing is capped; the largest unit
-in one task is one text, or one name's rows sorted on disk.
+Windows without an anchor (one word over and over) are named by their own hash. Nothing is capped. Hot keys: of the rows
+with one name, or one window's hashes, a batch of texts sends only its earliest document's to the other batches and
+answers the rest itself, so a key has at most as many rows as there are batches.
 
 Defined results: null and empty texts have no words; texts under WINDOW words lose none; rows with equal doc_id,
 and null ones (first of all), go in the order of their text, and a repeated row repeats all; an empty table
@@ -31,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import first_in_batch, mix64, read_table, slices, stage, utf8
+from .common import first_in_batch, mix64, read_table, settled, slices, stage, utf8
 
 WINDOW = 20
 #: Rounds whose symbols serve as anchors, and rounds until the high symbols (about 40 words long).
@@ -214,14 +216,18 @@ def shared_names(docs: DataFrame, window: int) -> DataFrame:
                     checks += [np.zeros(len(anchors), np.uint64), check]
                     ids.append(np.full(len(anchors) + len(stretches), d, np.int64))
                 cat = lambda x, t: np.concatenate(x).view(t) if x else np.zeros(0, t)
-                yield pa.RecordBatch.from_arrays([pa.array(cat(x, t)) for x, t in ((kinds, np.int8), (names, np.int64), (checks, np.int64), (ids, np.int64))], names=["kind", "name", "second", "d"])
-
-    from pyspark.sql.window import Window
-
-    named = docs.select("d", "text").mapInArrow(name, "kind byte, name long, second long, d long")
-    order = Window.partitionBy("name", "kind", "second").orderBy("d")
+                kind, name_, second, d = (cat(x, t) for x, t in ((kinds, np.int8), (names, np.int64), (checks, np.int64), (ids, np.int64)))
+                ask, later, least = first_in_batch(d, second, name_, kind)
+                told = np.concatenate([later, least[kind[least] == 0]])
+                at = np.concatenate([ask, told])
+                key = np.concatenate([name_[ask], mix64(d[told].view(np.uint64)).view(np.int64)])
+                columns = (key, kind[at], name_[at], second[at], d[at], np.arange(len(at)) >= len(ask))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "kind", "name", "second", "d", "told"])
+
+    named = docs.select("d", "text").mapInArrow(name, "key long, kind byte, name long, second long, d long, told boolean")
+    order = Window.partitionBy("key", "kind", "second").orderBy("d")  # told rows have their document for key: they only travel with the rest
     ranked = named.withColumns({"before": F.lag("d").over(order), "after": F.lead("d").over(order)})
-    shared = ranked.where("before is not null or (kind = 0 and after is not null)")
+    shared = ranked.where("told or before is not null or (kind = 0 and after is not null)")
     of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("name")))
     return shared.groupBy("d").agg(of(0).alias("anchors"), of(1).alias("seen"))
 
@@ -247,14 +253,18 @@ def repeated_windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFra
                     ids.append(np.full(len(at), d, np.int64))
                 at, d = np.concatenate(places), np.concatenate(ids)
                 starts = parse.bounds[np.searchsorted(parse.bounds, at, "right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(parse.h1.of(at, at + window).view(np.int64)), pa.array(parse.h2.of(at, at + window).view(np.int64)), pa.array(d), pa.array((at - starts).astype(np.int32))], names=["h1", "h2", "d", "at"])
-
-    from pyspark.sql.window import Window
+                h1, h2 = parse.h1.of(at, at + window).view(np.int64), parse.h2.of(at, at + window).view(np.int64)
+                ask, told, _ = first_in_batch(d, h2, h1)
+                both = np.concatenate([ask, told])
+                h1[told] = mix64(d[told].view(np.uint64)).view(np.int64)
+                h2[told] = at[told] - starts[told]
+                columns = (h1[both], h2[both], d[both], (at - starts)[both].astype(np.int32), np.arange(len(both)) >= len(ask))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "d", "at", "told"])
 
     texts = docs.select("d", "text").join(shared.where(F.size("anchors") > 0).hint("shuffle_hash"), "d")
-    windows = texts.mapInArrow(emit, "h1 long, h2 long, d long, at int")
+    windows = texts.mapInArrow(emit, "h1 long, h2 long, d long, at int, told boolean")
     first = F.lag("d").over(Window.partitionBy("h1", "h2").orderBy("d", "at"))
-    return windows.withColumn("before", first).where("before is not null").groupBy("d").agg(F.collect_list("at").alias("at"))
+    return windows.withColumn("before", first).where("told or before is not null").groupBy("d").agg(F.collect_list("at").alias("at"))
 
 
 def spans_of(done: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -273,7 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = stage(repeated_windows(ordered, shared, window), "substring-places", free=True)
     known = shared.select("d", "seen").join(places, "d", "full_outer")
 
-    def drop(batches):
+    def apart(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 texts = [x.split() for x in utf8(batch.column("text"))]
@@ -291,10 +301,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
 
     joined = ordered.join(known.hint("shuffle_hash"), "d", "left").select("doc_id", "text", "seen", "at")
-    return joined.mapInArrow(drop, "doc_id long, n_words long, spans array<struct<start: bigint, end: bigint>>, kept string")
+    return joined.mapInArrow(apart, "doc_id long, n_words long, spans array<struct<start: bigint, end: bigint>>, kept string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(read_table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    def digests() -> DataFrame:
+        found = remove_repeats(read_table(spark, sf_dir, "documents"))
+        removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+    return settled(spark, "op1", digests)
