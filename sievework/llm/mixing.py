@@ -1,13 +1,16 @@
 """Mixing sources to target weights.
 
 Each source's words are laid end to end (documents by hash bucket, then doc_id) and cut into blocks of fixed
-length. Every output shard draws its source counts from a multinomial without replacement, so that the shards
-together hold each source's target; the draw splits slots into shards, but shards are not written. A source's k-th slot maps through a pseudorandom permutation of its block
-indexes (a keyed Feistel network, a new key each time the source begins again), and slots meet blocks by index.
+length. Every output shard draws its source counts from a multinomial with the sources' target shares, from a generator
+of its own, so that a lost shard is drawn again alike. The draws decide how many blocks the mix takes: a source comes
+near its target as multinomial counts do (a standard deviation of one by the root of its slots; small
+sources have smaller blocks for that). A source's k-th slot, counted through the shards, maps through a pseudorandom
+permutation of its block indexes (a keyed Feistel network, a new key each time the source begins again), and slots
+meet blocks by index. mix_blocks() gives the shards themselves, mix_documents() the same blocks put together by document.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops at
 MOST_REPEATS times its source's words and the excess is shared again by weight. A block is taken at most
-MOST_REPEATS times, so no document exceeds that either.
+MOST_REPEATS times (a slot drawn beyond that stays empty), so no document exceeds that either.
 
 Defined results: null text has no words; null source is a source of its own; documents without words are never
 taken; repeated rows are separate documents; an empty table gives an empty result.
@@ -15,25 +18,24 @@ taken; repeated rows are separate documents; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from math import exp, lgamma, log1p
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, mix64, read_table, stage, temp_name, utf8
+from .common import ASCII_SPACE, mix64, read_table, settled, stage, temp_name, utf8
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-#: Words in a block, but at most a 1024th of its source, so that small sources come near their targets too.
-BLOCK_WORDS, LEAST_BLOCKS = 256, 1024
-#: Blocks in an output shard, and the most shards (beyond, shards grow).
-SHARD_BLOCKS, MOST_SHARDS = 4096, 1024
-BUCKETS = 256
+#: Words in a block, but at most a 16384th of its source, so that small sources come near their targets too.
+BLOCK_WORDS, LEAST_BLOCKS = 256, 1 << 14
+#: Slots in an output shard; shards whose counts one task adds up; documents in a bucket about, and the fewest buckets.
+SHARD_SLOTS, SHARD_GROUP, BUCKET_ROWS, BUCKETS = 4096, 4096, 50_000, 256
+#: Sources up to which their table is broadcast; beyond, Spark chooses the join.
+BROADCAST_SOURCES = 100_000
 SEED = 20_24
 
 
@@ -71,47 +73,23 @@ def permute(index: np.ndarray, domain: np.ndarray, key: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n draws without replacement are good, at any size: Devroye's rejection for log-concave distributions."""
-    low, high = max(0, n - bad), min(n, good)
-    if low == high:
-        return low
-    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-
-    def log(x: int) -> float:
-        return -sum(map(lgamma, (x + 1, good - x + 1, n - x + 1, bad - n + x + 1)))
-
-    top = exp(log(mode) + sum(map(lgamma, (good + 1, bad + 1, n + 1, good + bad - n + 1))) - lgamma(good + bad + 1))
-    w = 1 + top / 2
-    while True:
-        u, v, sign = rng.random(), rng.random(), 1 if rng.random() < 0.5 else -1
-        y = v * w / top if u <= w / (1 + w) else (w - log1p(-v)) / top
-        x = mode + sign * round(y)
-        if low <= x <= high and rng.random() * min(1.0, exp(w - top * y)) <= exp(log(x) - log(mode)):
-            return x
-
-
-def shard_counts(slots: list[int], seed: int = SEED) -> np.ndarray:
-    """Rows: output shards; columns: sources. Each shard's draw; the columns add up to slots."""
-    total = sum(slots)
-    shards = max(1, min(MOST_SHARDS, -(-total // SHARD_BLOCKS)))
-    rng, left, out = np.random.default_rng(seed), list(slots), []
-    for i in range(shards):
-        size, rest = sum(left) // (shards - i), sum(left)
-        draw = []
-        for n in left:
-            rest -= n
-            draw.append(hypergeometric(rng, n, rest, size))
-            size -= draw[-1]
-        out.append(draw)
-        left = [n - d for n, d in zip(left, draw, strict=True)]
-    return np.array(out, np.int64)
+def _before(df: DataFrame, keys: list[str], group: Column, order: list, value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows before, by keys; sums of groups first, so that no task adds up a whole key."""
+    g = temp_name("group")
+    df = df.withColumn(g, group)
+    none = F.lit(0).cast("long")
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, g).agg(F.sum(value).alias("n"))
+    base = totals.select(*keys, g, F.coalesce(F.sum("n").over(upto(*keys).orderBy(g)), none).alias(f"{g}_n"))
+    inner = F.coalesce(F.sum(value).over(upto(*keys, g).orderBy(*order)), none)
+    return df.withColumn(name, inner).join(base, [*keys, g]).withColumn(name, F.col(name) + F.col(f"{g}_n")).drop(g, f"{g}_n")
 
 
 def lay_out(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     """(row of every document: doc_id, source, h, size, idx, start; sources in order with their figures)."""
     sized = stage(docs.select("doc_id", "source", F.xxhash64("text").alias("h"), count_words("text").alias("size")), "mix-sizes")
-    found = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one row a source
+    figures = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row a source
+    found, rows = {r["source"]: r["n"] for r in figures}, sum(r["rows"] for r in figures)
     names = sorted(x for x in found if x is not None) + [None] * (None in found)
     goal = targets([found[x] for x in names])
     sources = []
@@ -120,53 +98,83 @@ def lay_out(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
         sources.append({"idx": i, "name": name, "size": found[name], "target": target, "block": block, "blocks": -(-found[name] // block), "slots": round(target / block)})
     schema = "idx int, name string, source_size long, target double, block int"
     table = sized.sparkSession.createDataFrame([(s["idx"], s["name"], s["size"], s["target"], s["block"]) for s in sources], schema)
-    named = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["name"])).drop("name")  # one row a source
-    bucketed = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
-    inner = Window.partitionBy("idx", "bucket").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
-    before = totals.select("idx", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = bucketed.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(before, ["idx", "bucket"])
-    return placed.select("doc_id", "source", "h", "size", "idx", "source_size", "target", "block", (F.col("before") + F.col("within")).alias("start")), sources
+    if len(sources) <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
+    alike = sized.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("times")).withColumn("words", F.col("size") * F.col("times"))
+    named = alike.join(table, alike["source"].eqNullSafe(table["name"])).drop("name")
+    bucket = F.pmod(F.xxhash64("doc_id", "h"), F.lit(max(BUCKETS, rows // BUCKET_ROWS)))
+    placed = _before(named, ["idx"], bucket, ["doc_id", "h", "size"], "words", "first")
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))  # equal rows lie side by side
+    return each.select("doc_id", "source", "h", "size", "idx", "source_size", "target", "block", (F.col("first") + F.col("copy") * F.col("size")).alias("start")), sources
+
+
+def shard_counts(shard: int, slots: int, shares: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """An output shard's draw: how many of its slots each source gets."""
+    return np.random.default_rng([seed, shard]).multinomial(slots, shares)
 
 
 def draw_slots(spark: SparkSession, sources: list[dict], seed: int = SEED) -> DataFrame:
-    """shard, idx, index (of a block): one row for each block that the mix takes."""
-    slots = [s["slots"] for s in sources]
-    bounds = np.cumsum([0, *slots])
-    upto = np.cumsum(shard_counts(slots, seed), axis=0) if slots else np.zeros((1, 0), np.int64)
-    blocks = np.array([s["blocks"] for s in sources], np.int64)
+    """shard, slot (in the shard), idx, index (of a block): one row for each block that the mix takes."""
+    some = [s for s in sources if s["slots"]]
+    total = sum(s["slots"] for s in some)
+    shares = np.array([s["slots"] for s in some], np.float64) / max(1, total)
+    index, blocks = np.array([s["idx"] for s in some], np.int32), np.array([s["blocks"] for s in sources], np.int64)
+    schema = "shard long, idx int, n long, slot long"
+
+    def draw(batches):
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            counts = np.array([shard_counts(q, min(SHARD_SLOTS, total - q * SHARD_SLOTS), shares, seed) for q in shards.tolist()], np.int64).reshape(len(shards), len(index))
+            slot = np.cumsum(counts, axis=1) - counts
+            columns = (np.repeat(shards, len(index)), np.tile(index, len(shards)), counts.ravel(), slot.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "idx", "n", "slot"])
 
     def fill(batches):
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            idx = np.searchsorted(bounds, at, "right") - 1
-            k = at - bounds[idx]
-            n = blocks[idx]
-            key = mix64(np.uint64(seed) + mix64(idx.astype(np.uint64) << np.uint64(8) | (k // n).astype(np.uint64)))
-            shard = np.empty(len(k), np.int64)
-            for i in np.unique(idx):
-                shard[idx == i] = np.searchsorted(upto[:, i], k[idx == i], "right")
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(idx, pa.int32()), pa.array(permute(k % n, n, key))], names=["shard", "idx", "index"])
-
-    return spark.range(int(bounds[-1])).mapInArrow(fill, "shard long, idx int, index long")
-
-
-def _block_parts(placed: DataFrame, sources: list[dict]) -> DataFrame:
-    """Every document with words, once for each block that it lies in, with the times that the mix takes the block."""
+            shard, idx, n, slot, before = (batch.column(c).to_numpy() for c in ("shard", "idx", "n", "slot", "before"))
+            row = np.repeat(np.arange(len(n)), n)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            k, size = before[row] + j, blocks[idx][row]
+            keep = k < MOST_REPEATS * size
+            row, j, k, size = row[keep], j[keep], k[keep], size[keep]
+            key = mix64(np.uint64(seed) + mix64(idx[row].astype(np.uint64) << np.uint64(8) | (k // size).astype(np.uint64)))
+            columns = (shard[row], slot[row] + j, idx[row], permute(k % size, size, key))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "slot", "idx", "index"])
+
+    counts = spark.range(-(-total // SHARD_SLOTS)).mapInArrow(draw, schema)
+    told = _before(counts, ["idx"], F.floor(F.col("shard") / SHARD_GROUP), ["shard"], "n", "before")
+    return told.select("shard", "idx", "n", "slot", "before").mapInArrow(fill, "shard long, slot long, idx int, index long")
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """Every document with words, once for each block that it lies in; lo, hi: its words there."""
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
     each = placed.where("size > 0").withColumn("index", F.explode(F.sequence(first, last)))
-    taken = draw_slots(placed.sparkSession, sources).groupBy("idx", "index").agg(F.count("*").alias("times"))
     lo, hi = F.greatest("start", F.col("index") * F.col("block")), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * F.col("block"))
-    return each.join(taken, ["idx", "index"], "left").withColumns({"times": F.coalesce("times", F.lit(0)), "lo": lo - F.col("start"), "hi": hi - F.col("start")})
+    return each.withColumns({"lo": lo - F.col("start"), "hi": hi - F.col("start")})
+
+
+def _block_parts(placed: DataFrame, sources: list[dict]) -> DataFrame:
+    """_in_blocks() with the times that the mix takes the block and the first shard that does."""
+    taken = draw_slots(placed.sparkSession, sources).groupBy("idx", "index").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
+    return _in_blocks(placed).join(taken, ["idx", "index"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+
+
+def mix_blocks(docs: DataFrame) -> DataFrame:
+    """The mix by output shard: shard, slot (the order in it), place (in the block), source, doc_id, lo, hi (words of the document)."""
+    placed, sources = lay_out(docs)
+    placed = stage(placed, "mix-layout")
+    parts = _in_blocks(placed).join(draw_slots(docs.sparkSession, sources), ["idx", "index"])
+    return parts.select("shard", "slot", F.greatest(F.lit(0), F.col("start") - F.col("index") * F.col("block")).alias("place"), "source", "doc_id", "lo", "hi")
 
 
 def mix_amounts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of docs."""
+    """doc_id, source, size, source_size, target, taken, first_shard (the first with some of it): one row for each row of docs."""
     placed, sources = lay_out(docs)
     placed = stage(placed, "mix-layout")
     keys = ["doc_id", "source", "size", "source_size", "target", "idx", "start"]
-    some = _block_parts(placed, sources).groupBy(*keys).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
+    some = _block_parts(placed, sources).groupBy(*keys).agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
+    none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
     return some.unionByName(none).drop("idx", "start")
 
 
@@ -214,4 +222,4 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_amounts(read_table(spark, sf_dir, "documents")).drop("source")
+    return settled(spark, "op4", lambda: mix_amounts(read_table(spark, sf_dir, "documents")).drop("source"))
