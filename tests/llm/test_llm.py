@@ -502,6 +502,64 @@ def test_secrets_beside_fixed_patterns():
         assert sorted(want) == got
 
 
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base32": "abcdefghijklmnopqrstuvwxyz234567", "upper base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "letters": "ghijklmnopqrstuvwxyz", "dotted": "ghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ.:",
+}
+
+
+def test_secrets_recall_and_false_positives():
+    rng, known = random.Random(16), secret_scan.load_vocabulary(secret_scan.default_vocabulary())
+    for name, of in ALPHABETS.items():
+        found = 0
+        for _ in range(200):
+            key = rng.choice("kqxz") + "".join(rng.choice(of) for _ in range(rng.randint(14, 38))) + rng.choice("wvjy")
+            text = f"{rng.choice(WORDS)} {key} {rng.choice(WORDS)}."
+            at = text.index(" ") + 1
+            covered = {x for a, b, _ in secret_scan.all_spans(text.encode(), known)[1] for x in range(a, b)}
+            found += covered >= set(range(at + 2, at + len(key) - 2))
+        assert found >= (150 if name == "letters" else 180), (name, found)  # words of one case under 20 letters pass for identifiers
+    clean = ["https://www.example.org/articles/2024/05/how-to-write-tests.html", "internationalization counterrevolutionaries Donaudampfschifffahrtsgesellschaft", "getHttpResponseCodeFromServer", "user.profile.settings.notifications", "2024-05-17T10:11:12.123456", "4111111111111111", "first.last@example-company.org", "Verantwortungsbewusstsein constitutionnellement", "------------------------", "a:b:c:d:e:f:g:h:i:j:k"]
+    assert [t for t in clean if secret_scan.all_spans(t.encode(), known)[1]] == []
+
+
+def naive_base(t):
+    """The base patterns by plain search at every place."""
+    out = []
+    for kind, rx, least, of in (("assign", r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8, 2), ("access", r"AKIA[A-Z0-9]+", 16, 0), ("hex", r"[0-9a-f]+", 32, 0)):
+        at = 0
+        while at < len(t):
+            m = re.compile(rx).match(t, at)
+            if m and len(m[of]) >= least:
+                out.append((m.start(), ["assign", "access", "hex"].index(kind), kind, m.end()))
+            at = m.end() if m else at + 1
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_secrets_base_against_a_naive_scanner(spark, corpus):
+    rng = random.Random(17)
+    bits = ["password", "API_KEY", "apikey", "token", "secret", "=", " : ", "'", '"', "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "abcdef12", "é", " ", "\n", "x" * 9, "A1" * 6]
+    found = corpus + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(found)] + [(None, "token=abcdefgh1"), (None, "token=abcdefgh1")], "doc_id long, text string")
+    rows = secret_scan.scan_secrets(df).collect()
+    for r in rows:
+        t = "token=abcdefgh1" if r["doc_id"] is None else found[r["doc_id"]] or ""
+        want = naive_base(t)
+        assert r["base_sha256"] == sha(want) and (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(want.count(k + ":") for k in ("assign", "access", "hex"))
+        assert set(want.split(",")) - {""} <= set(r["spans"].split(","))
+    assert len(rows) == len(found) + 2
+
+
+def test_secrets_in_a_long_text_take_linear_time():
+    import time
+
+    known = secret_scan.load_vocabulary(secret_scan.default_vocabulary())
+    text = "token = abcdefgh12345678 /var/log/some_long_name_of_a_file.txt " * 50_000  # 3 MB
+    start = time.time()
+    base, _ = secret_scan.all_spans(text.encode(), known)
+    assert len(base) == 50_000 and time.time() - start < 15
+
+
 def test_pipeline(spark, corpus, tmp_path):
     rng = random.Random(13)
     long = [" ".join(rng.choice(WORDS) + rng.choice(["", ".", "s"]) for _ in range(rng.randint(60, 150))) for _ in range(40)]
