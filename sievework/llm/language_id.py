@@ -9,7 +9,7 @@ Training rows: labelled rows whose crc32 of the doc_id as text is not 2 modulo 4
 language (those with the smallest hash of the text: the documented bound of the sample). Whole texts are used.
 
 Defined results: null text, empty text and text without a letter are `und` with score 0; so is everything when
-no row is labelled; rows with a null label are never learned from; repeated rows get equal predictions.
+no row is labelled; rows with a null label are never learned from; rows with a null doc_id are not held out; repeated rows get equal predictions.
 """
 
 from __future__ import annotations
@@ -60,20 +60,23 @@ def has_letter(raw: bytes) -> bool:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """Counts of the training rows: lang, bucket indexes and counts."""
-    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False)))
-    # by hash alone first, so that the rows of the most common language need no sort in one task
+    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     # copies count once, so that a text with many of them takes one place
-    hashed = fit.select("lang", F.xxhash64("text").alias("h")).distinct()
-    bucket = F.pmod("h", F.lit(64))
-    near = hashed.withColumn("k", F.row_number().over(Window.partitionBy("lang", bucket).orderBy("h"))).where(F.col("k") <= per_language)
-    rank = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language)
-    most = rank.groupBy("lang").agg(F.max("h").alias("most"))
-    chosen = fit.join(F.broadcast(most), "lang").where(F.xxhash64("text") <= F.col("most")).dropDuplicates(["lang", "text"]).select("lang", "text")
+    hashed = fit.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("size", F.length(F.bin("h")))
+    # hashes by their number of binary digits: the shortest that together hold enough are few rows, whatever the language's size
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    enough = hashed.groupBy("lang", "size").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(upto, F.lit(0)))
+    near = hashed.join(F.broadcast(enough.where(F.col("before") < per_language).select("lang", "size")), ["lang", "size"])  # 64 rows a language at most
+    order = Window.partitionBy("lang").orderBy("size", "h")
+    last = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max(F.struct("size", "h")).alias("last"))
+    size = F.length(F.bin(F.xxhash64("text")))
+    chosen = fit.join(F.broadcast(last), "lang").where(F.struct(size.alias("size"), F.xxhash64("text").alias("h")) <= F.col("last"))
+    chosen = chosen.dropDuplicates(["lang", "text"]).select("lang", "text")
 
     def count(batches):
         for whole in batches:
