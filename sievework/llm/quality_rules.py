@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, read_table, stage, temp_name, utf8
+from .common import ASCII_SPACE, read_table, settled, stage, temp_name, utf8
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -154,10 +154,11 @@ def score_quality(docs: DataFrame) -> DataFrame:
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass the base rule and their group's thresholds, with all their columns."""
     base, fences = temp_name("base"), temp_name("fences")
-    found = thresholds(docs.select("lang", "source", base_udf("text").alias("base")))
-    judged = _join(docs.withColumn(base, base_udf("text")), "lang", "source", found, fences)
+    scored = stage(docs.withColumn(base, base_udf("text")), "quality-scored")  # the texts once more, so that they are read through once
+    found = thresholds(scored.select("lang", "source", F.col(base).alias("base")))
+    judged = _join(scored, "lang", "source", found, fences)
     return judged.where(_verdict(F.col(base), F.col(fences))).select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_quality(read_table(spark, sf_dir, "documents")).drop("lang", "source")
+    return settled(spark, "op5", lambda: score_quality(read_table(spark, sf_dir, "documents")).drop("lang", "source"))

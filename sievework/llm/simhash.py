@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import read_table, stage, temp_name, utf8
+from .common import read_table, settled, stage, temp_name, utf8
 
 SEED = 42
 DISTANCE = 2
@@ -234,5 +234,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    def digests() -> DataFrame:
+        found = near_duplicates(read_table(spark, sf_dir, "documents"))
+        return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    return settled(spark, "op7", digests)
