@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import chat_format, fingerprints, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
+from sievework.llm import chat_format, common, fingerprints, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
 
 WORDS = "the of and a to in is was for on that with by at from which or an are be this have its not but they one had all were their more has when there can".split()
 
@@ -334,6 +334,77 @@ def test_quality_thresholds_adapt(spark):
     assert [sketch["q1"], sketch["q3"]] == pytest.approx(exact, rel=0.03)
 
 
+def test_quality_verdict_against_exact_quantiles(spark):
+    rng = random.Random(18)
+    say = lambda n, odd: " ".join(rng.choice(WORDS) + ("#" * rng.randint(0, 3) if rng.random() < odd else "") + ("x" * rng.randint(0, 6) if rng.random() < odd else "") for _ in range(n))
+    rows = [(k, say(rng.randint(50, 90), rng.choice([0] * 8 + [0.02, 0.9])), ["en", "de"][k % 2], None) for k in range(500)] + [(None, say(60, 0), "en", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {(r["doc_id"]): r["kept"] for r in quality_rules.score_quality(df).collect()}
+    ratios = defaultdict(list)
+    for _, t, lang, _ in rows:
+        b = dict(zip(quality_rules.BASE, base(t), strict=True))
+        ratios[lang].append({k: b[of] / b["n_words"] for k, (of, _, _) in quality_rules.RATIOS.items()})
+    checked = 0
+    for i, (k, t, lang, _) in enumerate(rows):
+        b, verdict, near = base(t), True, False
+        for name, (of, least, both) in quality_rules.RATIOS.items():
+            q1, q3 = np.quantile([x[name] for x in ratios[lang]], [0.25, 0.75], method="inverted_cdf")
+            spread = quality_rules.FENCE * max(q3 - q1, least)
+            x = dict(zip(quality_rules.BASE, b, strict=True))[of] / b[0]
+            verdict &= x <= q3 + spread and not (both and x < q1 - spread)
+            near |= abs(x - (q3 + spread)) < 0.2 * spread or both and abs(x - (q1 - spread)) < 0.2 * spread
+        if not near and not 100 * b[4] > 50 * b[0]:
+            assert got[k] == verdict, (k, i)
+            checked += 1
+    assert checked > 300 and not all(got.values())
+
+
+def test_fingerprints_of_near_copies(spark):
+    rng = random.Random(20)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    one, other = say(400), say(400)
+    cut = one[:1500] + "XX" + one[1502:]
+    moved = "some words before " + one
+    rows = spark.createDataFrame([(None, one), (None, one), (1, one), (1, other), (2, None), (3, "")], "doc_id long, text string")
+    assert fingerprints.compare_with_edits(rows).count() == 6
+    a, b, c, d = fingerprints.sketch([one, other, cut, moved])
+    assert fingerprints.likeness(a, a) == 1 and fingerprints.likeness(a, b) < 0.05 and min(fingerprints.likeness(a, c), fingerprints.likeness(a, d)) > 0.6
+    share = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    grams = lambda x: {x[i : i + 16] for i in range(len(x) - 15)}
+    for k in (0, 400, 800, 1200, 1600, 2000):
+        mixed = one[: len(one) - k] + other[:k]
+        assert abs(fingerprints.likeness(a, fingerprints.sketch([mixed])[0]) - share(one, mixed)) < 0.25
+
+
+def test_scopes_and_results(spark, docs):
+    with common.scope(spark):
+        kept = common.settled(spark, "kept", lambda: common.stage(docs.select("doc_id"), "inner"))
+        other = common.stage(docs.select("doc_id"), "outer")
+        with common.scope(spark):
+            common.stage(docs.select("doc_id"), "deeper")
+        assert kept.count() == other.count() == docs.count()
+    with pytest.raises(Exception):
+        other.count()
+    lazily = common.settled(spark, "lazily", lambda: docs.select("doc_id"))
+    with common.scope(spark):
+        common.stage(docs.select("doc_id"), "x")
+    assert lazily.count() == docs.count()
+
+
+def test_a_text_of_some_megabytes(spark):
+    rng = random.Random(21)
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(250_000))
+    df = spark.createDataFrame([(1, long, "en", "a", 1), (2, long[1_000_000:] + " tail", "en", "a", 1), (3, "x " * 400_000, None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    words_of = {1: len(long.split()), 2: len(long[1_000_000:].split()) + 1, 3: 400_000}
+    assert {r["doc_id"]: r["n_words"] for r in substring_dedup.remove_repeats(df).collect()} == words_of
+    assert {r["doc_id"]: len(r["kept"]) for r in suffix_dedup.remove_repeats(df).collect()}[2] < 100
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.score_quality(df).collect()} == words_of
+    assert simhash.near_duplicates(df).count() == language_id.identify(df).count() == fingerprints.compare_with_edits(df).count() == 3
+    assert sum(r["length"] for r in packing.pack_documents(df).select("length").collect()) > 500_000
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_amounts(df).collect()} == words_of
+    assert secret_scan.scan_secrets(df).count() == 3
+
+
 def test_language_id(spark, empty):
     rng = random.Random(9)
     vocab = {"en": WORDS, "de": "der die und das ist nicht ein mit auf für von zu wie sich auch nach über schön wird".split(), "fr": "le la les et des est une dans pour que qui sur avec ce il elle être à où".split()}
@@ -351,15 +422,46 @@ def test_language_id(spark, empty):
 
 def test_language_sample_takes_distinct_texts(spark):
     rows = [(k, f"{WORDS[k % len(WORDS)]} word{k}", "en") for k in range(60)]
-    least = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~F.coalesce(language_id.held_out(), F.lit(False))).orderBy(F.xxhash64("text")).first()
+    least = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~language_id.held_out()).orderBy(F.length(F.bin(F.xxhash64("text"))), F.xxhash64("text")).first()
     rows += [(k, least["text"], "en") for k in range(1000, 1200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    fit = df.where(~F.coalesce(language_id.held_out(), F.lit(False))).select("text").distinct().count()
+    fit = df.where(~language_id.held_out()).select("text").distinct().count()
     assert fit > 30
     for most in (1, 10, 30, 400):
         assert language_id.sample(df, most).count() == min(most, fit)
 
 
+def brute_prediction(train, t, idf, centroids):
+    """Counts of byte n-grams one by one, cosine in plain Python."""
+    def vector(raw):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+        at = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(low) - n + 1):
+                code = sum(b << 8 * k for k, b in enumerate(low[i : i + n])) | (n - 1) << 24
+                at[(code * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        v = {k: np.log1p(n) * idf[k] for k, n in at.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {k: x / size for k, x in v.items()}
+
+    v = vector(t.encode())
+    return [sum(x * c[k] for k, x in v.items()) for c in centroids]
+
+
+def test_language_id_against_brute_force(spark):
+    rng = random.Random(19)
+    vocab = {"en": WORDS, "de": "der die und das ist nicht ein mit auf für von zu wie sich auch nach über schön wird".split()}
+    rows = [(k, " ".join(rng.choice(vocab[lang]) for _ in range(12)), lang) for k, lang in enumerate(rng.choices(list(vocab), k=80))]
+    df = spark.createDataFrame([*rows, (None, "nicht der die", "de"), (None, "nicht der die", None)], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    for k, t, _ in rows[:30]:
+        cosine = brute_prediction(rows, t, model.idf, model.centroids)
+        best = max(range(len(cosine)), key=lambda i: cosine[i])
+        assert model.predict([t.encode()])[0][:2] == (model.langs[best], pytest.approx(min(1, cosine[best]), abs=1e-4))
+    none = [r for r in language_id.identify(df, model).collect() if r["doc_id"] is None]
+    assert [(r["held_out"], r["lang_pred"]) for r in none] == [(False, "de")] * 2
+
+
 def brute_fingerprint(t) -> int:
     w = (t or "").translate({c: c + 32 for c in range(65, 91)})
     w = words(w)
