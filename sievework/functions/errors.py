@@ -29,8 +29,12 @@ def _first(rules: list[tuple[Column, str]], other: Column | str) -> Column:
     return out.otherwise(other)
 
 
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def classify_error(message: Column) -> Column:
-    m = F.lower(F.trim(message))
+    m = ascii_lower(F.regexp_replace(message, r"(?U)^\s+|\s+$", ""))
     return _first([(m == "", ""), *((_has(m, *phrases), kind) for kind, phrases in ERROR_KINDS.items())], F.lit("internal"))
 
 
@@ -40,6 +44,7 @@ def error_kind(status: Column, message: Column) -> Column:
 
 def failure_reason(plugin: Column, message: Column, sink: str = "index_sink", destination: str = "search index") -> Column:
     """The reason code of a failed step. sink: the plugin that writes to the destination of this name."""
+    # The phrases of each reason, in order.
     m = F.lower(message)
     at_sink = plugin.eqNullSafe(F.lit(sink)) | _has(m, destination, sink)
     rules = [
@@ -72,4 +77,4 @@ def source_failure_reason(message: Column) -> Column:
 
 def http_failure_class(status: Column) -> Column:
     """Whether a call that failed with this HTTP status is worth another attempt."""
-    return F.when((status == 429) | (status >= 500) | (status == 408), F.lit("retryable")).otherwise(F.lit("permanent"))
+    return F.when((status == 429) | status.between(500, 599), F.lit("retryable")).otherwise(F.lit("permanent"))

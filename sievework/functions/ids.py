@@ -62,3 +62,21 @@ def suffixed_id(base: Column, suffix: Column) -> Column:
     fits = F.length(base) + F.length(suffix) <= MAX_ID
     short = F.left(base, F.lit(MAX_ID - TAG_DIGITS - 1) - F.length(suffix))
     return F.when(fits, F.concat(base, suffix)).otherwise(F.concat(short, F.lit("_"), origin_tag(F.when(~fits, base)), suffix))
+
+
+def valid_tenant_id(tenant: Column) -> Column:
+    """1 to 128 characters of A-Z a-z 0-9 . _ : and -."""
+    return F.coalesce(tenant.rlike(r"\A[A-Za-z0-9._:-]{1,128}\z"), F.lit(False))
+
+
+def valid_date(day: Column) -> Column:
+    """YYYY-MM-DD by its form; whether there is such a day is not asked."""
+    return F.coalesce(day.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.lit(False))
+
+
+def fnv1a64(text: str) -> int:
+    """FNV-1a of the UTF-8 bytes, 64 bits, by its published constants."""
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    return h

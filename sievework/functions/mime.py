@@ -39,6 +39,10 @@ EXTENSIONS = {
     "text/tab-separated-values": ["tsv"], "text/xml": ["xml"], "image/svg+xml": ["svg"], "image/png": ["png"], "image/jpeg": ["jpg", "jpeg"], "image/gif": ["gif"], "image/webp": ["webp"],
     "audio/mpeg": ["mp3"], "audio/wav": ["wav"], "audio/ogg": ["ogg"], "audio/mp4": ["m4a"], "audio/flac": ["flac"], "video/mp4": ["mp4"], "video/quicktime": ["mov"], "video/webm": ["webm"], "video/x-matroska": ["mkv"],
 }
+# Content types that a source takes from a filename, a smaller table of its own.
+SOURCE_EXTENSIONS = {
+    JSON: ["json"], NDJSON: ["ndjson", "jsonl"], CSV: ["csv"], "text/tab-separated-values": ["tsv"], "application/xml": ["xml"], MARKDOWN: ["md"], HTML: ["html", "htm"], PARQUET: ["parquet"], AVRO: ["avro"], PDF: ["pdf"], TEXT: ["txt"],
+}
 # Signatures at the start of a file, as hex.
 SIGNATURES = {
     "255044462D": PDF, "504B0304": ZIP, "504B0506": ZIP, "1F8B": GZIP, "D0CF11E0A1B11AE1": OLE, "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif",
@@ -81,15 +85,19 @@ def glob_to_regex(pattern: str) -> str:
     return "(?is)^" + first + "".join(f"(?>.*?{x})" for x in more[:-1]) + (f".*{more[-1]}" if more else "") + "$"
 
 
-def glob_match(pattern: Column, name: Column) -> Column:
-    """`*` and `?` against a name's last part, whatever the case; names over 1024 bytes never match. As glob_to_regex() has it."""
+def glob_regex(pattern: Column) -> Column:
+    """glob_to_regex() of a column."""
     literal = F.replace(F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1"), F.lit("?"), F.lit("."))
     parts = F.split(literal, r"\*+")
     n = F.size(parts)
     inner = F.array_join(F.transform(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), lambda x: F.concat(F.lit("(?>.*?"), x, F.lit(")"))), "")
     end = F.when(n > 1, F.concat(inner, F.lit(".*"), F.element_at(parts, -1))).otherwise(F.lit(""))
-    regex = F.concat(F.lit("(?is)^"), F.get(parts, F.lit(0)), end, F.lit("$"))
-    return (F.octet_length(name) <= 1024) & F.regexp_like(base_name(name), regex)
+    return F.concat(F.lit("(?is)^"), F.get(parts, F.lit(0)), end, F.lit("$"))
+
+
+def glob_match(pattern: Column, name: Column) -> Column:
+    """`*` and `?` against a name's last part, whatever the case; names over 1024 bytes never match."""
+    return (F.octet_length(name) <= 1024) & F.regexp_like(base_name(name), glob_regex(pattern))
 
 
 def extension_mime(filename: Column) -> Column:
@@ -97,6 +105,11 @@ def extension_mime(filename: Column) -> Column:
     return _lookup(EXTENSIONS, F.when(ext != "", ext))
 
 
+def source_extension_mime(filename: Column) -> Column:
+    """What a source takes a fetched file for by its name, where the server told nothing."""
+    return _lookup(SOURCE_EXTENSIONS, F.when(F.contains(filename, F.lit(".")), F.lower(F.substring_index(filename, ".", -1))))
+
+
 def magic_mime(data: Column) -> Column:
     """The content type that a file's signature tells; null without one."""
     head = F.hex(F.substring(data, 1, 8))

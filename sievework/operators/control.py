@@ -124,12 +124,25 @@ def pipeline_upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def source_patch(sources: DataFrame, patches: DataFrame) -> DataFrame:
-    """A patch's values, null for as it is; another pipeline or location forgets etag and hash."""
-    p = patches.select("source_id", *(F.col(c).alias(f"n_{c}") for c in ("pipeline_uid", "location", "paused")))
-    both = sources.join(p, "source_id", "left")
-    new = {c: F.coalesce(F.col(f"n_{c}"), F.col(c)) for c in ("pipeline_uid", "location", "paused")}
-    same = new["pipeline_uid"].eqNullSafe(F.col("pipeline_uid")) & new["location"].eqNullSafe(F.col("location"))
-    return both.select("source_id", *(x.alias(c) for c, x in new.items()), *(F.when(same, F.col(c)).alias(c) for c in ("etag", "hash")))
+    """A patch's values, null for as it is; index_name and fetch_auth also become null where set_index or set_auth says so.
+
+    What was learned of the content (etag, last_modified, hash) holds for one location, pipeline, time zone, index and
+    credential: where a patch really changes one of them, it is forgotten.
+    """
+    forced = {"index_name": "set_index", "fetch_auth": "set_auth"}
+    given = [c for c in patches.columns if c != "source_id"]
+    both = sources.join(patches.select("source_id", *(F.col(c).alias(f"n_{c}") for c in given)), "source_id", "left")
+    new, changed = {}, F.lit(False)
+    for c in sources.columns:
+        if c in forced and c in given:
+            writes = F.coalesce(F.col(f"n_{forced[c]}"), F.lit(False))
+            new[c] = F.when(writes, F.col(f"n_{c}")).otherwise(F.col(c))
+        elif c in given:
+            new[c] = F.coalesce(F.col(f"n_{c}"), F.col(c))
+        if c in new and c in ("pipeline_uid", "location", "timezone", *forced):
+            changed |= ~new[c].eqNullSafe(F.col(c))
+    learned = {c: F.when(~changed, F.col(c)) for c in ("etag", "last_modified", "hash") if c in sources.columns}
+    return both.select(*((new | learned).get(c, F.col(c)).alias(c) for c in sources.columns))
 
 
 def run_upsert(writes: DataFrame) -> DataFrame:
@@ -138,20 +151,37 @@ def run_upsert(writes: DataFrame) -> DataFrame:
 
 
 def run_outcome(jobs: DataFrame) -> DataFrame:
-    """jobs: run_id, n, ok, error. Each run: ingested or failed, items that went in, and what failed first."""
-    failed = F.count_if(~F.col("ok"))
+    """jobs: run_id, n, ok, error, one row a job; ok is null in the only row of a run whose source had nothing new.
+
+    Each run: ingested, failed or unchanged, the items that went in, and what failed first.
+    """
+    failed, total = F.count_if(~F.col("ok")), F.count("*")
     first = F.min_by(F.when(~F.col("ok"), F.col("error")), F.when(~F.col("ok"), F.col("n")))
-    text = F.when(F.count("*") == 1, first).otherwise(F.concat(failed.cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" jobs failed; first: "), first))
-    return jobs.groupBy("run_id").agg(F.when(failed > 0, F.lit("failed")).otherwise(F.lit("ingested")).alias("outcome"), (F.count("*") - failed).alias("items"), F.when(failed > 0, text).alias("error"))
+    others = F.when(failed > 1, F.lit(" (see the jobs for the others)")).otherwise(F.lit(""))
+    text = F.when(total == 1, first).otherwise(F.concat(failed.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" jobs failed; first: "), first, others))
+    outcome = F.when(F.count("ok") == 0, F.lit("unchanged")).when(failed > 0, F.lit("failed")).otherwise(F.lit("ingested"))
+    return jobs.groupBy("run_id").agg(outcome.alias("outcome"), F.count_if(F.col("ok")).alias("items"), F.when(failed > 0, text).alias("error"))
 
 
 def archive_outcome(files: DataFrame) -> DataFrame:
-    """files: job_id, n, status, error. An archive's counts and error: any failed file, or none that succeeded."""
+    """files: job_id, n, path, status (null in the only row of an empty archive), error. An archive's counts and why it failed, if it did.
+
+    Files that were skipped are not among those handled.
+    """
     count = lambda s: F.count_if(F.col("status") == s)
-    failed = count("failed")
-    first = F.min_by(F.when(F.col("status") == "failed", F.col("error")), F.when(F.col("status") == "failed", F.col("n")))
-    message = F.concat(failed.cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" files failed; "), first)
-    return files.groupBy("job_id").agg(count("succeeded").alias("succeeded"), failed.alias("failed"), count("skipped").alias("skipped"), F.when(failed > 0, message).when(count("succeeded") == 0, F.lit("no file was ingested")).alias("error"))
+    ok, failed, skipped = count("succeeded"), count("failed"), count("skipped")
+    first = F.min_by(F.when(F.col("status") == "failed", F.concat("path", F.lit(": "), "error")), F.when(F.col("status") == "failed", F.col("n")))
+    message = F.concat(failed.cast("string"), F.lit(" of "), (ok + failed).cast("string"), F.lit(" files failed; first: "), first)
+    nothing = F.when(skipped == 0, F.lit("the archive holds no files")).otherwise(F.concat(F.lit("none of the archive's files could be ingested ("), skipped.cast("string"), F.lit(" skipped; see progress.archive.skipped)")))
+    return files.groupBy("job_id").agg(ok.alias("succeeded"), failed.alias("failed"), skipped.alias("skipped"), F.when(failed > 0, message).when(ok == 0, nothing).alias("error"))
+
+
+def outbox_lease(events: DataFrame, now: Column, limit: int, lease_secs: int) -> DataFrame:
+    """The outbox after a claim: the claimed events are due again only when the lease has run out; `claimed` marks them."""
+    mine = outbox_claim(events, now, limit).select("id", F.lit(True).alias("claimed"))
+    after = F.when(F.col("claimed"), now + F.expr(f"INTERVAL {lease_secs} SECONDS")).otherwise(F.col("next_attempt_at"))
+    leased = events.join(F.broadcast(mine), "id", "left")  # at most `limit` rows
+    return leased.withColumns({"next_attempt_at": after, "claimed": F.coalesce("claimed", F.lit(False))})
 
 
 def outbox_claim(events: DataFrame, now: Column, limit: int) -> DataFrame:

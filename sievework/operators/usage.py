@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import errors
+
+# The plugins that pay a provider.
+PRICED_PLUGINS = ["llm_enricher", "jev_enricher", "image_captioner", "whisper_transcriber"]
 KEYS = ["project_id", "day", "pipeline_uid", "plugin"]
 # Counters summed over step rows, so that a job's totals do not count twice.
 STEP_SUMS = ["documents_out", "input_bytes", "duration_ms", "llm_input_tokens", "llm_output_tokens", "llm_requests", "audio_seconds", "pages", "images", "external_requests"]
@@ -14,9 +18,12 @@ EVENT_COLUMNS = ["event_id", "kind", "ts", "job_id", "workflow_id", "project_id"
     "input_bytes", "input_mime", "documents_out", "llm_input_tokens", "llm_output_tokens", "llm_requests", "audio_seconds", "pages", "images", "external_requests", "error_kind", "error"]
 
 
-def dedup(events: DataFrame) -> DataFrame:
-    """One row for each (project_id, ts, event_id): deliveries of an event are alike, so any of them."""
-    return events.dropDuplicates(["project_id", "ts", "event_id"])
+def dedup(events: DataFrame, order: str = "seq") -> DataFrame:
+    """One row for each (project_id, ts, event_id): the one that came in last, where `order` tells; else deliveries are alike."""
+    keys = ["project_id", "ts", "event_id"]
+    if order not in events.columns:
+        return events.dropDuplicates(keys)
+    return deduplicated_last(events, keys, [order]).drop(order)
 
 
 def _measures() -> list[Column]:
@@ -66,36 +73,75 @@ def usage_report(events: DataFrame, project_id: str, date_from: str, date_to: st
     return tenant_usage(daily(dedup(events.where(F.col("project_id") == project_id))), project_id, date_from, date_to)
 
 
+#: Counters of a step that a job's row has the sums of.
+UNITS = ["llm_input_tokens", "llm_output_tokens", "llm_requests", "audio_seconds", "pages", "images", "external_requests"]
+#: Fixed value: characters of an error that an event keeps.
+MOST_ERROR = 512
+
+
 def events_for_jobs(steps: DataFrame, jobs: DataFrame) -> DataFrame:
-    """steps: job_id, step_id, attempt, status, documents_out, duration_ms, llm_input_tokens; jobs: job_id, status, started_at, finished_at.
+    """The events of EVENT_COLUMNS: a row for each step and a row with each job's totals.
 
-    A row for each step and a row with each job's totals; the job's documents are those of its last step.
+    steps: job_id, step_no, step_id, plugin, status, branches, duration_ms, input_bytes, documents_out, UNITS, error; jobs:
+    job_id, workflow_id, project_id, region, pipeline_uid, pipeline_builtin, index_name, task_queue, input_mime, status,
+    input_bytes, started_at, finished_at, error.
     """
-    s = steps.join(jobs.select("job_id", F.col("finished_at").alias("ts")), "job_id")
-    rows = s.select(F.concat_ws(":", "job_id", "step_id", "attempt").alias("event_id"), F.lit("step").alias("kind"), "ts", "job_id", "step_id", "status", "documents_out", "duration_ms", "llm_input_tokens")
-    totals = steps.groupBy("job_id").agg(F.sum("llm_input_tokens").alias("llm_input_tokens"), indexed(F.col("step_no"), F.col("plugin"), F.col("status"), F.col("documents_out")).alias("documents_out"))
-    whole = jobs.join(totals, "job_id", "left").select(
-        F.concat(F.col("job_id"), F.lit(":job")).alias("event_id"), F.lit("job").alias("kind"), F.col("finished_at").alias("ts"), "job_id", F.lit("").alias("step_id"), "status",
-        F.coalesce("documents_out", F.lit(0)).alias("documents_out"), wall_clock_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"), F.coalesce("llm_input_tokens", F.lit(0)).alias("llm_input_tokens"),
+    common = ["workflow_id", "project_id", "region", "pipeline_uid", "pipeline_builtin", "index_name", "task_queue", "input_mime"]
+    told = lambda status: [errors.error_kind(F.col(status), F.col("error")).alias("error_kind"), F.coalesce(F.left("error", F.lit(MOST_ERROR)), F.lit("")).alias("error")]
+    each = steps.join(jobs.select("job_id", F.col("finished_at").alias("ts"), *common), "job_id")
+    own = [F.concat_ws(":", "job_id", "step_id", F.lit("1")).alias("event_id"), F.lit("step").alias("kind"), F.lit(1).alias("attempt")]
+    step_rows = each.select(*own, "ts", "job_id", *common, "step_id", "plugin", "status", F.col("branches").cast("int").alias("branches"), "duration_ms", "input_bytes", "documents_out", *UNITS, *told("status"))
+    sums = steps.groupBy("job_id").agg(*(F.sum(c).alias(c) for c in UNITS), indexed(F.col("step_no"), F.col("plugin"), F.col("status"), F.col("documents_out")).alias("reached"))
+    whole = jobs.join(sums, "job_id", "left")
+    reached = documents_reached(F.col("status"), F.col("reached"))
+    zero = [F.coalesce(F.col(c), F.lit(0)).cast(steps.schema[c].dataType).alias(c) for c in UNITS]
+    job_rows = whole.select(
+        F.concat(F.col("job_id"), F.lit(":job")).alias("event_id"), F.lit("job").alias("kind"), F.lit(1).alias("attempt"), F.col("finished_at").alias("ts"), "job_id", *common, F.lit("").alias("step_id"), F.lit("").alias("plugin"), "status",
+        F.lit(0).alias("branches"), wall_clock_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"), "input_bytes", reached.alias("documents_out"), *zero, *told("status"),
     )
-    return rows.unionByName(whole)
+    return step_rows.unionByName(job_rows).select(*EVENT_COLUMNS)
 
 
 def indexed(step_no: Column, plugin: Column, status: Column, documents: Column, sink: str = "index_sink") -> Column:
-    """Aggregate: documents of the succeeded sink steps; without a sink step, the last step's if it succeeded; else none."""
+    """Aggregate over a job's steps: (whether a sink ran, the documents of those that succeeded, the last step's documents)."""
     sinks = F.sum(F.when((plugin == sink) & (status == "succeeded"), documents))
-    last = F.max_by(F.struct(status.alias("s"), documents.alias("d")), step_no)
-    return F.when(F.count_if(plugin == sink) > 0, F.coalesce(sinks, F.lit(0))).when(last["s"] == "succeeded", last["d"]).otherwise(F.lit(0))
+    return F.struct((F.count_if(plugin == sink) > 0).alias("sink"), F.coalesce(sinks, F.lit(0)).cast("long").alias("sunk"), F.max_by(documents, step_no).cast("long").alias("last"))
+
+
+def documents_reached(job_status: Column, reached: Column) -> Column:
+    """The documents of a job that reached the index; without a sink step, a succeeded job's last step's."""
+    return F.coalesce(F.when(reached["sink"], reached["sunk"]).when(job_status == "succeeded", reached["last"]), F.lit(0).cast("long"))
 
 
 def wall_clock_ms(started: Column, finished: Column) -> Column:
     return F.greatest(F.lit(0), F.unix_millis(finished.cast("timestamp")) - F.unix_millis(started.cast("timestamp")))
 
 
-def billing_units(units: DataFrame) -> DataFrame:
-    """units: job_id, plugin, pages, audio_seconds, images. Whole units a job is billed for."""
-    ocr = F.coalesce(F.sum(F.when(F.col("plugin") == "ocr", F.col("pages"))), F.lit(0))
-    return units.groupBy("job_id").agg(F.ceil(F.sum("audio_seconds")).alias("audio_seconds"), ocr.alias("ocr_pages"), F.sum("images").alias("images"))
+def billing_units(jobs: DataFrame, steps: DataFrame) -> DataFrame:
+    """jobs: job_id, status, input_bytes; steps as in events_for_jobs, with unpriced_calls. The whole units that a job is billed for, and those that are only told."""
+    ocr = F.when(F.col("plugin") == "ocr", F.when(F.col("pages") > 0, F.col("pages")).otherwise(F.col("documents_out")))
+    plain = ["pages", "images", "llm_requests", "external_requests"]
+    sums = steps.groupBy("job_id").agg(
+        F.sum("duration_ms").alias("ms"), F.sum("llm_input_tokens").alias("llm_tokens_in"), F.sum("llm_output_tokens").alias("llm_tokens_out"), F.sum("audio_seconds").alias("seconds"), F.sum(ocr).alias("ocr_pages"),
+        *(F.sum(c).alias(c) for c in plain), F.sum("unpriced_calls").alias("unpriced_provider_calls"), indexed(F.col("step_no"), F.col("plugin"), F.col("status"), F.col("documents_out")).alias("reached"),
+    )
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    some = (F.col("seconds") > 0) & ~F.isnan("seconds") & (F.col("seconds") < float("inf"))
+    counted = ["llm_tokens_in", "llm_tokens_out", "ocr_pages", *plain, "unpriced_provider_calls"]
+    return jobs.join(sums, "job_id", "left").select(
+        "job_id", documents_reached(F.col("status"), F.col("reached")).alias("documents"), F.col("input_bytes").alias("bytes_in"), whole(F.ceil(F.col("ms") / 1000)).alias("step_seconds"), whole(F.when(some, F.ceil("seconds"))).alias("audio_seconds"), *(whole(F.col(c)).alias(c) for c in counted)
+    )
+
+
+def approx_size(docs: DataFrame) -> Column:
+    """Bytes that a document row counts for in metering: id, title, content, fields as JSON, and 256 for the rest."""
+    n = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) if c in docs.columns else F.lit(0)
+    return (n("id") + n("title") + n("content") + (F.coalesce(F.octet_length("fields"), F.lit(2)) if "fields" in docs.columns else F.lit(2)) + 256).cast("long")
+
+
+def blob_size(data: Column) -> Column:
+    """Bytes that raw content counts for: its length in base 64, without padding."""
+    return F.floor(F.octet_length(data) * 4 / 3).cast("long")
 
 
 def provider_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -120,19 +166,24 @@ def provider_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def unpriced_plugins(registered: DataFrame, prices: DataFrame) -> DataFrame:
-    """Registered plugins without any price over zero."""
+    """Registered plugins that pay a provider and have no price over zero."""
+    registered = registered.where(F.col("plugin").isin(PRICED_PLUGINS))
     some = prices.where("input_per_mtok + output_per_mtok + per_audio_second + per_request > 0").select("plugin")
     return registered.join(some, "plugin", "left_anti")
 
 
-def fan_in(branches: DataFrame) -> DataFrame:
-    """branches: step, branch, ok, error, documents, duration_ms. A step's branches as one outcome: any failure fails it."""
-    failed = F.count_if(~F.col("ok"))
+def fan_in(branches: DataFrame, sums: list[str] | None = None) -> DataFrame:
+    """branches: step, branch, ok (null: cancelled), error, documents, duration_ms, input_bytes and usage counters (`sums`). A step's branches as one outcome.
+
+    A failed branch fails the step, before one that was cancelled; what the branches that ended well add up to is kept.
+    """
+    sums = sums or [c for c in ("documents", "duration_ms", "input_bytes", *UNITS) if c in branches.columns]
+    done, failed = F.count_if(F.col("ok")), F.count_if(~F.col("ok"))
     first = F.min_by(F.when(~F.col("ok"), F.col("error")), F.when(~F.col("ok"), F.col("branch")))
-    message = F.concat(failed.cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" branches failed; first error: "), first)
-    return branches.groupBy("step").agg(
-        (failed == 0).alias("ok"), F.count("*").alias("branches"), F.sum(F.when(F.col("ok"), F.col("documents")).otherwise(0)).alias("documents"), F.sum("duration_ms").alias("duration_ms"), F.when(failed > 0, message).alias("error")
-    )
+    message = F.concat((F.count("*") - done).cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" branches failed; first error: "), first)
+    outcome = F.when(failed > 0, F.lit("failed")).when(done < F.count("*"), F.lit("cancelled")).otherwise(F.lit("succeeded"))
+    added = [F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).alias(c) for c in sums]
+    return branches.groupBy("step").agg(outcome.alias("outcome"), F.count("*").alias("branches"), *added, F.when(failed > 0, message).alias("error"))
 
 
 def fan_out(docs: DataFrame, order: list[str], most: int = 500, per: list[str] | None = None) -> DataFrame:

@@ -56,10 +56,10 @@ def usage_events(spark: SparkSession, d: str) -> DataFrame:
     numbers = lambda **k: [k.get(c, F.lit(0)).cast("double" if c == "audio_seconds" else "long").alias(c) for c in _NUMBERS]
     status = F.when(F.col("o_orderstatus") == "F", F.lit("succeeded")).when(F.col("o_orderstatus") == "O", F.lit("failed")).otherwise(F.lit("cancelled"))
     steps = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
-        F.concat_ws(":", job("o_orderkey"), job("l_linenumber"), F.lit("1")).alias("event_id"), F.lit("step").alias("kind"), *common, F.concat(F.lit("plug"), job("l_linenumber")).alias("plugin"), status.alias("status"),
+        F.concat_ws(":", job("o_orderkey"), job("l_linenumber"), F.lit("1")).alias("event_id"), F.lit("step").alias("kind"), *common, F.concat(F.lit("plug"), job("l_linenumber")).alias("plugin"), status.alias("status"), (F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")).alias("seq"),
         *numbers(documents_out=F.col("l_quantity"), input_bytes=F.col("l_partkey") * 100, duration_ms=F.floor("l_extendedprice"), llm_input_tokens=F.col("l_partkey"), llm_output_tokens=F.col("l_suppkey"), llm_requests=F.col("l_linenumber"), audio_seconds=F.col("l_quantity"), pages=F.col("l_linenumber"), images=F.lit(1), external_requests=F.lit(2)),
     )
-    jobs = orders.select(F.concat(job("o_orderkey"), F.lit(":job")).alias("event_id"), F.lit("job").alias("kind"), *common, F.lit("").alias("plugin"), status.alias("status"), *numbers(documents_out=F.col("o_custkey"), duration_ms=F.floor("o_totalprice")))
+    jobs = orders.select(F.concat(job("o_orderkey"), F.lit(":job")).alias("event_id"), F.lit("job").alias("kind"), *common, F.lit("").alias("plugin"), status.alias("status"), F.lit(0).cast("long").alias("seq"), *numbers(documents_out=F.col("o_custkey"), duration_ms=F.floor("o_totalprice")))
     return steps.unionByName(jobs)
 
 
@@ -68,11 +68,11 @@ _NUMBERS = ["documents_out", "input_bytes", "duration_ms", "llm_input_tokens", "
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'failed' ELSE 'cancelled' END AS status"
 _COMMON = "o_orderdate AS ts, o_orderkey::VARCHAR AS job_id, 'p' || (o_custkey % 7)::VARCHAR AS project_id, 'pipe' || substr(o_orderpriority, 1, 1) AS pipeline_uid"
 USAGE_SQL = f"""events_u AS (
-  SELECT o_orderkey || ':' || l_linenumber || ':1' AS event_id, 'step' AS kind, {_COMMON}, 'plug' || l_linenumber AS plugin, {_STATUS}, l_quantity::BIGINT AS documents_out, (l_partkey * 100)::BIGINT AS input_bytes,
+  SELECT o_orderkey || ':' || l_linenumber || ':1' AS event_id, 'step' AS kind, {_COMMON}, 'plug' || l_linenumber AS plugin, {_STATUS}, l_partkey::BIGINT * 10000000 + l_suppkey * 1000 + l_quantity::BIGINT AS seq, l_quantity::BIGINT AS documents_out, (l_partkey * 100)::BIGINT AS input_bytes,
     floor(l_extendedprice)::BIGINT AS duration_ms, l_partkey::BIGINT AS llm_input_tokens, l_suppkey::BIGINT AS llm_output_tokens, l_linenumber::BIGINT AS llm_requests, l_quantity::DOUBLE AS audio_seconds, l_linenumber::BIGINT AS pages, 1::BIGINT AS images, 2::BIGINT AS external_requests
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   UNION ALL
-  SELECT o_orderkey || ':job', 'job', {_COMMON}, '', {_STATUS}, o_custkey::BIGINT, 0, floor(o_totalprice)::BIGINT, 0, 0, 0, 0::DOUBLE, 0, 0, 0 FROM orders)"""
+  SELECT o_orderkey || ':job', 'job', {_COMMON}, '', {_STATUS}, 0, o_custkey::BIGINT, 0, floor(o_totalprice)::BIGINT, 0, 0, 0, 0::DOUBLE, 0, 0, 0 FROM orders)"""
 
 _STEP = "coalesce(sum({0}) FILTER (kind = 'step'), 0)"
 MEASURES_SQL = (

@@ -86,4 +86,4 @@ def _stream_billing(spark, d):
     return spark.read.parquet(f"{folder}/out").groupBy("project_id").agg(F.sum("steps").alias("steps"), F.sum("jobs").alias("jobs"))
 
 
-query("stream_billing", f"{_YEARS.replace('FROM events_u', 'FROM (SELECT DISTINCT ON (project_id, ts, event_id) * FROM events_u)')} SELECT project_id, sum(steps)::BIGINT AS steps, sum(jobs)::BIGINT AS jobs FROM r WHERE day >= DATE '1997-05-01' GROUP BY 1")(_stream_billing)
+query("stream_billing", f"{_YEARS.replace('FROM events_u', 'FROM (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, ts, event_id ORDER BY seq DESC) AS k FROM events_u) WHERE k = 1)')} SELECT project_id, sum(steps)::BIGINT AS steps, sum(jobs)::BIGINT AS jobs FROM r WHERE day >= DATE '1997-05-01' GROUP BY 1")(_stream_billing)

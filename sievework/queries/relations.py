@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import control, sink, usage
+from ..sources import url
 from ..operators.documents import read_blobs
 from ..plans.catalog import OPERATORS
 from .base import JOBS_SQL, MEASURES_SQL, RUNS_SQL, USAGE_SQL, jobs_table, query, runs_table, table, usage_events
 
 _DAILY = "SELECT project_id, ts::DATE AS day, pipeline_uid, plugin, count(*) AS rows_count, {m} FROM {t} GROUP BY ALL"
-_TWICE = "twice AS (SELECT * FROM events_u UNION ALL SELECT * FROM events_u WHERE kind = 'step')"
-_ONCE = "once AS (SELECT DISTINCT ON (project_id, ts, event_id) * FROM twice)"
+# steps delivered again later, with other figures; the last delivery of an event counts
+_TWICE = "twice AS (SELECT * FROM events_u UNION ALL SELECT * REPLACE (seq + 1000000000000000 AS seq, duration_ms + 5 AS duration_ms) FROM events_u WHERE kind = 'step')"
+_ONCE = "once AS (SELECT * EXCLUDE (seq, k) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, ts, event_id ORDER BY seq DESC) AS k FROM twice) WHERE k = 1)"
 NOW = "TIMESTAMP '1998-08-02 00:00:00'"
 
 
 def _twice(spark, d):
     e = usage_events(spark, d)
-    return e.unionByName(e.where("kind = 'step'"))
+    again = e.where("kind = 'step'").withColumns({"seq": F.col("seq") + 10**15, "duration_ms": F.col("duration_ms") + 5})
+    return e.unionByName(again)
 
 
 query("usage_dedup", f"WITH {USAGE_SQL}, {_TWICE}, {_ONCE} SELECT * FROM once")(lambda spark, d: usage.dedup(_twice(spark, d)))
@@ -38,27 +41,44 @@ def _steps(spark, d):
     status = F.when(F.col("l_linestatus") == "F", F.lit("succeeded")).otherwise(F.lit("failed"))
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("job_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string")).alias("step_id"), F.lit(1).alias("attempt"),
-        (F.col("l_linenumber").cast("long") * 10**13 + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long") * 2 + (F.col("l_linestatus") == "F").cast("int")).alias("step_no"), F.when(F.col("l_linenumber") % 3 == 0, F.lit("index_sink")).otherwise(F.lit("chunker")).alias("plugin"), status.alias("status"),
+        (F.col("l_linenumber").cast("long") * 10**13 + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long") * 2 + (F.col("l_linestatus") == "F").cast("int")).alias("step_no"), F.when(F.col("l_linenumber") % 3 == 0, F.lit("index_sink")).when(F.col("l_linenumber") == 4, F.lit("ocr")).otherwise(F.lit("chunker")).alias("plugin"), status.alias("status"),
         F.col("l_quantity").cast("long").alias("documents_out"), F.floor("l_extendedprice").alias("duration_ms"), F.col("l_partkey").alias("llm_input_tokens"),
+        (F.col("l_suppkey") * 2).alias("llm_output_tokens"), F.col("l_linenumber").cast("long").alias("llm_requests"), (F.col("l_quantity") / 4).alias("audio_seconds"), (F.col("l_linenumber") % 3).cast("long").alias("pages"), F.lit(1).cast("long").alias("images"),
+        F.lit(2).cast("long").alias("external_requests"), (F.col("l_linenumber") + 1).alias("branches"), (F.col("l_partkey") * 10).alias("input_bytes"), F.when(F.col("l_linestatus") != "F", F.concat(F.lit(" HTTP 503 from upstream "), F.repeat(F.lit("e"), F.lit(600)))).alias("error"), (F.col("l_linenumber") % 2).cast("long").alias("unpriced_calls"),
     )
 
 
 def _jobs(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.when(F.col("o_orderstatus") == "F", F.lit("succeeded")).otherwise(F.lit("failed")).alias("status"), F.col("o_orderdate").alias("started_at"), (F.col("o_orderdate") + F.expr("INTERVAL 90 SECONDS")).alias("finished_at"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.when(F.col("o_orderstatus") == "F", F.lit("succeeded")).when(F.col("o_orderstatus") == "O", F.lit("failed")).otherwise(F.lit("cancelled")).alias("status"), F.col("o_orderdate").alias("started_at"), (F.col("o_orderdate") + F.expr("INTERVAL 90 SECONDS")).alias("finished_at"),
+        F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("workflow_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 7).cast("string")).alias("project_id"), F.lit("eu").alias("region"), F.lit("builtin.csv").alias("pipeline_uid"), F.lit(1).alias("pipeline_builtin"),
+        F.lit("documents").alias("index_name"), F.lit("ingest").alias("task_queue"), F.lit("text/csv").alias("input_mime"), (F.col("o_custkey") * 100).alias("input_bytes"), F.when(F.col("o_orderstatus") == "O", F.lit("\u00a0\n")).when(F.col("o_orderstatus") == "P", F.lit("Deadline Exceeded")).alias("error"))
 
 
-_STEPS = """steps AS (SELECT l_orderkey::VARCHAR AS job_id, 's' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS step_id, l_linenumber::BIGINT * 10000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + l_quantity::BIGINT * 2 + (l_linestatus = 'F')::INT AS step_no, CASE WHEN l_linenumber % 3 = 0 THEN 'index_sink' ELSE 'chunker' END AS plugin,
+_STEPS = """steps AS (SELECT l_orderkey::VARCHAR AS job_id, 's' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS step_id, l_linenumber::BIGINT * 10000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + l_quantity::BIGINT * 2 + (l_linestatus = 'F')::INT AS step_no, CASE WHEN l_linenumber % 3 = 0 THEN 'index_sink' WHEN l_linenumber = 4 THEN 'ocr' ELSE 'chunker' END AS plugin,
+ l_suppkey * 2 AS llm_output_tokens, l_linenumber::BIGINT AS llm_requests, l_quantity / 4 AS audio_seconds, (l_linenumber % 3)::BIGINT AS pages, 1::BIGINT AS images, 2::BIGINT AS external_requests, (l_linenumber + 1)::INT AS branches, l_partkey * 10 AS input_bytes, CASE WHEN l_linestatus <> 'F' THEN ' HTTP 503 from upstream ' || repeat('e', 600) ELSE '' END AS error, (l_linenumber % 2)::BIGINT AS unpriced_calls,
  CASE l_linestatus WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status, l_quantity::BIGINT AS documents_out, floor(l_extendedprice)::BIGINT AS duration_ms, l_partkey AS llm_input_tokens FROM lineitem),
-jobs AS (SELECT o_orderkey::VARCHAR AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status, o_orderdate + INTERVAL 90 SECONDS AS ts FROM orders),
-totals AS (SELECT job_id, sum(llm_input_tokens) AS tokens, CASE WHEN count(*) FILTER (plugin = 'index_sink') > 0 THEN coalesce(sum(documents_out) FILTER (plugin = 'index_sink' AND status = 'succeeded'), 0) WHEN arg_max(status, step_no) = 'succeeded' THEN arg_max(documents_out, step_no) ELSE 0 END AS docs FROM steps GROUP BY 1)"""
-query("documents_indexed", f"WITH {_STEPS} SELECT job_id, docs::BIGINT AS documents FROM totals")(lambda spark, d: _steps(spark, d).groupBy("job_id").agg(usage.indexed(F.col("step_no"), F.col("plugin"), F.col("status"), F.col("documents_out")).alias("documents")))
-query("events_for_job", f"""WITH {_STEPS} SELECT s.job_id || ':' || step_id || ':1' AS event_id, 'step' AS kind, j.ts, s.job_id, step_id, s.status, documents_out, duration_ms, llm_input_tokens FROM steps s JOIN jobs j USING (job_id)
- UNION ALL SELECT j.job_id || ':job', 'job', j.ts, j.job_id, '', j.status, coalesce(docs, 0)::BIGINT, 90000, coalesce(tokens, 0)::BIGINT FROM jobs j LEFT JOIN totals USING (job_id)""")(lambda spark, d: usage.events_for_jobs(_steps(spark, d), _jobs(spark, d)))
+jobs AS (SELECT o_orderkey::VARCHAR AS job_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'failed' ELSE 'cancelled' END AS status, o_orderdate + INTERVAL 90 SECONDS AS ts, 'w' || o_orderkey AS workflow_id, 'p' || (o_custkey % 7) AS project_id, 'eu' AS region, 'builtin.csv' AS pipeline_uid, 1 AS pipeline_builtin, 'documents' AS index_name,
+ 'ingest' AS task_queue, 'text/csv' AS input_mime, o_custkey * 100 AS input_bytes, CASE o_orderstatus WHEN 'O' THEN chr(160) || chr(10) WHEN 'P' THEN 'Deadline Exceeded' ELSE '' END AS error FROM orders),
+sums AS (SELECT job_id, sum(duration_ms) AS ms, sum(llm_input_tokens)::BIGINT AS llm_input_tokens, sum(llm_output_tokens)::BIGINT AS llm_output_tokens, sum(llm_requests)::BIGINT AS llm_requests, sum(audio_seconds) AS audio_seconds, sum(pages)::BIGINT AS pages, sum(images)::BIGINT AS images, sum(external_requests)::BIGINT AS external_requests, sum(unpriced_calls)::BIGINT AS unpriced, sum(CASE WHEN plugin = 'ocr' THEN CASE WHEN pages > 0 THEN pages ELSE documents_out END END)::BIGINT AS ocr,
+ count(*) FILTER (plugin = 'index_sink') > 0 AS sink, coalesce(sum(documents_out) FILTER (plugin = 'index_sink' AND status = 'succeeded'), 0)::BIGINT AS sunk, arg_max(documents_out, step_no) AS last FROM steps GROUP BY 1),
+totals AS (SELECT j.*, s.* EXCLUDE (job_id), coalesce(CASE WHEN sink THEN sunk WHEN j.status = 'succeeded' THEN last END, 0)::BIGINT AS docs FROM jobs j LEFT JOIN sums s USING (job_id))"""
+query("documents_indexed", f"WITH {_STEPS} SELECT job_id, docs AS documents FROM totals")(
+    lambda spark, d: _jobs(spark, d).join(_steps(spark, d).groupBy("job_id").agg(usage.indexed(F.col("step_no"), F.col("plugin"), F.col("status"), F.col("documents_out")).alias("r")), "job_id", "left").select("job_id", usage.documents_reached(F.col("status"), F.col("r")).alias("documents"))
+)
+_KIND = "CASE WHEN status = 'cancelled' THEN 'cancelled' WHEN contains(lower(error), 'http 5') THEN 'upstream' WHEN contains(lower(error), 'deadline exceeded') THEN 'timeout' ELSE '' END AS error_kind, left(error, 512) AS error"
+query("events_for_job", f"""WITH {_STEPS} SELECT job_id || ':' || step_id || ':1' AS event_id, 'step' AS kind, 1 AS attempt, ts, job_id, workflow_id, project_id, region, pipeline_uid, pipeline_builtin, index_name, task_queue, input_mime, step_id, plugin, status, branches, duration_ms, input_bytes, documents_out, llm_input_tokens, llm_output_tokens, llm_requests, audio_seconds, pages, images, external_requests, {_KIND}
+ FROM (SELECT s.*, j.* EXCLUDE (job_id, status, input_bytes, error) FROM steps s JOIN jobs j USING (job_id))
+ UNION ALL SELECT job_id || ':job', 'job', 1, ts, job_id, workflow_id, project_id, region, pipeline_uid, pipeline_builtin, index_name, task_queue, input_mime, '', '', status, 0, 90000, input_bytes, docs, coalesce(llm_input_tokens, 0)::BIGINT AS llm_input_tokens, coalesce(llm_output_tokens, 0)::BIGINT AS llm_output_tokens, coalesce(llm_requests, 0)::BIGINT AS llm_requests, coalesce(audio_seconds, 0)::DOUBLE AS audio_seconds, coalesce(pages, 0)::BIGINT AS pages, coalesce(images, 0)::BIGINT AS images, coalesce(external_requests, 0)::BIGINT AS external_requests, {_KIND} FROM totals""")(lambda spark, d: usage.events_for_jobs(_steps(spark, d), _jobs(spark, d)))
 query("wall_clock_ms", "SELECT event_id, greatest(0, (event_id % 5 - 2) * 1500)::BIGINT AS y FROM events")(
     lambda spark, d: table(spark, d, "events").select("event_id", usage.wall_clock_ms(F.col("ts").cast("timestamp"), F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + (F.col("event_id") % 5 - 2) * 1500)).alias("y"))
 )
-query("billing_units", "SELECT l_orderkey AS job_id, ceil(sum(l_quantity / 4))::BIGINT AS audio_seconds, coalesce(sum(l_linenumber) FILTER (l_linenumber % 2 = 0), 0)::BIGINT AS ocr_pages, sum(l_suppkey)::BIGINT AS images FROM lineitem GROUP BY 1")(
-    lambda spark, d: usage.billing_units(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("ocr")).otherwise(F.lit("pdf")).alias("plugin"), F.col("l_linenumber").cast("long").alias("pages"), (F.col("l_quantity") / 4).alias("audio_seconds"), F.col("l_suppkey").alias("images")))
+query("billing_units", f"""WITH {_STEPS} SELECT job_id, docs AS documents, input_bytes AS bytes_in, coalesce((ms + 999) // 1000, 0)::BIGINT AS step_seconds, coalesce(CASE WHEN audio_seconds > 0 THEN ceil(audio_seconds) END, 0)::BIGINT AS audio_seconds, coalesce(llm_input_tokens, 0) AS llm_tokens_in, coalesce(llm_output_tokens, 0) AS llm_tokens_out,
+ coalesce(ocr, 0) AS ocr_pages, coalesce(pages, 0) AS pages, coalesce(images, 0) AS images, coalesce(llm_requests, 0) AS llm_requests, coalesce(external_requests, 0) AS external_requests, coalesce(unpriced, 0) AS unpriced_provider_calls FROM totals""")(lambda spark, d: usage.billing_units(_jobs(spark, d), _steps(spark, d)))
+query("billing_units_nonfinite", "SELECT event_id::VARCHAR AS job_id, CASE WHEN event_id % 4 = 3 THEN 3 ELSE 0 END::BIGINT AS audio_seconds FROM events")(
+    lambda spark, d: usage.billing_units(
+        table(spark, d, "events").select(F.col("event_id").cast("string").alias("job_id"), F.lit("succeeded").alias("status"), F.lit(0).cast("long").alias("input_bytes")),
+        table(spark, d, "events").select(F.col("event_id").cast("string").alias("job_id"), F.lit(1).alias("step_no"), F.lit("chunker").alias("plugin"), F.lit("succeeded").alias("status"), *(F.lit(0).cast("long").alias(c) for c in ("documents_out", "duration_ms", "unpriced_calls", *(u for u in usage.UNITS if u != "audio_seconds"))), F.get(F.array(F.lit(float("nan")), F.lit(float("inf")), F.lit(-2.0), F.lit(2.25)), (F.col("event_id") % 4).cast("int")).alias("audio_seconds")),
+    ).select("job_id", "audio_seconds")
 )
 # Prices in micro-dollars (plugin, model, a million input and output tokens, second of audio, request).
 PRICES = [("llm_enricher", "gpt-4o-mini", 150000, 600000, 0, 0), ("llm_enricher", "gpt-4o", 2500000, 10000000, 0, 0), ("image_captioner", "gpt-4o-mini", 150000, 600000, 0, 0), ("image_captioner", "gpt-4o", 2500000, 10000000, 0, 0), ("whisper_transcriber", "whisper-1", 0, 0, 100, 0)]
@@ -79,8 +99,8 @@ query("provider_cost", f"""WITH p(plugin, model, i, o, a, r) AS (VALUES {', '.jo
  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, plugin, model, ti AS llm_input_tokens, tto AS llm_output_tokens, 1 AS llm_requests, 0 AS external_requests, s AS audio_seconds, CASE WHEN un THEN 0 ELSE ((ti * i + tto * o + 999999) // 1000000 + ceil(s * a) + r)::BIGINT END AS cost_micro_usd, un::INT AS unpriced_calls FROM u""")(
     lambda spark, d: usage.provider_cost(_calls(spark, d), spark.createDataFrame(PRICES, PRICE_COLUMNS))
 )
-query("unpriced_plugins", f"SELECT DISTINCT plugin FROM (SELECT ([{', '.join(repr(c[0]) for c in _CALLS)}])[l_linenumber % {len(_CALLS)} + 1] AS plugin FROM lineitem) WHERE plugin NOT IN ({', '.join(repr(p[0]) for p in PRICES)})")(
-    lambda spark, d: usage.unpriced_plugins(table(spark, d, "lineitem").select(F.element_at(F.array(*(F.lit(c[0]) for c in _CALLS)), (F.col("l_linenumber") % len(_CALLS) + 1).cast("int")).alias("plugin")).distinct(), spark.createDataFrame(PRICES, PRICE_COLUMNS))
+query("unpriced_plugins", "SELECT x AS plugin FROM (VALUES ('jev_enricher'), ('image_captioner')) t(x)")(
+    lambda spark, d: usage.unpriced_plugins(spark.createDataFrame([(p,) for p in ("llm_enricher", "jev_enricher", "image_captioner", "whisper_transcriber", "chunker", "csv_parser")], "plugin string"), spark.createDataFrame([p if p[0] != "image_captioner" else (*p[:2], 0, 0, 0, 0) for p in PRICES], PRICE_COLUMNS))
 )
 query("fan_out", "SELECT doc_id, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / ceil(count(*) OVER (PARTITION BY source) / 50))::BIGINT AS branch FROM documents")(
     lambda spark, d: usage.fan_out(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 50, ["source"]).select("doc_id", "branch")
@@ -88,12 +108,12 @@ query("fan_out", "SELECT doc_id, floor((row_number() OVER (PARTITION BY source O
 
 
 def _branches(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("step"), (F.col("l_linenumber").cast("long") * 10**13 + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")).alias("branch"), (F.col("l_returnflag") != "R").alias("ok"), F.concat(F.lit("err"), F.col("l_partkey").cast("string")).alias("error"), F.col("l_quantity").cast("long").alias("documents"), F.floor("l_extendedprice").alias("duration_ms"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("step"), (F.col("l_linenumber").cast("long") * 10**13 + F.col("l_partkey") * 10**7 + F.col("l_suppkey") * 1000 + F.col("l_quantity").cast("long")).alias("branch"), F.when(F.col("l_returnflag") != "A", (F.col("l_returnflag") != "R") | (F.col("l_linenumber") > 2)).alias("ok"), F.concat(F.lit("err"), F.col("l_partkey").cast("string")).alias("error"), F.col("l_quantity").cast("long").alias("documents"), F.floor("l_extendedprice").alias("duration_ms"), F.col("l_partkey").alias("input_bytes"), F.col("l_suppkey").alias("pages"))
 
 
-query("fan_in", """WITH b AS (SELECT l_orderkey AS step, l_linenumber::BIGINT * 10000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + l_quantity::BIGINT AS branch, l_returnflag <> 'R' AS ok, 'err' || l_partkey AS error, l_quantity::BIGINT AS documents, floor(l_extendedprice)::BIGINT AS duration_ms FROM lineitem)
- SELECT step, count(*) FILTER (NOT ok) = 0 AS ok, count(*) AS branches, coalesce(sum(documents) FILTER (ok), 0)::BIGINT AS documents, sum(duration_ms)::BIGINT AS duration_ms,
- CASE WHEN count(*) FILTER (NOT ok) > 0 THEN count(*) FILTER (NOT ok) || ' of ' || count(*) || ' branches failed; first error: ' || arg_min(error, branch) FILTER (NOT ok) END AS error FROM b GROUP BY 1""")(lambda spark, d: usage.fan_in(_branches(spark, d)))
+query("fan_in", """WITH b AS (SELECT l_orderkey AS step, l_linenumber::BIGINT * 10000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + l_quantity::BIGINT AS branch, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_returnflag <> 'R' OR l_linenumber > 2 END AS ok, 'err' || l_partkey AS error, l_quantity::BIGINT AS documents, floor(l_extendedprice)::BIGINT AS duration_ms, l_partkey AS input_bytes, l_suppkey AS pages FROM lineitem)
+ SELECT step, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'failed' WHEN count(*) FILTER (ok) < count(*) THEN 'cancelled' ELSE 'succeeded' END AS outcome, count(*) AS branches, coalesce(sum(documents) FILTER (ok), 0)::BIGINT AS documents, coalesce(sum(duration_ms) FILTER (ok), 0)::BIGINT AS duration_ms, coalesce(sum(input_bytes) FILTER (ok), 0)::BIGINT AS input_bytes, coalesce(sum(pages) FILTER (ok), 0)::BIGINT AS pages,
+ CASE WHEN count(*) FILTER (NOT ok) > 0 THEN count(*) - count(*) FILTER (ok) || ' of ' || count(*) || ' branches failed; first error: ' || arg_min(error, branch) FILTER (NOT ok) END AS error FROM b GROUP BY 1""")(lambda spark, d: usage.fan_in(_branches(spark, d)))
 query("resolve_input", "SELECT event_id AS id, event_type AS v FROM events UNION ALL SELECT doc_id, lang FROM documents")(lambda spark, d: table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("v")).unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("v"))))
 
 # jobs
@@ -137,14 +157,26 @@ query("latest_runs", f"WITH {RUNS_SQL} SELECT * FROM (SELECT *, row_number() OVE
 query("run_upsert", "SELECT user_id AS run_id, arg_min(ts, event_id) AS started_at, arg_max(event_type, event_id) AS outcome, arg_max(event_id % 9, event_id) AS items FROM events GROUP BY 1")(
     lambda spark, d: control.run_upsert(table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("started_at"), F.col("event_type").alias("outcome"), (F.col("event_id") % 9).alias("items")))
 )
-query("run_outcome", "SELECT user_id AS run_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' ELSE 'ingested' END AS outcome, count(*) FILTER (event_type <> 'error') AS items, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN NULL WHEN count(*) = 1 THEN 'e' || min(event_id) ELSE count(*) FILTER (event_type = 'error') || ' of ' || count(*) || ' jobs failed; first: e' || min(event_id) FILTER (event_type = 'error') END AS error FROM events GROUP BY 1")(
-    lambda spark, d: control.run_outcome(table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("n"), (F.col("event_type") != "error").alias("ok"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error")))
+# runs of three kinds: by users (many jobs), single failing jobs, and runs without news
+_RUN_JOBS = "run_jobs AS (SELECT 'u' || user_id AS run_id, event_id AS n, event_type <> 'error' AS ok, 'e' || event_id AS error FROM events UNION ALL SELECT 'one' || event_id, 1, false, 'only' FROM events WHERE event_id % 50 = 1 UNION ALL SELECT 'none' || event_id, 0, NULL, NULL FROM events WHERE event_id % 50 = 2 UNION ALL SELECT 'two' || event_id, k, k = 1, 'x' FROM events, range(3) t(k) WHERE event_id % 50 = 3 AND k < 2)"
+query("run_outcome", f"""WITH {_RUN_JOBS} SELECT run_id, CASE WHEN count(ok) = 0 THEN 'unchanged' WHEN count(*) FILTER (NOT ok) > 0 THEN 'failed' ELSE 'ingested' END AS outcome, count(*) FILTER (ok) AS items,
+ CASE WHEN count(*) FILTER (NOT ok) = 0 THEN NULL WHEN count(*) = 1 THEN min(error) ELSE count(*) FILTER (NOT ok) || ' of ' || count(*) || ' jobs failed; first: ' || arg_min(error, n) FILTER (NOT ok) || CASE WHEN count(*) FILTER (NOT ok) > 1 THEN ' (see the jobs for the others)' ELSE '' END END AS error FROM run_jobs GROUP BY 1""")(
+    lambda spark, d: (lambda e, row: control.run_outcome(
+        row(e, F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_id"), F.col("event_type") != "error", F.concat(F.lit("e"), F.col("event_id").cast("string")))
+        .unionByName(row(e.where("event_id % 50 = 1"), F.concat(F.lit("one"), F.col("event_id").cast("string")), F.lit(1), F.lit(False), F.lit("only")))
+        .unionByName(row(e.where("event_id % 50 = 2"), F.concat(F.lit("none"), F.col("event_id").cast("string")), F.lit(0), F.lit(None).cast("boolean"), F.lit(None).cast("string")))
+        .unionByName(row(e.where("event_id % 50 = 3").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))), F.concat(F.lit("two"), F.col("event_id").cast("string")), F.col("k"), F.col("k") == 1, F.lit("x")))
+    ))(table(spark, d, "events"), lambda df, run, n, ok, error: df.select(run.alias("run_id"), n.cast("long").alias("n"), ok.alias("ok"), error.alias("error")))
 )
-query("archive_outcome", "SELECT user_id AS job_id, count(*) FILTER (event_type = 'click') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type NOT IN ('click', 'error')) AS skipped, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN count(*) FILTER (event_type = 'error') || ' of ' || count(*) || ' files failed; e' || min(event_id) FILTER (event_type = 'error') WHEN count(*) FILTER (event_type = 'click') = 0 THEN 'no file was ingested' END AS error FROM events GROUP BY 1")(
-    lambda spark, d: control.archive_outcome(table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("n"), F.when(F.col("event_type") == "click", F.lit("succeeded")).when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("skipped")).alias("status"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error")))
+_FILES = "files AS (SELECT 'j' || user_id AS job_id, event_id AS n, CASE event_type WHEN 'click' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'skipped' END AS status FROM events UNION ALL SELECT 's' || event_id, 1, 'skipped' FROM events WHERE event_id % 20 = 1 UNION ALL SELECT 'n' || event_id, 0, NULL FROM events WHERE event_id % 20 = 2 UNION ALL SELECT 'o' || event_id, 1, 'succeeded' FROM events WHERE event_id % 20 = 3)"
+query("archive_outcome", f"""WITH {_FILES} SELECT job_id, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+ CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN count(*) FILTER (status = 'failed') || ' of ' || count(*) FILTER (status IN ('failed', 'succeeded')) || ' files failed; first: p/' || min(n) FILTER (status = 'failed') || ': e' || min(n) FILTER (status = 'failed')
+ WHEN count(*) FILTER (status = 'succeeded') > 0 THEN NULL WHEN count(status) = 0 THEN 'the archive holds no files' ELSE 'none of the archive''s files could be ingested (' || count(status) || ' skipped; see progress.archive.skipped)' END AS error FROM files GROUP BY 1""")(
+    lambda spark, d: (lambda e, row: control.archive_outcome(
+        row(e, "j", F.col("user_id"), F.when(F.col("event_type") == "click", F.lit("succeeded")).when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("skipped")))
+        .unionByName(row(e.where("event_id % 20 = 1"), "s", F.col("event_id"), F.lit("skipped"))).unionByName(row(e.where("event_id % 20 = 2"), "n", F.col("event_id"), F.lit(None).cast("string"))).unionByName(row(e.where("event_id % 20 = 3"), "o", F.col("event_id"), F.lit("succeeded")))
+    ))(table(spark, d, "events"), lambda df, kind, of, status: df.select(F.concat(F.lit(kind), of.cast("string")).alias("job_id"), F.col("event_id").alias("n"), F.concat(F.lit("p/"), F.col("event_id").cast("string")).alias("path"), status.alias("status"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error")))
 )
-
-
 # pipelines: suppliers by uid (nation) and tenant
 def _pipelines(spark, d):
     return table(spark, d, "customer").groupBy(F.concat(F.lit("u"), (F.col("c_nationkey") % 9).cast("string")).alias("uid"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("t"), (F.col("c_custkey") % 4).cast("string"))).alias("tenant_id")).agg(F.count("*").alias("version"))
@@ -165,17 +197,19 @@ query("pipeline_upsert", f"WITH {_PIPES}, n AS (SELECT DISTINCT 'u' || (s_nation
 query("connection_used_by", "SELECT DISTINCT 'o' || l_orderkey AS uid FROM lineitem WHERE 'c' || (l_suppkey % 6) = 'c2'")(
     lambda spark, d: control.connection_used_by(table(spark, d, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("uid")).agg(F.collect_list(F.struct(F.lit("p").alias("plugin"), F.concat(F.lit("c"), (F.col("l_suppkey") % 6).cast("string")).alias("connection"))).alias("steps")), "c2")
 )
-query("unknown_plugins", "SELECT DISTINCT p_brand AS plugin FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45)")(lambda spark, d: control.unknown_plugins(table(spark, d, "part").select(F.col("p_brand").alias("plugin")), table(spark, d, "part").where("p_size > 45").select(F.col("p_brand").alias("plugin"))))
+query("unknown_plugins", "SELECT DISTINCT p_type AS plugin FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size = 45)")(lambda spark, d: control.unknown_plugins(table(spark, d, "part").select(F.col("p_type").alias("plugin")), table(spark, d, "part").where("p_size = 45").select(F.col("p_type").alias("plugin"))))
 query("plugin_upsert", "SELECT p_brand AS name, arg_max(p_type, p_partkey) AS version, max(p_partkey) AS updated_at FROM part GROUP BY 1")(lambda spark, d: usage.deduplicated_last(table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("version"), F.col("p_partkey").alias("updated_at")), ["name"], ["updated_at"]))
-query("source_patch", """SELECT s_suppkey AS source_id, coalesce(np, p) AS pipeline_uid, coalesce(nl, l) AS location, coalesce(nz, false) AS paused, CASE WHEN coalesce(np, p) IS NOT DISTINCT FROM p AND coalesce(nl, l) IS NOT DISTINCT FROM l THEN 'tag' || s_suppkey END AS etag, CASE WHEN coalesce(np, p) IS NOT DISTINCT FROM p AND coalesce(nl, l) IS NOT DISTINCT FROM l THEN 'h' END AS hash
- FROM (SELECT *, 'u' || s_nationkey AS p, s_name AS l, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'u7' END AS np, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 = 0 THEN 'loc' END AS nl, CASE WHEN s_suppkey % 2 = 0 THEN true END AS nz FROM supplier)""")(
-    lambda spark, d: control.source_patch(
-        table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.concat(F.lit("u"), F.col("s_nationkey").cast("string")).alias("pipeline_uid"), F.col("s_name").alias("location"), F.lit(False).alias("paused"), F.concat(F.lit("tag"), F.col("s_suppkey").cast("string")).alias("etag"), F.lit("h").alias("hash")),
-        table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("u7")).alias("pipeline_uid"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("loc")).alias("location"), F.lit(True).alias("paused")),
-    )
+_PATCH = {"pipeline_uid": (3, "u7"), "location": (5, "loc"), "timezone": (7, "UTC"), "cron": (4, "0 1 * * *")}
+query("source_patch", f"""WITH s AS (SELECT c_custkey AS source_id, 'u' || (c_nationkey % 9) AS pipeline_uid, CASE WHEN c_custkey % 4 = 0 THEN 'loc' ELSE c_name END AS location, CASE WHEN c_custkey % 2 = 0 THEN 'UTC' END AS timezone, '0 0 * * *' AS cron, CASE WHEN c_custkey % 11 < 3 THEN 'own' END AS index_name, CASE WHEN c_custkey % 13 < 3 THEN 'key' END AS fetch_auth, false AS paused, 'tag' || c_custkey AS etag, 'day' AS last_modified, 'h' AS hash FROM customer),
+ p AS (SELECT c_custkey AS source_id, {", ".join(f"CASE WHEN c_custkey % {n} = 0 THEN '{v}' END AS {c}" for c, (n, v) in _PATCH.items())}, CASE WHEN c_custkey % 11 = 1 THEN 'own' WHEN c_custkey % 11 = 2 THEN 'new' END AS index_name, c_custkey % 11 IN (0, 1, 2) AS set_index, CASE WHEN c_custkey % 13 = 1 THEN 'key' END AS fetch_auth, c_custkey % 13 IN (0, 1) AS set_auth, true AS paused FROM customer WHERE c_custkey % 10 < 9),
+ n AS (SELECT s.*, coalesce(p.pipeline_uid, s.pipeline_uid) AS n1, coalesce(p.location, s.location) AS n2, coalesce(p.timezone, s.timezone) AS n3, coalesce(p.cron, s.cron) AS n4, CASE WHEN p.set_index THEN p.index_name ELSE s.index_name END AS n5, CASE WHEN p.set_auth THEN p.fetch_auth ELSE s.fetch_auth END AS n6, coalesce(p.paused, s.paused) AS n7 FROM s LEFT JOIN p USING (source_id)),
+ r AS (SELECT *, n1 IS DISTINCT FROM pipeline_uid OR n2 IS DISTINCT FROM location OR n3 IS DISTINCT FROM timezone OR n5 IS DISTINCT FROM index_name OR n6 IS DISTINCT FROM fetch_auth AS f FROM n)
+ SELECT source_id, n1 AS pipeline_uid, n2 AS location, n3 AS timezone, n4 AS cron, n5 AS index_name, n6 AS fetch_auth, n7 AS paused, CASE WHEN NOT f THEN etag END AS etag, CASE WHEN NOT f THEN last_modified END AS last_modified, CASE WHEN NOT f THEN hash END AS hash FROM r""")(
+    lambda spark, d: (lambda c, key: control.source_patch(
+        c.select(key.alias("source_id"), F.concat(F.lit("u"), (F.col("c_nationkey") % 9).cast("string")).alias("pipeline_uid"), F.when(key % 4 == 0, F.lit("loc")).otherwise(F.col("c_name")).alias("location"), F.when(key % 2 == 0, F.lit("UTC")).alias("timezone"), F.lit("0 0 * * *").alias("cron"), F.when(key % 11 < 3, F.lit("own")).alias("index_name"), F.when(key % 13 < 3, F.lit("key")).alias("fetch_auth"), F.lit(False).alias("paused"), F.concat(F.lit("tag"), key.cast("string")).alias("etag"), F.lit("day").alias("last_modified"), F.lit("h").alias("hash")),
+        c.where("c_custkey % 10 < 9").select(key.alias("source_id"), *(F.when(key % n == 0, F.lit(v)).alias(x) for x, (n, v) in _PATCH.items()), F.when(key % 11 == 1, F.lit("own")).when(key % 11 == 2, F.lit("new")).alias("index_name"), (key % 11).isin(0, 1, 2).alias("set_index"), F.when(key % 13 == 1, F.lit("key")).alias("fetch_auth"), (key % 13).isin(0, 1).alias("set_auth"), F.lit(True).alias("paused")),
+    ))(table(spark, d, "customer"), F.col("c_custkey"))
 )
-
-
 # outbox: events
 def _outbox(spark, d):
     e = table(spark, d, "events")
@@ -190,7 +224,9 @@ def _late(spark, d):
     return F.lit(table(spark, d, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
 
 
-query("outbox_claim", f"WITH {_OUT} SELECT id FROM outb WHERE delivered_at IS NULL AND next_attempt_at <= {_LATE} ORDER BY created_at, id LIMIT 50")(lambda spark, d: control.outbox_claim(_outbox(spark, d), _late(spark, d), 50).select("id"))
+query("outbox_claim", f"WITH {_OUT}, c AS (SELECT id FROM outb WHERE delivered_at IS NULL AND next_attempt_at <= {_LATE} ORDER BY created_at, id LIMIT 50) SELECT id, id IN (SELECT id FROM c) AS claimed, CASE WHEN id IN (SELECT id FROM c) THEN {_LATE}::TIMESTAMP + INTERVAL 60 SECONDS ELSE next_attempt_at END AS next_attempt_at FROM outb")(
+    lambda spark, d: control.outbox_lease(_outbox(spark, d), _late(spark, d), 50, 60).select("id", "claimed", "next_attempt_at")
+)
 query("lease_queue", f"WITH {_OUT} SELECT id FROM outb WHERE delivered_at IS NULL AND next_attempt_at <= {_LATE} ORDER BY created_at, id LIMIT 500")(lambda spark, d: control.outbox_claim(_outbox(spark, d), _late(spark, d), 500).select("id"))
 query("outbox_stats", f"WITH {_OUT} SELECT count(*) AS pending, (epoch({_LATE}::TIMESTAMP)::BIGINT - floor(epoch(min(created_at)))::BIGINT) AS oldest_secs FROM outb WHERE delivered_at IS NULL")(lambda spark, d: control.outbox_stats(_outbox(spark, d), _late(spark, d)))
 query("outbox_drop", f"WITH {_OUT} SELECT id FROM outb WHERE NOT ((skipped AND created_at < {_LATE} - INTERVAL 24 HOURS) OR (delivered_at IS NULL AND created_at < {_LATE} - INTERVAL 7 DAYS) OR coalesce(delivered_at < {_LATE} - INTERVAL 7 DAYS, false))")(lambda spark, d: control.outbox_drop(_outbox(spark, d), _late(spark, d)).select("id"))
@@ -238,11 +274,13 @@ query("parquet_parse", """SELECT 'customer_r' || c_custkey AS id, '{"c_custkey":
 )
 # parquet_parse numbers rows by key, as its SQL does. All columns, and the operator's own ids: numbers have no common text form with DuckDB, so no SQL
 query("parquet_parse_all")(lambda spark, d: _parsed(spark, d, "customer", {}))
-query("incremental_skip", "SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")(
-    lambda spark, d: (lambda t: t.join(t.where("doc_id % 3 = 0 and doc_id % 2 = 0"), ["doc_id", "hash"], "left_anti"))(table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash")))
+query("incremental_skip", "SELECT doc_id AS source_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")(
+    lambda spark, d: (lambda t: url.changed(t, t.select("source_id", F.when(F.col("source_id") % 6 == 0, F.sha2("content", 256)).otherwise(F.lit("older")).alias("hash"))).select("source_id", "hash"))(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")))
 )
 query("decode_limits", "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 536870912 AND count(*) <= 1000000 AS ok FROM documents GROUP BY 1")(
     lambda spark, d: table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).withColumn("ok", (F.col("bytes") <= 512 << 20) & (F.col("n") <= 1_000_000))
 )
 query("state_for", "SELECT doc_id, left(lang || chr(10) || chr(10) || text, 48000) AS state FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.left(F.concat_ws("\n\n", "lang", "text"), F.lit(48000)).alias("state")))
-query("approx_size", "SELECT source, sum(strlen(doc_id::VARCHAR) + strlen(text) + 256)::BIGINT AS size FROM documents GROUP BY 1")(lambda spark, d: table(spark, d, "documents").groupBy("source").agg(F.sum((F.octet_length(F.col("doc_id").cast("string")) + F.octet_length("text") + 256).cast("long")).alias("size")))
+query("approx_size", "SELECT doc_id, (strlen(doc_id::VARCHAR) + strlen(source) + strlen(text) + strlen('{\"lang\":\"' || lang || '\"}') + 256)::BIGINT AS size, (strlen(text) * 4 // 3)::BIGINT AS raw FROM documents")(
+    lambda spark, d: (lambda t: t.select(F.col("id").cast("long").alias("doc_id"), usage.approx_size(t).alias("size"), usage.blob_size(F.col("content").cast("binary")).alias("raw")))(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.to_json(F.struct("lang")).alias("fields")))
+)
\ No newline at end of file

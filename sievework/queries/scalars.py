@@ -25,12 +25,12 @@ scalar("strip_code_fences", ['```json\n{{"a": #}}\n```'.replace("{{", "{").repla
 _CELLS = ["#", "007", "+5", "1e5", "-3.25", "0.5", "00.5", "TRUE", "false", "18446744073709551615", "18446744073709551616", "-9223372036854775808", "", " 7", "NaN", "12abc", 'q"x', "-0.0", "3."]
 scalar("typed_cell", _CELLS, text.typed_cell, r"CASE WHEN regexp_matches({x}, '^-?(0|[1-9][0-9]*)$') AND {x} <> '-0' AND length({x}) <= 20 AND try_cast({x} AS HUGEINT) BETWEEN -9223372036854775808 AND 18446744073709551615 THEN {x} WHEN regexp_matches({x}, '^-?(0|[1-9][0-9]*)\.[0-9]+$') THEN {x} WHEN lower({x}) IN ('true', 'false') THEN lower({x}) ELSE to_json({x})::VARCHAR END")
 
-MESSAGES = ["", "Request timed out after #s", "job cancelled by user", "LLM_API_KEY not set (#)", "HTTP 401 unauthorized", "invalid input: malformed #", "upstream 503", "connection refused", "something else #", "Deadline Exceeded", "bad api key", "rate limit: too many requests"]
+MESSAGES = ["", "\u00a0\n\t ", "\nTIMEOUT\u2003", "ELAPSED \u0130 #", "\u212aEY CANCEL", "Request timed out after #s", "job cancelled by user", "LLM_API_KEY not set (#)", "HTTP 401 unauthorized", "invalid input: malformed #", "upstream 503", "connection refused", "something else #", "Deadline Exceeded", "bad api key", "rate limit: too many requests"]
 
 
 def _kind_sql(x: str) -> str:
     rules = " ".join(f"WHEN {' OR '.join(f'contains(m, {sql_text(p)})' for p in phrases)} THEN '{kind}'" for kind, phrases in errors.ERROR_KINDS.items())
-    return f"(SELECT CASE WHEN m = '' THEN '' {rules} ELSE 'internal' END FROM (SELECT lower(trim({x})) AS m))"
+    return f"(SELECT CASE WHEN m = '' THEN '' {rules} ELSE 'internal' END FROM (SELECT translate(trim({x}, chr(160) || chr(8195) || chr(10) || chr(9) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS m))"
 
 
 scalar("classify_error", MESSAGES, errors.classify_error, _kind_sql("{x}"))
@@ -47,10 +47,9 @@ SOURCE_FAILURES = ["fetch rejected: GET u: status 404 Not Found", "fetch rejecte
 scalar("source_failure_reason", SOURCE_FAILURES, errors.source_failure_reason, f"""CASE WHEN contains(lower({{x}}), 'no lab credits') OR contains(lower({{x}}), 'source run refused') THEN 'insufficient_credits'
  WHEN contains(lower({{x}}), 'fetch rejected: ') THEN CASE WHEN regexp_extract({{x}}, 'status ([0-9]{{{{3}}}})', 1) IN ('401', '403') THEN 'source_auth' WHEN regexp_extract({{x}}, 'status ([0-9]{{{{3}}}})', 1) IN ('404', '410') THEN 'source_not_found' WHEN regexp_extract({{x}}, 'status ([0-9]{{{{3}}}})', 1) = '402' THEN 'insufficient_credits' ELSE 'internal' END
  WHEN contains({{x}}, 'fetch: ') OR contains({{x}}, 'dns: ') THEN 'source_unreachable' WHEN {{x}} LIKE 'job %' OR contains({{x}}, ' jobs failed; first: ') THEN {_FAIL} ELSE 'internal' END""".replace("{{{{3}}}}", "{{3}}"))
-query("http_failure_class", "SELECT event_id, CASE WHEN (s = 429) OR (s >= 500) OR (s = 408) THEN 'retryable' ELSE 'permanent' END AS y FROM (SELECT event_id, 400 + event_id % 120 AS s FROM events)")(
-    lambda spark, d: table(spark, d, "events").select("event_id", errors.http_failure_class(400 + F.col("event_id") % 120).alias("y"))
+query("http_failure_class", "SELECT event_id, CASE WHEN s = 429 OR s BETWEEN 500 AND 599 THEN 'retryable' ELSE 'permanent' END AS y FROM (SELECT event_id, 400 + event_id % 230 AS s FROM events)")(
+    lambda spark, d: table(spark, d, "events").select("event_id", errors.http_failure_class(400 + F.col("event_id") % 230).alias("y"))
 )
-
 TYPES = ["text/csv; charset=UTF-8", "AUDIO/MP3", "application/x-zip", "image/jpg", "application/jsonl", "text/plain", "video/matroska ; x=1", "application/x-tgz", "avro/binary", "application/json", 'text/html; charset="Latin1"', "audio/x-wav"]
 _ESSENCE = "lower(trim(split_part({x}, ';', 1)))"
 _CANON = "coalesce((MAP {{" + ", ".join(f"{sql_text(a)}: {sql_text(k)}" for k, v in mime.ALIASES.items() for a in v) + "}})[" + _ESSENCE + "], " + _ESSENCE + ")"
@@ -60,7 +59,8 @@ scalar("canonical_mime", TYPES, lambda x: mime.canonical_mime(mime.essence(x)),
 scalar("canonical_content_type", TYPES, mime.canonical_content_type, _CANON)
 scalar("content_type_charset", TYPES, mime.content_type_charset, r"nullif(lower(regexp_extract({x}, '(?i);\s*charset\s*=\s*\"?([^\";\s]+)', 1)), '')")
 scalar("ext_map", [*NAMES, "r#.md", "x.JSONL", "y.parquet", "z.yml"], mime.extension_mime, _EXT_SQL)
-scalar("source_ext_mime", ["r#.md", "x.JSONL", "y.parquet", "z.yml", "q#.zzz"], mime.extension_mime, _EXT_SQL)
+_SOURCE_EXT = r"lower(regexp_extract({x}, '\.([^.]*)$', 1))"
+scalar("source_ext_mime", ["r#.md", "x.JSONL", "y.parquet", "z.yml", "q#.zzz", "a.xml", "b.TSV", "c.htm", "d.avro", "e.tar.gz", "noext#", "m.msgpack", "t.txt", "p.csv.json"], mime.source_extension_mime, "(MAP {{" + ", ".join(f"{sql_text(a)}: {sql_text(k)}" for k, v in {"application/json": ["json"], "application/x-ndjson": ["ndjson", "jsonl"], "text/csv": ["csv"], "text/tab-separated-values": ["tsv"], "application/xml": ["xml"], "text/markdown": ["md"], "text/html": ["html", "htm"], "application/vnd.apache.parquet": ["parquet"], "application/vnd.apache.avro": ["avro"], "application/pdf": ["pdf"], "text/plain": ["txt"]}.items() for a in v) + "}})[" + _SOURCE_EXT + "]")
 _INDEX = "CASE WHEN {m} LIKE 'video/%' THEN 'videos' WHEN {m} LIKE 'audio/%' THEN 'audio' WHEN {m} LIKE 'image/%' THEN 'images' WHEN {m} = 'text/html' THEN 'pages' WHEN {m} IN ('text/csv', 'application/vnd.apache.parquet', 'application/vnd.apache.avro') THEN 'datasets' ELSE 'documents' END"
 scalar("default_index", TYPES, mime.default_index, _INDEX.replace("{m}", _ESSENCE))
 scalar("is_archive", TYPES, lambda x: mime.is_archive(mime.canonical_content_type(x)), f"{_CANON} IN ('application/zip', 'application/gzip', 'application/x-tar')")
@@ -105,6 +105,9 @@ query("sentence_split", r"""WITH a AS (SELECT doc_id, list_filter(list_transform
  SELECT doc_id, unnest(range(len(l)))::INT AS k, unnest(l) AS sentence FROM a""")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(text.sentence_split(F.col("text"))).alias("k", "sentence")))
 query("paragraph_split", r"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '') AS l FROM documents)
  SELECT doc_id, unnest(range(len(l)))::INT AS k, unnest(l) AS paragraph FROM a""")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.posexplode(text.paragraph_split(F.col("text"))).alias("k", "paragraph")))
-query("validate_tenant_id", f"SELECT event_id, regexp_matches(x, '^[A-Za-z0-9_-]{{1,128}}$') AS y FROM (SELECT event_id, {sample_sql(['t#', 'bad id', '', 'x/y'], 'event_id')} AS x FROM events)")(
-    lambda spark, d: table(spark, d, "events").select("event_id", sample(["t#", "bad id", "", "x/y"], F.col("event_id")).rlike("^[A-Za-z0-9_-]{1,128}$").alias("y"))
+_TENANTS = ["t#", "bad id", "", "x/y", "a.b:c-#_", "line\n", "é", "a" * 128, "a" * 129]
+query("validate_tenant_id", f"SELECT event_id, length(x) BETWEEN 1 AND 128 AND regexp_full_match(x, '[A-Za-z0-9._:-]*') AS y FROM (SELECT event_id, {sample_sql(_TENANTS, 'event_id')} AS x FROM events)")(
+    lambda spark, d: table(spark, d, "events").select("event_id", ids.valid_tenant_id(sample(_TENANTS, F.col("event_id"))).alias("y"))
 )
+_DAYS = ["2024-05-01", "2024-5-1", "2024-13-45", "20240501", "2024-05-01\n", "", "2024/05/01", "x024-05-01"]
+scalar("validate_date", _DAYS, ids.valid_date, "CASE event_id % 8 WHEN 0 THEN true WHEN 2 THEN true ELSE false END")
\ No newline at end of file
