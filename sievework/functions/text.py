@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +71,8 @@ def typed_cell(cell: Column) -> Column:
     text = F.to_json(F.struct(cell.alias("v")))
     quoted = F.substring(text, 6, F.length(text) - 6)
     return F.when(fits, cell).when(broken, cell).when(flag, F.lower(cell)).otherwise(quoted)
+
+
+def format_scaled(unscaled: Column, scale: int) -> Column:
+    """A whole number with its last `scale` digits behind the point."""
+    return (unscaled.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})").cast("string")

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,3 +144,21 @@ def enrich(docs: DataFrame, client: Callable[[str, str], str] | None, config: En
 def resume(docs: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Documents that an earlier attempt has no answer for."""
     return docs.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def answer(docs: DataFrame, client: Callable[[dict, str], dict], questions: dict[str, dict], most_chars: int = 48_000) -> DataFrame:
+    """docs: title, content, fields (JSON), ... with a typed answer to each question, and its confidence, among the fields; what is there stays."""
+
+    @F.udf("string", useArrow=True)
+    def run(state, fields):
+        old = json.loads(fields or "{}")
+        made = answer_fields(questions, json.loads(with_retry(lambda: json.dumps(client(questions, state or "")))))
+        return json.dumps(made | old, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+    return docs.withColumn("fields", run(state_for(docs, most_chars), "fields"))
+
+
+def state_for(docs: DataFrame, most_chars: int = 48_000) -> Column:
+    """What a model is shown of a document: title and content with a blank line between, the first `most_chars` characters."""
+    title = F.nullif(F.trim("title"), F.lit("")) if "title" in docs.columns else F.lit(None).cast("string")
+    return F.left(F.concat_ws("\n\n", title, "content"), F.lit(most_chars))

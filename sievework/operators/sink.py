@@ -95,3 +95,32 @@ def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "s
     for k in emptied:  # an overwrite leaves partitions without new rows alone
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: What an index row has beside its id; other columns of documents stay out.
+_ROW = ("title", "content", "fields", "section", "page", "parent_id", "chunk_index", "chunk_total", "filename", "mime")
+
+
+def run(docs: DataFrame, config: dict) -> DataFrame:
+    """The sink step of a pipeline. config: path (of the Parquet index; without one the rows are only formed), prune, max_docs_per_batch, max_batch_bytes.
+
+    With a path, documents are upserted there and the rows that the index then has for them come back, with the JSON
+    that a batch carries. A document over max_batch_bytes is an error before anything is written.
+    """
+    most = int(config.get("max_batch_bytes", MAX_BYTES))
+    meta = [c for c in ("section", "page", "parent_id", "chunk_index", "chunk_total", "filename", "mime") if c in docs.columns]
+    none = F.lit(None).cast("string")
+    json = index_json(F.col("id"), F.col("title") if "title" in docs.columns else none, F.col("content"), {}, F.struct(*meta) if meta else None)
+    rows = docs.select("id", *(c for c in _ROW if c in docs.columns), json.alias("json"))
+    path = config.get("path")
+    if not path:
+        return rows
+    too_large = rows.where(F.octet_length("json") + 2 > most).select("id").head(1)
+    if too_large:
+        raise OversizedDocument(f"document {too_large[0]['id']} fits in no batch of {most} bytes")
+    for c, kind in (("parent_id", "string"), ("chunk_total", "int")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    last = rows.withColumn("seq", F.coalesce(F.col("chunk_index"), F.lit(0)).cast("long") if "chunk_index" in rows.columns else F.lit(0).cast("long"))
+    write_index(docs.sparkSession, last, path, prune_stale=bool(config.get("prune", False)))
+    return docs.sparkSession.read.parquet(path).drop("shard").join(docs.select("id").distinct(), "id", "left_semi")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import archives, audio, binary_records, chunker, csv, enrich, html, json_records, markdown, office, parquet, pdf
+from ..operators import archives, audio, binary_records, chunker, csv, enrich, html, json_records, markdown, office, parquet, pdf, sink
 from ..operators.documents import extract
 from .pipeline import Operator
 
@@ -80,7 +80,7 @@ OPERATORS: dict[str, Operator] = {
     "chunker": _chunk,
     "video_audio_extractor": lambda df, config: df.withColumn("data", F.udf(lambda d: audio.resample(bytes(d), config.get("sample_rate", 16000), config.get("mono", True)), "binary", useArrow=True)("data")),
     "archive_expander": lambda df, config: archives.expand(df),
-    "index_sink": lambda df, config: df,
+    "index_sink": sink.run,
     "whisper_transcriber": _missing("whisper_transcriber", "no transcription client is set"),
     "image_captioner": _missing("image_captioner", "no vision client is set"),
     "llm_enricher": _missing("llm_enricher", "no model client is set"),
@@ -90,11 +90,23 @@ OPERATORS: dict[str, Operator] = {
 }
 
 
-def with_clients(transcribe=None, complete=None) -> dict[str, Operator]:
-    """The registry with clients for the operators that call a service."""
+def with_clients(transcribe=None, complete=None, see=None, answer=None) -> dict[str, Operator]:
+    """The registry with clients for the operators that call a service.
+
+    transcribe: sound -> segments; complete: (prompt, text) -> reply; see: image -> reply; answer: (questions, text) -> answers.
+    """
     out = dict(OPERATORS)
     if transcribe:
         out["whisper_transcriber"] = lambda df, config: extract(df, lambda data: audio.transcribe(data, transcribe, **config))
     if complete:
         out["llm_enricher"] = lambda df, config: enrich.enrich(df, complete, enrich.EnrichConfig(**config))
+    if see:
+        out["image_captioner"] = lambda df, config: extract(df, lambda data: [_captioned(see(data), config)])
+    if answer:
+        out["jev_enricher"] = lambda df, config: enrich.answer(df, answer, config["questions"])
     return out
+
+
+def _captioned(reply: str, config: dict) -> dict:
+    doc = enrich.caption_document(reply, tuple(config.get("allow_reserved", ())))
+    return {"content": doc["content"], "fields": json_records.dumps(doc["fields"])}

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from ..operators import chunker, csv, enrich, html, json_records, route, script,
 from ..plans.builtin import BUILTIN
 from ..sources import url
 from ..streaming import usage_stream
-from .base import query, sample_sql, scalar, sql_text, table
+from .base import query, sample_sql, scalar, shared_folder, sql_text, table
 
 
 def _docs(spark, d):
@@ -40,7 +38,6 @@ query("chunk_meta", """WITH a AS (SELECT conv_id, turn, role, trim(text, ' ' ||
     lambda spark, d: chunker.chunk_documents(table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"), "role"), chunker.ChunkConfig(chunk_size=1_000_000)).select("id", "content", "chunk_index", "chunk_total", "parent_id", "role")
 )
 query("html_extract")(lambda spark, d: html.extract_pages(table(spark, d, "pages")))
-query("html_links")(lambda spark, d: html.extract_pages(table(spark, d, "pages")).select("page_id", F.posexplode("links").alias("n", "href")))
 query("html_title", r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>')""")(
     lambda spark, d: html.extract_pages(table(spark, d, "pages").where(F.col("html").rlike(r"(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>"))).select("page_id", "title")
 )
@@ -132,7 +129,7 @@ query("state_commit", "SELECT user_id AS source_id, CASE WHEN bool_and(event_typ
 )
 
 
-# streams: what is available now, then read back
+# streams: what is available now, to a Parquet table
 def _stream(spark: SparkSession, d: str, dedup: bool) -> DataFrame:
     source = f"{d}/events.parquet"
     batch = spark.read.parquet(source)
@@ -140,10 +137,13 @@ def _stream(spark: SparkSession, d: str, dedup: bool) -> DataFrame:
     events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(source if len(batch.inputFiles()) > 1 else f"{folder}/[{name[0]}]{name[1:]}")
     shaped = events.select("ts", F.col("event_id"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("project_id"), F.col("event_type").alias("kind"), F.floor("value").alias("value"))
     made = usage_stream.dedup(shaped, "60 days") if dedup else usage_stream.daily_counts(usage_stream.with_event_time(shaped, "1 day"))
-    name = f"s{abs(hash((d, dedup))) % 10**9}_{'dedup' if dedup else 'daily'}"
-    q = made.writeStream.format("memory").queryName(name).outputMode("append" if dedup else "complete").option("checkpointLocation", f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = shared_folder(spark, "stream")
+    writer = made.writeStream.outputMode("append" if dedup else "complete").option("checkpointLocation", f"{path}/check").trigger(availableNow=True)
+    if dedup:
+        writer.format("parquet").start(f"{path}/out").awaitTermination()
+    else:  # every batch has the whole result, which replaces the table
+        writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/out")
 
 
 query("stream_dedup", "SELECT event_id, 't' || (user_id % 5) AS project_id, event_type AS kind FROM events")(lambda spark, d: _stream(spark, d, True).select("event_id", "project_id", "kind"))

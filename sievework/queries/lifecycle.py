@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from ..functions import mime, vendor
+from ..functions import mime, text, vendor
 from ..operators import json_records, lifecycle, usage
-from ..operators.binary_records import format_scaled
 from ..sources import url
 from ..streaming import usage_stream
-from .base import MEASURES_SQL, USAGE_SQL, query, scalar, sql_text, table, usage_events
+from .base import MEASURES_SQL, USAGE_SQL, query, scalar, shared_folder, sql_text, table, usage_events
 
 _URLS = ["https://api.openai.com/v1", "http://u:p@API.GROQ.com:443/x?y", "https://my.proxy/v1", "api.mistral.ai", "https://api.together.xyz#f", ""]
 _HOST = r"lower(regexp_extract(trim({x}), '^(?:[^/?#]*?://)?(?:[^/?#]*@)?([^/?#:@]*)', 1))"
@@ -23,7 +21,7 @@ scalar("direct_model", _MODELS, lambda x: vendor.direct_model(F.lit("https://api
 _STATES = ["completed", "failed", "timed_out", "canceled", "terminated", "running", "paused"]
 scalar("execution_status", _STATES, lambda x: lifecycle.execution_status(x, F.when(F.col("event_id") % 2 == 0, F.lit("queued"))), "CASE WHEN {x} = 'completed' THEN 'succeeded' WHEN {x} IN ('failed', 'timed_out') THEN 'failed' WHEN {x} IN ('canceled', 'terminated') THEN 'cancelled' WHEN event_id % 2 = 0 THEN 'queued' ELSE 'running' END")
 scalar("string_leaves", ['{"b": ["x#", 1, "y"], "a": "z", "c": 3}', '{"a": ""}', "{}"], lambda x: F.udf(lambda t: " ".join(json_records.string_leaves(__import__("json").loads(t))), "string", useArrow=True)(x), "CASE event_id % 3 WHEN 0 THEN 'z x' || event_id || ' y' ELSE '' END")
-query("format_scaled", "SELECT event_id, ((event_id - 500)::DECIMAL(18,2) / 100)::DECIMAL(18,2)::VARCHAR AS y FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.udf(lambda n: format_scaled(n - 500, 2), "string", useArrow=True)("event_id").alias("y")))
+query("format_scaled", "SELECT event_id, ((event_id - 500)::DECIMAL(18,2) / 100)::DECIMAL(18,2)::VARCHAR AS y FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", text.format_scaled(F.col("event_id") - 500, 2).alias("y")))
 query("url_template", "SELECT event_id, 'https://x/' || strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') || '/' || strftime(ts, '%H') AS y FROM events")(
     lambda spark, d: table(spark, d, "events").select("event_id", F.udf(lambda t: url.render("https://x/{{ date-1d:%Y-%m-%d }}/{{ date:%H }}", t.replace(tzinfo=timezone.utc) if isinstance(t, datetime) else t), "string", useArrow=True)("ts").alias("y"))
 )
@@ -58,14 +56,9 @@ query("json_migrate", """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN '{
 )
 
 
-def _folder(spark, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{abs(hash(datetime.now()))}" if shared else "file://" + tempfile.mkdtemp(prefix=f"sievework-{name}-")
-
-
 def _replace_partitions(spark, d):
     """The billing table written twice: the second run replaces only the months that it has."""
-    path = _folder(spark, "billing") + "/t"
+    path = shared_folder(spark, "billing") + "/t"
     rollup = usage.daily(usage_events(spark, d)).withColumn("month", F.trunc("day", "MM").cast("string"))
     rollup.withColumn("steps", F.lit(-1).cast("long")).write.partitionBy("month").parquet(path)
     rollup.where("day >= DATE'1997-01-01'").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
@@ -78,7 +71,7 @@ query("partition_replace", f"{_YEARS} SELECT year(day)::INT AS year, sum(CASE WH
 
 def _stream_billing(spark, d):
     """Events delivered as a stream of files, some twice; the billing table kept by batches."""
-    folder = _folder(spark, "stream")
+    folder = shared_folder(spark, "stream")
     events = usage_events(spark, d)
     events.unionByName(events.where("kind = 'step'")).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import control, sink, usage
+from ..operators import control, enrich, sink, usage
 from ..sources import url
 from ..operators.documents import read_blobs
 from ..plans.catalog import OPERATORS
@@ -280,7 +280,9 @@ query("incremental_skip", "SELECT doc_id AS source_id, sha256(text) AS hash FROM
 query("decode_limits", "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 536870912 AND count(*) <= 1000000 AS ok FROM documents GROUP BY 1")(
     lambda spark, d: table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).withColumn("ok", (F.col("bytes") <= 512 << 20) & (F.col("n") <= 1_000_000))
 )
-query("state_for", "SELECT doc_id, left(lang || chr(10) || chr(10) || text, 48000) AS state FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.left(F.concat_ws("\n\n", "lang", "text"), F.lit(48000)).alias("state")))
+query("state_for", "SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source || chr(10) || chr(10) END || text, 48000) AS state FROM documents")(
+    lambda spark, d: (lambda t: t.select("doc_id", enrich.state_for(t).alias("state")))(table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("source")).alias("title"), F.col("text").alias("content")))
+)
 query("approx_size", "SELECT doc_id, (strlen(doc_id::VARCHAR) + strlen(source) + strlen(text) + strlen('{\"lang\":\"' || lang || '\"}') + 256)::BIGINT AS size, (strlen(text) * 4 // 3)::BIGINT AS raw FROM documents")(
     lambda spark, d: (lambda t: t.select(F.col("id").cast("long").alias("doc_id"), usage.approx_size(t).alias("size"), usage.blob_size(F.col("content").cast("binary")).alias("raw")))(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.to_json(F.struct("lang")).alias("fields")))
 )
\ No newline at end of file

@@ -90,4 +90,5 @@ def maybe_gunzip(data: Column) -> Column:
     from ..operators.archives import gunzip
 
     unpack = F.udf(lambda d: gunzip(bytes(d), 512 << 20) if d is not None else None, "binary", useArrow=True)
-    return F.when(F.hex(F.substring(data, 1, 2)) == "1F8B", unpack(data)).otherwise(data)
+    packed = F.hex(F.substring(data, 1, 2)) == "1F8B"
+    return F.coalesce(unpack(F.when(packed, data)), data)  # a Python function sees all rows, whatever stands around it

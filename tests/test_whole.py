@@ -100,3 +100,49 @@ def test_reflatten_operator(spark):
     docs = spark.createDataFrame([("u", "T", "C", '{"a":{"b":1},"x":"y"}', 5), ("w", None, "", '{"id":"n w","x":"y"}', 6), ("v", None, "C", None, 7)], "id string, title string, content string, fields string, page int")
     got = [tuple(r) for r in catalog.OPERATORS["json_flattener"](docs, {}).collect()]
     assert got == [("u", "T", "C", '{"a.b":1,"x":"y"}', 5), ("n_w", None, "y", '{"x":"y"}', 6), ("v", None, "C", "{}", 7)]
+
+
+def test_pipelines_from_files_to_the_index(spark, tmp_path):
+    from sievework.plans import catalog, pipeline
+    from sievework.queries import files
+
+    see, hear = (lambda data: '{"caption": "a cat", "kind": "photo"}'), (lambda data: [{"start": 0.0, "end": 1.0, "text": "hello"}])
+    operators = catalog.with_clients(transcribe=hear, see=see, answer=lambda q, text: {k: {"value": "x", "confidence": 0.9} for k in q})
+    blobs = {
+        "builtin.csv": ("a.csv", b"name,n\nx,1\ny,2\n"), "builtin.json": ("b.json", b'[{"id": 1, "t": "x"}]'), "builtin.html": ("c.html", b"<title>T</title><main><p>some text</p></main>"), "builtin.text": ("d.txt", b"plain text"),
+        "builtin.markdown": ("e.md", b"# One\n\ntext\n"), "builtin.image": ("f.png", b"\x89PNG"), "builtin.audio": ("g.wav", files.wav_file(1, "")), "builtin.xlsx": ("h.xlsx", files.xlsx_file(3, "x")),
+    }
+    built = {p.uid: p for p in pipeline.builtin_pipelines()}
+    checked = 0
+    for uid, (name, data) in blobs.items():
+        if uid not in built:
+            continue
+        steps = [{"id": s.id, "plugin": s.plugin, "depends_on": list(s.depends_on), "config": s.config | ({"path": str(tmp_path / uid)} if s.plugin == "index_sink" else {})} for s in built[uid].steps]
+        p = pipeline.Pipeline.parse({"uid": uid, "steps": steps})
+        source = spark.createDataFrame([(data, None, name, None, None)], "data binary, mime string, filename string, origin string, charset string")
+        seen = []
+        for _ in range(2):  # again changes nothing
+            pipeline.build(p, source, operators)[p.order()[-1]].collect()
+            seen.append(sorted(map(str, spark.read.parquet(str(tmp_path / uid)).drop("shard").collect())))
+        assert seen[0] == seen[1] and seen[0], uid
+        checked += 1
+    assert checked >= 6
+    for p in built.values():  # every built-in pipeline names operators that there are
+        assert all(s.plugin in operators for s in p.steps)
+    asked = operators["jev_enricher"](spark.createDataFrame([("t", "c", '{"a":1}')], "title string, content string, fields string"), {"questions": {"q": {"kind": "choice", "options": ["x", "y"]}}}).first()
+    assert asked["fields"] == '{"a":1,"q":"x","q_confidence":0.9}'
+
+
+def test_oversized_documents_stop_the_sink(spark, tmp_path):
+    from sievework.operators import sink
+
+    docs = spark.createDataFrame([("a", "x" * 50)], "id string, content string")
+    with pytest.raises(sink.OversizedDocument):
+        sink.run(docs, {"path": str(tmp_path / "i"), "max_batch_bytes": 40})
+    assert not (tmp_path / "i").exists()
+
+
+def test_newer_deliveries_and_fnv():
+    from sievework.functions import ids
+
+    assert [ids.fnv1a64(x) for x in ("", "a", "foobar")] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
