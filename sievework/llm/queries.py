@@ -8,6 +8,7 @@ from .chat_format import OP8_SQL, op8_chat_format
 from .fingerprints import op3_fingerprints
 from .language_id import op6_language_id
 from .mixing import op4_mix_sources
+from .oracle import OP1_SQL, OP5_SQL, OP9_SQL
 from .packing import op2_best_fit_packing
 from .quality_rules import op5_quality_rules
 from .secret_scan import op10_secret_scan
@@ -30,5 +31,8 @@ QUERIES = {
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
+    "op5_quality_rules": OP5_SQL,
     "op8_chat_format": OP8_SQL,
+    "op9_suffix_dedup": OP9_SQL,
 }

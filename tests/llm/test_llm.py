@@ -5,14 +5,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import chat_format, common, fingerprints, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup
+from sievework.llm import chat_format, common, fingerprints, language_id, mixing, packing, quality_rules, queries, secret_scan, simhash, substring_dedup, suffix_dedup
 
 WORDS = "the of and a to in is was for on that with by at from which or an are be this have its not but they one had all were their more has when there can".split()
 
@@ -681,3 +683,15 @@ def test_pipeline(spark, corpus, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] += r["length"]
     assert got == want and not any("abcdef1234567890" in r["text"] for r in docs.collect())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op5_quality_rules", "op8_chat_format", "op9_suffix_dedup"])
+def test_sql(spark, name):
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    found = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, data)
+    assert sorted(got.columns) == sorted(found.columns)
+    assert Counter(tuple(r[c] for c in found.columns) for r in got.collect()) == Counter(found.fetchall())
