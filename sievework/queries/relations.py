@@ -197,7 +197,9 @@ query("pipeline_upsert", f"WITH {_PIPES}, n AS (SELECT DISTINCT 'u' || (s_nation
 query("connection_used_by", "SELECT DISTINCT 'o' || l_orderkey AS uid FROM lineitem WHERE 'c' || (l_suppkey % 6) = 'c2'")(
     lambda spark, d: control.connection_used_by(table(spark, d, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("uid")).agg(F.collect_list(F.struct(F.lit("p").alias("plugin"), F.concat(F.lit("c"), (F.col("l_suppkey") % 6).cast("string")).alias("connection"))).alias("steps")), "c2")
 )
-query("unknown_plugins", "SELECT DISTINCT p_type AS plugin FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size = 45)")(lambda spark, d: control.unknown_plugins(table(spark, d, "part").select(F.col("p_type").alias("plugin")), table(spark, d, "part").where("p_size = 45").select(F.col("p_type").alias("plugin"))))
+query("unknown_plugins", "SELECT DISTINCT 'plug' || (p_partkey % 40) AS plugin FROM part WHERE p_partkey % 40 >= 30")(
+    lambda spark, d: (lambda p: control.unknown_plugins(p, p.where("n < 30")))(table(spark, d, "part").select(F.concat(F.lit("plug"), (F.col("p_partkey") % 40).cast("string")).alias("plugin"), (F.col("p_partkey") % 40).alias("n")))
+)
 query("plugin_upsert", "SELECT p_brand AS name, arg_max(p_type, p_partkey) AS version, max(p_partkey) AS updated_at FROM part GROUP BY 1")(lambda spark, d: usage.deduplicated_last(table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("version"), F.col("p_partkey").alias("updated_at")), ["name"], ["updated_at"]))
 _PATCH = {"pipeline_uid": (3, "u7"), "location": (5, "loc"), "timezone": (7, "UTC"), "cron": (4, "0 1 * * *")}
 query("source_patch", f"""WITH s AS (SELECT c_custkey AS source_id, 'u' || (c_nationkey % 9) AS pipeline_uid, CASE WHEN c_custkey % 4 = 0 THEN 'loc' ELSE c_name END AS location, CASE WHEN c_custkey % 2 = 0 THEN 'UTC' END AS timezone, '0 0 * * *' AS cron, CASE WHEN c_custkey % 11 < 3 THEN 'own' END AS index_name, CASE WHEN c_custkey % 13 < 3 THEN 'key' END AS fetch_auth, false AS paused, 'tag' || c_custkey AS etag, 'day' AS last_modified, 'h' AS hash FROM customer),
