@@ -67,6 +67,61 @@ def plan_batches(sized: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MA
     return sized.repartition(group).sortWithinPartitions(group, "seq").mapInPandas(cut, schema)
 
 
+#: Ids that a filter lists at most.
+IDS_PER_FILTER = 1000
+
+
+def _quoted(c: Column) -> Column:
+    """A filter's string; null where a backslash could change what it means."""
+    return F.when(~F.contains(c, F.lit("\\")), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"')))
+
+
+def prune_filters(children: DataFrame, key: str = "id", most: int = IDS_PER_FILTER, group: str = "part") -> DataFrame:
+    """children: part, seq, parent_id, id. The filters (part, n, filter) by which a service deletes stale children of these parents.
+
+    Parents go into a filter in the order in which they came, until it would list more than `most` ids; a parent is never
+    split, so one with more has a filter of its own. A parent with an id that cannot be written safely is left out.
+    prune() does the same as a join where the index is a table.
+    """
+    rows = children.where("parent_id is not null").select(group, "seq", _quoted(F.col("parent_id")).alias("p"), F.coalesce("parent_id", F.lit("")).alias("raw"), _quoted(F.col("id")).alias("i"))
+    safe = (F.count("i") == F.count("*")) & (F.count("p") == F.count("*"))
+    parents = rows.groupBy(group, "raw").agg(F.first("p").alias("p"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "i"))), lambda x: x["i"]).alias("ids"), F.min("seq").alias("seq"), safe.alias("safe")).where("safe")
+    schema = T.StructType([parents.schema[group], T.StructField("n", T.IntegerType()), T.StructField("p", T.StringType()), T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("seq", parents.schema["seq"].dataType)])
+
+    def cut(batches):
+        held, n, size = None, 0, 0
+        for frame in batches:
+            numbers = []
+            for part, ids in zip(frame[group], frame["ids"], strict=True):
+                if held is None or part != held[0]:
+                    held, n, size = (part,), 0, 0
+                if size and size + len(ids) > most:
+                    n, size = n + 1, 0
+                size += len(ids)
+                numbers.append(n)
+            yield frame.assign(n=numbers)[schema.names]
+
+    numbered = parents.repartition(group).sortWithinPartitions(group, "seq").select(group, "p", "ids", "seq").mapInPandas(cut, schema)
+    one = numbered.groupBy(group, "n").agg(F.array_sort(F.collect_list(F.struct("seq", "p", "ids"))).alias("x"))
+    listed = lambda c: F.array_join(c, ", ")
+    text = F.concat(F.lit("_meta.parent_id IN ["), listed(F.transform("x", lambda r: r["p"])), F.lit(f"] AND NOT {key} IN ["), listed(F.flatten(F.transform("x", lambda r: r["ids"]))), F.lit("]"))
+    return one.select(group, "n", text.alias("filter"))
+
+
+def confirmed(plan: DataFrame, checkpoint: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The leading batches of each step's plan that need not be sent again.
+
+    plan: step, batch, start, end, destination, documents; checkpoint (of the last attempt): step, batch, start, end, task,
+    enqueued_ms, destination, documents; tasks (what the service has): task, destination, enqueued_ms. destination and
+    documents are fingerprints. The first batch that is not confirmed ends it, so that batches keep their order.
+    """
+    same = ["step", "batch", "start", "end", "destination", "documents"]
+    sent = checkpoint.select(*same, "task", "enqueued_ms").join(tasks.select("task", "destination", "enqueued_ms"), ["task", "destination", "enqueued_ms"], "left_semi")
+    known = plan.join(sent.select(*same, "task"), same, "left")
+    first = known.groupBy("step").agg(F.min(F.when(F.col("task").isNull(), F.col("batch"))).alias("from"))
+    return known.join(first, "step").where(F.col("from").isNull() | (F.col("batch") < F.col("from"))).select("step", "batch", "task")
+
+
 def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "seq", prune_stale: bool = False) -> None:
     """Upserts docs (id, parent_id, chunk_total, ...) into the Parquet index at path, by shards of the id's hash.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import errors
@@ -75,6 +78,8 @@ def usage_report(events: DataFrame, project_id: str, date_from: str, date_to: st
 
 #: Counters of a step that a job's row has the sums of.
 UNITS = ["llm_input_tokens", "llm_output_tokens", "llm_requests", "audio_seconds", "pages", "images", "external_requests"]
+#: Ranges into which fan_out cuts a group.
+_RANGES = 64
 #: Fixed value: characters of an error that an event keeps.
 MOST_ERROR = 512
 
@@ -187,10 +192,29 @@ def fan_in(branches: DataFrame, sums: list[str] | None = None) -> DataFrame:
 
 
 def fan_out(docs: DataFrame, order: list[str], most: int = 500, per: list[str] | None = None) -> DataFrame:
-    """Adds branch: contiguous groups of ceil(n / most) documents in order, for each group of `per`."""
-    group = Window.partitionBy(*(per or [F.lit(0)]))
-    size = F.ceil(F.count("*").over(group) / most)
-    return docs.withColumn("branch", F.floor((F.row_number().over(group.orderBy(*order)) - 1) / size))
+    """Adds branch: contiguous groups of ceil(n / most) documents in order, for each group of `per`.
+
+    Each group is cut at quantiles of its first order column, if that is a number or a time, so that no task
+    numbers a whole group; rows with equal values stay together.
+    """
+    per = per or []
+    kind = docs.schema[order[0]].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        group = Window.partitionBy(*(per or [F.lit(0)]))
+        return docs.withColumn("branch", F.floor((F.row_number().over(group.orderBy(*order)) - 1) / F.ceil(F.count("*").over(group) / most)))
+    at = [k / _RANGES for k in range(1, _RANGES)]
+    keys = [F.col(c).alias(f"_k{n}") for n, c in enumerate(per)] or [F.lit(0).alias("_k0")]
+    mine = lambda n: F.col(per[n]) if per else F.lit(0)
+    cuts = docs.groupBy(*keys).agg(F.percentile_approx(order[0], at).alias("_cuts"), F.count("*").alias("_n"))
+    joined = docs.join(cuts, reduce(lambda a, b: a & b, [mine(n).eqNullSafe(F.col(f"_k{n}")) for n in range(len(keys))]))
+    names = [f"_k{n}" for n in range(len(keys))]
+    ranged = joined.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order[0]))), F.lit(0)))
+    counts = ranged.groupBy(*names, "_range").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*names).orderBy("_range")) - F.col("_c")  # at most _RANGES rows a group
+    starts = counts.select(*(F.col(c).alias(f"s{c}") for c in names), F.col("_range").alias("s_range"), before.alias("_before"))
+    placed = ranged.join(starts, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in names]) & (F.col("_range") == F.col("s_range")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*names, "_range").orderBy(*order)) - 1
+    return placed.select(*docs.columns, F.floor(place / F.ceil(F.col("_n") / most)).alias("branch"))
 
 
 def deduplicated_last(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
@@ -202,3 +226,26 @@ def deduplicated_last(rows: DataFrame, key: list[str], newest: list[str]) -> Dat
 def expired(events: DataFrame, now: Column, days: int = 180) -> DataFrame:
     """What a time-to-live of so many days keeps."""
     return events.where(F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def write_usage(events: DataFrame, path: str) -> None:
+    """Appends events to the Parquet table at path, by month of ts. Columns may be added or missing; another type is an error.
+
+    Deliveries that come twice stay: dedup() keeps the last one when the table is read.
+    """
+    spark = events.sparkSession
+    try:
+        known = {f.name: f.dataType for f in read_usage(spark, path).schema}
+    except Exception as e:  # noqa: BLE001  no table yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        known = {}
+    for f in events.schema:
+        if f.name in known and known[f.name] != f.dataType:
+            raise ValueError(f"column {f.name} is {known[f.name].simpleString()} in the table, not {f.dataType.simpleString()}")
+    events.withColumn("month", F.date_format("ts", "yyyyMM")).write.mode("append").partitionBy("month").parquet(path)
+
+
+def read_usage(spark, path: str) -> DataFrame:
+    """All events of the table, with the columns of every release that wrote to it."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("month")

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import archives, audio, binary_records, chunker, csv, enrich, html, json_records, markdown, office, parquet, pdf, sink
+from ..operators import archives, audio, binary_records, chunker, csv, enrich, html, json_records, markdown, office, parquet, pdf, script, sink
 from ..operators.documents import extract
-from .pipeline import Operator
-
-
-@dataclass(frozen=True)
-class Manifest:
-    name: str
-    accepts: tuple[str, ...]
-    produces: str
-    category: str
-    unavailable: str | None = None
+from .pipeline import Manifest, Operator
 
 
 def _kernel(kernel) -> Operator:
@@ -80,6 +69,7 @@ OPERATORS: dict[str, Operator] = {
     "chunker": _chunk,
     "video_audio_extractor": lambda df, config: df.withColumn("data", F.udf(lambda d: audio.resample(bytes(d), config.get("sample_rate", 16000), config.get("mono", True)), "binary", useArrow=True)("data")),
     "archive_expander": lambda df, config: archives.expand(df),
+    "document_script": script.run_config,
     "index_sink": sink.run,
     "whisper_transcriber": _missing("whisper_transcriber", "no transcription client is set"),
     "image_captioner": _missing("image_captioner", "no vision client is set"),
@@ -110,3 +100,10 @@ def with_clients(transcribe=None, complete=None, see=None, answer=None) -> dict[
 def _captioned(reply: str, config: dict) -> dict:
     doc = enrich.caption_document(reply, tuple(config.get("allow_reserved", ())))
     return {"content": doc["content"], "fields": json_records.dumps(doc["fields"])}
+
+
+_DOCS = ("documents", "many")
+# What the operators take where it is not bytes alone, and what they give where it is not documents.
+_TAKES = {"chunker": (*_DOCS, "bytes"), "json_flattener": ("bytes", *_DOCS), "document_script": _DOCS, "llm_enricher": _DOCS, "jev_enricher": _DOCS, "index_sink": (*_DOCS, "empty")}
+_GIVES = {"video_audio_extractor": "bytes", "archive_expander": "bytes", "s3_downloader": "bytes", "index_sink": "empty"}
+MANIFESTS = {name: Manifest(name, _TAKES.get(name, ("bytes",)), _GIVES.get(name, "documents")) for name in OPERATORS}

@@ -118,20 +118,49 @@ def retry_params(policy: dict | None) -> dict:
     return {"attempts": policy.get("max_attempts", 3), "delay": 0.0 if policy.get("backoff") == "none" else policy.get("delay_secs", 1.0), "factor": factor}
 
 
+def merge_total(pipeline: Pipeline, step: str) -> int | None:
+    """How many outputs the widest step behind `step` takes together; null if none takes more than one."""
+    return max((len(s.depends_on) for s in pipeline.steps if step in s.depends_on and len(s.depends_on) > 1), default=None)
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """What an operator takes (kinds of input: bytes, documents, many, empty; none for all) and gives."""
+
+    name: str
+    accepts: tuple[str, ...]
+    produces: str
+
+    def check(self, kind: str) -> None:
+        """Many outputs together also count as documents."""
+        if self.accepts and kind not in self.accepts and not (kind == "many" and "documents" in self.accepts):
+            raise PipelineError("InvalidInput", f"plugin {self.name} accepts {', '.join(self.accepts)} but received {kind}")
+
+
 #: name -> (rows in, config) -> rows out.
 Operator = Callable[[DataFrame, dict], DataFrame]
 
 
-def build(pipeline: Pipeline, source: DataFrame, operators: dict[str, Operator]) -> dict[str, DataFrame]:
+def build(pipeline: Pipeline, source: DataFrame, operators: dict[str, Operator], manifests: dict[str, Manifest] | None = None) -> dict[str, DataFrame]:
     """The output of every step, as lazy DataFrames: one plan that Spark optimizes whole. Several inputs are a union in the
-    order of the dependencies; fan_out only repartitions, since every step works on partitions anyway."""
+    order of the dependencies. Every step works on partitions anyway, so a fan-out adds no shuffle: what it makes of its
+    input is checked. With manifests, so is what every step takes: a source is bytes if it has `data`, else documents.
+    """
     done: dict[str, DataFrame] = {}
+    gives: dict[str, str] = {}
     by_id = {s.id: s for s in pipeline.steps}
     for name in pipeline.order():
         step = by_id[name]
         if step.plugin not in operators:
             raise PipelineError("UnknownPlugin", f"unknown plugin {step.plugin}")
         inputs = [done[d] for d in step.depends_on]
+        kinds = [gives[d] for d in step.depends_on] or ["bytes" if "data" in source.columns else "documents"]
+        manifest = (manifests or {}).get(step.plugin)
+        if step.fan_out == "$.documents" and kinds[0] == "bytes":
+            raise PipelineError("InvalidInput", f"{name}: bytes have no documents to fan out")
+        if manifest:
+            manifest.check("documents" if step.fan_out == "$.documents" else "many" if len(kinds) > 1 else kinds[0])
+        gives[name] = "many" if step.fan_out else manifest.produces if manifest else "documents"
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs) if inputs else source
         done[name] = operators[step.plugin](df, step.config)
     return done

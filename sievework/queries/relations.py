@@ -277,7 +277,7 @@ query("parquet_parse", """SELECT 'customer_r' || c_custkey AS id, '{"c_custkey":
 # parquet_parse numbers rows by key, as its SQL does. All columns, and the operator's own ids: numbers have no common text form with DuckDB, so no SQL
 query("parquet_parse_all")(lambda spark, d: _parsed(spark, d, "customer", {}))
 query("incremental_skip", "SELECT doc_id AS source_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")(
-    lambda spark, d: (lambda t: url.changed(t, t.select("source_id", F.when(F.col("source_id") % 6 == 0, F.sha2("content", 256)).otherwise(F.lit("older")).alias("hash"))).select("source_id", "hash"))(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")))
+    lambda spark, d: (lambda t: url.changed(t, t.select("source_id", F.when(F.col("source_id") % 6 == 0, F.sha2("content", 256)).otherwise(F.lit("older")).alias("hash")), lambda c: F.sha2(c, 256)).select("source_id", "hash"))(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")))
 )
 query("decode_limits", "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 536870912 AND count(*) <= 1000000 AS ok FROM documents GROUP BY 1")(
     lambda spark, d: table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).withColumn("ok", (F.col("bytes") <= 512 << 20) & (F.col("n") <= 1_000_000))

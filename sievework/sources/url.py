@@ -74,9 +74,15 @@ def file_job_id(job_id: uuid.UUID, ordinal: int) -> uuid.UUID:
     return uuid.uuid5(job_id, f"archive-file-{ordinal}")
 
 
-def changed(fetched: DataFrame, state: DataFrame) -> DataFrame:
+def blake3(data: Column) -> Column:
+    from ..functions.blake3 import blake3_hex
+
+    return F.udf(lambda d: None if d is None else blake3_hex(bytes(d)), "string", useArrow=True)(data.cast("binary"))
+
+
+def changed(fetched: DataFrame, state: DataFrame, digest=blake3) -> DataFrame:
     """fetched: source_id, content. Those whose hash is not the stored one, with it."""
-    return fetched.withColumn("hash", F.sha2("content", 256)).join(state.select("source_id", "hash"), ["source_id", "hash"], "left_anti")
+    return fetched.withColumn("hash", digest(F.col("content"))).join(state.select("source_id", "hash"), ["source_id", "hash"], "left_anti")
 
 
 def commit(state: DataFrame, run: DataFrame) -> DataFrame:
