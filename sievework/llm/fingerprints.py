@@ -16,7 +16,6 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -132,15 +131,15 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf(T.IntegerType())
     def range_of(doc_id: pa.Array) -> pa.Array:
-        return pa.array([0 if x is None else bisect_right(bounds, x) for x in doc_id.to_pylist()], pa.int32())
+        place = np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(doc_id.is_null().to_numpy(zero_copy_only=False), 0, place).astype(np.int32))
 
     tops = {r["r"]: r["top"] for r in ids.select("doc_id", range_of("doc_id").alias("r")).groupBy("r").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)
-    after = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}  # the top document of range r also ends this range
-    lead = F.create_map(*(F.lit(y) for r in order for y in (r, after[r]))) if order else F.create_map(F.lit(0), F.lit(0))
-    top = F.create_map(*(F.lit(y) for r in order for y in (r, tops[r]))) if order else F.create_map(F.lit(0), F.lit(None).cast("long"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("r", range_of("doc_id"))
-    copies = F.array(F.struct(F.col("r").alias("target"), F.lit(0).alias("own")), F.when(F.col("doc_id").eqNullSafe(top[F.col("r")]), F.struct(lead[F.col("r")].alias("target"), F.lit(1).alias("own"))))
+    ends = [(r, order[(i + 1) % len(order)], tops[r]) for i, r in enumerate(order)]  # the top document of range r also ends the range `lead`
+    table = F.broadcast(spark.createDataFrame(ends, "r int, lead int, top long"))  # a row a range
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("r", range_of("doc_id")).join(table, "r")
+    copies = F.array(F.struct(F.col("r").alias("target"), F.lit(0).alias("own")), F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.struct(F.col("lead").alias("target"), F.lit(1).alias("own"))))
     dealt = own.select("doc_id", "text", F.inline(F.filter(copies, lambda x: x.isNotNull())))
     return dealt.repartitionById(len(bounds) + 1, "target").sortWithinPartitions("target", "own", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 

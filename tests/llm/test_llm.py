@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and long texts, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -208,6 +209,64 @@ def test_fingerprints(docs, corpus, empty):
     assert fingerprints.likeness("", "") == 1 and fingerprints.likeness("", rows[0]["fingerprint"]) == 0
 
 
+def naive_fingerprint(text: str) -> str:
+    """A text's fingerprint symbol by symbol, by the rules of the module's docstring."""
+    full = (1 << 64) - 1
+    if not text:
+        return ""
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    symbols, levels = [mix(ord(c) + 1) for c in text], []
+    for level in (1, 2, 3):
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(symbols)]
+        symbols = [k if n == 1 else mix((k + n * 0x9E3779B97F4A7C15) & full) for k, n in runs]
+        labels, width = symbols, 64
+        for _ in range(3):
+            tossed = [labels[0] & 1] if labels else []
+            for left, here in itertools.pairwise(labels):
+                low = ((left ^ here) & -(left ^ here)).bit_length() - 1 if left != here else width
+                tossed.append(2 * low + (here >> low & 1))
+            labels, width = tossed, 8
+        padded = [*labels, 0]
+        begins = [k for k in range(len(labels)) if k == 0 or (labels[k] > labels[k - 1] and labels[k] >= padded[k + 1])]
+        phrases = [symbols[a:b] for a, b in zip(begins, [*begins[1:], len(symbols)], strict=True)]
+        symbols = [mix(sum(mix((x + k * 0xD6E8FEB86659FD93) & full) for k, x in enumerate(p)) + level & full) for p in phrases]
+        levels.append("".join(f"{x:08x}" for x in sorted({x >> 32 for x in symbols})[: (8, 24, 32)[level - 1]]))
+    return ".".join(levels)
+
+
+def naive_likeness(one: str, other: str) -> float:
+    if one == other or not (one and other):
+        return float(one == other)
+    cut = lambda x: [set(re.findall("." * 8, p)) for p in x.split(".")]
+    level, a, b = [(k, a, b) for k, (a, b) in enumerate(zip(cut(one), cut(other), strict=True)) if k == 0 or min(len(a), len(b)) >= (1, 6, 8)[k]][-1]
+    least = sorted(a | b)[: (8, 24, 32)[level]]
+    return sum(x in a and x in b for x in least) / len(least) if least else 0.0
+
+
+def test_fingerprints_against_brute_force(docs, corpus):
+    rows = {r["doc_id"]: r for r in fingerprints.compare_with_edits(docs).collect()}
+    naive = [naive_fingerprint(t or "") for t in corpus]
+    for k, t in enumerate(corpus):
+        t, n = t or "", corpus[k - 1] or ""
+        edited = naive_fingerprint(t[: len(t) - len(t) // 3] + n[: len(t) // 3])
+        assert (rows[k]["fingerprint"], rows[k]["edited_fingerprint"]) == (naive[k], edited)
+        assert rows[k]["near_edited"] == pytest.approx(naive_likeness(naive[k], edited))
+        assert rows[k]["near_next"] == pytest.approx(naive_likeness(naive[k], naive[k - 1]))
+
+
+@pytest.mark.parametrize("ids", [[None, None, 3], [5, 5, 5, 1], [None], [2**60, 2**60 + 1, -7, 0]])
+def test_fingerprints_of_null_and_repeated_ids(spark, ids):
+    found = [f"text number {k} " + "abc " * k for k in range(len(ids))]
+    rows = fingerprints.compare_with_edits(spark.createDataFrame(list(zip(ids, found, strict=True)), "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(ids)
+    assert sorted(r["fingerprint"] for r in rows) == sorted(map(naive_fingerprint, found))
+
+
 def test_phrases_do_not_depend_on_their_place():
     rng = random.Random(6)
     middle = "".join(rng.choice("abcdefgh ij") for _ in range(400))
