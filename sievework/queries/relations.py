@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import control, enrich, sink, usage
+from ..operators import control, enrich, json_records, sink, usage
 from ..sources import url
 from ..operators.documents import read_blobs
 from ..plans.catalog import OPERATORS
@@ -254,10 +254,10 @@ query("prune", f"WITH {_CHUNKS} SELECT * FROM stored WHERE parent_id IN (SELECT
 query("index_sink", "SELECT user_id AS id, arg_max(event_type, event_id) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT user_id, 'old' FROM events WHERE user_id % 2 = 1 OR user_id NOT IN (SELECT user_id FROM events WHERE user_id % 2 = 0)")(
     lambda spark, d: sink.upsert(table(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("old").alias("v")).distinct(), table(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("v"), F.col("event_id").alias("seq")))
 )
-query("to_index_json", """SELECT doc_id, '{"id":"' || doc_id || '","content":' || to_json(left(text, 50))::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"_meta":{"language":' || to_json(lang)::VARCHAR || '}}' AS j FROM documents""")(
-    lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.left("text", F.lit(50)), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
+query("to_index_json", """SELECT doc_id, '{"id":"' || doc_id || '","content":' || to_json(text)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"_meta":{"language":' || to_json(lang)::VARCHAR || '}}' AS j FROM documents""")(
+    lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("text"), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
 )
-# the whole text, of which to_index_json and its SQL compare the first 50 code points
+# the same rows under the name of the test against json.dumps
 query("to_index_json_whole")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("text"), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
 )
@@ -279,8 +279,23 @@ query("parquet_parse_all")(lambda spark, d: _parsed(spark, d, "customer", {}))
 query("incremental_skip", "SELECT doc_id AS source_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")(
     lambda spark, d: (lambda t: url.changed(t, t.select("source_id", F.when(F.col("source_id") % 6 == 0, F.sha2("content", 256)).otherwise(F.lit("older")).alias("hash")), lambda c: F.sha2(c, 256)).select("source_id", "hash"))(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")))
 )
-query("decode_limits", "SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text)) <= 536870912 AND count(*) <= 1000000 AS ok FROM documents GROUP BY 1")(
-    lambda spark, d: table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).withColumn("ok", (F.col("bytes") <= 512 << 20) & (F.col("n") <= 1_000_000))
+
+
+@F.udf("size long, ok boolean", useArrow=True)
+def _decoded(n: int, kind: str) -> dict:
+    """An object of n % 5 keys of three letters, each with the event's kind; n % 7 of them are a file, within limits or not."""
+    record = {f"k{k:02}": kind for k in range(n % 5)}
+    size, ok = json_records.decoded_size(record), True
+    try:
+        json_records.check_limits([record], most_bytes=170)
+        json_records.check_limits([None] * (n % 7), most_rows=5)
+    except json_records.InvalidInput:
+        ok = False
+    return {"size": size, "ok": ok}
+
+
+query("decode_limits", "SELECT event_id, 32 * (event_id % 5 + 1) + (event_id % 5) * (3 + length(event_type)) AS size, 32 * (event_id % 5 + 1) + (event_id % 5) * (3 + length(event_type)) <= 170 AND event_id % 7 <= 5 AS ok FROM events")(
+    lambda spark, d: table(spark, d, "events").select("event_id", _decoded("event_id", "event_type").alias("r")).select("event_id", "r.size", "r.ok")
 )
 query("state_for", "SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source || chr(10) || chr(10) END || text, 48000) AS state FROM documents")(
     lambda spark, d: (lambda t: t.select("doc_id", enrich.state_for(t).alias("state")))(table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("source")).alias("title"), F.col("text").alias("content")))
