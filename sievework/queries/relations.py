@@ -281,7 +281,6 @@ query("incremental_skip", "SELECT doc_id AS source_id, sha256(text) AS hash FROM
 )
 
 
-@F.udf("size long, ok boolean", useArrow=True)
 def _decoded(n: int, kind: str) -> dict:
     """An object of n % 5 keys of three letters, each with the event's kind; n % 7 of them are a file, within limits or not."""
     record = {f"k{k:02}": kind for k in range(n % 5)}
@@ -295,7 +294,7 @@ def _decoded(n: int, kind: str) -> dict:
 
 
 query("decode_limits", "SELECT event_id, 32 * (event_id % 5 + 1) + (event_id % 5) * (3 + length(event_type)) AS size, 32 * (event_id % 5 + 1) + (event_id % 5) * (3 + length(event_type)) <= 170 AND event_id % 7 <= 5 AS ok FROM events")(
-    lambda spark, d: table(spark, d, "events").select("event_id", _decoded("event_id", "event_type").alias("r")).select("event_id", "r.size", "r.ok")
+    lambda spark, d: table(spark, d, "events").select("event_id", F.udf(_decoded, "size long, ok boolean", useArrow=True)("event_id", "event_type").alias("r")).select("event_id", "r.size", "r.ok")
 )
 query("state_for", "SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN '' ELSE source || chr(10) || chr(10) END || text, 48000) AS state FROM documents")(
     lambda spark, d: (lambda t: t.select("doc_id", enrich.state_for(t).alias("state")))(table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("source")).alias("title"), F.col("text").alias("content")))
