@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .fingerprints import op3_fingerprints
+from .importance import OP11_SQL, op11_importance_resampling
 from .language_id import op6_language_id
 from .mixing import op4_mix_sources
 from .oracle import OP1_SQL, OP5_SQL, OP9_SQL
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op5_quality_rules": OP5_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_suffix_dedup": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
 }
