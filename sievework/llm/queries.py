@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .fingerprints import op3_fingerprints
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .importance import OP11_SQL, op11_importance_resampling
 from .language_id import op6_language_id
 from .mixing import op4_mix_sources
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -38,4 +40,5 @@ ORACLE_SQL = {
     "op8_chat_format": OP8_SQL,
     "op9_suffix_dedup": OP9_SQL,
     "op11_importance_resampling": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
