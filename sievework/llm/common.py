@@ -72,6 +72,12 @@ def drop(staged: DataFrame) -> None:
         delete(staged.sparkSession, path)
 
 
+def again(staged: DataFrame) -> DataFrame:
+    """A table of stage() read once more: as a relation of its own it can meet itself in a join or cogroup."""
+    paths = {x.rsplit("/", 1)[0] for x in staged.inputFiles()}
+    return staged.sparkSession.read.schema(staged.schema).parquet(*paths) if paths else staged
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was staged within it, and nothing else: other results keep their tables."""

@@ -9,6 +9,7 @@ from .fingerprints import op3_fingerprints
 from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .importance import OP11_SQL, op11_importance_resampling
 from .language_id import op6_language_id
+from .language_model import op12_language_model
 from .mixing import op4_mix_sources
 from .oracle import OP1_SQL, OP5_SQL, OP9_SQL
 from .packing import op2_best_fit_packing
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_language_model": op12_language_model,
     "op13_hard_negatives": op13_hard_negatives,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
