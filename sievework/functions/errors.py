@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ ERROR_KINDS = {
 }
 
 
+#: The plugin that writes to the destination, and the destination's name in messages.
+SINK, DESTINATION = "index_sink", "search index"
+
+
 def _has(text: Column, *phrases: str) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in phrases))
 
@@ -29,23 +34,32 @@ def _first(rules: list[tuple[Column, str]], other: Column | str) -> Column:
     return out.otherwise(other)
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(value), where value is computed once a row however often the rule names it: a CASE's branches share nothing otherwise."""
+    return F.transform(F.array(value), rule)[0]
+
+
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lowered and no other letter; ASCII texts take the short way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def classify_error(message: Column) -> Column:
-    m = ascii_lower(F.regexp_replace(message, r"(?U)^\s+|\s+$", ""))
-    return _first([(m == "", ""), *((_has(m, *phrases), kind) for kind, phrases in ERROR_KINDS.items())], F.lit("internal"))
+    rule = lambda m: _first([(~F.rlike(m, F.lit(r"(?U)\S")), ""), *((_has(m, *phrases), kind) for kind, phrases in ERROR_KINDS.items())], F.lit("internal"))
+    return once(ascii_lower(message), rule)
 
 
 def error_kind(status: Column, message: Column) -> Column:
     return F.when(status == "cancelled", F.lit("cancelled")).otherwise(classify_error(F.coalesce(message, F.lit(""))))
 
 
-def failure_reason(plugin: Column, message: Column, sink: str = "index_sink", destination: str = "search index") -> Column:
+def failure_reason(plugin: Column, message: Column, sink: str = SINK, destination: str = DESTINATION) -> Column:
     """The reason code of a failed step. sink: the plugin that writes to the destination of this name."""
+    return once(F.lower(message), lambda m: _failure_reason(plugin, m, sink, destination))
+
+
+def _failure_reason(plugin: Column, m: Column, sink: str, destination: str) -> Column:
     # The phrases of each reason, in order.
-    m = F.lower(message)
     at_sink = plugin.eqNullSafe(F.lit(sink)) | _has(m, destination, sink)
     rules = [
         (_has(m, "invalid config: ") | m.startswith("invalid pipeline "), "invalid_config"),
@@ -63,14 +77,17 @@ def failure_reason(plugin: Column, message: Column, sink: str = "index_sink", de
 
 def source_failure_reason(message: Column) -> Column:
     """The reason code of a failed source run; a rejected fetch tells by its HTTP status."""
-    m = F.lower(message)
+    return once(F.lower(message), _source_failure_reason)
+
+
+def _source_failure_reason(m: Column) -> Column:
     status = F.regexp_extract(m, r"(?s)fetch rejected: .*status ([0-9]{3})", 1)
     fetched = F.when(status.isin("401", "403"), F.lit("source_auth")).when(status.isin("404", "410"), F.lit("source_not_found")).when(status == "402", F.lit("insufficient_credits")).otherwise(F.lit("internal"))
     return (
         F.when(_has(m, "no lab credits", "source run refused"), F.lit("insufficient_credits"))
         .when(_has(m, "fetch rejected: "), fetched)
         .when(_has(m, "fetch: ", "dns: "), F.lit("source_unreachable"))
-        .when(m.startswith("job ") | _has(m, " jobs failed; first: "), failure_reason(F.lit(None).cast("string"), message))
+        .when(m.startswith("job ") | _has(m, " jobs failed; first: "), _failure_reason(F.lit(None).cast("string"), m, SINK, DESTINATION))
         .otherwise(F.lit("internal"))
     )
 
