@@ -6,6 +6,7 @@ import gzip
 import io
 import posixpath
 import tarfile
+import time
 import zipfile
 import zlib
 from dataclasses import dataclass
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .documents import carried, said
+
 FILES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("status", T.StringType()), T.StructField("reason", T.StringType())]))
 
 
@@ -122,3 +125,26 @@ def expand(blobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """filename, path, data, status, reason: a row for each file of each archive."""
     run = F.udf(lambda data, name: walk(bytes(data), name or "data", limits), FILES, useArrow=True)
     return blobs.select("filename", F.inline(run("data", "filename")))
+
+
+_MADE = T.StructType([T.StructField("files", FILES), T.StructField("error", T.StringType()), T.StructField("ms", T.DoubleType())])
+
+
+def expanded(blobs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Metered rows: the files of each archive as blobs, named by their path. Skipped files are none of them."""
+    own = carried(blobs)
+
+    def make(data, name) -> dict | None:
+        if data is None:
+            return None
+        start = time.perf_counter()
+        try:
+            files, error = [f for f in walk(bytes(data), name or "data", limits) if f["status"] == "file"], None
+        except Exception as e:  # noqa: BLE001  an archive's error is its row's
+            files, error = [], said(e)
+        return {"files": files, "error": error, "ms": (time.perf_counter() - start) * 1000}
+
+    made = blobs.select(*own, F.col("origin"), F.udf(make, _MADE, useArrow=True)("data", "filename").alias("m"))
+    rows = made.select(*own, "origin", F.col("m.error").alias("_error"), F.col("m.ms").alias("_ms"), F.posexplode_outer("m.files").alias("_n", "f"))
+    none = F.lit(None).cast("string")
+    return rows.select(F.col("f.data").alias("data"), none.alias("mime"), F.col("f.path").alias("filename"), "origin", none.alias("charset"), *own, "_n", "_error", "_ms")

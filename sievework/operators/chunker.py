@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import suffixed_id
+from .documents import carried, metered, strict
 
 # White space as the word rule has it (Python adds U+001C to U+001F).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -112,11 +113,18 @@ def chunks(text: Column, config: ChunkConfig) -> Column:
     return F.udf(lambda t: chunk(t, config) if t is not None else [], T.ArrayType(T.StringType()), useArrow=True)(text)
 
 
+def chunked(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
+    """Metered rows: docs (id, title, content, fields, meta columns) as one row a chunk with chunk_index, chunk_total and parent_id."""
+    config, own = config or ChunkConfig(), carried(docs)
+    kept = [c for c in docs.columns if c not in ("id", "content", "chunk_index", "chunk_total", "parent_id", "_n", "_error", "_ms", *own)] if config.keep_parent_fields else []
+    before = [c for c in ("_error", "_ms") if c in docs.columns]
+    parts = docs.select(F.col("id").alias("parent_id"), *kept, *own, *before, chunks(F.col("content"), config).alias("parts"))
+    total = F.size("parts").alias("chunk_total")
+    rows = parts.select("parent_id", *kept, *own, *before, total, F.posexplode_outer("parts").alias("chunk_index", "content"))
+    id_ = F.when(F.col("chunk_index").isNotNull(), suffixed_id(F.col("parent_id"), F.concat(F.lit("_"), F.col("chunk_index").cast("string"))))
+    return metered(rows.select(id_.alias("id"), *kept, "content", "chunk_index", "chunk_total", "parent_id", *own, *before)).withColumn("_n", F.col("chunk_index"))
+
+
 def chunk_documents(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """docs: id, title, content, fields, meta columns. One row a chunk with chunk_index, chunk_total and parent_id; empty documents give none."""
-    config = config or ChunkConfig()
-    kept = [c for c in docs.columns if c not in ("id", "content", "chunk_index", "chunk_total", "parent_id")] if config.keep_parent_fields else []
-    parts = docs.select(F.col("id").alias("parent_id"), *kept, chunks(F.col("content"), config).alias("parts"))
-    total = F.size("parts").alias("chunk_total")
-    rows = parts.select("parent_id", *kept, total, F.posexplode("parts").alias("chunk_index", "content"))
-    return rows.select(suffixed_id(F.col("parent_id"), F.concat(F.lit("_"), F.col("chunk_index").cast("string"))).alias("id"), *kept, "content", "chunk_index", "chunk_total", "parent_id")
+    return strict(chunked(docs, config))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .json_records import free_name
+from ..functions.ids import sanitize_id
+from .json_records import InvalidConfig, free_name
 
 # Candidate delimiters in order of preference, and how much of a file is looked at.
 DELIMITERS, SAMPLE_BYTES, SAMPLE_RECORDS = ",;\t|", 64 << 10, 100
@@ -61,19 +62,30 @@ def sniff(text: str) -> str:
 
 
 def column_names(header: list[str], width: int) -> list[str]:
-    """Names of all columns: col_<n> for blank ones, later repeats with _2, _3, ...; real headers keep theirs, and _row is taken."""
+    """Names of all columns: col_<n> for blank ones, later repeats with _2, _3, ...; real headers keep theirs."""
     real = {h.strip() for h in header if h.strip()}
-    taken, out, used = {"_row"}, [], set()
+    out, used = [], set()
     for n in range(width):
         name = header[n].strip() if n < len(header) else ""
         wanted = name or f"col_{n + 1}"
-        if wanted in used or wanted in taken or (not name and wanted in real):
-            wanted = free_name(used | real | taken, wanted)
+        if wanted in used or (not name and wanted in real):
+            wanted = free_name(used | real, wanted)
         used.add(wanted)
         out.append(wanted)
     return out
 
 
+def place_of(names: list[str], name: str, key: str, has_headers: bool) -> int:
+    """A configured column's place. Headers must have it; without headers it is positional."""
+    if not has_headers:
+        if not (m := re.fullmatch(r"col_([1-9][0-9]*)", name)):
+            raise InvalidConfig(f"invalid config: csv_parser: with has_headers false, {key} must be a positional name like col_1, not {name!r}")
+        return int(m[1]) - 1
+    if name not in names:
+        raise InvalidConfig(f"invalid config: csv_parser: {key} names an unknown column {name!r} (available: {', '.join(names)})")
+    return names.index(name)
+
+
 def typed(cell: str):
     """An integer in 64 bits, a decimal number or a boolean where it is one beyond doubt; else the text."""
     if _INTEGER.match(cell) and -(1 << 63) <= int(cell) < 1 << 64:
@@ -84,24 +96,31 @@ def typed(cell: str):
 
 
 def rows(text: str, delimiter: str | None = None, has_headers: bool = True, id_column: str | None = None, content_columns: list[str] | None = None, max_rows: int | None = None, trim: bool = True) -> list[dict]:
+    """A dict (row, id or null, content, fields) for each record with a cell that is not empty. `_row` is the record's number, or `_row_2` beside a column `_row`."""
     found = records(text, delimiter or sniff(text))
     header, body = (found[0], found[1:]) if has_headers and found else ([], found)
+    named = column_names(header, len(header))
+    id_at = place_of(named, id_column, "id_column", has_headers) if id_column else None
+    content_at = None if content_columns is None else {place_of(named, c, "content_columns", has_headers) for c in content_columns}
     names = column_names(header, max(map(len, found), default=0))
-    out = []
+    number, out = free_name(names, "_row"), []
     for n, cells in enumerate(body[:max_rows], 1):
         cells = [c.strip() for c in cells] if trim else cells
-        values = {k: c for k, c in zip(names, cells, strict=False) if c}
-        if not values:
+        fields = {k: typed(c) for k, c in zip(names, cells, strict=False) if c}
+        if not fields:
             continue
-        given = values.get(id_column) if id_column else None
-        content = " ".join(c for k, c in values.items() if k != id_column and (content_columns is None or k in content_columns))
-        fields = {k: typed(c) for k, c in values.items() if k != id_column} | {"_row": n}
-        out.append({"row": n, "id": given, "content": content, "fields": json.dumps(fields, ensure_ascii=False, separators=(",", ":"), sort_keys=True)})
+        content = " ".join(c for k, c in enumerate(cells) if c and (content_at is None or k in content_at))
+        given = cells[id_at] if id_at is not None and id_at < len(cells) and cells[id_at] else None
+        out.append({"row": n, "id": given, "content": content, "fields": json.dumps(fields | {number: n}, ensure_ascii=False, separators=(",", ":"), sort_keys=True)})
     return out
 
 
+def documents(data: bytes, charset: str | None = None, encoding: str | None = None, **config) -> list[dict]:
+    """A file's records as documents, whose ids are the id column's or else `<stem>_r<n>`."""
+    return [{"id": d["id"], "suffix": f"_r{d['row']}", "content": d["content"], "fields": d["fields"]} for d in rows(decode(data, charset, encoding), **config)]
+
+
 def parse_csv(blobs: DataFrame, data: str = "data", stem: str = "stem", **config) -> DataFrame:
     """blobs: stem and text. One document for each row with a cell that is not empty: id, content, fields."""
     found = blobs.select(stem, F.explode(F.udf(lambda t: rows(t, **config), ROWS, useArrow=True)(F.col(data))).alias("d"))
-    given = F.regexp_replace("d.id", "[^A-Za-z0-9_-]", "_")
-    return found.select(stem, F.coalesce(given, F.concat(F.col(stem), F.lit("_r"), F.col("d.row").cast("string"))).alias("id"), "d.content", "d.fields", "d.row")
+    return found.select(stem, F.coalesce(sanitize_id(F.col("d.id")), F.concat(F.col(stem), F.lit("_r"), F.col("d.row").cast("string"))).alias("id"), "d.content", "d.fields", "d.row")

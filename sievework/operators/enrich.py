@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .documents import said, strict
+
 
 class Retryable(Exception):
     def __init__(self, message: str, after: float | None = None):
@@ -114,23 +116,27 @@ def with_retry(call: Callable[[], str], attempts: int = 4, base: float = 1.0, mo
     raise AssertionError
 
 
-ENRICHED = T.StructType([T.StructField("title", T.StringType()), T.StructField("language", T.StringType()), T.StructField("fields", T.StringType())])
+ENRICHED = T.StructType([T.StructField(x, T.StringType()) for x in ("title", "language", "fields", "error")])
 
 
-def enrich(docs: DataFrame, client: Callable[[str, str], str] | None, config: EnrichConfig = EnrichConfig()) -> DataFrame:
-    """docs: title, content, language, fields (JSON), ... client: (prompt, text) -> reply. Several calls at a time in a task; order and other columns stay."""
+def enriched(docs: DataFrame, client: Callable[[str, str], str] | None, config: EnrichConfig = EnrichConfig(), live: str = "content") -> DataFrame:
+    """Metered rows: docs (title, content, language, fields as JSON, ...) with what a client, (prompt, text) -> reply, makes of them. Several calls at a time in a task; order and other columns stay."""
     if client is None:
         raise ValueError("invalid config: no model client is set")
 
     def one(title, content, language, fields):
         doc = {"title": title, "language": language, "fields": json.loads(fields or "{}")}
+        if content is None:
+            return {"title": title, "language": language, "fields": fields, "error": None}
         try:
             doc = apply_reply(doc, with_retry(lambda: client(config.prompt, (content or "")[: config.max_input_chars])), config)
         except Declined as e:
             if config.on_refusal == "fail":
-                raise
+                return {"title": title, "language": language, "fields": fields, "error": said(e)}
             doc["fields"]["llm_declined"] = str(e)
-        return {"title": doc["title"], "language": doc["language"], "fields": json.dumps(doc["fields"], ensure_ascii=False, separators=(",", ":"), sort_keys=True)}
+        except Exception as e:  # noqa: BLE001  a document's error is its row's
+            return {"title": title, "language": language, "fields": fields, "error": said(e)}
+        return {"title": doc["title"], "language": doc["language"], "fields": json.dumps(doc["fields"], ensure_ascii=False, separators=(",", ":"), sort_keys=True), "error": None}
 
     @F.pandas_udf(ENRICHED)
     def run(title: pd.Series, content: pd.Series, language: pd.Series, fields: pd.Series) -> pd.DataFrame:
@@ -138,7 +144,17 @@ def enrich(docs: DataFrame, client: Callable[[str, str], str] | None, config: En
         with ThreadPoolExecutor(config.max_concurrent) as pool:
             return pd.DataFrame(list(pool.map(one, title, content, language, fields)), columns=ENRICHED.names)
 
-    return docs.withColumn("enriched", run("title", "content", "language", "fields")).select(*[F.col(f"enriched.{c}").alias(c) if c in ENRICHED.names else c for c in docs.columns])
+    made = docs.withColumn("_made", run("title", "content", "language", "fields")).select(*[F.col(f"_made.{c}").alias(c) if c in ENRICHED.names else c for c in docs.columns], F.col("_made.error").alias("_error"))
+    return _by_error(made, live)
+
+
+def _by_error(made: DataFrame, live: str) -> DataFrame:
+    return made.withColumns({"_n": F.when(F.col(live).isNotNull() & F.col("_error").isNull(), F.lit(0)), "_ms": F.lit(0.0)})
+
+
+def enrich(docs: DataFrame, client: Callable[[str, str], str] | None, config: EnrichConfig = EnrichConfig()) -> DataFrame:
+    """enriched() as plain documents; those without content stay as they are."""
+    return strict(enriched(docs.withColumn("_live", F.lit(True)), client, config, "_live")).drop("_live")
 
 
 def resume(docs: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
@@ -146,16 +162,26 @@ def resume(docs: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return docs.join(done.select(*key).distinct(), key, "left_anti")
 
 
-def answer(docs: DataFrame, client: Callable[[dict, str], dict], questions: dict[str, dict], most_chars: int = 48_000) -> DataFrame:
-    """docs: title, content, fields (JSON), ... with a typed answer to each question, and its confidence, among the fields; what is there stays."""
+def answered(docs: DataFrame, client: Callable[[dict, str], dict], questions: dict[str, dict], most_chars: int = 48_000, live: str = "content") -> DataFrame:
+    """Metered rows: docs (title, content, fields as JSON, ...) with a typed answer to each question, and its confidence, among the fields; what is there stays."""
+
+    @F.udf("fields string, error string", useArrow=True)
+    def run(live, state, fields):
+        if live is None:
+            return fields, None
+        try:
+            made = answer_fields(questions, json.loads(with_retry(lambda: json.dumps(client(questions, state or "")))))
+        except Exception as e:  # noqa: BLE001  a document's error is its row's
+            return fields, said(e)
+        return json.dumps(made | json.loads(fields or "{}"), ensure_ascii=False, separators=(",", ":"), sort_keys=True), None
+
+    made = docs.withColumn("_made", run(F.col(live).cast("string"), state_for(docs, most_chars), "fields"))
+    return _by_error(made.select(*(F.col("_made.fields").alias(c) if c == "fields" else c for c in docs.columns), F.col("_made.error").alias("_error")), live)
 
-    @F.udf("string", useArrow=True)
-    def run(state, fields):
-        old = json.loads(fields or "{}")
-        made = answer_fields(questions, json.loads(with_retry(lambda: json.dumps(client(questions, state or "")))))
-        return json.dumps(made | old, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
-    return docs.withColumn("fields", run(state_for(docs, most_chars), "fields"))
+def answer(docs: DataFrame, client: Callable[[dict, str], dict], questions: dict[str, dict], most_chars: int = 48_000) -> DataFrame:
+    """answered() as plain documents."""
+    return strict(answered(docs.withColumn("_live", F.lit(True)), client, questions, most_chars, "_live")).drop("_live")
 
 
 def state_for(docs: DataFrame, most_chars: int = 48_000) -> Column:

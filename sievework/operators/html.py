@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 
@@ -171,6 +172,17 @@ def decode_html(data: bytes, charset: str | None = None) -> str:
     return data.decode("utf-8", "replace")
 
 
+def documents(data: bytes, charset: str | None = None, extract_links: bool = False, include_meta_description: bool = True) -> list[dict]:
+    """A page as a document: its language beside title and content, description and links among the fields."""
+    page = extract(decode_html(data, charset))
+    if page is None:
+        return []
+    fields = {"description": page["description"]} if include_meta_description and page["description"] else {}
+    if extract_links:
+        fields["links"] = page["links"]
+    return [{"title": page["title"], "content": page["content"], "language": page["language"], "fields": json.dumps(fields, ensure_ascii=False, separators=(",", ":"), sort_keys=True) if fields else None}]
+
+
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds title, content, language, description and links; pages without text and title go."""
     return pages.withColumn("page", F.udf(extract, PAGE, useArrow=True)(F.col(html))).where("page is not null").select(*[c for c in pages.columns if c != html], "page.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import sanitize_id
+from .documents import metered, strict
 
 # Keys under which a wrapper object holds its records, in order.
 WRAPPERS = ("documents", "items", "data", "results", "hits")
@@ -23,6 +24,10 @@ class InvalidInput(ValueError):
     pass
 
 
+class InvalidConfig(ValueError):
+    pass
+
+
 @dataclass(frozen=True)
 class FlattenConfig:
     id_field: str = "id"
@@ -168,18 +173,38 @@ def flatten_payloads(blobs: DataFrame, config: FlattenConfig | None = None, data
     return rows.select(stem, "n", F.coalesce(F.when(F.col("d.id").isNotNull(), given), made).alias("id"), "d.title", "d.content", "d.fields")
 
 
-def reflatten(docs: DataFrame, config: FlattenConfig | None = None) -> DataFrame:
-    """docs: id, title, content, fields (a JSON object) and others. The fields flattened anew; id, title and content stay where fields name none."""
+def documents(data: bytes, config: FlattenConfig) -> list[dict]:
+    """A payload's records as documents, whose ids are the id field's or else `<stem>_<n>`."""
+    made = (document(r, f"_{k}", config) for k, r in enumerate(check_limits(parse(data.decode(), config))))
+    return [{"id": d["id"], "suffix": d["generated"], "title": d["title"], "content": d["content"], "fields": d["fields"]} for d in made]
+
+
+_ANEW = T.StructType([*DOCUMENTS.elementType.fields, T.StructField("error", T.StringType())])
+
+
+def reflattened(docs: DataFrame, config: FlattenConfig | None = None) -> DataFrame:
+    """Metered rows: docs (id, title, content, fields as a JSON object, and others) with fields flattened anew; id, title and content stay where fields name none."""
     config = config or FlattenConfig()
 
-    @F.udf(DOCUMENTS.elementType, useArrow=True)
+    @F.udf(_ANEW, useArrow=True)
     def run(id_, title, content, fields):
-        d = document(json.loads(fields) if fields else {}, "", config, {"id": id_, "title": title, "content": content})
-        return {"id": d["id"], "title": d["title"], "content": d["content"], "fields": d["fields"]}
+        if id_ is None:
+            return None
+        try:
+            d = document(json.loads(fields) if fields else {}, "", config, {"id": id_, "title": title, "content": content})
+        except ValueError as e:
+            return dict.fromkeys(_ANEW.names) | {"error": str(e) if str(e).startswith("invalid ") else f"invalid input: {e}"}
+        return {"id": d["id"], "title": d["title"], "content": d["content"], "fields": d["fields"], "error": None}
+
+    made = docs.withColumn("_made", run("id", "title", "content", "fields"))
+    ok = F.col("_made").isNotNull() & F.col("_made.error").isNull()
+    new = {"id": F.when(ok, F.coalesce(sanitize_id(F.col("_made.id")), F.col("id"))), "title": F.col("_made.title"), "content": F.col("_made.content"), "fields": F.col("_made.fields")}
+    return metered(made.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns), F.col("_made.error").alias("_error")))
 
-    made = docs.withColumn("fields", run("id", "title", "content", "fields"))
-    new = {"id": F.coalesce(sanitize_id(F.col("fields.id")), F.col("id")), "title": F.col("fields.title"), "content": F.col("fields.content"), "fields": F.col("fields.fields")}
-    return made.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+
+def reflatten(docs: DataFrame, config: FlattenConfig | None = None) -> DataFrame:
+    """reflattened() as plain documents."""
+    return strict(reflattened(docs, config))
 
 
 def wrapper_key(payload: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import sanitize_id
+from .documents import strict
 
 #: set: columns to expressions; keep: a predicate; rename: old to new; drop: columns.
 ON_ERROR = ("fail", "skip", "keep")
@@ -18,29 +19,31 @@ def finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) != float("inf")), F.lit(True))
 
 
-def run(docs: DataFrame, set_: dict[str, Column] | None = None, keep: Column | None = None, rename: dict[str, str] | None = None, drop: list[str] | None = None, valid: Column | None = None, on_error: str = "fail") -> DataFrame:
-    """One pass over documents: keep's rows (all without it), with set_'s columns computed from the document as it came.
+def rows(docs: DataFrame, set_: dict[str, Column] | None = None, keep: Column | None = None, rename: dict[str, str] | None = None, drop: list[str] | None = None, valid: Column | None = None, on_error: str = "fail", live: Column | None = None) -> DataFrame:
+    """One pass over documents, as metered rows: keep's rows (all without it), with set_'s columns computed from the document as it came.
 
-    valid tells which documents the script can handle: others fail the step, go, or stay untouched. set_ is atomic: a
-    document is changed wholly or not at all. Expressions have no loops, so every document ends.
+    valid tells which documents the script can handle: others are errors, go, or stay untouched. set_ is atomic: a
+    document is changed wholly or not at all. Expressions have no loops, so every document ends. live: which rows are documents.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"invalid config: on_error {on_error!r}")
-    set_, ok = set_ or {}, F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
-    if on_error == "fail" and valid is not None:
-        ok = F.when(ok, True).otherwise(F.raise_error(F.lit("invalid input: the script failed for a document")).cast("boolean"))
-        out = docs.where(ok)
-        ok = F.lit(True)
-    else:
-        out = docs.where(ok) if on_error == "skip" else docs
-        ok = F.lit(True) if on_error == "skip" else ok
+    set_, live = set_ or {}, F.lit(True) if live is None else live
+    ok = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
+    failed = live & ~ok if on_error == "fail" else F.lit(False)
+    stays = live if on_error == "keep" else live & ok
     if keep is not None:
-        out = out.where(F.coalesce(keep, F.lit(False)) | ~ok)
-    columns = [F.when(ok, set_[c]).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in docs.columns]
-    out = out.select(*columns, *(F.when(ok, e).alias(c) for c, e in set_.items() if c not in docs.columns))
+        stays &= F.coalesce(keep, F.lit(False)) | ~ok
+    marked = docs.withColumns({"_n": F.when(stays, F.lit(0)), "_error": F.when(failed, F.lit("invalid input: the script failed for a document")), "_ms": F.lit(0.0), "_ok": live & ok})
+    columns = [F.when(F.col("_ok"), set_[c]).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in marked.columns if c != "_ok"]
+    out = marked.select(*columns, *(F.when(F.col("_ok"), e).alias(c) for c, e in set_.items() if c not in docs.columns))
     return out.withColumnsRenamed(rename or {}).drop(*(drop or []))
 
 
+def run(docs: DataFrame, set_: dict[str, Column] | None = None, keep: Column | None = None, rename: dict[str, str] | None = None, drop: list[str] | None = None, valid: Column | None = None, on_error: str = "fail") -> DataFrame:
+    """rows() as plain documents: what on_error=fail is for fails the query."""
+    return strict(rows(docs, set_, keep, rename, drop, valid, on_error))
+
+
 def promote(fields: Column, names: dict[str, str]) -> dict[str, Column]:
     """Keys of the JSON fields as columns: name -> type."""
     return {k: F.try_variant_get(F.try_parse_json(fields), f"$.{k}", t) for k, t in names.items()}
@@ -98,8 +101,8 @@ def expression(text: str) -> Column:
     return F.expr(text)
 
 
-def run_config(docs: DataFrame, config: dict) -> DataFrame:
-    """The script step of a pipeline. config: set (column to expression), keep, valid (expressions), rename, drop, on_error, max_ops, timeout_ms.
+def configured(docs: DataFrame, config: dict, live: Column | None = None) -> DataFrame:
+    """The script step of a pipeline, as metered rows. config: set (column to expression), keep, valid (expressions), rename, drop, on_error, max_ops, timeout_ms.
 
     A document's id stays an index id, its columns of origin stay as they are, and what a script makes of a document has at
     most MOST_ADDED bytes more than the document; a larger result is that document's error. Expressions end by
@@ -127,4 +130,9 @@ def run_config(docs: DataFrame, config: dict) -> DataFrame:
     if made:
         valid &= size(made.values()) <= size(texts) + MOST_ADDED
     keep = expression(config["keep"]) if config.get("keep") else None
-    return run(docs, made, keep, rename, drop, valid if made or config.get("valid") else None, config.get("on_error", "fail"))
+    return rows(docs, made, keep, rename, drop, valid if made or config.get("valid") else None, config.get("on_error", "fail"), live)
+
+
+def run_config(docs: DataFrame, config: dict) -> DataFrame:
+    """configured() as plain documents."""
+    return strict(configured(docs, config))

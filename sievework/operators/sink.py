@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .documents import carried, strict
+from .index import read_index, write_index
+from .json_records import InvalidConfig
+
 #: Documents and bytes in a batch at most.
 MAX_DOCS, MAX_BYTES = 1000, 50 << 20
-SHARDS = 64
 
 
 class OversizedDocument(ValueError):
@@ -122,60 +125,52 @@ def confirmed(plan: DataFrame, checkpoint: DataFrame, tasks: DataFrame) -> DataF
     return known.join(first, "step").where(F.col("from").isNull() | (F.col("batch") < F.col("from"))).select("step", "batch", "task")
 
 
-def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "seq", prune_stale: bool = False) -> None:
-    """Upserts docs (id, parent_id, chunk_total, ...) into the Parquet index at path, by shards of the id's hash.
+#: What an index row has beside its id; other columns of documents stay out.
+_ROW = ("title", "content", "fields", "section", "page", "language", "parent_id", "chunk_index", "chunk_total", "filename", "mime")
 
-    Only shards that the run touches are written anew. Running it twice changes nothing.
-    """
-    shard = F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int")
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001  no index yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = None
-    if stored is None:
-        out = docs.groupBy("id").agg(F.max_by(F.struct(*[c for c in docs.columns if c not in ("id", order)]), order).alias("r")).select("id", "r.*")
-    else:
-        kept = stored.drop("shard")
-        touched = docs.select(shard.alias("shard")).distinct()
-        if prune_stale:
-            gone = prune(stored, docs)
-            kept = kept.join(gone.select("id"), "id", "left_anti")
-            touched = touched.union(gone.select("shard")).distinct()
-        out = upsert(kept.withColumn("shard", shard).join(F.broadcast(touched), "shard", "left_semi").drop("shard"), docs, "id", order).checkpoint()
-    out = out.withColumn("shard", shard)
-    emptied = [] if stored is None else [r["shard"] for r in touched.join(out.select("shard").distinct(), "shard", "left_anti").collect()]  # at most SHARDS rows
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    for k in emptied:  # an overwrite leaves partitions without new rows alone
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
+# What the sink's configuration may hold beside the path of a Parquet index.
+KEYS = {"path", "host", "api_key", "index", "primary_key", "prune", "max_docs_per_batch", "max_batch_bytes", "auto_create_index", "wait_for_task", "task_timeout_secs"}
 
-#: What an index row has beside its id; other columns of documents stay out.
-_ROW = ("title", "content", "fields", "section", "page", "parent_id", "chunk_index", "chunk_total", "filename", "mime")
 
+def _checked(config: dict) -> None:
+    if unknown := sorted(set(config) - KEYS):
+        raise InvalidConfig(f"invalid config: index_sink: unknown {', '.join(unknown)}")
 
-def run(docs: DataFrame, config: dict) -> DataFrame:
-    """The sink step of a pipeline. config: path (of the Parquet index; without one the rows are only formed), prune, max_docs_per_batch, max_batch_bytes.
 
-    With a path, documents are upserted there and the rows that the index then has for them come back, with the JSON
-    that a batch carries. A document over max_batch_bytes is an error before anything is written.
-    """
+def formed(docs: DataFrame, config: dict) -> DataFrame:
+    """Metered rows: documents as index rows, with the JSON that a batch carries. A document over max_batch_bytes is an error; nothing is written."""
+    _checked(config)
     most = int(config.get("max_batch_bytes", MAX_BYTES))
-    meta = [c for c in ("section", "page", "parent_id", "chunk_index", "chunk_total", "filename", "mime") if c in docs.columns]
+    meta = [c for c in ("section", "page", "language", "parent_id", "chunk_index", "chunk_total", "filename", "mime") if c in docs.columns]
     none = F.lit(None).cast("string")
     json = index_json(F.col("id"), F.col("title") if "title" in docs.columns else none, F.col("content"), {}, F.struct(*meta) if meta else None)
-    rows = docs.select("id", *(c for c in _ROW if c in docs.columns), json.alias("json"))
-    path = config.get("path")
-    if not path:
-        return rows
-    too_large = rows.where(F.octet_length("json") + 2 > most).select("id").head(1)
-    if too_large:
-        raise OversizedDocument(f"document {too_large[0]['id']} fits in no batch of {most} bytes")
-    for c, kind in (("parent_id", "string"), ("chunk_total", "int")):
+    rows = docs.select("id", *(c for c in _ROW if c in docs.columns), F.when(F.col("id").isNotNull(), json).alias("json"), *carried(docs))
+    large = F.octet_length("json") + 2 > most
+    error = F.when(large, F.concat(F.lit("invalid input: document "), F.col("id"), F.lit(f" cannot be sent in any batch of {most} bytes")))
+    return rows.withColumns({"_n": F.when(F.col("id").isNotNull() & ~large, F.lit(0)), "_error": error, "_ms": F.lit(0.0)})
+
+
+def store(rows: DataFrame, config: dict) -> None:
+    """Upserts formed rows into the index at the configured path; of rows with one id the last chunk's stays."""
+    for c, kind in (("parent_id", "string"), ("chunk_total", "int"), ("chunk_index", "int")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(kind))
-    last = rows.withColumn("seq", F.coalesce(F.col("chunk_index"), F.lit(0)).cast("long") if "chunk_index" in rows.columns else F.lit(0).cast("long"))
-    write_index(docs.sparkSession, last, path, prune_stale=bool(config.get("prune", False)))
-    return docs.sparkSession.read.parquet(path).drop("shard").join(docs.select("id").distinct(), "id", "left_semi")
+    last = rows.withColumn("seq", F.coalesce(F.col("chunk_index"), F.lit(0)).cast("long"))
+    write_index(rows.sparkSession, last, config["path"], prune_stale=bool(config.get("prune", False)))
+
+
+def run(docs: DataFrame, config: dict) -> DataFrame:
+    """The sink step of a pipeline over plain rows. config: path (of the index; without one the rows are only formed), prune, max_batch_bytes.
+
+    With a path, documents are upserted there and the rows that the index then has for them come back. A document over
+    max_batch_bytes is an error before anything is written.
+    """
+    rows, path = formed(docs, config), config.get("path")
+    if not path:
+        return strict(rows)
+    too_large = rows.where(F.col("_error").isNotNull()).select("id").head(1)
+    if too_large:
+        raise OversizedDocument(f"document {too_large[0]['id']} fits in no batch of {config.get('max_batch_bytes', MAX_BYTES)} bytes")
+    store(strict(rows), config)
+    return read_index(docs.sparkSession, path).join(docs.select("id").distinct(), "id", "left_semi")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import errors
+from .tables import numbered
 
 # The plugins that pay a provider.
 PRICED_PLUGINS = ["llm_enricher", "jev_enricher", "image_captioner", "whisper_transcriber"]
@@ -78,8 +75,6 @@ def usage_report(events: DataFrame, project_id: str, date_from: str, date_to: st
 
 #: Counters of a step that a job's row has the sums of.
 UNITS = ["llm_input_tokens", "llm_output_tokens", "llm_requests", "audio_seconds", "pages", "images", "external_requests"]
-#: Ranges into which fan_out cuts a group.
-_RANGES = 64
 #: Fixed value: characters of an error that an event keeps.
 MOST_ERROR = 512
 
@@ -177,7 +172,7 @@ def unpriced_plugins(registered: DataFrame, prices: DataFrame) -> DataFrame:
     return registered.join(some, "plugin", "left_anti")
 
 
-def fan_in(branches: DataFrame, sums: list[str] | None = None) -> DataFrame:
+def fan_in(branches: DataFrame, sums: list[str] | None = None, keys: tuple[str, ...] = ("step",)) -> DataFrame:
     """branches: step, branch, ok (null: cancelled), error, documents, duration_ms, input_bytes and usage counters (`sums`). A step's branches as one outcome.
 
     A failed branch fails the step, before one that was cancelled; what the branches that ended well add up to is kept.
@@ -188,33 +183,13 @@ def fan_in(branches: DataFrame, sums: list[str] | None = None) -> DataFrame:
     message = F.concat((F.count("*") - done).cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" branches failed; first error: "), first)
     outcome = F.when(failed > 0, F.lit("failed")).when(done < F.count("*"), F.lit("cancelled")).otherwise(F.lit("succeeded"))
     added = [F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).alias(c) for c in sums]
-    return branches.groupBy("step").agg(outcome.alias("outcome"), F.count("*").alias("branches"), *added, F.when(failed > 0, message).alias("error"))
+    return branches.groupBy(*keys).agg(outcome.alias("outcome"), F.count("*").alias("branches"), *added, F.when(failed > 0, message).alias("error"))
 
 
 def fan_out(docs: DataFrame, order: list[str], most: int = 500, per: list[str] | None = None) -> DataFrame:
-    """Adds branch: contiguous groups of ceil(n / most) documents in order, for each group of `per`.
-
-    Each group is cut at quantiles of its first order column, if that is a number or a time, so that no task
-    numbers a whole group; rows with equal values stay together.
-    """
-    per = per or []
-    kind = docs.schema[order[0]].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        group = Window.partitionBy(*(per or [F.lit(0)]))
-        return docs.withColumn("branch", F.floor((F.row_number().over(group.orderBy(*order)) - 1) / F.ceil(F.count("*").over(group) / most)))
-    at = [k / _RANGES for k in range(1, _RANGES)]
-    keys = [F.col(c).alias(f"_k{n}") for n, c in enumerate(per)] or [F.lit(0).alias("_k0")]
-    mine = lambda n: F.col(per[n]) if per else F.lit(0)
-    cuts = docs.groupBy(*keys).agg(F.percentile_approx(order[0], at).alias("_cuts"), F.count("*").alias("_n"))
-    joined = docs.join(cuts, reduce(lambda a, b: a & b, [mine(n).eqNullSafe(F.col(f"_k{n}")) for n in range(len(keys))]))
-    names = [f"_k{n}" for n in range(len(keys))]
-    ranged = joined.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order[0]))), F.lit(0)))
-    counts = ranged.groupBy(*names, "_range").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*names).orderBy("_range")) - F.col("_c")  # at most _RANGES rows a group
-    starts = counts.select(*(F.col(c).alias(f"s{c}") for c in names), F.col("_range").alias("s_range"), before.alias("_before"))
-    placed = ranged.join(starts, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in names]) & (F.col("_range") == F.col("s_range")))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*names, "_range").orderBy(*order)) - 1
-    return placed.select(*docs.columns, F.floor(place / F.ceil(F.col("_n") / most)).alias("branch"))
+    """Adds branch: contiguous groups of ceil(n / most) documents in order, for each group of `per`. A group of any size spreads over tasks."""
+    placed = numbered(docs, per or [], order)
+    return placed.select(*docs.columns, F.floor(F.col("rank") / F.ceil(F.col("total") / most)).alias("branch"))
 
 
 def deduplicated_last(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import mime
 from ..operators import chunker, csv, enrich, html, json_records, route, script, sink
 from ..plans.builtin import BUILTIN
+from ..plans.catalog import OPERATORS
 from ..sources import url
 from ..streaming import usage_stream
 from .base import query, sample_sql, scalar, shared_folder, sql_text, table
@@ -38,6 +39,15 @@ query("chunk_meta", """WITH a AS (SELECT conv_id, turn, role, trim(text, ' ' ||
     lambda spark, d: chunker.chunk_documents(table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"), "role"), chunker.ChunkConfig(chunk_size=1_000_000)).select("id", "content", "chunk_index", "chunk_total", "parent_id", "role")
 )
 query("html_extract")(lambda spark, d: html.extract_pages(table(spark, d, "pages")))
+
+
+def _page_files(spark, d) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, d, "pages").select(F.col("html").cast("binary").alias("data"), none.alias("mime"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), none.alias("origin"), none.alias("charset"))
+
+
+# the registry's step: ids, language, and description and links among the fields
+query("html_step")(lambda spark, d: OPERATORS["html_extractor"](_page_files(spark, d), {"extract_links": True}).select("id", "title", "content", "language", "fields"))
 query("html_title", r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>')""")(
     lambda spark, d: html.extract_pages(table(spark, d, "pages").where(F.col("html").rlike(r"(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>"))).select("page_id", "title")
 )
@@ -54,13 +64,25 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("html_pipeline")(flagship)
-query("text_scan", "SELECT doc_id::VARCHAR AS id, text AS content FROM documents")(lambda spark, d: _docs(spark, d).select("id", "content"))
+# text files through the step that reads them
+query("text_scan", "SELECT 't' || doc_id || '_0' AS id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")(
+    lambda spark, d: OPERATORS["chunker"](
+        table(spark, d, "documents").select(F.col("text").cast("binary").alias("data"), F.lit("text/plain").alias("mime"), F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit(None).cast("string").alias("origin"), F.lit(None).cast("string").alias("charset")),
+        {"chunk_size": 1_000_000},
+    ).select("id", "content")
+)
 
 # JSON
-query("json_flatten", """SELECT 'ev' || event_id || '_0' AS id, event_id, json_extract_string(props, '$.k')::BIGINT AS k, '' AS content FROM events""")(
-    lambda spark, d: json_records.flatten_payloads(table(spark, d, "events").select(F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("stem"), F.col("props").alias("data")))
-    .select("id", F.regexp_extract("stem", r"\d+", 0).cast("long").alias("event_id"), F.get_json_object("fields", "$.k").cast("long").alias("k"), "content")
+def _payloads(spark, d) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, d, "events").select(F.col("props").cast("binary").alias("data"), none.alias("mime"), F.concat(F.lit("ev"), F.col("event_id").cast("string"), F.lit(".json")).alias("filename"), none.alias("origin"), none.alias("charset"))
+
+
+query("json_flatten", """SELECT 'ev' || event_id || '_0' AS id, json_extract_string(props, '$.k')::BIGINT AS k, '' AS content FROM events""")(
+    lambda spark, d: OPERATORS["json_flattener"](_payloads(spark, d), {}).select("id", F.get_json_object("fields", "$.k").cast("long").alias("k"), "content")
 )
+# ids that the records have
+query("json_ids", """SELECT json_extract_string(props, '$.k') AS id, '{}' AS fields FROM events""")(lambda spark, d: OPERATORS["json_flattener"](_payloads(spark, d), {"id_field": "k"}).select("id", "fields"))
 query("reflatten", "SELECT event_id, event_type AS content, json_extract_string(props, '$.k') AS k FROM events")(
     lambda spark, d: json_records.reflatten(table(spark, d, "events").select("event_id", F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("title"), F.col("event_type").alias("content"), F.col("props").alias("fields")))
     .select("event_id", "content", F.get_json_object("fields", "$.k").alias("k"))
@@ -79,9 +101,24 @@ query("ndjson_sniff", f"SELECT event_id, event_id % 3 = 0 AS y FROM events")(lam
 
 # CSV
 _FILE = "a;b;a\n1;x y;true\n\n;;\n007;-2.5;"
-query("csv_parse", """SELECT 'f' || event_id || '_r1' AS id, '1 x y true' AS content, '{"_row":1,"a":1,"a_2":true,"b":"x y"}' AS fields FROM events UNION ALL SELECT 'f' || event_id || '_r3', '007 -2.5', '{"_row":3,"a":"007","b":-2.5}' FROM events""")(
-    lambda spark, d: csv.parse_csv(table(spark, d, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("stem"), F.lit(_FILE).alias("data"))).select("id", "content", "fields")
-)
+def _files(spark, d, text: str, ending: str) -> DataFrame:
+    """A file of each event; # stands for its number."""
+    data = F.replace(F.lit(text), F.lit("#"), F.col("event_id").cast("string")).cast("binary")
+    none = F.lit(None).cast("string")
+    return table(spark, d, "events").select("event_id", data.alias("data"), none.alias("mime"), F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(ending)).alias("filename"), none.alias("origin"), none.alias("charset"))
+
+
+query(
+    "csv_parse",
+    """SELECT 'f' || event_id || '_r1' AS id, '1 x y true' AS content, '{"_row":1,"a":1,"a_2":true,"b":"x y"}' AS fields FROM events
+ UNION ALL SELECT 'f' || event_id || '_r3', '007 -2.5', '{"_row":3,"a":"007","b":-2.5}' FROM events""",
+)(lambda spark, d: OPERATORS["csv_parser"](_files(spark, d, _FILE, ".csv"), {}).select("id", "content", "fields"))
+# ids from a column, which move with their records; a record without one is known by its place
+query(
+    "csv_ids",
+    """SELECT 'k_' || event_id AS id, 'Hat' AS content, '{"_row":1,"key":"k ' || event_id || '","t":"Hat"}' AS fields FROM events
+ UNION ALL SELECT 'f' || event_id || '_r2', 'Cap', '{"_row":2,"t":"Cap"}' FROM events UNION ALL SELECT event_id || '-b', 'Sock', '{"_row":3,"key":"' || event_id || '-b","t":"Sock"}' FROM events""",
+)(lambda spark, d: OPERATORS["csv_parser"](_files(spark, d, "key,t\nk #,Hat\n,Cap\n#-b,Sock\n", ".csv"), {"id_column": "key", "content_columns": ["t"]}).select("id", "content", "fields"))
 _DIALECTS = [("a,b\n1,2\n", ","), ("a;b\n1;2\n", ";"), ("a\tb\n1\t2\n", "\t"), ('"x,y"|b\n1|2\n', "|"), ("just text\nmore\n", ","), ("one, two\nthree, four\n", ",")]
 query("csv_sniff", f"SELECT event_id, ([{', '.join(sql_text(m) for _, m in _DIALECTS)}])[event_id % 6 + 1] AS y FROM events")(
     lambda spark, d: table(spark, d, "events").select("event_id", F.udf(csv.sniff, "string", useArrow=True)(F.get(F.array(*(F.lit(t) for t, _ in _DIALECTS)), (F.col("event_id") % 6).cast("int"))).alias("y"))
@@ -117,10 +154,39 @@ query("trigger_names_type", "SELECT event_id AS blob_id, event_id % 8 = 4 AS y F
 query("archive_plan", "SELECT event_id AS blob_id, CASE WHEN event_id % 8 = 5 THEN 'expand' ELSE 'pipeline' END AS y FROM events")(lambda spark, d: _blobs(spark, d).select("blob_id", route.archive_plan(F.col("mime"), F.lit(False), F.lit(False)).alias("y")))
 
 # enrichment with a stub client
-query("apply_reply", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'T' || doc_id ELSE 'old' END AS title, 'old' AS topic FROM documents")(
-    lambda spark, d: table(spark, d, "documents").select("doc_id", F.udf(lambda n: enrich.apply_reply({"title": None if n % 2 == 0 else "old", "fields": {"topic": "old"}}, json.dumps({"title": f"T{n}", "topic": "new", "_x": 1}))["title"], "string", useArrow=True)("doc_id").alias("title"), F.lit("old").alias("topic"))
+def _reply(prompt: str, text: str) -> str:
+    """A reply with fields, a language and a reserved key."""
+    return json.dumps({"title": "T" + text, "topic": "new", "language": "xx", "_x": 1, "n": len(text)})
+
+
+def _replied(strategy: str, reserved: tuple = ()):
+    """Documents that differ in what they have already, through the enricher."""
+
+    def run(spark, d):
+        n = F.col("doc_id")
+        docs = table(spark, d, "documents").select(
+            "doc_id", F.when(n % 2 == 1, F.lit("old")).alias("title"), n.cast("string").alias("content"), F.when(n % 3 == 1, F.lit("en")).alias("language"), F.when(n % 5 < 2, F.lit('{"topic":"old"}')).otherwise(F.lit("{}")).alias("fields")
+        )
+        return enrich.enrich(docs, _reply, enrich.EnrichConfig(prompt="p", merge_strategy=strategy, allow_reserved=reserved)).select("doc_id", "title", "language", "fields")
+
+    return run
+
+
+query(
+    "apply_reply",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'old' ELSE 'T' || doc_id END AS title, CASE WHEN doc_id % 3 = 1 THEN 'en' ELSE 'xx' END AS language,
+ '{"n":' || length(doc_id::VARCHAR) || ',"topic":"' || CASE WHEN doc_id % 5 < 2 THEN 'old' ELSE 'new' END || '"}' AS fields FROM documents""",
+)(_replied("merge"))
+query("apply_reply_replace", """SELECT doc_id, 'T' || doc_id AS title, 'xx' AS language, '{"_x":1,"n":' || length(doc_id::VARCHAR) || ',"topic":"new"}' AS fields FROM documents""")(_replied("replace", ("_x",)))
+
+
+def _words(prompt: str, text: str) -> str:
+    return json.dumps({"title": text[:20], "spaces": text.count(" "), "language": "xx"})
+
+
+query("llm_enrich", f"""SELECT doc_id, left(text, 20) AS title, lang AS language, '{{"spaces":' || (length(x) - length(replace(x, ' ', ''))) || '}}' AS fields FROM (SELECT *, left(text, {enrich.EnrichConfig().max_input_chars}) AS x FROM documents)""")(
+    lambda spark, d: enrich.enrich(table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit("{}").alias("fields")), _words).select("doc_id", "title", "language", "fields")
 )
-query("llm_enrich")(lambda spark, d: enrich.enrich(table(spark, d, "documents").select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"), F.lit("{}").alias("fields")), lambda prompt, text: json.dumps({"title": text[:20], "words": len(text.split())})).select("doc_id", "title", "fields"))
 query("resume", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")(lambda spark, d: enrich.resume(table(spark, d, "documents").select("doc_id"), table(spark, d, "documents").where("doc_id % 3 = 0"), ["doc_id"]))
 
 # sources

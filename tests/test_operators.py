@@ -57,10 +57,10 @@ def test_chunk_rules():
 
 def test_csv():
     assert [csv.sniff(t) for t in ("a;b\n1;2\n", "a\tb\n1\t2", '"x,y"|b\n1|2', "only words", "one, two, x\na, b\n")] == [";", "\t", "|", ",", ","]
-    assert csv.column_names(["a", "", "a", "_row", "col_2"], 6) == ["a", "col_2_2", "a_2", "_row_2", "col_2", "col_6"]
+    assert csv.column_names(["a", "", "a", "_row", "col_2"], 6) == ["a", "col_2_2", "a_2", "_row", "col_2", "col_6"]
     assert [csv.typed(x) for x in ("7", "007", "-1.5", "1e5", "TRUE", "+1", "18446744073709551616")] == [7, "007", -1.5, "1e5", True, "+1", "18446744073709551616"]
     got = csv.rows("name,age,score\nAnn,31,1.5\n,,\nBob,,2\n", id_column="name")
-    assert [(d["row"], d["id"], d["content"], json.loads(d["fields"])) for d in got] == [(1, "Ann", "31 1.5", {"_row": 1, "age": 31, "score": 1.5}), (3, "Bob", "2", {"_row": 3, "score": 2})]
+    assert [(d["row"], d["id"], d["content"], json.loads(d["fields"])) for d in got] == [(1, "Ann", "Ann 31 1.5", {"_row": 1, "name": "Ann", "age": 31, "score": 1.5}), (3, "Bob", "Bob 2", {"_row": 3, "name": "Bob", "score": 2})]
     assert csv.decode("é".encode("cp1252")) == "é" and csv.decode(b"\xef\xbb\xbfx") == "x" and csv.decode("é".encode("utf-16-le"), forced="utf-16-le") == "é"
     many = csv.column_names(["h"] * 3000, 3000)
     assert len(set(many)) == 3000
@@ -278,16 +278,15 @@ def test_glob_many_stars():
 
 
 def test_index_is_idempotent(spark, tmp_path):
-    from sievework.operators import sink
+    from sievework.operators import index
 
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "c"))
     make = lambda rows: spark.createDataFrame(rows, "id string, parent_id string, chunk_total int, v string, seq long")
     path = str(tmp_path / "index")
-    sink.write_index(spark, make([("p_0", "p", 2, "a", 1), ("p_1", "p", 2, "b", 2), ("q_0", "q", 1, "c", 3)]), path)
+    index.write_index(spark, make([("p_0", "p", 2, "a", 1), ("p_1", "p", 2, "b", 2), ("q_0", "q", 1, "c", 3)]), path)
     again = make([("p_0", "p", 1, "new", 4)])
     for _ in range(2):
-        sink.write_index(spark, again, path, prune_stale=True)
-        assert sorted((r["id"], r["v"]) for r in spark.read.parquet(path).collect()) == [("p_0", "new"), ("q_0", "c")]
+        index.write_index(spark, again, path, prune_stale=True)
+        assert sorted((r["id"], r["v"]) for r in index.read_index(spark, path).collect()) == [("p_0", "new"), ("q_0", "c")]
 
 
 def test_sampled_ids_are_stable(spark):
