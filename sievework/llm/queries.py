@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
+from . import pipeline
 from .chat_format import OP8_SQL, op8_chat_format
 from .fingerprints import op3_fingerprints
 from .hard_negatives import OP13_SQL, op13_hard_negatives
@@ -34,7 +33,7 @@ QUERIES = {
     "op12_language_model": op12_language_model,
     "op13_hard_negatives": op13_hard_negatives,
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,

@@ -6,8 +6,12 @@ agree on two of four 16-bit blocks, so each goes to the six groups that its bloc
 they are sorted by Gray rank, and a tree of shared masked bit patterns is built over runs of the sorted
 list: a node keeps the bits on which all below it agree. A search walks the tree with accumulated
 differences and drops whole subtrees beyond DISTANCE. A group over MOST_GROUP keys is first split again by
-thirds of the bits it does not share, which loses no link, until the bits are used up. A group yields chains
-of its linked keys, never all pairs; components come from min-label hooking with shortcuts in rounds.
+parts of the bits it does not share, which loses no link, until the bits are used up. A group yields one link
+of each linked key, never all pairs; components come from min-label hooking with shortcuts in rounds.
+
+The pipeline's stage, drop_near_duplicates(), takes fingerprints of single words in place of shingles and STAGE_DISTANCE
+bits, since near copies lie up to eleven bits apart by shingles and five by words; within such components
+texts are compared by shingles of five words, and those with a likeness of 0.8 or more are one group.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other; fewer than three
 words are one shingle; ties and repeated rows share a fingerprint and so a component; an empty table gives an
@@ -16,6 +20,10 @@ empty result; a null doc_id is ignored as a component's name unless the componen
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import read_table, settled, stage, temp_name, utf8
+from .common import again, mix64, read_table, settled, slices, stage, temp_name, utf8
 
 SEED = 42
 DISTANCE = 2
 SHINGLE = 3
 MOST_GROUP = 4096
 LEAF = 16
-BLOCK_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+#: Of the stage that drops near-duplicates: differing bits of word fingerprints, how many of these a text has, words in a shingle, likeness of shingles,
+#: and bands of least shingle hashes by which candidates of a component meet.
+STAGE_DISTANCE, FINGERPRINTS, STAGE_SHINGLE, LIKENESS, BANDS, BAND = 5, 2, 5, 0.8, 20, 5
 
 
 def fingerprint(raw: bytes) -> int:
@@ -86,17 +96,10 @@ def gray_links(keys: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, in
         cuts = np.arange(0, len(lo), LEAF)
         lo, hi = np.bitwise_and.reduceat(lo, cuts), np.bitwise_or.reduceat(hi, cuts)
         levels.append((lo, ~(lo ^ hi)))
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for first in range(0, n, 1024):
-        query = np.arange(first, min(n, first + 1024))
+    label = np.arange(n)  # by place in the order: the smallest place known to be linked with it
+    step = 256
+    for first in range(0, n, step):
+        query = np.arange(first, min(n, first + step))
         node = np.zeros(len(query), np.int64)
         at = query
         for value, mask in reversed(levels):
@@ -113,28 +116,43 @@ def gray_links(keys: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, in
             ok = node < at  # each pair once
             at, node = at[ok], node[ok]
             ok = np.bitwise_count(k[at] ^ k[node]) <= distance
-            for a, b in zip(at[ok].tolist(), node[ok].tolist(), strict=True):
-                a_, b_ = root(a), root(b)
-                if a_ != b_:
-                    parent[max(a_, b_)] = min(a_, b_)
-                    links.append((order[a], order[b]))
-    return links
+            label = joined(label, at[ok], node[ok])
+    return [(order[a], order[b]) for a, b in enumerate(label.tolist()) if a != b]
+
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (each the least of its set) after the sets of all pairs a, b have become one."""
+    while True:
+        x, y = label[a], label[b]
+        if (apart := x != y).any():
+            np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (label != (up := label[label])).any():
+                label = up
+        else:
+            return label
 
-def _block(k: int) -> Column:
-    return F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
 
+def _blocks(distance: int) -> tuple[int, int]:
+    """Blocks of the bits, and how many of them keys at most `distance` bits apart agree on."""
+    return (4, 2) if distance <= 2 else (8, 8 - distance) if distance <= 6 else (16, 16 - distance)
 
-def _groups(keys: DataFrame) -> DataFrame:
+
+def _groups(keys: DataFrame, distance: int) -> DataFrame:
     """fp, group (a string), fixed (mask of the bits that the group shares)."""
-    pairs = [F.struct(F.concat_ws(".", F.lit(f"{i}{j}"), F.hex(_block(i)), F.hex(_block(j))).alias("group"), F.lit(_signed(0xFFFF << 16 * i | 0xFFFF << 16 * j)).alias("fixed")) for i, j in BLOCK_PAIRS]
-    return keys.select("fp", F.inline(F.array(*pairs)))
+    blocks, agree = _blocks(distance)
+    width = 64 // blocks
+    ones = (1 << width) - 1
+    value = lambda k: F.hex(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(ones)))
+    mask = lambda ks: F.lit(_signed(sum(ones << width * k for k in ks)))
+    chosen = [F.struct(F.concat_ws(".", F.lit("".join(f"{k:x}" for k in ks)), *map(value, ks)).alias("group"), mask(ks).alias("fixed")) for ks in combinations(range(blocks), agree)]
+    return keys.select("fp", F.inline(F.array(*chosen)))
 
 
-def _split(large: DataFrame) -> DataFrame:
-    """Each key of a large group to the three groups named by thirds of the free bits: two differences leave a third alone."""
+def _split(large: DataFrame, distance: int) -> DataFrame:
+    """Each key of a large group to the groups named by parts of the free bits, one more than may differ: one part is left alone."""
+    n = distance + 1
 
-    def thirds(batches):
+    def parts(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             fixed = batch.column("fixed").to_numpy().view(np.uint64)
@@ -143,26 +161,26 @@ def _split(large: DataFrame) -> DataFrame:
             for x, g, m in zip(fp.tolist(), batch.column("group").to_pylist(), fixed.tolist(), strict=True):
                 if m not in masks:
                     free = [b for b in range(64) if not m >> b & 1]
-                    masks[m] = [sum(1 << b for b in free[t::3]) for t in range(3)]
-                for t, third in enumerate(masks[m]):
+                    masks[m] = [sum(1 << b for b in free[t::n]) for t in range(n)]
+                for t, part in enumerate(masks[m]):
                     out_fp.append(_signed(x))
-                    out_group.append(f"{g}/{t}.{x & third:x}")
-                    out_fixed.append(_signed(m | third))
+                    out_group.append(f"{g}/{t}.{x & part:x}")
+                    out_fixed.append(_signed(m | part))
             yield pa.RecordBatch.from_arrays([pa.array(out_fp, pa.int64()), pa.array(out_group, pa.string()), pa.array(out_fixed, pa.int64())], names=["fp", "group", "fixed"])
 
-    return large.mapInArrow(thirds, "fp long, group string, fixed long")
+    return large.mapInArrow(parts, "fp long, group string, fixed long")
 
 
-def fingerprint_links(keys: DataFrame) -> DataFrame:
-    """keys: distinct fp. a, b: links that join what lies within DISTANCE; at most six chains (and those of splits) a key."""
+def fingerprint_links(keys: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """keys: distinct fp. a, b: links that join what lies within `distance`; of each group a key has one at most."""
 
     def search(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
-        found = gray_links(fp)
+        found = gray_links(fp, distance)
         signed = fp.view(np.int64)
         return pa.table({"a": pa.array([signed[a] for a, _ in found], pa.int64()), "b": pa.array([signed[b] for _, b in found], pa.int64())})
 
-    grouped, out = stage(_groups(keys), "simhash-groups"), None
+    grouped, out = stage(_groups(keys, distance), "simhash-groups"), None
     while True:
         sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
         # a group is as large as its shared bits allow; with 14 or fewer free it is bounded by itself
@@ -177,7 +195,7 @@ def fingerprint_links(keys: DataFrame) -> DataFrame:
         out = links if out is None else out.unionByName(links)
         if rest is None or rest.where(free > 14).isEmpty():
             return out
-        grouped = stage(_split(rest.where(free > 14)), "simhash-split")
+        grouped = stage(_split(rest.where(free > 14), distance), "simhash-split")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,16 +237,115 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(by_key, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprint(raw: bytes, known: dict[bytes, int]) -> list[int]:
+    """FINGERPRINTS of 64 bits by the text's words, weighed by the logarithm of their counts: a few changed words change few bits, however many shingles they change."""
+    counts = Counter(raw.lower().split())
+    if not counts:
+        return [0] * FINGERPRINTS
+    if len(known) > 200_000:
+        known.clear()
+    h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in counts), np.uint64, len(counts))
+    weight = np.floor(16 * (1 + np.log(np.fromiter(counts.values(), np.int64, len(counts))))).astype(np.int64)
+    out = []
+    for _ in range(FINGERPRINTS):
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * (weight @ bits) > weight.sum(), bitorder="little").view("<u8")[0]))
+        h = mix64(h)
+    return out
+
+
+def word_fingerprints(batches):
+    known: dict[bytes, int] = {}
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            fps = pa.array([list(map(_signed, word_fingerprint(x, known))) for x in utf8(batch.column("text"))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), fps, batch.column("order")], names=["h", "fps", "order"])
+
+
+def shingles(raw: bytes) -> np.ndarray:
+    """Distinct hashes of the text's runs of STAGE_SHINGLE words, in order; fewer words are one run."""
+    words = raw.lower().split()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    n = max(1, len(h) - STAGE_SHINGLE + 1)
+    out = np.full(n, len(h) if n == 1 else STAGE_SHINGLE, np.uint64)
+    for k in range(min(len(h), STAGE_SHINGLE)):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
+    return np.unique(out)
+
+
+def _banded(batches):
+    """h, the shingles, and BANDS hashes of BAND least shingles each."""
+    seeds = mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            sets, bands = [], []
+            for raw in utf8(batch.column("text")):
+                s = shingles(raw)
+                least = np.array([mix64(s ^ seed).min() for seed in seeds]).reshape(BANDS, BAND)
+                key = np.zeros(BANDS, np.uint64)
+                for k in range(BAND):
+                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+                sets.append(s.tobytes())
+                bands.append(key.view(np.int64))
+            arrays = [batch.column("h"), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "shingles", "bands"])
+
+
+@arrow_udf(T.DoubleType())
+def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Jaccard likeness of two sets of shingles."""
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        out.append(both / max(1, (len(x) + len(y)) // 8 - both))
+    return pa.array(out, pa.float64())
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """Of all columns; what is null counts too."""
+    return F.xxhash64(*(F.isnull(c) for c in docs.columns), *docs.columns)
+
+
+def like_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """marked: h (hash of the text), row (hash of the row) and fps, of each row of docs. node, label: texts of one label are chained by shingle likeness of LIKENESS and more.
+
+    Fingerprints within STAGE_DISTANCE make components, for each of a text's fingerprints; within one, texts that share a
+    band of least shingle hashes meet the least of them, and the two are compared by all their shingles.
+    """
+    texts, labels = stage(marked.groupBy("h").agg(F.min("row").alias("row"), F.first("fps").alias("fps")), "near-texts"), []
+    for k in range(FINGERPRINTS):
+        own = texts.select("h", F.col("fps")[k].alias("fp"))
+        near = components(fingerprint_links(stage(own.select("fp").distinct(), "near-keys"), STAGE_DISTANCE)).withColumnRenamed("node", "fp")
+        labels.append(own.join(near, "fp", "left").select("h", F.lit(k).alias("which"), F.coalesce("label", "fp").alias("label")))
+    labelled = stage(reduce(DataFrame.unionAll, labels), "near-labels")
+    several = labelled.groupBy("which", "label").agg(F.count("*").alias("n")).where("n > 1").select("which", "label")
+    members = stage(labelled.join(several, ["which", "label"]), "near-members")
+    # of a text's copies one row is read again, so that no task gets them all
+    chosen = texts.join(members.select("h").distinct(), "h").select("h", "row")
+    found = docs.select(F.xxhash64("text").alias("h"), row_hash(docs).alias("row"), "text").join(chosen, ["h", "row"]).dropDuplicates(["h"])
+    banded = stage(found.select("h", "text").mapInArrow(_banded, "h long, shingles binary, bands array<long>"), "near-banded")
+    each = banded.select("h", F.posexplode("bands").alias("band", "key")).join(again(members), "h").withColumn("label", F.struct("which", "label"))
+    least = each.groupBy("label", "band", "key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = each.join(least, ["label", "band", "key"]).where("h <> least").select("h", "least").distinct()
+    one, two = banded.select("h", "shingles"), again(banded).select(F.col("h").alias("least"), F.col("shingles").alias("other"))
+    alike = pairs.join(one, "h").join(two, "least").where(likeness("shingles", "other") >= LIKENESS)
+    return components(alike.select(F.col("h").alias("a"), F.col("least").alias("b")))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, null last (of equal ones, the one with the smallest
-    text hash, then the smallest hash of all columns).
+    """docs with one row of each group of near-duplicates: equal texts, and what like_texts() chains. That of the smallest doc_id stays,
+    null last (of equal ones, the one with the smallest text hash, then the smallest hash of all columns).
 
     Rows are known by both hashes, not by doc_id, so null and repeated ids lose nothing.
     """
     text, row = temp_name("text"), temp_name("row")
-    tags = [F.xxhash64("text").alias(text), F.xxhash64(*(F.isnull(c) for c in docs.columns), *docs.columns).alias(row)]
-    marked = stage(docs.select(fingerprint_udf("text").alias("fp"), F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", *tags).alias("order")), "simhash-fingerprints")
-    kept = _by_component(marked, F.min("order")).groupBy("label").agg(F.min("first").alias("order")).select(F.col(f"order.{text}"), F.col(f"order.{row}"))
+    tags = [F.xxhash64("text").alias(text), row_hash(docs).alias(row)]
+    order = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias(text), tags[1])
+    kind = f"h long, fps array<long>, order struct<no_id:boolean,doc_id:long,{text}:long,{row}:long>"
+    marked = docs.select("text", F.xxhash64("text").alias("h"), order.alias("order")).mapInArrow(word_fingerprints, kind)
+    marked = stage(marked, "near-fingerprints")
+    label = like_texts(docs, marked.select("h", "fps", F.col(f"order.{row}").alias("row"))).withColumnRenamed("node", "h")
+    kept = marked.join(label, "h", "left").groupBy(F.coalesce("label", "h").alias("label")).agg(F.min("order").alias("order")).select(F.col(f"order.{text}"), F.col(f"order.{row}"))
     one = docs.select(*docs.columns, *tags).dropDuplicates([text, row])  # rows that are equal in all columns stand for each other
     return one.join(stage(kept, "simhash-kept"), [text, row], "left_semi").select(*docs.columns)
 

@@ -14,8 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from sievework.llm import chat_format, common, fingerprints, language_id, mixing, packing, quality_rules, queries, secret_scan, simhash, substring_dedup, suffix_dedup
+from sievework.llm import chat_format, common, fingerprints, language_id, mixing, packing, pipeline, quality_rules, queries, secret_scan, simhash, substring_dedup, suffix_dedup
 
 WORDS = "the of and a to in is was for on that with by at from which or an are be this have its not but they one had all were their more has when there can".split()
 
@@ -577,6 +576,43 @@ def test_simhash_keeps_a_row_of_every_component(spark):
     assert [r["text"] for r in simhash.drop_near_duplicates(tie).collect()] == [want]
 
 
+def likeness(a: str, b: str) -> float:
+    one, two = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().encode().split(), b.lower().encode().split()))
+    return len(one & two) / len(one | two)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Near copies of 300-word texts with up to six changed words; half of a text, and texts with a shared passage, are no copies."""
+    rng = random.Random(21)
+    vocabulary = [w + x for w in WORDS for x in ("", "s", "ed", "ing", "er", "ly")]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, near, shared = [], [], say(60)
+    for k in range(150):
+        base = say(300)
+        if k % 3 == 0:
+            base[100:160] = shared
+        rows.append((1000 * k, " ".join(base), "base"))
+        rows.append((1000 * k + 500, " ".join(base[:150] + say(150)), "half"))
+        for n in range(1, 3):
+            copy = list(base)
+            for at in rng.sample(range(300), rng.randint(1, 6)):
+                copy[at] = rng.choice(vocabulary)
+            if likeness(" ".join(copy), " ".join(base)) >= 0.8:
+                near.append(1000 * k + n)
+                rows.append((1000 * k + n, " ".join(copy).title() if n == 2 else "\n".join(copy), "near"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, place string").repartition(5)
+    kept = {r["doc_id"]: r["place"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert {k for k, _, p in rows if p != "near"} <= set(kept)  # nothing else goes
+    assert len(near) > 250 and sum(k not in kept for k in near) >= 0.95 * len(near)
+
+
+def test_likeness_is_of_whole_sets(spark):
+    one, two = "a b c d e f g h i j", "a b c d e f g h i x"
+    found = spark.createDataFrame([(bytearray(simhash.shingles(one.encode()).tobytes()), bytearray(simhash.shingles(two.encode()).tobytes()))], "a binary, b binary")
+    assert abs(found.select(simhash.likeness("a", "b")).first()[0] - likeness(one, two)) < 1e-12
+    assert len(simhash.shingles(b"")) == len(simhash.shingles(b"x y")) == 1
+
+
 @pytest.mark.parametrize("most", [4096, 8])
 def test_simhash_links(spark, most, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_GROUP", most)
@@ -729,7 +765,7 @@ def test_pipeline(spark, corpus, tmp_path):
     found = corpus + long + [long[0], long[1] + " token = abcdef1234567890"]
     table(spark, found).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for k, (_, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+    for k, (_, f) in enumerate(pipeline.STAGES[:-1]):
         out = f(spark, docs, str(tmp_path))
         assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / str(k)))
@@ -739,7 +775,7 @@ def test_pipeline(spark, corpus, tmp_path):
     for r in docs.collect():
         want[r["doc_id"]] += len(ids.text(r["text"])) // 4 + 1
     got = Counter()
-    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+    for r in pipeline.run(spark, str(tmp_path)).collect():
         got[r["doc_id"]] += r["length"]
     assert got == want and not any("abcdef1234567890" in r["text"] for r in docs.collect())
 
