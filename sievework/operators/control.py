@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import dealt
+
 TERMINAL = ["succeeded", "failed", "cancelled"]
 
 
@@ -76,10 +78,19 @@ def failure_streak(runs: DataFrame, window: int = 1000) -> DataFrame:
 
 
 def status_transition(runs: DataFrame) -> DataFrame:
-    """Runs with which a source began to fail or recovered."""
-    w = Window.partitionBy("source_id").orderBy("started_at", "run_id")
-    failed, before = F.col("outcome") == "failed", F.coalesce(F.lag(F.col("outcome") == "failed").over(w), F.lit(False))
-    return runs.withColumn("transition", F.when(failed & ~before, F.lit("failing")).when(~failed & before, F.lit("ok"))).where("transition is not null")
+    """Runs with which a source began to fail or recovered.
+
+    A source's history is cut into ranges, each of which knows how the one before it ended, so no task walks a whole history.
+    """
+    order = ["started_at", "run_id"]
+    rows = dealt(runs.withColumn("_failed", F.col("outcome") == "failed"), ["source_id", *order])
+    ends = rows.groupBy(F.col("source_id").alias("_s"), F.col("__part").alias("_p")).agg(F.max_by("_failed", F.struct(*order)).alias("_end"))
+    carried = ends.select("_s", "_p", F.lag("_end").over(Window.partitionBy("_s").orderBy("_p")).alias("_carried"))  # a row a range
+    told = rows.join(carried, F.col("source_id").eqNullSafe(F.col("_s")) & (F.col("__part") == F.col("_p")))
+    within = Window.partitionBy("source_id", "__part").orderBy(*order)
+    failed, before = F.col("_failed"), F.coalesce(F.lag("_failed").over(within), F.col("_carried"), F.lit(False))
+    found = told.withColumn("transition", F.when(failed & ~before, F.lit("failing")).when(~failed & before, F.lit("ok")))
+    return found.where("transition is not null").select(*runs.columns, "transition")
 
 
 def latest_runs(runs: DataFrame, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batching import Rule, batched
 from .documents import carried, strict
 from .index import read_index, write_index
 from .json_records import InvalidConfig
@@ -47,27 +48,11 @@ def prune(stored: DataFrame, run: DataFrame) -> DataFrame:
 def plan_batches(sized: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, group: str = "part") -> DataFrame:
     """sized: part, seq, size. Adds batch: cut before the document that would exceed max_docs or max_bytes (with brackets and commas).
 
-    Each part is cut by itself, in order of seq, as it streams through one task; a document over max_bytes alone is an error.
+    Each part is cut by itself, in order of seq; a document over max_bytes alone is an error.
     """
-    schema = T.StructType([*sized.schema.fields, T.StructField("batch", T.LongType())])
-
-    def cut(batches):
-        at, held, batch, docs, size = None, None, 0, 0, 2
-        for frame in batches:
-            numbers = []
-            for part, n in zip(frame[group], frame["size"], strict=True):
-                if n + 2 > max_bytes:
-                    raise OversizedDocument(f"a document of {n} bytes fits in no batch of {max_bytes}")
-                if part != held or at is None:
-                    held, at, batch, docs, size = part, True, 0, 0, 2
-                if docs and (docs == max_docs or size + n + 1 > max_bytes):
-                    batch, docs, size = batch + 1, 0, 2
-                size += n + (docs > 0)
-                docs += 1
-                numbers.append(batch)
-            yield frame.assign(batch=numbers)
-
-    return sized.repartition(group).sortWithinPartitions(group, "seq").mapInPandas(cut, schema)
+    large = F.concat(F.lit("a document of "), F.col("size").cast("string"), F.lit(f" bytes fits in no batch of {max_bytes}"))
+    fits = F.when(F.col("size") + 2 > max_bytes, F.raise_error(large).cast("boolean")).otherwise(F.lit(True))
+    return batched(sized.where(fits), Rule(max_docs, max_bytes, 2, 1), group, "seq", "size")
 
 
 #: Ids that a filter lists at most.
@@ -89,22 +74,8 @@ def prune_filters(children: DataFrame, key: str = "id", most: int = IDS_PER_FILT
     rows = children.where("parent_id is not null").select(group, "seq", _quoted(F.col("parent_id")).alias("p"), F.coalesce("parent_id", F.lit("")).alias("raw"), _quoted(F.col("id")).alias("i"))
     safe = (F.count("i") == F.count("*")) & (F.count("p") == F.count("*"))
     parents = rows.groupBy(group, "raw").agg(F.first("p").alias("p"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "i"))), lambda x: x["i"]).alias("ids"), F.min("seq").alias("seq"), safe.alias("safe")).where("safe")
-    schema = T.StructType([parents.schema[group], T.StructField("n", T.IntegerType()), T.StructField("p", T.StringType()), T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("seq", parents.schema["seq"].dataType)])
-
-    def cut(batches):
-        held, n, size = None, 0, 0
-        for frame in batches:
-            numbers = []
-            for part, ids in zip(frame[group], frame["ids"], strict=True):
-                if held is None or part != held[0]:
-                    held, n, size = (part,), 0, 0
-                if size and size + len(ids) > most:
-                    n, size = n + 1, 0
-                size += len(ids)
-                numbers.append(n)
-            yield frame.assign(n=numbers)[schema.names]
-
-    numbered = parents.repartition(group).sortWithinPartitions(group, "seq").select(group, "p", "ids", "seq").mapInPandas(cut, schema)
+    sized = parents.select(group, "seq", "p", "ids", F.size("ids").alias("size"))
+    numbered = batched(sized, Rule(most, most), group, "seq", "size", "n").withColumn("n", F.col("n").cast("int"))
     one = numbered.groupBy(group, "n").agg(F.array_sort(F.collect_list(F.struct("seq", "p", "ids"))).alias("x"))
     listed = lambda c: F.array_join(c, ", ")
     text = F.concat(F.lit("_meta.parent_id IN ["), listed(F.transform("x", lambda r: r["p"])), F.lit(f"] AND NOT {key} IN ["), listed(F.flatten(F.transform("x", lambda r: r["ids"]))), F.lit("]"))

@@ -28,6 +28,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """df written by ranges of its order, with the range of each row as __part: ranges go up with the order, and a group of any size has many."""
+    return stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "dealt")
+
+
 def numbered(df: DataFrame, per: list[str], order: list[str | Column]) -> DataFrame:
     """Adds rank (from 0) and total of each group of `per`, in order.
 

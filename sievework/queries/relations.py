@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import control, enrich, json_records, sink, usage
+from ..operators import control, enrich, json_records, parquet_scan, sink, usage
 from ..sources import url
 from ..operators.documents import read_blobs
+from ..operators.index import read_index
 from ..plans.catalog import OPERATORS
-from .base import JOBS_SQL, MEASURES_SQL, RUNS_SQL, USAGE_SQL, jobs_table, query, runs_table, table, usage_events
+from .base import JOBS_SQL, MEASURES_SQL, RUNS_SQL, USAGE_SQL, jobs_table, query, shared_folder, runs_table, table, usage_events
 
 _DAILY = "SELECT project_id, ts::DATE AS day, pipeline_uid, plugin, count(*) AS rows_count, {m} FROM {t} GROUP BY ALL"
 # steps delivered again later, with other figures; the last delivery of an event counts
@@ -251,9 +252,18 @@ _CHUNKS = """stored AS (SELECT conv_id || '_' || turn AS id, conv_id::VARCHAR AS
  cut AS (SELECT * FROM run WHERE conv_id % 2 = 0 AND NOT (conv_id % 4 = 0 AND turn = 0)), ok AS (SELECT parent_id FROM cut GROUP BY 1 HAVING min(chunk_total) = max(chunk_total) AND count(DISTINCT id) = max(chunk_total))"""
 query("complete_children", f"WITH {_CHUNKS} SELECT parent_id FROM ok")(lambda spark, d: sink.complete_parents(_chunks(spark, d, True)))
 query("prune", f"WITH {_CHUNKS} SELECT * FROM stored WHERE parent_id IN (SELECT parent_id FROM ok) AND id NOT IN (SELECT id FROM cut)")(lambda spark, d: sink.prune(_chunks(spark, d, False), _chunks(spark, d, True)).select("id", "parent_id", "role"))
-query("index_sink", "SELECT user_id AS id, arg_max(event_type, event_id) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT user_id, 'old' FROM events WHERE user_id % 2 = 1 OR user_id NOT IN (SELECT user_id FROM events WHERE user_id % 2 = 0)")(
-    lambda spark, d: sink.upsert(table(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("old").alias("v")).distinct(), table(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.col("event_type").alias("v"), F.col("event_id").alias("seq")))
-)
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """Old rows of all users, then new ones of every other, through the sink's step into an index of its own."""
+    path = shared_folder(spark, "index")
+    e = table(spark, d, "events")
+    old = e.select(F.col("user_id").cast("string").alias("id"), F.lit("old").alias("content")).distinct()
+    new = e.where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("content"), F.col("event_id").alias("chunk_index"))
+    for rows in (old, new):
+        OPERATORS["index_sink"](rows, {"path": path})
+    return read_index(spark, path).select("id", F.col("content").alias("v"))
+
+
+query("index_sink", "SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT user_id::VARCHAR, 'old' FROM events WHERE user_id % 2 = 1")(_index)
 query("to_index_json", """SELECT doc_id, '{"id":"' || doc_id || '","content":' || to_json(text)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"_meta":{"language":' || to_json(lang)::VARCHAR || '}}' AS j FROM documents""")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("text"), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
 )
@@ -274,6 +284,11 @@ def _parsed(spark: SparkSession, d: str, name: str, config: dict) -> DataFrame:
 query("parquet_parse", """SELECT 'customer_r' || c_custkey AS id, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS fields FROM customer""")(
     lambda spark, d: _parsed(spark, d, "customer", {"columns": ["c_custkey", "c_name", "c_nationkey"]}).select(F.concat(F.lit("customer_r"), F.get_json_object("fields", "$.c_custkey")).alias("id"), "fields")
 )
+# the same by Spark's own scan, with ids by place in the file
+query(
+    "parquet_scan",
+    """SELECT 'customer_r' || (c_custkey + 1) AS id, c_name AS title, c_mktsegment AS content, '{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || '}' AS fields FROM customer""",
+)(lambda spark, d: parquet_scan.scan(spark, f"{d}/customer.parquet", columns=["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], title_field="c_name", content_fields=("c_mktsegment",)))
 # parquet_parse numbers rows by key, as its SQL does. All columns, and the operator's own ids: numbers have no common text form with DuckDB, so no SQL
 query("parquet_parse_all")(lambda spark, d: _parsed(spark, d, "customer", {}))
 query("incremental_skip", "SELECT doc_id AS source_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 <> 0")(
