@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .index import append
 from .tables import dealt
 
 TERMINAL = ["succeeded", "failed", "cancelled"]
@@ -200,6 +201,19 @@ def outbox_claim(events: DataFrame, now: Column, limit: int) -> DataFrame:
     return events.where(F.col("delivered_at").isNull() & (F.col("next_attempt_at") <= now)).orderBy("created_at", "id").limit(limit)
 
 
+def claim(events: DataFrame, path: str, owner: str, now: Column, limit: int, lease_secs: int) -> DataFrame:
+    """Claims up to `limit` due events for a worker: id, owner, until. The claims are a versioned table at path, so that of
+    workers at one time none gets an event that another holds; a lease that ran out may be claimed again.
+    """
+    spark = events.sparkSession
+
+    def mine(held: DataFrame | None) -> DataFrame:
+        free = events if held is None else events.join(held.where(F.col("until") > now).select(F.col("id").cast(events.schema["id"].dataType)), "id", "left_anti")
+        return outbox_claim(free, now, limit).select(F.col("id").cast("string").alias("id"), F.lit(owner).alias("owner"), (now + F.expr(f"INTERVAL {lease_secs} SECONDS")).alias("until"))
+
+    return append(spark, path, mine)
+
+
 def outbox_insert(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored events and those new ones whose id is not there yet; of new ones with one id, the first (by seq)."""
     first = new.groupBy("id").agg(F.min_by("payload", "seq").alias("payload"))

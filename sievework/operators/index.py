@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,7 @@ class Run:
     name: str
     rows: int
     schema: str
+    partition: str | None = None
 
 
 def _files(spark: SparkSession, path: str):
@@ -98,16 +100,18 @@ def _read(spark: SparkSession, path: str, run: Run) -> DataFrame:
     return spark.read.schema(T.StructType.fromJson(json.loads(run.schema))).parquet(f"{path}/{run.name}")
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame) -> Run:
-    """rows: an index row each, with _gone for tombstones."""
+def _write(spark: SparkSession, path: str, rows: DataFrame, partition: str | None = None) -> Run:
+    """rows: an index row each, with _gone for tombstones. partition: a column by which the run's files are laid out."""
     name = f"run-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{name}")
-    return Run(name, spark.read.schema(rows.schema).parquet(f"{path}/{name}").count(), rows.schema.json())
+    (rows.hint("rebalance", partition).write.partitionBy(partition) if partition else rows.write).parquet(f"{path}/{name}")
+    return Run(name, spark.read.schema(rows.schema).parquet(f"{path}/{name}").count(), rows.schema.json(), partition)
 
 
-def _live(spark: SparkSession, path: str, found: list[Run], tombstones: bool) -> DataFrame:
-    """The newest row of each id in these runs."""
+def live(spark: SparkSession, path: str, found: list[Run], tombstones: bool = False, where: Column | None = None) -> DataFrame:
+    """The newest row of each id in these runs; of each run only rows that `where` holds for are read (an id's rows all or none)."""
     tables = [_read(spark, path, r) for r in found]
+    if where is not None:
+        tables = [t.where(where) for t in tables]
     out = tables[0]
     newer = out.select("id")
     for older in tables[1:]:
@@ -116,12 +120,12 @@ def _live(spark: SparkSession, path: str, found: list[Run], tombstones: bool) ->
     return out if tombstones else out.where(~F.col("_gone"))
 
 
-def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def read_index(spark: SparkSession, path: str, version: int | None = None, where: Column | None = None) -> DataFrame:
     """The rows of a version (the newest by default)."""
     at, found = runs(spark, path, version)
     if not at:
         raise FileNotFoundError(f"no index at {path}")
-    return _live(spark, path, found, False).drop("_gone")
+    return live(spark, path, found, where=where).drop("_gone")
 
 
 def _size_class(rows: int) -> int:
@@ -151,7 +155,7 @@ def compact(spark: SparkSession, path: str) -> bool:
     if not stretch:
         return False
     start, end = stretch
-    merged = _write(spark, path, _live(spark, path, found[start:end], end < len(found)))
+    merged = _write(spark, path, live(spark, path, found[start:end], end < len(found)), found[start].partition)
     commit(spark, path, version, [*found[:start], merged, *found[end:]])
     return True
 
@@ -169,7 +173,25 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     return len(gone)
 
 
-def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "seq", prune_stale: bool = False) -> int:
+def _discard(spark: SparkSession, path: str, run: Run) -> None:
+    fs, where = _files(spark, f"{path}/{run.name}")
+    fs.delete(where, True)
+
+
+def append(spark: SparkSession, path: str, make: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+    """Commits one run whose rows follow from what the table holds: make(rows, or null before the first). Of writers at one time each sees the others' rows."""
+    for _ in range(ATTEMPTS):
+        version, found = runs(spark, path)
+        run = _write(spark, path, make(live(spark, path, found).drop("_gone") if found else None).withColumn("_gone", F.lit(False)))
+        try:
+            commit(spark, path, version, [run, *found])
+            return _read(spark, path, run).drop("_gone")
+        except Conflict:
+            _discard(spark, path, run)
+    raise Conflict(f"{ATTEMPTS} other writers were first at {path}")
+
+
+def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "seq", prune_stale: bool = False, partition: str | None = None) -> int:
     """Upserts docs (id, parent_id, chunk_total, ...), of rows with one id the last by `order`; with prune_stale, children of the
     run's complete parents that the run does not have are gone. Returns the version.
 
@@ -182,14 +204,13 @@ def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "s
         version, found = runs(spark, path)
         rows = latest
         if prune_stale and found:
-            stale = prune(_live(spark, path, found, False), docs).select("id", F.lit(True).alias("_gone"))
+            stale = prune(live(spark, path, found), docs).select("id", F.lit(True).alias("_gone"))
             rows = latest.unionByName(stale, allowMissingColumns=True)
-        run = _write(spark, path, rows)
+        run = _write(spark, path, rows, partition)
         try:
             commit(spark, path, version, [run, *found])
         except Conflict:
-            fs, where = _files(spark, f"{path}/{run.name}")
-            fs.delete(where, True)
+            _discard(spark, path, run)
             continue
         try:
             while compact(spark, path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import mime, text, vendor
 from ..operators import json_records, lifecycle, usage
 from ..sources import url
-from ..streaming import usage_stream
+from ..streaming import rollups, usage_stream
 from .base import MEASURES_SQL, USAGE_SQL, query, scalar, shared_folder, sql_text, table, usage_events
 
 _URLS = ["https://api.openai.com/v1", "http://u:p@API.GROQ.com:443/x?y", "https://my.proxy/v1", "api.mistral.ai", "https://api.together.xyz#f", ""]
@@ -80,3 +80,22 @@ def _stream_billing(spark, d):
 
 
 query("stream_billing", f"{_YEARS.replace('FROM events_u', 'FROM (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, ts, event_id ORDER BY seq DESC) AS k FROM events_u) WHERE k = 1)')} SELECT project_id, sum(steps)::BIGINT AS steps, sum(jobs)::BIGINT AS jobs FROM r WHERE day >= DATE '1997-05-01' GROUP BY 1")(_stream_billing)
+
+
+def _stream_rollup(spark, d):
+    """Events in four deliveries, of which later ones bring other figures or come too late; the rollup kept by batches."""
+    folder = shared_folder(spark, "rollup")
+    events = usage_events(spark, d)
+    steps = events.where("kind = 'step'")
+    again = steps.where("llm_requests % 2 = 0").withColumns({"seq": F.col("seq") + 10**15, "duration_ms": F.col("duration_ms") + 5, "documents_out": F.col("documents_out") * 2})
+    late = steps.where("llm_requests % 3 = 0").withColumns({"seq": F.col("seq") - 10**15, "duration_ms": F.lit(0).cast("long")})
+    for n, part in enumerate((events.where("year(ts) < 1997"), events.where("year(ts) >= 1997"), again, late)):
+        part.repartition(1).write.parquet(f"{folder}/in/{n}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    rollups.maintain(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
+    return rollups.read_rollup(spark, f"{folder}/out")
+
+
+_REDELIVERED = """now_u AS (SELECT * REPLACE (CASE WHEN kind = 'step' AND llm_requests % 2 = 0 THEN duration_ms + 5 ELSE duration_ms END AS duration_ms, CASE WHEN kind = 'step' AND llm_requests % 2 = 0 THEN documents_out * 2 ELSE documents_out END AS documents_out) FROM
+ (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, ts, event_id ORDER BY seq DESC) AS k FROM events_u) WHERE k = 1))"""
+query("stream_rollup", f"WITH {USAGE_SQL}, {_REDELIVERED} SELECT project_id, ts::DATE AS day, pipeline_uid, plugin, count(*) AS rows_count, {MEASURES_SQL} FROM now_u GROUP BY ALL")(_stream_rollup)

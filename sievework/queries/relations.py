@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -230,7 +232,19 @@ def _late(spark, d):
 query("outbox_claim", f"WITH {_OUT}, c AS (SELECT id FROM outb WHERE delivered_at IS NULL AND next_attempt_at <= {_LATE} ORDER BY created_at, id LIMIT 50) SELECT id, id IN (SELECT id FROM c) AS claimed, CASE WHEN id IN (SELECT id FROM c) THEN {_LATE}::TIMESTAMP + INTERVAL 60 SECONDS ELSE next_attempt_at END AS next_attempt_at FROM outb")(
     lambda spark, d: control.outbox_lease(_outbox(spark, d), _late(spark, d), 50, 60).select("id", "claimed", "next_attempt_at")
 )
-query("lease_queue", f"WITH {_OUT} SELECT id FROM outb WHERE delivered_at IS NULL AND next_attempt_at <= {_LATE} ORDER BY created_at, id LIMIT 500")(lambda spark, d: control.outbox_claim(_outbox(spark, d), _late(spark, d), 500).select("id"))
+def _lease_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Three workers one after another, and a fourth when the first one's lease has run out."""
+    path, now = shared_folder(spark, "leases"), _late(spark, d)
+    after = [(0, "a", 30), (20, "b", 60), (20, "c", 60), (40, "d", 60)]
+    claims = [control.claim(_outbox(spark, d), path, owner, now + F.expr(f"INTERVAL {at} SECONDS"), 100, secs) for at, owner, secs in after]
+    return reduce(DataFrame.unionAll, claims).select(F.col("id").cast("long").alias("id"), "owner")
+
+
+query(
+    "lease_queue",
+    f"""WITH {_OUT}, k AS (SELECT id, row_number() OVER (ORDER BY created_at, id) - 1 AS k FROM outb WHERE delivered_at IS NULL AND next_attempt_at <= {_LATE})
+ SELECT id, (['a', 'b', 'c'])[k // 100 + 1] AS owner FROM k WHERE k < 300 UNION ALL SELECT id, 'd' FROM k WHERE k < 100""",
+)(_lease_queue)
 query("outbox_stats", f"WITH {_OUT} SELECT count(*) AS pending, (epoch({_LATE}::TIMESTAMP)::BIGINT - floor(epoch(min(created_at)))::BIGINT) AS oldest_secs FROM outb WHERE delivered_at IS NULL")(lambda spark, d: control.outbox_stats(_outbox(spark, d), _late(spark, d)))
 query("outbox_drop", f"WITH {_OUT} SELECT id FROM outb WHERE NOT ((skipped AND created_at < {_LATE} - INTERVAL 24 HOURS) OR (delivered_at IS NULL AND created_at < {_LATE} - INTERVAL 7 DAYS) OR coalesce(delivered_at < {_LATE} - INTERVAL 7 DAYS, false))")(lambda spark, d: control.outbox_drop(_outbox(spark, d), _late(spark, d)).select("id"))
 query("outbox_insert", "SELECT event_id AS id, event_type AS payload FROM events WHERE event_id % 3 = 0 UNION ALL SELECT id, arg_min(payload, seq) FROM (SELECT event_id // 2 AS id, event_type AS payload, event_id AS seq FROM events) WHERE id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0) GROUP BY 1")(
