@@ -198,6 +198,20 @@ def resolve_index(pattern: Column, requested: Column, mime: Column, default: Col
     return F.coalesce(given(pattern), given(requested), F.when(by_type == "documents", F.coalesce(given(default), by_type)).otherwise(by_type))
 
 
+def _given(x: Column) -> Column:
+    return F.nullif(F.trim(x), F.lit(""))
+
+
+def file_index(locked: Column, fixed: Column, pattern: Column, requested: Column, mime: Column, default: Column) -> Column:
+    """The index of an archive's file: the key's own, the one that its pipeline names, else as resolve_index()."""
+    return F.coalesce(_given(locked), _given(fixed), resolve_index(pattern, requested, mime, default))
+
+
+def archive_target_index(locked: Column, forced: Column, fixed: Column, pattern: Column, requested: Column) -> Column:
+    """The one index that all of an archive goes to: the key's own, or with a forced pipeline the one that it names, its pattern's, the request's; else `*`: the files decide."""
+    return F.coalesce(_given(locked), F.when(forced, F.coalesce(_given(fixed), _given(pattern), _given(requested))), F.lit("*"))
+
+
 def content_type_charset(content_type: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(content_type, r'(?i);\s*charset\s*=\s*"?([^";\s]+)', 1)), F.lit(""))
 

@@ -70,6 +70,11 @@ def retention_jobs(jobs: DataFrame, before: Column) -> DataFrame:
     return _without_children(jobs.where(F.col("status").isin(TERMINAL) & (F.col("started_at") < before)), jobs.where("parent_job_id is not null"))
 
 
+def retention_runs(runs: DataFrame, before: Column) -> DataFrame:
+    """Runs of sources from before a time."""
+    return runs.where(F.col("started_at") < before)
+
+
 def failure_streak(runs: DataFrame, window: int = 1000) -> DataFrame:
     """runs: source_id, run_id, started_at, outcome. Failed runs in a row at each source's newest end."""
     w = Window.partitionBy("source_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
@@ -112,6 +117,11 @@ def visible(pipelines: DataFrame, tenant: str) -> DataFrame:
     return own.unionByName(pipelines.where("tenant_id is null").join(own.select("uid"), "uid", "left_anti").select(*pipelines.columns))
 
 
+def listed(pipelines: DataFrame, tenant: str) -> DataFrame:
+    """A tenant's pipelines, then all global ones, shadowed or not, each by uid."""
+    return pipelines.where(F.col("tenant_id").isNull() | (F.col("tenant_id") == tenant)).orderBy(F.col("tenant_id").isNull(), "uid")
+
+
 def pipeline_cascade(sources: DataFrame, pipelines: DataFrame, uid: str) -> DataFrame:
     """Sources to archive when the global pipeline goes: those of tenants that have none of their own under its uid."""
     own = pipelines.where((F.col("uid") == uid) & F.col("tenant_id").isNotNull()).select("tenant_id")

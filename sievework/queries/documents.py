@@ -72,6 +72,14 @@ query("text_scan", "SELECT 't' || doc_id || '_0' AS id, trim(text, ' ' || chr(9)
     ).select("id", "content")
 )
 
+def _files(spark, d, text: str, ending: str) -> DataFrame:
+    """A file of each event; # stands for its number."""
+    data = F.replace(F.lit(text), F.lit("#"), F.col("event_id").cast("string")).cast("binary")
+    none = F.lit(None).cast("string")
+    return table(spark, d, "events").select("event_id", data.alias("data"), none.alias("mime"), F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(ending)).alias("filename"), none.alias("origin"), none.alias("charset"))
+
+
+
 # JSON
 def _payloads(spark, d) -> DataFrame:
     none = F.lit(None).cast("string")
@@ -92,22 +100,21 @@ query("json_roots", f"SELECT event_id, n::INT AS n FROM (SELECT event_id, unnest
     lambda spark, d: json_records.flatten_payloads(table(spark, d, "events").select(F.col("event_id").alias("stem"), F.replace(F.get(F.array(*map(F.lit, _WRAPPED)), (F.col("event_id") % 6).cast("int")), F.lit("#"), F.col("event_id").cast("string")).alias("data"))).select(F.col("stem").alias("event_id"), "n")
 )
 scalar("json_wrapper_key", _WRAPPED, json_records.wrapper_key, "CASE event_id % 6 WHEN 0 THEN 'documents' WHEN 1 THEN 'data' WHEN 3 THEN 'items' WHEN 5 THEN 'results' END")
-scalar("json_pointer", ['{"a": {"b": #}}', '{"a": 1}', "[]"], lambda x: F.try_variant_get(F.try_parse_json(x), "$.a.b", "string"), "json_extract_string({x}, '$.a.b')")
+# records below a pointer
+query("json_pointer", """SELECT 'f' || event_id || '_' || n AS id, '{"v":' || CASE n WHEN 0 THEN event_id ELSE 7 END || '}' AS fields FROM events, (VALUES (0), (1)) t(n)""")(
+    lambda spark, d: OPERATORS["json_flattener"](_files(spark, d, '{"a": {"b/c": [{"v": #}, {"v": 7}]}, "data": [1]}', ".json"), {"root": "/a/b~1c"}).select("id", "fields")
+)
 scalar("inline_docs", ['{"id": "a b#", "content": "c#"}', '{"id": #, "text": "t"}', '{"id": "z", "body": "b#"}', '{"id": "q#", "content": "c", "text": "t"}'], lambda x: F.to_json(json_records.inline_documents(x)), """'{{"id":"' || regexp_replace(json_extract_string({x}, '$.id'), '[^A-Za-z0-9_-]', '_', 'g') || '","content":"' || coalesce(json_extract_string({x}, '$.content'), json_extract_string({x}, '$.text'), json_extract_string({x}, '$.body')) || '"}}'""")
 _BODIES = ['[{"a": 1}]', '{"url": "u#"}', '{"s3": {"k": 1}}', '{"documents": []}', '{"items": [1]}', '{"x": #}', '{"url": "u", "documents": []}']
 scalar("payload_dispatch", _BODIES, json_records.payload_kind, "CASE event_id % 7 WHEN 0 THEN 'array' WHEN 1 THEN 'url' WHEN 2 THEN 's3' WHEN 3 THEN 'documents' WHEN 4 THEN 'items' WHEN 5 THEN 'document' ELSE 'url' END")
-query("value_text", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS y FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("y")))
+# a record's values as the text of its content
+query("value_text", """SELECT 'f' || event_id || '_0' AS id, 'x' || event_id || ' 1.5 true [{"k":[' || event_id || ']}]' AS content FROM events""")(
+    lambda spark, d: OPERATORS["json_flattener"](_files(spark, d, '{"s": "x#", "n": 1.5, "b": true, "z": null, "o": [{"k": [#]}]}', ".json"), {"content_fields": ["s", "n", "b", "z", "o"]}).select("id", "content")
+)
 query("ndjson_sniff", f"SELECT event_id, event_id % 3 = 0 AS y FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", mime.sniff_ndjson(F.get(F.array(F.lit('{"a":1}\n{"b":2}'), F.lit('{"a":1}'), F.lit("x\ny")), (F.col("event_id") % 3).cast("int"))).alias("y")))
 
 # CSV
 _FILE = "a;b;a\n1;x y;true\n\n;;\n007;-2.5;"
-def _files(spark, d, text: str, ending: str) -> DataFrame:
-    """A file of each event; # stands for its number."""
-    data = F.replace(F.lit(text), F.lit("#"), F.col("event_id").cast("string")).cast("binary")
-    none = F.lit(None).cast("string")
-    return table(spark, d, "events").select("event_id", data.alias("data"), none.alias("mime"), F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit(ending)).alias("filename"), none.alias("origin"), none.alias("charset"))
-
-
 query(
     "csv_parse",
     """SELECT 'f' || event_id || '_r1' AS id, '1 x y true' AS content, '{"_row":1,"a":1,"a_2":true,"b":"x y"}' AS fields FROM events

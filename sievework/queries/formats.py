@@ -60,8 +60,8 @@ query("html_decode", "SELECT event_id, 'é' || event_id AS text FROM events")(
 query("csv_decode", "SELECT event_id, 'naïve,é ' || event_id AS text FROM events")(
     lambda spark, d: _files(spark, d, F.when(F.col("event_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(F.concat(F.lit("naïve,é "), F.col("event_id").cast("string")), "UTF-8"))).when(F.col("event_id") % 3 == 1, F.encode(F.concat(F.lit("naïve,é "), F.col("event_id").cast("string")), "ISO-8859-1")).otherwise(F.encode(F.concat(F.lit("naïve,é "), F.col("event_id").cast("string")), "UTF-8"))).select(_event(), F.udf(lambda b: csv.decode(bytes(b)), "string", useArrow=True)("data").alias("text"))
 )
-query("csv_columns", """SELECT event_id, n, name FROM events, (VALUES (0, 'a'), (1, 'a_2'), (2, 'col_3'), (3, '_row_2'), (4, 'a_3'), (5, 'col_6')) t(n, name)""")(
-    lambda spark, d: table(spark, d, "events").select("event_id", F.posexplode(F.udf(lambda n: csv.column_names(["a", "a", "", "_row", "a"], 6), "array<string>", useArrow=True)("event_id")).alias("n", "name"))
+query("csv_columns", """SELECT event_id, n, CASE n WHEN 4 THEN event_type ELSE name END AS name FROM events, (VALUES (0, 'a'), (1, 'a_2'), (2, 'col_3'), (3, '_row'), (4, ''), (5, 'col_6')) t(n, name)""")(
+    lambda spark, d: table(spark, d, "events").select("event_id", F.posexplode(F.udf(lambda kind: csv.column_names(["a", "a", "", "_row", kind], 6), "array<string>", useArrow=True)("event_type")).alias("n", "name"))
 )
 scalar("key_collision", ['{"a": {"b": #}, "a.b": 1}', '{"a.b": #}', '{"x": {"y": {"z": "#"}}}'], lambda x: F.udf(lambda t: json_records.dumps(json_records.flatten(json.loads(t), json_records.FlattenConfig())), "string", useArrow=True)(x), """CASE event_id % 3 WHEN 0 THEN '{{"a.b":' || event_id || ',"a.b_2":1}}' WHEN 1 THEN '{{"a.b":' || event_id || '}}' ELSE '{{"x.y.z":"' || event_id || '"}}' END""")
 query("html_links", "SELECT page_id, 0 AS n, '/a/' || page_id AS href FROM pages UNION ALL SELECT page_id, 1, 'https://x.org/?q=1&r=2' FROM pages")(

@@ -26,9 +26,6 @@ query("url_template", "SELECT event_id, 'https://x/' || strftime(ts - INTERVAL 1
     lambda spark, d: table(spark, d, "events").select("event_id", F.udf(lambda t: url.render("https://x/{{ date-1d:%Y-%m-%d }}/{{ date:%H }}", t.replace(tzinfo=timezone.utc) if isinstance(t, datetime) else t), "string", useArrow=True)("ts").alias("y"))
 )
 query("source_resolve_index", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE 'datasets' END AS y FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", mime.resolve_index(F.lit(None).cast("string"), F.when(F.col("event_id") % 2 == 0, F.lit("own")), F.lit(mime.CSV), F.lit("x")).alias("y")))
-query("archive_target_index", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'locked' WHEN event_id % 2 = 0 THEN 'req' ELSE '*' END AS y FROM events")(
-    lambda spark, d: table(spark, d, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 == 0, F.lit("locked")), F.when(F.col("event_id") % 2 == 0, F.lit("req")), F.lit("*")).alias("y"))
-)
 _ERRORS = ["invalid input: x", "boom", "", "no lab credits"]
 
 

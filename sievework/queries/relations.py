@@ -12,6 +12,7 @@ from ..sources import url
 from ..operators.documents import read_blobs
 from ..operators.index import read_index
 from ..plans.catalog import OPERATORS
+from ..plans.pipeline import Pipeline, build
 from .base import JOBS_SQL, MEASURES_SQL, RUNS_SQL, USAGE_SQL, jobs_table, query, shared_folder, runs_table, table, usage_events
 
 _DAILY = "SELECT project_id, ts::DATE AS day, pipeline_uid, plugin, count(*) AS rows_count, {m} FROM {t} GROUP BY ALL"
@@ -102,9 +103,20 @@ query("provider_cost", f"""WITH p(plugin, model, i, o, a, r) AS (VALUES {', '.jo
  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, plugin, model, ti AS llm_input_tokens, tto AS llm_output_tokens, 1 AS llm_requests, 0 AS external_requests, s AS audio_seconds, CASE WHEN un THEN 0 ELSE ((ti * i + tto * o + 999999) // 1000000 + ceil(s * a) + r)::BIGINT END AS cost_micro_usd, un::INT AS unpriced_calls FROM u""")(
     lambda spark, d: usage.provider_cost(_calls(spark, d), spark.createDataFrame(PRICES, PRICE_COLUMNS))
 )
-query("unpriced_plugins", "SELECT x AS plugin FROM (VALUES ('jev_enricher'), ('image_captioner')) t(x)")(
-    lambda spark, d: usage.unpriced_plugins(spark.createDataFrame([(p,) for p in ("llm_enricher", "jev_enricher", "image_captioner", "whisper_transcriber", "chunker", "csv_parser")], "plugin string"), spark.createDataFrame([p if p[0] != "image_captioner" else (*p[:2], 0, 0, 0, 0) for p in PRICES], PRICE_COLUMNS))
-)
+_NAMES = ["llm_enricher", "jev_enricher", "image_captioner", "whisper_transcriber", "chunker", "csv_parser"]
+
+
+def _registered(spark: SparkSession, d: str) -> DataFrame:
+    """A plugin of each part's brand; suppliers set prices, some of which are zero."""
+    name = lambda n: F.get(F.array(*map(F.lit, _NAMES)), (n % len(_NAMES)).cast("int"))
+    plugins = table(spark, d, "part").select(F.concat(name(F.col("p_partkey")), F.when(F.col("p_size") % 9 == 0, F.lit("_old")).otherwise(F.lit(""))).alias("plugin")).distinct()
+    key = F.col("s_suppkey")
+    rate = F.when((key % 6).isin(1, 2), 0).otherwise(key + 1).cast("long")
+    prices = table(spark, d, "supplier").select(name(key).alias("plugin"), F.lit("default").alias("model"), rate.alias("input_per_mtok"), *(F.lit(0).cast("long").alias(c) for c in ("output_per_mtok", "per_audio_second", "per_request")))
+    return usage.unpriced_plugins(plugins, prices).distinct()
+
+
+query("unpriced_plugins", "SELECT DISTINCT plugin FROM (SELECT (['llm_enricher', 'jev_enricher', 'image_captioner', 'whisper_transcriber', 'chunker', 'csv_parser'])[p_partkey % 6 + 1] || CASE WHEN p_size % 9 = 0 THEN '_old' ELSE '' END AS plugin FROM part) WHERE plugin IN ('jev_enricher', 'image_captioner')")(_registered)
 query("fan_out", "SELECT doc_id, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / ceil(count(*) OVER (PARTITION BY source) / 50))::BIGINT AS branch FROM documents")(
     lambda spark, d: usage.fan_out(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 50, ["source"]).select("doc_id", "branch")
 )
@@ -117,7 +129,21 @@ def _branches(spark, d):
 query("fan_in", """WITH b AS (SELECT l_orderkey AS step, l_linenumber::BIGINT * 10000000000000 + l_partkey * 10000000 + l_suppkey * 1000 + l_quantity::BIGINT AS branch, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_returnflag <> 'R' OR l_linenumber > 2 END AS ok, 'err' || l_partkey AS error, l_quantity::BIGINT AS documents, floor(l_extendedprice)::BIGINT AS duration_ms, l_partkey AS input_bytes, l_suppkey AS pages FROM lineitem)
  SELECT step, CASE WHEN count(*) FILTER (NOT ok) > 0 THEN 'failed' WHEN count(*) FILTER (ok) < count(*) THEN 'cancelled' ELSE 'succeeded' END AS outcome, count(*) AS branches, coalesce(sum(documents) FILTER (ok), 0)::BIGINT AS documents, coalesce(sum(duration_ms) FILTER (ok), 0)::BIGINT AS duration_ms, coalesce(sum(input_bytes) FILTER (ok), 0)::BIGINT AS input_bytes, coalesce(sum(pages) FILTER (ok), 0)::BIGINT AS pages,
  CASE WHEN count(*) FILTER (NOT ok) > 0 THEN count(*) - count(*) FILTER (ok) || ' of ' || count(*) || ' branches failed; first error: ' || arg_min(error, branch) FILTER (NOT ok) END AS error FROM b GROUP BY 1""")(lambda spark, d: usage.fan_in(_branches(spark, d)))
-query("resolve_input", "SELECT event_id AS id, event_type AS v FROM events UNION ALL SELECT doc_id, lang FROM documents")(lambda spark, d: table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("v")).unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("v"))))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """A step that takes what two others gave, in the order of its dependencies."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), "source", F.lit("x").alias("content"))
+    steps = [
+        {"id": "in", "plugin": "document_script", "config": {"keep": "true"}},
+        {"id": "even", "plugin": "document_script", "depends_on": ["in"], "config": {"keep": "cast(id as int) % 2 = 0", "drop": ["source"]}},
+        {"id": "third", "plugin": "document_script", "depends_on": ["in"], "config": {"keep": "cast(id as int) % 3 = 0", "set": {"title": "upper(title)"}}},
+        {"id": "both", "plugin": "document_script", "depends_on": ["even", "third"], "config": {"keep": "title <> 'de'"}},
+    ]
+    return build(Pipeline.parse({"uid": "m", "steps": steps}), docs, OPERATORS)["both"].select("id", "title", "source")
+
+
+query("resolve_input", "SELECT doc_id::VARCHAR AS id, lang AS title, NULL::VARCHAR AS source FROM documents WHERE doc_id % 2 = 0 AND lang <> 'de' UNION ALL SELECT doc_id::VARCHAR, upper(lang), source FROM documents WHERE doc_id % 3 = 0")(_merged)
 
 # jobs
 query("jobs_list", f"WITH {JOBS_SQL} SELECT job_id, status, started_at FROM jobs WHERE tenant_id = 't2' ORDER BY started_at DESC, job_id LIMIT 40 OFFSET 20")(lambda spark, d: control.jobs_list(jobs_table(spark, d), tenant="t2", limit=40, offset=20).select("job_id", "status", "started_at"))
@@ -127,7 +153,7 @@ query("blob_sweep_claim", f"WITH {JOBS_SQL} SELECT job_id, pipeline_uid FROM job
     lambda spark, d: control.blob_sweep_claim(jobs_table(spark, d), F.expr("TIMESTAMP_NTZ '1998-08-02 00:00:00'"), 7, 3600, 100).select("job_id", "pipeline_uid")
 )
 query("retention_jobs", f"WITH {JOBS_SQL} SELECT job_id FROM jobs j WHERE {_DUE} AND started_at < TIMESTAMP '1996-01-01' AND NOT EXISTS (SELECT 1 FROM jobs c WHERE c.parent_job_id = j.job_id)")(lambda spark, d: control.retention_jobs(jobs_table(spark, d), F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'")).select("job_id"))
-query("retention_runs", f"WITH {RUNS_SQL} SELECT run_id FROM runs WHERE started_at < (SELECT min(started_at) + INTERVAL 10 DAYS FROM runs)")(lambda spark, d: (lambda r: r.join(r.agg((F.min("started_at") + F.expr("INTERVAL 10 DAYS")).alias("until")), F.col("started_at") < F.col("until")).select("run_id"))(runs_table(spark, d)))
+query("retention_runs", f"WITH {RUNS_SQL} SELECT run_id FROM runs WHERE started_at < (SELECT min(started_at) + INTERVAL 10 DAYS FROM runs)")(lambda spark, d: control.retention_runs(runs_table(spark, d), F.lit(runs_table(spark, d).agg(F.min("started_at") + F.expr("INTERVAL 10 DAYS")).first()[0]).cast("timestamp_ntz")).select("run_id"))
 
 
 def _writes(spark, d):
@@ -190,7 +216,7 @@ _LOOKUP = f"WITH {_PIPES} SELECT uid, arg_min_null(tenant_id, tenant_id IS NULL)
 query("by_uid", _LOOKUP)(lambda spark, d: control.shadowed_lookup(_pipelines(spark, d), "t1"))
 query("tenant_shadow_lookup", _LOOKUP.replace("'t1'", "'t2'"))(lambda spark, d: control.shadowed_lookup(_pipelines(spark, d), "t2"))
 query("visible_all", f"WITH {_PIPES} SELECT * FROM pipes p WHERE tenant_id = 't3' OR (tenant_id IS NULL AND NOT EXISTS (SELECT 1 FROM pipes q WHERE q.uid = p.uid AND q.tenant_id = 't3'))")(lambda spark, d: control.visible(_pipelines(spark, d), "t3"))
-query("pipeline_list", f"WITH {_PIPES} SELECT * FROM pipes WHERE tenant_id IS NULL OR tenant_id = 't1'")(lambda spark, d: _pipelines(spark, d).where("tenant_id is null or tenant_id = 't1'").orderBy(F.col("tenant_id").isNull(), "uid"))
+query("pipeline_list", f"WITH {_PIPES} SELECT * FROM pipes WHERE tenant_id IS NULL OR tenant_id = 't1'")(lambda spark, d: control.listed(_pipelines(spark, d), "t1"))
 query("pipeline_cascade", f"WITH {_PIPES}, s AS (SELECT s_suppkey AS source_id, 't' || (s_suppkey % 5) AS tenant_id, 'u' || (s_nationkey % 3) AS pipeline_uid FROM supplier) SELECT * FROM s WHERE pipeline_uid = 'u1' AND NOT EXISTS (SELECT 1 FROM pipes p WHERE p.uid = 'u1' AND p.tenant_id = s.tenant_id)")(
     lambda spark, d: control.pipeline_cascade(table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), F.concat(F.lit("t"), (F.col("s_suppkey") % 5).cast("string")).alias("tenant_id"), F.concat(F.lit("u"), (F.col("s_nationkey") % 3).cast("string")).alias("pipeline_uid")), _pipelines(spark, d), "u1")
 )

@@ -14,7 +14,16 @@ _STEM = rf"regexp_replace({_LAST}, '([^/])\.[^./]*$', '\1')"
 
 scalar("sanitize_id", ["a b#", "ünï#cödé", "ok-_#", "日本#", "x/y\\z #!"], ids.sanitize_id, "left(regexp_replace({x}, '[^A-Za-z0-9_-]', '_', 'g'), 511)")
 scalar("filename_id_stem", NAMES, lambda x: ids.filename_id_stem(x, ascii_only=True), rf"CASE WHEN {_LAST} NOT LIKE '%/' AND length({_STEM}) > 0 THEN regexp_replace({_STEM}, '[^A-Za-z0-9_-]', '_', 'g') END")
-scalar("tag_id", ["stem#", "a b#"], lambda x: ids.tag_id(x, F.lit(None).cast("string")), "regexp_replace({x}, '[^A-Za-z0-9_-]', '_', 'g')")
+# The tags of these origins.
+_ORIGINS = {"https://example.org/a.csv": "d8e053229284", "s3://bucket/k": "4049cab18104", "é": "46d0ec742cea"}
+query(
+    "tag_id",
+    f"SELECT event_id, x, concat_ws('_', regexp_replace(x, '[^A-Za-z0-9_-]', '_', 'g'), ([NULL, {', '.join(map(sql_text, _ORIGINS.values()))}, NULL])[event_id // 2 % 5 + 1]) AS y FROM (SELECT event_id, {sample_sql(['stem#', 'a b#'], 'event_id')} AS x FROM events)",
+)(
+    lambda spark, d: table(spark, d, "events")
+    .select("event_id", sample(["stem#", "a b#"], F.col("event_id")).alias("x"), F.get(F.array(F.lit(None), *map(F.lit, _ORIGINS), F.lit("")), (F.floor(F.col("event_id") / 2) % 5).cast("int")).alias("origin"))
+    .select("event_id", "x", ids.tag_id(F.col("x"), F.col("origin")).alias("y"))
+)
 scalar("suffixed_id", ["base#", "other_#"], lambda x: ids.suffixed_id(x, F.lit("_7")), "{x} || '_7'")
 scalar("truncate_chars", ["short#", "éèê a longer text with number # in it", "日本語のテキスト#"], lambda x: text.truncate_chars(x, 8), "left({x}, 8)")
 scalar("collapse_ws", ["  a \t b\n\nc # ", "x#", "\n", "a  b"], text.collapse_ws, r"trim(regexp_replace({x}, '\s+', ' ', 'g'))")
@@ -82,8 +91,21 @@ query("resolve_index", f"""SELECT event_id, coalesce(nullif(trim(p), ''), nullif
  FROM (SELECT event_id, {sample_sql(["", " ", "pat#"], "event_id")} AS p, {sample_sql(["", "req#"], "(event_id // 3)")} AS r, {sample_sql(TYPES, "(event_id // 6)")} AS t FROM events)""")(
     lambda spark, d: table(spark, d, "events").select("event_id", mime.resolve_index(sample(["", " ", "pat#"], F.col("event_id")), sample(["", "req#"], F.floor(F.col("event_id") / 3)), sample(TYPES, F.floor(F.col("event_id") / 6)), F.lit("main")).alias("y"))
 )
-query("file_index", f"SELECT event_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), 'documents') AS y FROM (SELECT event_id, {sample_sql(['', 'lock#'], 'event_id')} AS a, {sample_sql(['', 'fix#'], '(event_id // 2)')} AS b FROM events)")(
-    lambda spark, d: table(spark, d, "events").select("event_id", mime.resolve_index(sample(["", "lock#"], F.col("event_id")), sample(["", "fix#"], F.floor(F.col("event_id") / 2)), F.lit("text/plain"), F.lit("")).alias("y"))
+_CHOICES = {"locked": (["", " ", "lock#", "", ""], 1), "fixed": (["", "fix#", ""], 2), "pattern": (["pat#", ""], 3), "requested": (["", "req#", " "], 5)}
+_CHOSEN = ", ".join(f"{sample_sql(texts, f'(event_id // {by})')} AS {name}" for name, (texts, by) in _CHOICES.items())
+_FIRST = ", ".join(f"nullif(trim({name}), '')" for name in _CHOICES)
+
+
+def _chosen() -> dict:
+    return {name: sample(texts, F.floor(F.col("event_id") / by)) for name, (texts, by) in _CHOICES.items()}
+
+
+query("file_index", f"""SELECT event_id, coalesce({_FIRST}, CASE WHEN m = 'documents' THEN 'main' ELSE m END) AS y FROM (SELECT *, {_INDEX.replace("{m}", _ESSENCE.format(x="t"))} AS m FROM (SELECT event_id, {_CHOSEN}, {sample_sql(TYPES, "(event_id // 6)")} AS t FROM events))""")(
+    lambda spark, d: table(spark, d, "events").select("event_id", mime.file_index(**_chosen(), mime=sample(TYPES, F.floor(F.col("event_id") / 6)), default=F.lit("main")).alias("y"))
+)
+_FORCED = ", ".join(f"nullif(trim({name}), '')" for name in list(_CHOICES)[1:])
+query("archive_target_index", f"SELECT event_id, coalesce(nullif(trim(locked), ''), CASE WHEN event_id % 4 < 3 THEN coalesce({_FORCED}) END, '*') AS y FROM (SELECT event_id, {_CHOSEN} FROM events)")(
+    lambda spark, d: table(spark, d, "events").select("event_id", mime.archive_target_index(**_chosen(), forced=F.col("event_id") % 4 < 3).alias("y"))
 )
 BODIES = ['{"a": #}', '[1, 2]', '{"a": 1}\n{"b": 2}\n', "<!DOCTYPE html><p>#", " <html>", "plain # text", "{broken", "[1]\nx"]
 query("classify_text", f"""SELECT event_id, CASE WHEN o AND json_valid(x) THEN 'application/json' WHEN o AND len(l) >= 2 AND len(list_filter(l[1:5], lambda s: NOT (regexp_matches(s, '^[\\[{{]') AND json_valid(s)))) = 0 THEN 'application/x-ndjson'
