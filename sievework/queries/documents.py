@@ -13,7 +13,7 @@ from ..plans.builtin import BUILTIN
 from ..plans.catalog import OPERATORS
 from ..sources import url
 from ..streaming import usage_stream
-from .base import query, sample_sql, scalar, shared_folder, sql_text, table
+from .base import query, scalar, shared_folder, sql_text, table
 
 
 def _docs(spark, d):
@@ -41,18 +41,21 @@ query("chunk_meta", """WITH a AS (SELECT conv_id, turn, role, trim(text, ' ' ||
 query("html_extract")(lambda spark, d: html.extract_pages(table(spark, d, "pages")))
 
 
+# the registry's step: ids, language, and description and links among the fields
+query("html_step")(lambda spark, d: OPERATORS["html_extractor"](_page_files(spark, d), {"extract_links": True}).select("id", "title", "content", "language", "fields"))
 def _page_files(spark, d) -> DataFrame:
     none = F.lit(None).cast("string")
     return table(spark, d, "pages").select(F.col("html").cast("binary").alias("data"), none.alias("mime"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), none.alias("origin"), none.alias("charset"))
 
 
-# the registry's step: ids, language, and description and links among the fields
-query("html_step")(lambda spark, d: OPERATORS["html_extractor"](_page_files(spark, d), {"extract_links": True}).select("id", "title", "content", "language", "fields"))
-query("html_title", r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>')""")(
-    lambda spark, d: html.extract_pages(table(spark, d, "pages").where(F.col("html").rlike(r"(?is)<title[^>]*>[^<&]*[^<&\s][^<&]*</title>"))).select("page_id", "title")
-)
-# all pages, also those whose title has entities or markup or is missing, which html_title's SQL cannot follow
-query("html_title_all")(lambda spark, d: html.extract_pages(table(spark, d, "pages")).select("page_id", "title"))
+# of all pages; references in titles are followed by SQL as far as pages have them
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "amp": "&"}
+_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _name, _char in _NAMED.items():
+    _TITLE = f"regexp_replace({_TITLE}, '&{_name};?', '{_char}', 'g')"
+_TITLES = rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title FROM pages"
+query("html_title", _TITLES)(lambda spark, d: html.extract_pages(table(spark, d, "pages")).select("page_id", "title"))
+query("html_title_all", _TITLES)(lambda spark, d: OPERATORS["html_extractor"](_page_files(spark, d), {}).select(F.regexp_extract("id", r"^p(\d+)$", 1).cast("long").alias("page_id"), "title"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

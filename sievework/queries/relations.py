@@ -304,11 +304,12 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("index_sink", "SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT user_id::VARCHAR, 'old' FROM events WHERE user_id % 2 = 1")(_index)
-query("to_index_json", """SELECT doc_id, '{"id":"' || doc_id || '","content":' || to_json(text)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"_meta":{"language":' || to_json(lang)::VARCHAR || '}}' AS j FROM documents""")(
+_INDEX_JSON = """SELECT doc_id, '{"id":"' || doc_id || '","content":' || to_json(text)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"_meta":{"language":' || to_json(lang)::VARCHAR || '}}' AS j FROM documents"""
+query("to_index_json", _INDEX_JSON)(
     lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("text"), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
 )
 # the same rows under the name of the test against json.dumps
-query("to_index_json_whole")(
+query("to_index_json_whole", _INDEX_JSON)(
     lambda spark, d: table(spark, d, "documents").select("doc_id", sink.index_json(F.col("doc_id").cast("string"), F.lit(None).cast("string"), F.col("text"), {"source": F.col("source")}, F.struct(F.col("lang").alias("language"))).alias("j"))
 )
 query("plan_batches", """WITH RECURSIVE s AS (SELECT source AS part, doc_id AS seq, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
