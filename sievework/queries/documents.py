@@ -33,8 +33,37 @@ query("chunk_fixed", r"""WITH RECURSIVE src AS (SELECT doc_id, t, length(t) AS n
  m AS (SELECT *, max(k) OVER (PARTITION BY doc_id) AS mk, lead(cut - st) OVER (PARTITION BY doc_id ORDER BY k) AS nl, lead(cut) OVER (PARTITION BY doc_id ORDER BY k) AS nc FROM r),
  z AS (SELECT doc_id, k, t, st, CASE WHEN k = mk - 1 AND nl < 232 THEN nc ELSE cut END AS cut FROM m WHERE NOT (k = mk AND mk > 0 AND cut - st < 232))
  SELECT doc_id || '_' || k AS id, trim(substr(t, st + 1, cut - st), ' ' || chr(9) || chr(10) || chr(13)) AS content, k AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_total, doc_id::VARCHAR AS parent_id FROM z""")(_chunked("fixed", chunk_size=2000, overlap=200, min_chunk_size=232))
-query("chunk_sentence")(_chunked("sentence"))
-query("chunk_paragraph")(_chunked("paragraph", chunk_size=800, overlap=80))
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _tail_sql(text: str, most: str) -> str:
+    """The last words of a text in so many characters."""
+    return f"""CASE WHEN {most} <= 0 THEN '' WHEN length({text}) <= {most} THEN {text} ELSE ltrim(CASE WHEN regexp_matches(substr({text}, length({text}) - {most}, 1), '[ \\t\\n\\r]') THEN right({text}, {most})
+  ELSE regexp_replace(right({text}, {most}), '(?s)^[^ \\t\\n\\r]*', '') END, {_WS}) END"""
+
+
+def _packed_sql(split: str, joint: str, size: int, overlap: int, least: int) -> str:
+    """Units of texts packed into chunks, unit by unit; `split` gives a text's units as a list. Units over the size are cut as chunk_fixed cuts, without overlap."""
+    half = size // 2
+    cut = f"CASE WHEN length(u) - {{st}} <= {size} THEN length(u) ELSE coalesce({{st}} + {half - 1} + nullif(length(regexp_extract(substr(u, ({{st}}) + {half}, {size - half + 1}), '(?s)^.*[ \\t\\n\\r]')), 0), {{st}} + {size}) END"
+    return f"""WITH RECURSIVE src AS (SELECT doc_id, trim(text, {_WS}) AS t FROM documents),
+ whole AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS u FROM (SELECT doc_id, {split} AS l FROM src WHERE length(t) > {size})),
+ w AS (SELECT doc_id, k, u, 0 AS st, {cut.format(st="0")} AS e FROM whole UNION ALL SELECT doc_id, k, u, e, {cut.format(st="e")} FROM w WHERE e < length(u)),
+ units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, st) AS k, trim(substr(u, st + 1, e - st), {_WS}) AS u FROM w WHERE trim(substr(u, st + 1, e - st), {_WS}) <> ''),
+ p AS (SELECT doc_id, k, 0 AS n, '' AS seed, u AS held FROM units WHERE k = 1
+  UNION ALL SELECT doc_id, k, n + opens::INT, CASE WHEN opens THEN {_tail_sql("tail", f"least({overlap}, greatest(0, {size} - length(u) - length({joint})))")} ELSE seed END, CASE WHEN opens THEN u ELSE held || {joint} || u END
+  FROM (SELECT *, length(said || {joint} || u) > {size} AS opens, {_tail_sql("said", str(overlap))} AS tail FROM
+   (SELECT p.doc_id, units.k, n, seed, held, units.u, CASE WHEN seed = '' THEN held ELSE seed || {joint} || held END AS said FROM p JOIN units ON units.doc_id = p.doc_id AND units.k = p.k + 1))),
+ c AS (SELECT doc_id, n, arg_max(CASE WHEN seed = '' THEN held ELSE seed || {joint} || held END, k) AS text, arg_max(held, k) AS held FROM p GROUP BY 1, 2),
+ m AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS last, lead(text) OVER (PARTITION BY doc_id ORDER BY n) AS next, lead(held) OVER (PARTITION BY doc_id ORDER BY n) AS next_held FROM c),
+ out AS (SELECT doc_id, n, CASE WHEN n = last - 1 AND length(next) < {least} THEN text || {joint} || next_held ELSE text END AS text FROM m WHERE NOT (n = last AND n > 0 AND length(text) < {least}) UNION ALL SELECT doc_id, 0, t FROM src WHERE length(t) BETWEEN 1 AND {size})
+ SELECT doc_id || '_' || n AS id, text AS content, n AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_total, doc_id::VARCHAR AS parent_id FROM out"""
+
+
+_SENTENCES = f"""list_filter(list_transform(string_split(regexp_replace(t, '([.!?])[ \\t\\n\\r]', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '')"""
+_PARAGRAPHS = f"""list_filter(list_transform(string_split(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '\\n([ \\t\\r]*\\n)+', chr(1), 'g'), chr(1)), lambda x: trim(x, {_WS})), lambda x: x <> '')"""
+query("chunk_sentence", _packed_sql(_SENTENCES, "' '", 512, 64, 32))(_chunked("sentence"))
+query("chunk_paragraph", _packed_sql(_PARAGRAPHS, "chr(10) || chr(10)", 800, 80, 32))(_chunked("paragraph", chunk_size=800, overlap=80))
 query("chunk_meta", """WITH a AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations) SELECT conv_id || '-' || turn || '_0' AS id, t AS content, 0 AS chunk_index, 1 AS chunk_total, conv_id || '-' || turn AS parent_id, role FROM a WHERE t <> ''""")(
     lambda spark, d: chunker.chunk_documents(table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"), "role"), chunker.ChunkConfig(chunk_size=1_000_000)).select("id", "content", "chunk_index", "chunk_total", "parent_id", "role")
 )
