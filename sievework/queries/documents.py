@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mime
-from ..operators import chunker, csv, enrich, html, json_records, route, script, sink
+from ..operators import chunker, csv, csv_scan, enrich, html, json_records, route, script, sink
 from ..plans.builtin import BUILTIN
 from ..plans.catalog import OPERATORS
 from ..sources import url
@@ -253,3 +253,24 @@ def _stream(spark: SparkSession, d: str, dedup: bool) -> DataFrame:
 
 query("stream_dedup", "SELECT event_id, 't' || (user_id % 5) AS project_id, event_type AS kind FROM events")(lambda spark, d: _stream(spark, d, True).select("event_id", "project_id", "kind"))
 query("stream_daily", "SELECT ts::DATE AS day, 't' || (user_id % 5) AS project_id, event_type AS kind, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS value FROM events GROUP BY ALL")(lambda spark, d: _stream(spark, d, False))
+
+
+# files that Spark wrote, read by splits
+def _csv_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "csv") + "/t"
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(', "the\nthird"'))).otherwise(F.col("c_name"))
+    table(spark, d, "customer").select(F.col("c_custkey").alias("key"), name.alias("name"), F.col("c_nationkey").alias("nation")).write.option("header", "true").option("escape", '"').csv(path)
+    made = csv_scan.scan_csv(spark, path, id_column="key", content_columns=["name"])
+    return made.select("id", "content", F.get_json_object("fields", "$.nation").cast("int").alias("nation"))
+
+
+query("csv_scan", """SELECT c_custkey::VARCHAR AS id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ', "the' || chr(10) || 'third"' ELSE '' END AS content, c_nationkey AS nation FROM customer""")(_csv_scan)
+
+
+def _ndjson_scan(spark: SparkSession, d: str) -> DataFrame:
+    path = shared_folder(spark, "ndjson") + "/t"
+    table(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("t"), F.struct("user_id").alias("u"))).alias("value")).write.text(path)
+    return csv_scan.scan_ndjson(spark, path).select("id", "content", "fields")
+
+
+query("ndjson_scan", """SELECT event_id::VARCHAR AS id, event_type AS content, '{"t":"' || event_type || '","u.user_id":' || user_id || '}' AS fields FROM events""")(_ndjson_scan)
