@@ -21,7 +21,6 @@ empty result; a null doc_id is ignored as a component's name unless the componen
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -117,7 +116,9 @@ def gray_links(keys: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, in
             at, node = at[ok], node[ok]
             ok = np.bitwise_count(k[at] ^ k[node]) <= distance
             label = joined(label, at[ok], node[ok])
-    return [(order[a], order[b]) for a, b in enumerate(label.tolist()) if a != b]
+    first = np.full(n, n)
+    np.minimum.at(first, label, order)  # the least index of each set
+    return [(a, b) for a, b in zip(order.tolist(), first[label].tolist(), strict=True) if a != b]
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,14 +139,12 @@ def _blocks(distance: int) -> tuple[int, int]:
 
 
 def _groups(keys: DataFrame, distance: int) -> DataFrame:
-    """fp, group (a string), fixed (mask of the bits that the group shares)."""
+    """fp, group (a hash of the blocks chosen and their bits), fixed (mask of the bits that the group shares)."""
     blocks, agree = _blocks(distance)
     width = 64 // blocks
-    ones = (1 << width) - 1
-    value = lambda k: F.hex(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(ones)))
-    mask = lambda ks: F.lit(_signed(sum(ones << width * k for k in ks)))
-    chosen = [F.struct(F.concat_ws(".", F.lit("".join(f"{k:x}" for k in ks)), *map(value, ks)).alias("group"), mask(ks).alias("fixed")) for ks in combinations(range(blocks), agree)]
-    return keys.select("fp", F.inline(F.array(*chosen)))
+    masks = [_signed(sum(((1 << width) - 1) << width * k for k in ks)) for ks in combinations(range(blocks), agree)]
+    fixed = keys.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("fixed"))
+    return fixed.select("fp", F.xxhash64("fixed", F.col("fp").bitwiseAND(F.col("fixed"))).alias("group"), "fixed")
 
 
 def _split(large: DataFrame, distance: int) -> DataFrame:
@@ -155,47 +154,100 @@ def _split(large: DataFrame, distance: int) -> DataFrame:
     def parts(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            fixed = batch.column("fixed").to_numpy().view(np.uint64)
-            out_fp, out_group, out_fixed = [], [], []
-            masks: dict[int, list[int]] = {}
-            for x, g, m in zip(fp.tolist(), batch.column("group").to_pylist(), fixed.tolist(), strict=True):
-                if m not in masks:
-                    free = [b for b in range(64) if not m >> b & 1]
-                    masks[m] = [sum(1 << b for b in free[t::n]) for t in range(n)]
-                for t, part in enumerate(masks[m]):
-                    out_fp.append(_signed(x))
-                    out_group.append(f"{g}/{t}.{x & part:x}")
-                    out_fixed.append(_signed(m | part))
-            yield pa.RecordBatch.from_arrays([pa.array(out_fp, pa.int64()), pa.array(out_group, pa.string()), pa.array(out_fixed, pa.int64())], names=["fp", "group", "fixed"])
-
-    return large.mapInArrow(parts, "fp long, group string, fixed long")
+            group, fixed = batch.column("group").to_numpy().view(np.uint64), batch.column("fixed").to_numpy().view(np.uint64)
+            out = []
+            for mask in np.unique(fixed):
+                free = [b for b in range(64) if not int(mask) >> b & 1]
+                at = np.flatnonzero(fixed == mask)
+                for t in range(n):
+                    part = np.uint64(sum(1 << b for b in free[t::n]))
+                    name = mix64(group[at] ^ mix64((fp[at] & part) ^ mix64(np.full(len(at), part))))
+                    out.append((fp[at], name, np.full(len(at), mask | part)))
+            columns = [np.concatenate(x).view(np.int64) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["fp", "group", "fixed"])
 
+    return large.mapInArrow(parts, "fp long, group long, fixed long")
 
-def fingerprint_links(keys: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """keys: distinct fp. a, b: links that join what lies within `distance`; of each group a key has one at most."""
 
-    def search(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        found = gray_links(fp, distance)
-        signed = fp.view(np.int64)
-        return pa.table({"a": pa.array([signed[a] for a, _ in found], pa.int64()), "b": pa.array([signed[b] for _, b in found], pa.int64())})
+#: Keys of a group that are compared each with each.
+FEW = 32
+
+
+def _in_groups(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """fp (uint64) by group, in one order: pairs of places, of each key that is linked and the first one of its set, over whole groups.
+
+    A set's first key is the same in most groups that hold it, so links of different groups are often one.
+    """
+    label, start = np.arange(len(fp)), np.flatnonzero(np.diff(group, prepend=group[:1] + 1))
+    size = np.diff(start, append=len(fp))
+    few = np.repeat(size <= FEW, size)
+    for k in range(1, min(FEW, int(size.max(initial=1)))):
+        near = few[k:] & (group[k:] == group[:-k]) & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= distance)
+        at = np.flatnonzero(near)
+        if len(at):
+            label = joined(label, at + k, at)
+    for s, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        for a, b in gray_links(fp[s : s + n], distance):
+            label[s + a] = s + b
+    at = np.flatnonzero(label != np.arange(len(fp)))
+    return at, label[at]
+
+
+def _searched(distance: int):
+    """Rows by group, in order: links (a, b; fixed null) of groups of moderate size, and the rows (a: fp, b: group) of large ones.
+
+    A group with 14 or fewer free bits is bounded by itself.
+    """
+
+    def rows(a, b, fixed) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(fixed, pa.int64()) if fixed is not None else pa.nulls(len(a), pa.int64())], names=["a", "b", "fixed"])
+
+    def settle(fp, group, fixed):
+        _, of, size = np.unique(group, return_inverse=True, return_counts=True)
+        large = (size[of] > MOST_GROUP) & (64 - np.bitwise_count(fixed.view(np.uint64)) > 14)
+        if large.any():
+            yield rows(fp[large], group[large], fixed[large])
+        fp, group = fp[~large], group[~large]
+        a, b = _in_groups(fp, group, distance)
+        yield rows(fp[a], fp[b], None)
+
+    def run(batches):
+        held, going = [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)], None
+        for batch in batches:
+            x = [batch.column("fp").to_numpy().view(np.uint64), batch.column("group").to_numpy(), batch.column("fixed").to_numpy()]
+            if going is not None:  # the rest of a large group
+                n = int(np.searchsorted(x[1] != going, True)) if (x[1] != going).any() else len(x[1])
+                yield rows(x[0][:n], x[1][:n], x[2][:n])
+                if n == len(x[1]):
+                    continue
+                x, going = [c[n:] for c in x], None
+            x = [np.concatenate(c) for c in zip(held, x, strict=True)]
+            if not len(x[1]):
+                continue
+            last = int(np.flatnonzero(x[1] != x[1][-1])[-1]) + 1 if (x[1] != x[1][-1]).any() else 0
+            if last:
+                yield from settle(*(c[:last] for c in x))
+            held = [c[last:] for c in x]
+            if len(held[0]) > max(MOST_GROUP, 1 << 14):
+                yield rows(*held)
+                going, held = held[1][0], [c[:0] for c in held]
+        if len(held[0]):
+            yield from settle(*held)
+
+    return run
 
-    grouped, out = stage(_groups(keys, distance), "simhash-groups"), None
+
+def fingerprint_links(keys: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """keys: distinct fp. a, b: links that join what lies within `distance`; of each group a key has one at most."""
+    grouped, out = _groups(keys, distance), None
     while True:
-        sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-        # a group is as large as its shared bits allow; with 14 or fewer free it is bounded by itself
-        free = 64 - F.bit_count("fixed")
-        large = stage(sizes.where(F.col("n") > MOST_GROUP), "simhash-large")
-        small = stage(sizes.where((F.col("n") > 1) & (F.col("n") <= MOST_GROUP)).select("group"), "simhash-small")
-        rest = None if large.isEmpty() else stage(grouped.join(large, "group", "left_semi"), "simhash-rest")
-        ready = grouped.join(small, "group", "left_semi")
-        if rest is not None:
-            ready = ready.unionByName(rest.where(free <= 14))
-        links = ready.select("group", "fp").groupBy("group").applyInArrow(search, "a long, b long")
+        found = stage(grouped.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(_searched(distance), "a long, b long, fixed long"), "simhash-links")
+        links = found.where(F.col("fixed").isNull()).select("a", "b")
         out = links if out is None else out.unionByName(links)
-        if rest is None or rest.where(free > 14).isEmpty():
+        rest = found.where(F.col("fixed").isNotNull()).select(F.col("a").alias("fp"), F.col("b").alias("group"), "fixed")
+        if rest.isEmpty():
             return out
-        grouped = stage(_split(rest.where(free > 14), distance), "simhash-split")
+        grouped = _split(rest, distance)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -312,12 +364,10 @@ def like_texts(docs: DataFrame, marked: DataFrame) -> DataFrame:
     Fingerprints within STAGE_DISTANCE make components, for each of a text's fingerprints; within one, texts that share a
     band of least shingle hashes meet the least of them, and the two are compared by all their shingles.
     """
-    texts, labels = stage(marked.groupBy("h").agg(F.min("row").alias("row"), F.first("fps").alias("fps")), "near-texts"), []
-    for k in range(FINGERPRINTS):
-        own = texts.select("h", F.col("fps")[k].alias("fp"))
-        near = components(fingerprint_links(stage(own.select("fp").distinct(), "near-keys"), STAGE_DISTANCE)).withColumnRenamed("node", "fp")
-        labels.append(own.join(near, "fp", "left").select("h", F.lit(k).alias("which"), F.coalesce("label", "fp").alias("label")))
-    labelled = stage(reduce(DataFrame.unionAll, labels), "near-labels")
+    texts = stage(marked.groupBy("h").agg(F.min("row").alias("row"), F.first("fps").alias("fps")), "near-texts")
+    both = stage(texts.select("h", F.posexplode("fps").alias("which", "fp")), "near-both")
+    near = components(fingerprint_links(stage(both.select("fp").distinct(), "near-keys"), STAGE_DISTANCE)).withColumnRenamed("node", "fp")
+    labelled = stage(both.join(near, "fp", "left").select("h", "which", F.coalesce("label", "fp").alias("label")), "near-labels")
     several = labelled.groupBy("which", "label").agg(F.count("*").alias("n")).where("n > 1").select("which", "label")
     members = stage(labelled.join(several, ["which", "label"]), "near-members")
     # of a text's copies one row is read again, so that no task gets them all
