@@ -294,7 +294,7 @@ def word_fingerprint(raw: bytes, known: dict[bytes, int]) -> list[int]:
     counts = Counter(raw.lower().split())
     if not counts:
         return [0] * FINGERPRINTS
-    if len(known) > 200_000:
+    if len(known) > 50_000:
         known.clear()
     h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w, SEED)) for w in counts), np.uint64, len(counts))
     weight = np.floor(16 * (1 + np.log(np.fromiter(counts.values(), np.int64, len(counts))))).astype(np.int64)
@@ -309,7 +309,7 @@ def word_fingerprint(raw: bytes, known: dict[bytes, int]) -> list[int]:
 def word_fingerprints(batches):
     known: dict[bytes, int] = {}
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 2 << 20):
             fps = pa.array([list(map(_signed, word_fingerprint(x, known))) for x in utf8(batch.column("text"))], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("h"), fps, batch.column("order")], names=["h", "fps", "order"])
 
@@ -329,7 +329,7 @@ def _banded(batches):
     """h, the shingles, and BANDS hashes of BAND least shingles each."""
     seeds = mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 2 << 20):
             sets, bands = [], []
             for raw in utf8(batch.column("text")):
                 s = shingles(raw)
