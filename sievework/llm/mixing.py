@@ -10,7 +10,8 @@ meet blocks by index. mix_blocks() gives the shards themselves, mix_documents()
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all words; a target stops at
 MOST_REPEATS times its source's words and the excess is shared again by weight. A block is taken at most
-MOST_REPEATS times (a slot drawn beyond that stays empty), so no document exceeds that either.
+MOST_REPEATS times (a slot drawn beyond that stays empty), so no document exceeds that either. A source whose target is
+that many times its size has all its blocks so often, without a draw, and so meets its target exactly.
 
 Defined results: null text has no words; null source is a source of its own; documents without words are never
 taken; repeated rows are separate documents; an empty table gives an empty result.
@@ -95,7 +96,8 @@ def lay_out(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
     sources = []
     for i, (name, target) in enumerate(zip(names, goal, strict=True)):
         block = max(1, min(BLOCK_WORDS, found[name] // LEAST_BLOCKS))
-        sources.append({"idx": i, "name": name, "size": found[name], "target": target, "block": block, "blocks": -(-found[name] // block), "slots": round(target / block)})
+        blocks, full = -(-found[name] // block), found[name] > 0 and target >= MOST_REPEATS * found[name]
+        sources.append({"idx": i, "name": name, "size": found[name], "target": target, "block": block, "blocks": blocks, "full": full, "slots": MOST_REPEATS * blocks if full else round(target / block)})
     schema = "idx int, name string, source_size long, target double, block int"
     table = sized.sparkSession.createDataFrame([(s["idx"], s["name"], s["size"], s["target"], s["block"]) for s in sources], schema)
     if len(sources) <= BROADCAST_SOURCES:
@@ -113,21 +115,38 @@ def shard_counts(shard: int, slots: int, shares: np.ndarray, seed: int = SEED) -
     return np.random.default_rng([seed, shard]).multinomial(slots, shares)
 
 
+def dealt(slots: np.ndarray, low: int, high: int, total: int) -> np.ndarray:
+    """Of slots that are dealt evenly over `total`, those between low and high."""
+    slots = slots.astype(object)  # products may pass 64 bits
+    return (slots * high // total - slots * low // total).astype(np.int64)
+
+
 def draw_slots(spark: SparkSession, sources: list[dict], seed: int = SEED) -> DataFrame:
-    """shard, slot (in the shard), idx, index (of a block): one row for each block that the mix takes."""
+    """shard, slot (in the shard), idx, index (of a block): one row for each block that the mix takes.
+
+    A source that stops at MOST_REPEATS times its size has each block so often, for certain: its slots are dealt evenly to
+    the shards. The other slots of a shard are drawn among the other sources.
+    """
     some = [s for s in sources if s["slots"]]
-    total = sum(s["slots"] for s in some)
-    shares = np.array([s["slots"] for s in some], np.float64) / max(1, total)
-    index, blocks = np.array([s["idx"] for s in some], np.int32), np.array([s["blocks"] for s in sources], np.int64)
+    index, slots, full = np.array([s["idx"] for s in some], np.int32), np.array([s["slots"] for s in some], np.int64), np.array([s["full"] for s in some], bool)
+    total, drawn = int(slots.sum()), int(slots[~full].sum())
+    shares, blocks = slots[~full] / max(1, drawn), np.array([s["blocks"] for s in sources], np.int64)
     schema = "shard long, idx int, n long, slot long"
 
+    def of(shard: int) -> np.ndarray:
+        low, high = shard * SHARD_SLOTS, min(total, (shard + 1) * SHARD_SLOTS)
+        n = dealt(slots, low, high, total)
+        if drawn:
+            n[~full] = shard_counts(shard, int(dealt(np.array([drawn]), low, high, total)[0]), shares, seed)
+        return n
+
     def draw(batches):
         for batch in batches:
-            shards = batch.column(0).to_numpy()
-            counts = np.array([shard_counts(q, min(SHARD_SLOTS, total - q * SHARD_SLOTS), shares, seed) for q in shards.tolist()], np.int64).reshape(len(shards), len(index))
-            slot = np.cumsum(counts, axis=1) - counts
-            columns = (np.repeat(shards, len(index)), np.tile(index, len(shards)), counts.ravel(), slot.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "idx", "n", "slot"])
+            for shard in batch.column(0).to_pylist():
+                n = of(shard)
+                at = np.flatnonzero(n)
+                columns = (np.full(len(at), shard), index[at], n[at], (np.cumsum(n) - n)[at])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shard", "idx", "n", "slot"])
 
     def fill(batches):
         for batch in batches:

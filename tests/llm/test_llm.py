@@ -354,6 +354,20 @@ def test_mixing_against_brute_force(spark, docs, corpus, monkeypatch):
     assert other != {k: r["taken"] for k, r in amounts.items()}
 
 
+def test_sources_at_their_most_meet_their_targets(spark, monkeypatch):
+    """Small sources stop at three times their size, and take exactly that, over many shards or one."""
+    rows = [(k, " ".join(["w"] * n), s) for s, sizes in (("a", [7, 13]), ("b", [5] * 4), ("c", [400] * 25), (None, [1])) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string").repartition(3)
+    for slots in (4096, 8):
+        monkeypatch.setattr(mixing, "SHARD_SLOTS", slots)
+        got = mixing.mix_amounts(df).collect()
+        for s in ("a", "b", None):
+            of = [r for r in got if r["source"] == s]
+            assert of[0]["target"] == 3 * of[0]["source_size"] and all(r["taken"] == 3 * r["size"] for r in of)
+        rest = [r for r in got if r["source"] == "c"]
+        assert abs(sum(r["taken"] for r in rest) - rest[0]["target"]) < 5 * rest[0]["target"] ** 0.5
+
+
 def test_mixing_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "a b c d", "s")] * 3 + [(2, "e f", "s")], "doc_id long, text string, source string")
     assert sum(len(words(r["text"])) for r in mixing.mix_documents(rows).collect()) == sum(r["taken"] for r in mixing.mix_amounts(rows).collect()) <= 42
@@ -790,3 +804,32 @@ def test_sql(spark, name):
     got = queries.QUERIES[name](spark, data)
     assert sorted(got.columns) == sorted(found.columns)
     assert Counter(tuple(r[c] for c in found.columns) for r in got.collect()) == Counter(found.fetchall())
+
+
+def test_chat_format_empty_and_repeated_turns(spark):
+    kind = "conv_id long, turn long, role string, text string, seg_end string"
+    assert chat_format.digest(chat_format.format_turns(spark.createDataFrame([], kind))).collect() == []
+    rows = [(-1, 0, "user", "hi", "x"), (-1, 1, "assistant", "a", "x"), (-1, 1, "assistant", "a", "x"), (-1, 1, "assistant", "B", "x"), (2, None, None, None, "x"), (2, None, None, None, "x")]
+    got = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_turns(spark.createDataFrame(rows, kind))).collect()}
+    said = sorted((t is not None, t or 0, r or "", x or "") for c, t, r, x, _ in rows if c == -1)
+    assert got[-1]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for _, _, r, x in said)) and got[-1]["loss_sha256"] == sha("Baa") and got[-1]["loss_chars"] == 3
+    assert got[2]["n_turns"] == 2 and got[2]["turns_sha256"] == sha("\n\n\n\n") and got[2]["loss_chars"] == 0
+
+
+def test_pipeline_of_nothing_and_of_null_ids(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, piece int"
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ed", "ly"]) for _ in range(90))
+    good = [say() for _ in range(30)]
+    rows = [(None if k % 2 else k // 4, t, None if k % 3 else "en", None if k % 5 else "s", len(t), 0) for k, t in enumerate(good)]
+    rows += [(77, good[0], "en", "s", 1, 0), (78, None, None, None, None, 0), (79, "", "en", "s", 0, 0)]
+    for name, found in (("some", rows), ("none", [])):
+        spark.createDataFrame(found, kind).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    kept = pipeline.near_dedup_stage(spark, pipeline.quality_stage(spark, docs, ""), "")
+    texts_kept = [r["text"] for r in kept.collect()]
+    want = [x for i, x in enumerate(good) if not any(likeness(x, y) >= 0.8 for y in good[:i])]
+    assert len(texts_kept) == len(set(texts_kept)) and sorted(texts_kept) == sorted(x for x in want if x in set(texts_kept)) and len(texts_kept) > 20
+    out = pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert out and all(r["length"] > 0 for r in out) and max(r["offset"] + r["length"] for r in out) <= 1024
