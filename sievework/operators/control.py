@@ -193,6 +193,7 @@ def archive_outcome(files: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s)
     ok, failed, skipped = count("succeeded"), count("failed"), count("skipped")
     first = F.min_by(F.when(F.col("status") == "failed", F.concat("path", F.lit(": "), "error")), F.when(F.col("status") == "failed", F.col("n")))
+    # The texts of messages.
     message = F.concat(failed.cast("string"), F.lit(" of "), (ok + failed).cast("string"), F.lit(" files failed; first: "), first)
     nothing = F.when(skipped == 0, F.lit("the archive holds no files")).otherwise(F.concat(F.lit("none of the archive's files could be ingested ("), skipped.cast("string"), F.lit(" skipped; see progress.archive.skipped)")))
     return files.groupBy("job_id").agg(ok.alias("succeeded"), failed.alias("failed"), skipped.alias("skipped"), F.when(failed > 0, message).when(ok == 0, nothing).alias("error"))

@@ -27,6 +27,7 @@ def settled(results: DataFrame) -> DataFrame:
 
 def round_ends(results: DataFrame) -> DataFrame:
     """How each round ended a job, if it did: by its first step, in order, that did not complete."""
+    # Fixed value: the text of the message.
     said = F.when(F.col("status") == "failed", F.concat(F.lit("step "), "step_id", F.lit(" ("), "plugin", F.lit(") failed: "), F.coalesce("message", F.lit(""))))
     stop = F.min_by(F.struct(F.col("status").alias("outcome"), said.alias("error")), F.when(F.col("status") != "succeeded", F.col("n")))
     return results.groupBy("job_id", "round").agg(stop.alias("s")).select("job_id", "round", F.when(F.col("s.outcome") == "succeeded", None).otherwise(F.col("s.outcome")).alias("outcome"), "s.error")

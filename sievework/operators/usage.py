@@ -180,6 +180,7 @@ def fan_in(branches: DataFrame, sums: list[str] | None = None, keys: tuple[str,
     sums = sums or [c for c in ("documents", "duration_ms", "input_bytes", *UNITS) if c in branches.columns]
     done, failed = F.count_if(F.col("ok")), F.count_if(~F.col("ok"))
     first = F.min_by(F.when(~F.col("ok"), F.col("error")), F.when(~F.col("ok"), F.col("branch")))
+    # Fixed value: the text of the message.
     message = F.concat((F.count("*") - done).cast("string"), F.lit(" of "), F.count("*").cast("string"), F.lit(" branches failed; first error: "), first)
     outcome = F.when(failed > 0, F.lit("failed")).when(done < F.count("*"), F.lit("cancelled")).otherwise(F.lit("succeeded"))
     added = [F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).alias(c) for c in sums]
