@@ -118,8 +118,8 @@ def _payloads(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("props").cast("binary").alias("data"), none.alias("mime"), F.concat(F.lit("ev"), F.col("event_id").cast("string"), F.lit(".json")).alias("filename"), none.alias("origin"), none.alias("charset"))
 
 
-query("json_flatten", """SELECT 'ev' || event_id || '_0' AS id, json_extract_string(props, '$.k')::BIGINT AS k, '' AS content FROM events""")(
-    lambda spark, d: OPERATORS["json_flattener"](_payloads(spark, d), {}).select("id", F.get_json_object("fields", "$.k").cast("long").alias("k"), "content")
+query("json_flatten", """SELECT 'ev' || event_id || '_0' AS id, event_id, json_extract_string(props, '$.k')::BIGINT AS k, '' AS content FROM events""")(
+    lambda spark, d: OPERATORS["json_flattener"](_payloads(spark, d), {}).select("id", F.regexp_extract("filename", r"-?\d+", 0).cast("long").alias("event_id"), F.get_json_object("fields", "$.k").cast("long").alias("k"), "content")
 )
 # ids that the records have
 query("json_ids", """SELECT json_extract_string(props, '$.k') AS id, '{}' AS fields FROM events""")(lambda spark, d: OPERATORS["json_flattener"](_payloads(spark, d), {"id_field": "k"}).select("id", "fields"))

@@ -102,6 +102,12 @@ def test_reflatten_operator(spark):
     assert got == [("u", "T", "C", '{"a.b":1,"x":"y"}', 5), ("n_w", None, "y", '{"x":"y"}', 6), ("v", None, "C", "{}", 7)]
 
 
+def test_json_flatten_keeps_the_events_number(spark, tmp_path):
+    pq.write_table(pa.table({"event_id": [7, 8], "props": ['{"k": 1}', '{"k": 2}']}), f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r[c] for c in ("id", "event_id", "k", "content")) for r in QUERIES["json_flatten"](spark, str(tmp_path)).collect())
+    assert got == [("ev7_0", 7, 1, ""), ("ev8_0", 8, 2, "")]
+
+
 def test_pipelines_from_files_to_the_index(spark, tmp_path):
     from sievework.plans import catalog, pipeline
     from sievework.queries import files
