@@ -4,11 +4,11 @@ A turn is formatted as `[INST] role [/INST]\\ntext</s>`. Control strings inside
 with a backslash, and so is the backslash, so that unescape() gives the text back. Every assistant turn is an
 example of its own: all turns up to it, of which only its text is trainable.
 
-The examples of a conversation are prefixes of one formatted text, so each turn is stored once: a row holds its
-segment, where it stands in the conversation's text, and, for an assistant turn, its example's number, the end of
-the example's text and the span of the loss mask (code points). That stays linear in the input however long
-a conversation is; materialize() writes the examples out in full. Turns after the last assistant turn
-are the context of an example without a reply, so that the output holds every turn.
+format_turns() gives each turn its segment, its place in the conversation's text, and, for an assistant turn, its example's
+number and the span of the loss mask (code points). expand() makes the examples: the prefix (all that comes before the reply) and
+the target (the reply) of each, as texts of their own, so that a conversation's turns are repeated in every later example
+(quadratic in its turns, as the method's output is). Turns after the last assistant turn are the prefix of an example
+without a target, so that the output holds every turn. What digest() tells is read back from the examples' texts.
 
 Defined results: null role or text is empty; turns go by turn (null first), then role, then text; repeated rows
 are separate turns; a null conv_id is a conversation of its own; an empty table gives an empty result; other
@@ -67,42 +67,51 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def materialize(turns: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end: the rows of format_turns() as whole examples (quadratic in a conversation's turns, as the texts are)."""
-    ends = turns.where(F.col("example").isNotNull() | F.col("rest")).select("conv_id", F.coalesce("example", F.lit(-1)).alias("example"), "loss_start", "loss_end", F.col("position").alias("last"))
-    parts = turns.select(F.col("conv_id").alias("c"), F.col("position").alias("p"), "segment")
-    pairs = ends.join(parts, ends["conv_id"].eqNullSafe(parts["c"]) & (parts["p"] <= ends["last"]))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "segment"))), lambda x: x["segment"]), "")
-    return pairs.groupBy("conv_id", "example", "loss_start", "loss_end").agg(text.alias("text"))
-
-
-def read_back(turns: DataFrame) -> DataFrame:
-    """role, text and loss text of every row of format_turns(), read from its segment and loss span alone."""
-    inner = F.substring("segment", len(OPEN) + 1, F.length("segment") - len(OPEN) - len(END))
-    at = F.locate(CLOSE, inner)
-    loss = F.substring("segment", F.col("loss_start") - F.col("seg_start") + 1, F.col("loss_end") - F.col("loss_start"))
-    return turns.select(
-        "conv_id",
-        "position",
-        "seg_end",
-        "rest",
-        F.col("example").isNotNull().alias("trained"),
-        unescape(F.substring(inner, F.lit(1), at - 1)).alias("role"),
-        unescape(F.substring(inner, at + len(CLOSE), F.length(inner))).alias("text"),
-        F.when(F.col("loss_start").isNotNull(), unescape(loss)).alias("loss"),
+def expand(turns: DataFrame) -> DataFrame:
+    """The rows of format_turns() as examples: conv_id, example (-1 for what follows the last reply), prefix, target (null there), loss_start, loss_end, last (the example holds the whole conversation).
+
+    A row a turn goes through the window; an example's text is what the turns up to its own say.
+    """
+    order = Window.partitionBy("conv_id").orderBy("position")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.col("example").isNotNull() | F.col("rest")
+    whole = turns.select(
+        "conv_id", "example", "loss_start", "loss_end", "rest", F.array_join(F.collect_list("segment").over(upto), "").alias("text"), F.lead("position").over(order).isNull().alias("last")
     )
+    target = F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    prefix = F.when(F.col("loss_start").isNull(), F.col("text")).otherwise(F.substring("text", F.lit(1), F.col("loss_start")))
+    return whole.where(ends).select("conv_id", F.coalesce("example", F.lit(-1)).alias("example"), prefix.alias("prefix"), F.when(F.col("loss_start").isNotNull(), target).alias("target"), "loss_start", "loss_end", "last")
+
+
+def materialize(turns: DataFrame) -> DataFrame:
+    """conv_id, example, text, loss_start, loss_end, last: the examples as whole texts, each its prefix, target and closing mark."""
+    text = F.when(F.col("target").isNull(), F.col("prefix")).otherwise(F.concat("prefix", "target", F.lit(END)))
+    return expand(turns).select("conv_id", "example", text.alias("text"), "loss_start", "loss_end", "last")
+
+
+def read_back(text: Column) -> Column:
+    """role and text of every turn of an example's text; no mark stands inside a role or text, as those are escaped."""
+    segments = F.split(text, END)  # the last one is empty
+
+    def turn(segment: Column) -> Column:
+        at = F.locate(CLOSE, segment)
+        role = unescape(F.substring(segment, F.lit(len(OPEN) + 1), at - 1 - len(OPEN)))
+        return F.struct(role.alias("role"), unescape(F.substring(segment, at + len(CLOSE), F.length(segment))).alias("text"))
+
+    return F.transform(F.slice(segments, F.lit(1), F.size(segments) - 1), turn)
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """One row a conversation. Its digests need all its text in one row, as a SHA-256 of it does."""
-    said = F.concat(F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n"))
-    back = read_back(turns).select("conv_id", F.struct("position", said.alias("said"), F.col("loss")).alias("t"), F.when(F.col("trained") | F.col("rest"), F.col("seg_end")).alias("chars"))
-    whole = back.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"), F.coalesce(F.sum("chars"), F.lit(0)).alias("formatted_chars"))
-    loss = F.array_join(F.transform("t", lambda x: x["loss"]), "")  # array_join leaves nulls out
+    """One row a conversation, from its examples: the turns as its last example has them, the loss from each example's own mask. Its digests need all its text in one row, as a SHA-256 of it does."""
+    loss = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    said = F.transform(read_back(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    examples = materialize(turns).select("conv_id", F.struct("example", loss.alias("loss")).alias("l"), F.when(F.col("last"), said).alias("said"), F.length("text").cast("long").alias("chars"))
+    whole = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list("l")).alias("l"), F.max("said").alias("said"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join(F.transform("l", lambda x: x["loss"]), "")  # array_join leaves nulls out
     return whole.select(
         "conv_id",
-        F.size("t").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(F.transform("t", lambda x: x["said"]), ""), 256).alias("turns_sha256"),
+        F.size("said").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("said", ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",

@@ -816,6 +816,21 @@ def test_chat_format_empty_and_repeated_turns(spark):
     assert got[2]["n_turns"] == 2 and got[2]["turns_sha256"] == sha("\n\n\n\n") and got[2]["loss_chars"] == 0
 
 
+def test_chat_examples_are_prefix_and_target(spark):
+    rows = [(1, 0, "user", "a</s>"), (1, 1, "assistant", "b\\"), (1, 2, "user", ""), (1, 3, "assistant", "[INST]"), (1, 4, "user", "e"), (2, 0, "user", "f")]
+    turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["example"]): (r["prefix"], r["target"]) for r in chat_format.expand(turns).collect()}
+    one = "[INST] user [/INST]\na\\a/s></s>[INST] assistant [/INST]\n"
+    two = one + "b\\b</s>[INST] user [/INST]\n</s>[INST] assistant [/INST]\n"
+    assert got == {(1, 0): (one, "b\\b"), (1, 1): (two, "\\lINST]"), (1, -1): (two + "\\lINST]</s>[INST] user [/INST]\ne</s>", None), (2, -1): ("[INST] user [/INST]\nf</s>", None)}
+    # the query's figures are those of the examples, so a text that is wrong there shows
+    wrong = turns.withColumn("segment", F.replace("segment", F.lit("\\lINST]"), F.lit("\\lINSX]")))
+    assert {r["loss_sha256"] for r in chat_format.digest(wrong).where("conv_id = 1").collect()} == {sha("b\\[INSX]")}
+    long = [(3, t, "assistant" if t % 2 else "user", f"{t} " * 50) for t in range(399)]
+    (row,) = chat_format.digest(chat_format.format_turns(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"))).collect()
+    assert row["n_turns"] == 399 and row["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for _, _, r, x in long)) and row["loss_sha256"] == sha("".join(x for _, _, r, x in long if r == "assistant"))
+
+
 def test_pipeline_of_nothing_and_of_null_ids(spark, tmp_path):
     kind = "doc_id long, text string, lang string, source string, n_chars long, piece int"
     rng = random.Random(8)
