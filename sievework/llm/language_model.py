@@ -12,8 +12,9 @@ Spark rounds, none of which holds a whole table in one place:
    is one of the at most HOT words that hold a share of 1/HOT of all, so that no key holds a part). Parts add counts up.
 3. In each of SAMPLES rounds the parts ask for the parent's probability and the tables of each context that they need,
    reseat customers, and their new tables are added up by word. Parts work at once: within a round a part sees the others' seats
-   of the round before, the usual parallel form of the sampler. A round reseats at most SCAN random customers of a pair; any
-   such scan leaves the posterior as it is. Pairs seen once have one table for certain.
+   of the round before, the usual parallel form of the sampler. A round reseats as many random customers of a pair as it has,
+   up to SCAN, one after another; all customers of a pair with more are reseated together, TRIES times (reseat_all()).
+   Both leave the posterior as it is. Pairs seen once have one table for certain.
 4. Parts answer batches, words answer batches, and batches add up their documents.
 
 A document begins and ends with one boundary symbol, which is a context at the start and a token at the end. The discounts are
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, mix64, read_table, settled, slices, stage
 
-SAMPLES, SCAN, STRENGTH = 3, 16, 1.0
+SAMPLES, SCAN, TRIES, STRENGTH = 3, 16, 6, 1.0
 #: Tokens that a part gets (about).
 PART_TOKENS = 1 << 21
 HOT = 256
@@ -55,7 +56,14 @@ def pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
+def packed(raw: bytes) -> bool:
+    """Whether pack() made it (by the mark that begins its frames); else it is the numbers as they are."""
+    return raw[:4] == b"\x28\xb5\x2f\xfd"
+
+
 def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    if not packed(raw):
+        return np.frombuffer(raw, kind)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
@@ -65,7 +73,7 @@ def rising(x: np.ndarray) -> bytes:
 
 
 def unrising(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw))
+    return np.cumsum(unpack(raw)) if packed(raw) else unpack(raw)
 
 
 BATCH = "batch long, n_tokens long, doc_id array<long>, held array<boolean>, sizes binary, tokens binary, words binary"
@@ -172,25 +180,35 @@ def first_seats(customers: np.ndarray, pull: np.ndarray) -> tuple[np.ndarray, np
 
 
 def reseat(customers: np.ndarray, pull: np.ndarray, tables: np.ndarray, sizes: np.ndarray, discount: float, rng: np.random.Generator, scan: int = SCAN) -> tuple[np.ndarray, np.ndarray]:
-    """A Gibbs scan over pairs by falling customers (two at least): each gives up min(scan, customers) random customers, one after another, who sit down again.
+    """All pairs, by falling customers (two at least), once: reseat_all() of those with over `scan` customers, then a Gibbs scan of the others.
 
     pull: strength of the restaurant times the parent's probability of the word.
     """
+    many = int(np.searchsorted(-customers, -scan, "left"))
+    cut, out, done = int(tables[:many].sum()), [], 0
+    for i in range(0, many, CHUNK):
+        at = slice(i, min(many, i + CHUNK))
+        end = done + int(tables[at].sum())
+        out.append(reseat_all(customers[at], pull[at], tables[at], sizes[done:end], discount, rng))
+        done = end
+    out.append(reseat_each(customers[many:], pull[many:], tables[many:], sizes[cut:], discount, rng))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def reseat_each(customers: np.ndarray, pull: np.ndarray, tables: np.ndarray, sizes: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A Gibbs scan over pairs by falling customers: each gives up as many random customers as it has, one after another, who sit down again."""
     if len(customers) == 0:
         return tables, sizes
     out, done = [], 0
     for i in range(0, len(customers), CHUNK):
         c, a, t = (x[i : i + CHUNK] for x in (customers, pull, tables))
-        room = np.minimum(c, t + scan)
-        end = np.cumsum(room)
-        start = end - room
+        end = np.cumsum(c)
+        start = end - c
         slots = np.zeros(end[-1], np.int64)
         slots[np.repeat(start - (np.cumsum(t) - t), t) + np.arange(t.sum())] = sizes[done : done + t.sum()]
         done += t.sum()
-        for k in range(scan):
+        for k in range(int(c[0])):
             m = int(np.searchsorted(-c, -k, "left"))  # pairs with over k customers
-            if m == 0:
-                break
             s, b, e = slots[: end[m - 1]], start[:m], end[:m]
             s[pick(s.astype(np.float64), b, e, rng)] -= 1
             weight = np.where(s > 0, s - discount, 0.0)
@@ -202,6 +220,77 @@ def reseat(customers: np.ndarray, pull: np.ndarray, tables: np.ndarray, sizes: n
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+def log_gamma(z: np.ndarray) -> np.ndarray:
+    """Of positive numbers; small ones are first raised by eight."""
+    z, shift = np.asarray(z, np.float64), np.zeros(np.shape(z))
+    small = z < 8
+    if small.any():
+        x = z[small]
+        shift[small] = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
+        z = np.where(small, z + 8, z)
+    r = 1 / (z * z)
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / z - shift
+
+
+def tilt(customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
+    """log(1 - x) for the x at which tables of reseat_all() hold as many customers as there are, on average."""
+    low, high = np.full(len(customers), -80.0), np.zeros(len(customers))
+    for _ in range(50):
+        mid = (low + high) / 2
+        x = -np.expm1(mid)
+        over = pull * x * np.exp((discount - 1) * mid) + 1 + (1 - discount) * x * np.exp(-mid) > customers
+        low, high = np.where(over, mid, low), np.where(over, high, mid)
+    return high
+
+
+def drawn_sizes(keep: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """For each log x in `keep` a size s with chance in proportion to x**s d (1-d)(2-d)...(s-1-d) / s!: geometric with a beta chance, thinned."""
+    out, left = np.zeros(len(keep), np.int64), np.arange(len(keep))
+    while len(left):
+        p = rng.beta(discount, 1 - discount, len(left))
+        with np.errstate(divide="ignore"):
+            more = np.floor(np.log1p(-rng.random(len(left))) / np.log1p(-np.minimum(np.maximum(p, 1e-300), 1 - 1e-16)))
+        ok = np.log1p(-rng.random(len(left))) <= more * keep[left]
+        ok &= more < 1 << 62
+        out[left[ok]] = 1 + more[ok].astype(np.int64)
+        left = left[~ok]
+    return out
+
+
+def reseat_all(customers: np.ndarray, pull: np.ndarray, tables: np.ndarray, sizes: np.ndarray, discount: float, rng: np.random.Generator, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray]:
+    """All customers of each pair leave and sit down anew together, `tries` times, at a cost that goes by tables and not by customers.
+
+    The posterior of the sizes (c customers in all) is that of a Poisson number of tables, of mean pull / d, with independent sizes s of chance
+    p(s) = d (1-d)(2-d)...(s-1-d) / s!, given that they add up to c. One customer's table is set apart, so its size has the weight s p(s) and
+    follows from the others', which are drawn outright (all with a factor x**s, which the sum c makes no difference to). New
+    seats are taken with the chance min(1, new weight / old weight) of Metropolis, none if the others hold c or more.
+    """
+    n = len(customers)
+    log_u = tilt(customers, pull, discount)
+    log_x = np.log(-np.expm1(log_u))
+    mean = pull / discount * -np.expm1(discount * log_u)
+    weight = lambda s: log_gamma(s - discount) - log_gamma(s) + s * log_x
+    of = np.repeat(np.arange(n), tables)
+    for _ in range(tries):
+        # the table of a random customer
+        end = np.cumsum(sizes)
+        first = end[np.cumsum(tables) - 1] - customers
+        apart = sizes[np.searchsorted(end, first + rng.integers(0, customers), "right")]
+        others = rng.poisson(mean)
+        some = np.repeat(np.arange(n), others)
+        fresh = drawn_sizes(log_x[some], discount, rng)
+        rest = customers - np.bincount(some, fresh, n).astype(np.int64)
+        fits = rest > 0
+        take = fits & (np.log1p(-rng.random(n)) <= weight(np.maximum(rest, 1)) - weight(apart))
+        own = np.flatnonzero(take)
+        kept, came = ~take[of], take[some]
+        of, sizes = np.concatenate([of[kept], own, some[came]]), np.concatenate([sizes[kept], rest[own], fresh[came]])
+        order = np.argsort(of, kind="stable")
+        of, sizes = of[order], sizes[order]
+        tables = np.where(take, others + 1, tables)
+    return tables, sizes
+
+
 # Parts
 
 STATE = "kind string, part long, batch long, words binary, contexts binary, w binary, u binary, n binary, once long, twice long"
@@ -280,9 +369,9 @@ def sampled(parts: int, discount: float, strength: float, turn: int, base: float
         p = Part(state)
         h, at = p.asks(), p.many
         prob, tables_of = np.zeros(len(h)), np.zeros(len(h))
-        packed = {r["share"]: r for r in rows.get("told", [])}
+        by_share = {r["share"]: r for r in rows.get("told", [])}
         for share, where in shares(h, parts):
-            served, tables_of[where], root = (unpack(packed[share][c]) for c in ("served", "tables", "root"))
+            served, tables_of[where], root = (unpack(by_share[share][c]) for c in ("served", "tables", "root"))
             prob[where] = (served - root_discount * root + base) / sent
         w, u = np.searchsorted(h, p.words)[p.w[at]], np.searchsorted(h, p.contexts)[p.u[at]]
         pull = (strength + discount * tables_of[u]) * prob[w]

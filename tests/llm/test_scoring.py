@@ -188,6 +188,26 @@ def test_gibbs_seats_follow_the_posterior():
         assert np.abs(found - want).max() < 0.035
 
 
+def test_all_customers_are_reseated():
+    """Three rounds, as the model does, bring pairs of any number of customers from their first seats to their posterior."""
+    copies = 2000
+    for customers, pull, discount in ((400, 3.0, 0.6), (400, 60.0, 0.75), (40, 0.7, 0.9), (17, 0.5, 0.6)):
+        c, a = np.full(copies, customers), np.full(copies, pull)
+        tables, sizes = language_model.first_seats(c, a)
+        rng = np.random.default_rng(6)
+        for _ in range(3):
+            tables, sizes = language_model.reseat(c, a, tables, sizes, discount, rng)
+            assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == c).all() and (sizes > 0).all()
+        logs = np.full(customers + 1, -np.inf)  # of the generalised Stirling numbers
+        logs[1] = 0
+        with np.errstate(all="ignore"):
+            for n in range(1, customers):
+                logs = np.logaddexp(np.concatenate([[-np.inf], logs[:-1]]), logs + np.log(np.maximum(n - discount * np.arange(customers + 1), 0)))
+        want = np.exp(logs[1:] + np.arange(1, customers + 1) * np.log(pull) - np.max(logs[1:] + np.arange(1, customers + 1) * np.log(pull)))
+        found = np.bincount(tables, minlength=customers + 1)[1:] / copies
+        assert np.abs(found - want / want.sum()).max() < 0.04
+
+
 def test_hot_word_spreads():
     """Pairs behind a hot word go to many parts, others by their word alone."""
     words = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64))
