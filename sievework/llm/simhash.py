@@ -250,13 +250,45 @@ def fingerprint_links(keys: DataFrame, distance: int = DISTANCE) -> DataFrame:
         grouped = _split(rest, distance)
 
 
+#: Links that a task holds at once.
+FOREST = 1 << 20
+
+
+def forests(links: DataFrame) -> DataFrame:
+    """links: a, b (long). Fewer links that join the same nodes: those of each a meet in one task, which gives each node one link, to the smallest that it reaches there.
+
+    A key has many links to the first keys of its groups, and those first keys are much the same for all keys of a large set.
+    """
+
+    def spanned(held: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = (np.concatenate(held[k::2]) for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = joined(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+        linked = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held += [batch.column(c).to_numpy() for c in ("a", "b")]
+            n += batch.num_rows
+            if n >= FOREST:
+                yield spanned(held)
+                held, n = [], 0
+        if n:
+            yield spanned(held)
+
+    return links.select("a", "b").repartition("a").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. node, label (the smallest node reachable) of every node that has a link.
 
-    Each round hooks both ends of every link and their present labels to the smallest label seen, then follows
+    Links are reduced by forests() first. Each round hooks both ends of every link and their present labels to the smallest label seen, then follows
     labels of labels; it ends when no label changes. Sums of labels tell whether one did.
     """
-    both = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "components-links")
+    few = stage(forests(links), "components-forests")
+    both = stage(few.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(few.select(F.col("b").alias("u"), F.col("a").alias("v"))), "components-links")
     labels = stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node"), "components-labels")
     if labels.isEmpty():
         return labels

@@ -816,6 +816,19 @@ def test_chat_format_empty_and_repeated_turns(spark):
     assert got[2]["n_turns"] == 2 and got[2]["turns_sha256"] == sha("\n\n\n\n") and got[2]["loss_chars"] == 0
 
 
+def test_links_become_forests_before_components(spark, monkeypatch):
+    """Each of many keys is linked to every one of the 40 first keys of its set, in several groups: links that the rounds join stay few."""
+    rows = [(10_000 * s + k, 10_000 * s + k % j) for s in range(3) for k in range(41, 1000) for j in range(1, 41)] + [(-7, -9), (-7, -8)]
+    links = spark.createDataFrame(rows, "a long, b long").repartition(9)
+    for most in (1 << 20, 500):
+        monkeypatch.setattr(simhash, "FOREST", most)
+        few = simhash.forests(links)
+        assert few.count() < 5_000 < 40_000 < links.distinct().count()
+        label = {r["node"]: r["label"] for r in simhash.components(links).collect()}
+        want = {x: 10_000 * s for s in range(3) for x in (*(10_000 * s + k for k in range(41, 1000)), *(b for _, b in rows if b // 10_000 == s and b >= 0))} | dict.fromkeys((-7, -8, -9), -9)
+        assert label == want
+
+
 def test_chat_examples_are_prefix_and_target(spark):
     rows = [(1, 0, "user", "a</s>"), (1, 1, "assistant", "b\\"), (1, 2, "user", ""), (1, 3, "assistant", "[INST]"), (1, 4, "user", "e"), (2, 0, "user", "f")]
     turns = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
