@@ -176,7 +176,7 @@ def segments(own: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys have one rank, in any order
     out = np.empty(len(key), np.uint64)
     out[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1])[: len(key)])
     return out
@@ -194,7 +194,7 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         step = min(span, depth - span)
         rank = _ranks(rank << _U(32) | ahead(rank, step))
         span += step
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     return order, np.append(text[-1:], text[:-1])[order]
 
 
@@ -204,15 +204,16 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], docs: np.ndarray, depth:
     have, and the number of each one's interval.
     """
     before = np.concatenate([symbols for _, symbols in shards])
-    place, base, into = np.empty(len(before), np.int64), 0, np.empty(len(before), np.int64)
+    kind = np.int32 if len(before) < 1 << 31 else np.int64
+    place, base, into = np.empty(len(before), np.int64), 0, np.empty(len(before), kind)
     for order, _ in shards:  # where in the shard's order the suffix that begins one symbol earlier is
-        of = np.empty(len(order), np.int64)
+        of = np.empty(len(order), kind)
         of[order] = np.arange(len(order)) + base
         into[base : base + len(order)] = of[order - 1]
         place[base : base + len(order)] = order + base
         base += len(order)
     who = docs[place]
-    at, interval = np.arange(len(before)), np.zeros(len(before), np.int64)
+    at, interval = np.arange(len(before), dtype=kind), np.zeros(len(before), kind)
     for _ in range(depth):
         symbol = before[at]
         inside = symbol != 0
@@ -227,7 +228,7 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], docs: np.ndarray, depth:
         d = who[at]
         several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         keep = np.repeat(several, np.diff(starts, append=len(at)))
-        at, interval = at[keep], np.cumsum(new)[keep]
+        at, interval = at[keep], np.cumsum(new, dtype=kind)[keep]
     return place[at], interval
 
 
@@ -241,12 +242,14 @@ def earliest(parts: list[bytes], least: np.ndarray, window: int) -> list[np.ndar
         shards.append(transform(text, window))
     dealt = [p for k in range(len(shards)) for p in range(k, len(parts), SHARDS)]
     sizes = np.array([len(parts[p]) + 1 for p in dealt], np.int64)
-    docs = np.repeat(least[dealt], sizes)
+    known, code = np.unique(least[dealt], return_inverse=True)
+    docs = np.repeat(code.astype(np.int32), sizes)  # numbers of documents in their order
     first = docs.copy()
     at, interval = merge(shards, docs, window)
     if len(at):
         starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
         first[at] = np.repeat(np.minimum.reduceat(docs[at], starts), np.diff(starts, append=len(at)))
+    first = known[first]
     out = [first[:0]] * len(parts)
     for p, n in zip(dealt, sizes.tolist(), strict=True):
         out[p] = first[base : base + n - window]
