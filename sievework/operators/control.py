@@ -232,9 +232,11 @@ def outbox_insert(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def outbox_stats(events: DataFrame, now: Column) -> DataFrame:
-    """Undelivered events and the age of the oldest in seconds."""
+    """Undelivered events and the age of the oldest: from its whole second to the second that is nearest to now (of two, the even one)."""
     open_ = events.where("delivered_at is null")
-    return open_.agg(F.count("*").alias("pending"), (F.unix_timestamp(now) - F.unix_timestamp(F.min("created_at"))).alias("oldest_secs"))
+    second = F.date_part(F.lit("SECOND"), now)
+    nearest = F.unix_timestamp(now) + (F.bround(second) - F.floor(second)).cast("long")
+    return open_.agg(F.count("*").alias("pending"), (nearest - F.unix_timestamp(F.min("created_at"))).alias("oldest_secs"))
 
 
 def outbox_drop(events: DataFrame, now: Column) -> DataFrame:

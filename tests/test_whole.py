@@ -152,3 +152,15 @@ def test_newer_deliveries_and_fnv():
     from sievework.functions import ids
 
     assert [ids.fnv1a64(x) for x in ("", "a", "foobar")] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+
+
+@pytest.mark.parametrize(("last", "age"), [("01.499999", 2505600), ("01.5", 2505601), ("02.5", 2505601), ("02.500001", 2505602), ("02", 2505601)])
+def test_the_age_of_the_oldest_event_is_that_of_the_sql(spark, tmp_path, last, age):
+    import duckdb
+
+    moments = f"(1::BIGINT, TIMESTAMP '2024-01-01 00:00:01.9', 'error'), (2, TIMESTAMP '2024-01-30 00:00:{last}', 'view')"
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT * FROM (VALUES {moments}) t(event_id, ts, event_type)) TO '{tmp_path}/events.parquet'")
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in QUERIES["outbox_stats"](spark, str(tmp_path)).collect()]
+    assert got == [(1, age)] == duck.sql(entry.oracle_sql()["outbox_stats"]).fetchall()
