@@ -16,6 +16,7 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,14 @@ def read_index(spark: SparkSession, path: str, version: int | None = None, where
     return live(spark, path, found, where=where).drop("_gone")
 
 
+def history(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame | None:
+    """The rows of all runs of the newest version, replaced ones too, without a join; null before the first."""
+    tables = [_read(spark, path, r) for r in runs(spark, path)[1]]
+    if not tables:
+        return None
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t if where is None else t.where(where) for t in tables])
+
+
 def _size_class(rows: int) -> int:
     n = 0
     while rows > SMALL:
@@ -212,10 +221,36 @@ def write_index(spark: SparkSession, docs: DataFrame, path: str, order: str = "s
         except Conflict:
             _discard(spark, path, run)
             continue
-        try:
-            while compact(spark, path):
-                pass
-        except Conflict:  # another writer's next upsert merges
+        return _merged(spark, path)
+    raise Conflict(f"{ATTEMPTS} other writers were first at {path}")
+
+
+def _merged(spark: SparkSession, path: str) -> int:
+    """The version after all merges that are due."""
+    try:
+        while compact(spark, path):
             pass
+    except Conflict:  # another writer's next upsert merges
+        pass
+    return runs(spark, path)[0]
+
+
+def adopt(spark: SparkSession, path: str, folder: str, schema: T.StructType, partition: str | None = None) -> int:
+    """Upserts the rows of a folder of Parquet files, which becomes a run as it is: rows as _write() takes them, each id once, laid out by `partition`.
+    A folder that is not there has no rows. Returns the version.
+    """
+    fs, where = _files(spark, folder)
+    if not fs.exists(where):
         return runs(spark, path)[0]
+    run = Run(f"run-{uuid.uuid4().hex}", spark.read.schema(schema).parquet(folder).count(), schema.json(), partition)
+    fs.mkdirs(_path(spark, path))
+    if not fs.rename(where, _path(spark, f"{path}/{run.name}")):
+        raise OSError(f"{folder} cannot be renamed to {path}/{run.name}")
+    for _ in range(ATTEMPTS):
+        version, found = runs(spark, path)
+        try:
+            commit(spark, path, version, [run, *found])
+        except Conflict:
+            continue
+        return _merged(spark, path)
     raise Conflict(f"{ATTEMPTS} other writers were first at {path}")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..operators import index, usage
 
@@ -29,43 +30,55 @@ def identified(events: DataFrame) -> DataFrame:
 
 
 def changes(new: DataFrame, old: DataFrame | None, order: str = "seq") -> DataFrame:
-    """What a batch does to the rollup: states of what counts now, less those of what counted before. A delivery older than the one that counts does nothing."""
-    if old is None:
-        plus, minus = new, new.where("false")
-    else:
-        before = old.select("id", F.col(order).alias("_before"))
-        plus = new.join(before, "id", "left").where(F.col("_before").isNull() | (F.col(order) > F.col("_before"))).drop("_before")
-        minus = old.join(plus.select("id"), "id", "left_semi")
-    less = usage.daily(minus).select(*usage.KEYS, *((-F.col(c)).alias(c) for c in _SUMS))
-    both = usage.daily(plus).select(*usage.KEYS, *_SUMS).unionByName(less).groupBy(*usage.KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS))
-    return both.withColumn("month", month(F.col("day")))
+    """What a batch does to the events that count: those that count now with _sign 1, those that they replace with -1. A delivery older than the one that counts does nothing.
 
+    old may have several deliveries of an event: the latest by `order` counts. One sort by ranges of month and id deduplicates, compares
+    and lays out by month; each event is held by itself.
+    """
+    both = new.withColumn("_old", F.lit(0))
+    if old is not None:
+        both = both.unionByName(old.select(*(c for c in old.columns if c in new.columns), F.lit(1).alias("_old")), allowMissingColumns=True)
+    latest = Window.partitionBy("month", "id").orderBy(F.col(order).desc(), F.col("_old").desc())
+    ranked = both.repartitionByRange("month", "id").withColumns({"_n": F.row_number().over(latest), "_olds": F.sum("_old").over(latest.rowsBetween(Window.unboundedPreceding, 0))})
+    counts, replaced = (F.col("_old") == 0) & (F.col("_n") == 1), (F.col("_old") == 1) & (F.col("_olds") == 1) & (F.col("_n") > 1)
+    return ranked.where(counts | replaced).select(*new.columns, F.when(counts, 1).otherwise(-1).alias("_sign"))
 
-def _there(spark: SparkSession, path: str) -> bool:
+
+def states(changed: DataFrame) -> DataFrame:
+    """What changes add to the rollup."""
+    each = usage.partials(changed, F.col("_sign"))
+    return each.groupBy(*usage.KEYS).agg(*(F.sum(F.col("part") * F.col(c)).alias(c) for c in _SUMS)).withColumn("month", month(F.col("day")))
+
+
+def _at(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
 
 
 def touched(spark: SparkSession, path: str, months: list[str]) -> DataFrame | None:
-    """The last deliveries in these months; null before the first batch."""
-    return index.read_index(spark, f"{path}/events", where=F.col("month").isin(months)) if index.versions(spark, f"{path}/events") else None
+    """The deliveries in these months that count or did so; null before the first batch."""
+    return index.history(spark, f"{path}/events", F.col("month").isin(months))
 
 
 def apply_batch(events: DataFrame, batch: int, path: str, order: str = "seq") -> None:
     """events: usage events with a number `order` that tells the later of two deliveries."""
     spark = events.sparkSession
-    new = identified(events)
-    new = new.groupBy("id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "id"]), order).alias("r")).select("id", "r.*")
-    months = sorted(r["month"] for r in new.select("month").distinct().collect())  # few: a batch's months
+    months = sorted(r["month"] for r in events.select(month(F.col("ts")).alias("month")).distinct().collect())  # few: a batch's months
     if not months:
         return
-    states, old = f"{path}/states/batch={batch}", touched(spark, path, months)
-    if not _there(spark, f"{states}/_SUCCESS"):
-        changes(new, old, order).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(states)
-    if old is not None:  # an older delivery does not replace a newer one
-        before = old.select("id", F.col(order).alias("_before"))
-        new = new.join(before, "id", "left").where(F.col("_before").isNull() | (F.col(order) > F.col("_before"))).drop("_before")
-    index.write_index(spark, new.withColumn("_at", F.lit(batch)), f"{path}/events", "_at", partition="month")
+    changed = changes(identified(events), touched(spark, path, months), order).withColumn("_gone", F.lit(False))
+    made, sums = f"{path}/changes/batch={batch}", f"{path}/states/batch={batch}"
+    changed.write.mode("overwrite").partitionBy("_sign", "month").parquet(made)  # read twice below
+    if not _there(spark, f"{sums}/_SUCCESS"):
+        states(spark.read.schema(changed.schema).parquet(made)).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(sums)
+    index.adopt(spark, f"{path}/events", f"{made}/_sign=1", changed.drop("_sign").schema, "month")
+    fs, where = _at(spark, made)
+    fs.delete(where, True)
 
 
 def read_rollup(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:

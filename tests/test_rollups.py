@@ -84,3 +84,35 @@ def test_workers_never_share_an_event(spark, tmp_path):
     assert len(taken) == len(set(taken)) == 60 and sorted(map(len, got.values())) == [10, 25, 25]
     assert control.claim(outbox, str(tmp_path / "c"), "d", now, 25, 60).count() == 0
     assert control.claim(outbox, str(tmp_path / "c"), "d", now + F.expr("INTERVAL 61 SECONDS"), 25, 60).count() == 25
+
+
+def test_a_batch_is_one_sort_and_no_join(spark, tmp_path):
+    """Of several deliveries of one event, on either side, the latest counts; old and new rows meet in one exchange."""
+    rows = rollups.identified(spark.createDataFrame(deliveries(400, 5), EVENT))
+    new, old = rows.where("seq % 3 = 0"), rows.where("seq % 3 <> 0")
+    changed = rollups.changes(new, old)
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+    count = lambda df: {r["id"]: r["seq"] for r in df.groupBy("id").agg(F.max("seq").alias("seq")).collect()}
+    before, after = count(old), count(rows)
+    got = {s: {r["id"]: r["seq"] for r in changed.where(F.col("_sign") == s).collect()} for s in (1, -1)}
+    assert got[1] == {k: v for k, v in after.items() if before.get(k) != v}
+    assert got[-1] == {k: v for k, v in before.items() if after[k] != v}
+
+
+def test_a_batch_that_died_before_its_events(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    first, second = (spark.createDataFrame(deliveries(100, s), EVENT) for s in (1, 2))
+    rollups.apply_batch(first, 0, path)
+    with monkeypatch.context() as m:
+        m.setattr(index, "commit", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+        try:
+            rollups.apply_batch(second, 1, path)
+        except KeyboardInterrupt:
+            pass
+    assert len(index.versions(spark, f"{path}/events")) == 1
+    rollups.apply_batch(second, 1, path)
+    rollups.apply_batch(second, 1, path)
+    whole = usage.daily(usage.dedup(first.unionByName(second))).select(*usage.KEYS, "rows_count", *usage.MEASURES)
+    assert as_rows(rollups.read_rollup(spark, path)) == as_rows(whole)
+    assert len(index.versions(spark, f"{path}/events")) == 2  # the last replay had nothing to bring in
