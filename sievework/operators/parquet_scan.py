@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ids import MAX_STEM, filename_id_stem, id_stem, sanitize_id
+from .documents import DOC_SCHEMA
 from .json_records import FlattenConfig, InvalidConfig
 from .parquet import NUMERIC_DIGITS
 
@@ -110,6 +111,17 @@ def _leaves(name: str, value: Column, kind: T.DataType, config: FlattenConfig, d
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None, **flatten) -> DataFrame:
     """id, title, content, fields of every row of the Parquet files at path; ids are the id field's or else `<stem>_r<n>` by the row's place in its file."""
+    return _scanned(spark, path, columns, max_rows, **flatten).drop("filename")
+
+
+def documents(spark: SparkSession, path: str, **config) -> DataFrame:
+    """The rows and columns that the operator gives for the files at path as blobs (documents.read_blobs()), for files of any size."""
+    none = {f.name: F.lit(None).cast(f.dataType) for f in DOC_SCHEMA} | {"mime": F.lit(None).cast("string")}
+    made = _scanned(spark, path, **config)
+    return made.select(*((F.col(c) if c in made.columns else none[c]).alias(c) for c in (*DOC_SCHEMA.names, "filename", "mime")))
+
+
+def _scanned(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None, **flatten) -> DataFrame:
     config = FlattenConfig(**flatten)
     if (max_rows is not None and max_rows < 1) or (columns is not None and not columns):
         raise InvalidConfig("invalid config: max_rows must be 1 or more and columns, when set, not empty")
@@ -122,10 +134,10 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, max_r
     files = [unquote(x.rsplit("/", 1)[-1]) for x in read.inputFiles()]
     plain = all(x.isascii() and len(x) <= MAX_STEM for x in files)  # else stems have tags, which Python makes
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    rows = read.select(*(columns or read.columns), (filename_id_stem(name, ascii_only=True) if plain else id_stem(name, F.lit(None).cast("string"))).alias("__stem"), (F.col("_metadata.row_index") + 1).alias("__n"))
+    rows = read.select(*(columns or read.columns), name.alias("__name"), (filename_id_stem(name, ascii_only=True) if plain else id_stem(name, F.lit(None).cast("string"))).alias("__stem"), (F.col("_metadata.row_index") + 1).alias("__n"))
     if max_rows:
         rows = rows.where(F.col("__n") <= max_rows)
-    kinds = {f.name: f.dataType for f in rows.schema if f.name not in ("__stem", "__n")}
+    kinds = {f.name: f.dataType for f in rows.schema if f.name not in ("__name", "__stem", "__n")}
     parts = [_leaves(c, F.col(f"`{c}`"), kind, config) for c, kind in kinds.items()]
     leaves = {n: (v, t, apart) for found, _ in parts for n, v, t, apart in found}
     text = lambda n: _text(*leaves[n][:2]) if n in leaves else F.lit(None).cast("string")
@@ -144,7 +156,7 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, max_r
     given = F.nullif(text(config.id_field), F.lit(""))
     made = F.concat("__stem", F.lit("_r"), F.col("__n").cast("string"))
     title = F.nullif(text(config.title_field), F.lit("")) if config.title_field else F.lit(None).cast("string")
-    return rows.select(F.coalesce(F.when(given.isNotNull(), sanitize_id(given)), made).alias("id"), title.alias("title"), content.alias("content"), _object(every).alias("fields"))
+    return rows.select(F.coalesce(F.when(given.isNotNull(), sanitize_id(given)), made).alias("id"), title.alias("title"), content.alias("content"), _object(every).alias("fields"), F.col("__name").alias("filename"))
 
 
 def _dotted(name: str, value: Column, kind: T.MapType) -> Column:

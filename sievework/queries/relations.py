@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import control, enrich, json_records, parquet_scan, sink, usage
 from ..sources import url
-from ..operators.documents import read_blobs
 from ..operators.index import read_index
 from ..plans.catalog import OPERATORS
 from ..plans.pipeline import Pipeline, build
@@ -318,8 +317,8 @@ query("plan_batches", """WITH RECURSIVE s AS (SELECT source AS part, doc_id AS s
 
 
 def _parsed(spark: SparkSession, d: str, name: str, config: dict) -> DataFrame:
-    """A table's files as documents by the operator."""
-    return OPERATORS["parquet_parser"](read_blobs(spark, f"{d}/{name}.parquet"), config)
+    """A table's files as documents, by a scan that no file is too large for; the operator takes files up to its limits."""
+    return parquet_scan.documents(spark, f"{d}/{name}.parquet", **config)
 
 
 query("parquet_parse", """SELECT 'customer_r' || c_custkey AS id, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS fields FROM customer""")(

@@ -164,3 +164,23 @@ def test_the_age_of_the_oldest_event_is_that_of_the_sql(spark, tmp_path, last, a
     duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got = [tuple(r) for r in QUERIES["outbox_stats"](spark, str(tmp_path)).collect()]
     assert got == [(1, age)] == duck.sql(entry.oracle_sql()["outbox_stats"]).fetchall()
+
+
+def test_parquet_queries_read_files_beyond_the_operators_limits(spark, tmp_path):
+    from sievework.operators import json_records
+
+    n = json_records.MAX_ROWS + 1
+    pq.write_table(pa.table({"c_custkey": pa.array(range(n)), "c_name": pa.repeat("x", n), "c_nationkey": pa.repeat(2, n)}), f"{tmp_path}/customer.parquet")
+    made = QUERIES["parquet_parse_all"](spark, str(tmp_path))
+    last = made.where(made["id"] == f"customer_r{n}").first()
+    assert (made.count(), json.loads(last["fields"])["c_custkey"]) == (n, n - 1)
+    assert QUERIES["parquet_parse"](spark, str(tmp_path)).where("fields is not null").count() == n
+
+
+def test_parquet_queries_give_the_operators_rows(spark, tmp_path):
+    from sievework.operators.documents import read_blobs
+
+    pq.write_table(pa.table({"c_custkey": [1, 2], "c_name": ["x", None], "c_nationkey": [2, None], "c_acctbal": [1.25, -0.5], "c_mktsegment": [None, "m"]}), f"{tmp_path}/customer.parquet")
+    want = catalog.OPERATORS["parquet_parser"](read_blobs(spark, f"{tmp_path}/customer.parquet"), {})
+    got = QUERIES["parquet_parse_all"](spark, str(tmp_path))
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
