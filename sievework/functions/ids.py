@@ -57,11 +57,16 @@ def id_stem(filename: Column, origin: Column, fallback: str = "doc") -> Column:
     return tag_id(F.coalesce(filename_id_stem(filename), F.lit(fallback)), origin)
 
 
-def suffixed_id(base: Column, suffix: Column) -> Column:
-    """base and suffix; where they are too long together, base is cut and tagged so that the suffix stays whole."""
+def base_tag(base: Column, most: int) -> Column:
+    """The tag of a base that a suffix of up to `most` characters may not fit behind, so that it is made once for all its suffixes. Pickled, so that it runs beside other pickled functions."""
+    return F.udf(origin_tag.func, T.StringType(), useArrow=False)(F.when(F.length(base) + most > MAX_ID, base))
+
+
+def suffixed_id(base: Column, suffix: Column, tag: Column | None = None) -> Column:
+    """base and suffix; where they are too long together, base is cut and tagged so that the suffix stays whole. tag: its base_tag(), if made before."""
     fits = F.length(base) + F.length(suffix) <= MAX_ID
     short = F.left(base, F.lit(MAX_ID - TAG_DIGITS - 1) - F.length(suffix))
-    return F.when(fits, F.concat(base, suffix)).otherwise(F.concat(short, F.lit("_"), origin_tag(F.when(~fits, base)), suffix))
+    return F.when(fits, F.concat(base, suffix)).otherwise(F.concat(short, F.lit("_"), origin_tag(F.when(~fits, base)) if tag is None else tag, suffix))
 
 
 def valid_tenant_id(tenant: Column) -> Column:

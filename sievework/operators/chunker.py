@@ -1,6 +1,6 @@
 """Chunking documents: fixed windows, packed sentences, packed paragraphs.
 
-The splitters are Column expressions; packing depends on all that came before, so it runs in one Arrow UDF a text.
+The splitters are Column expressions; packing depends on all that came before, so it runs in one UDF a text.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ids import suffixed_id
+from ..functions.ids import base_tag, suffixed_id
 from .documents import carried, metered, strict
 
 # White space as the word rule has it (Python adds U+001C to U+001F).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+# Fixed value: characters of the longest suffix of a chunk's id, `_` and a number of 31 bits.
+MAX_SUFFIX = 11
 _END = re.compile(rf"[.!?](?=[{SPACE}])|\n")
 _BLANK = re.compile(rf"\n(?:[{SPACE}]*\n)+")
 
@@ -110,7 +112,8 @@ def chunk(text: str, config: ChunkConfig) -> list[str]:
 
 
 def chunks(text: Column, config: ChunkConfig) -> Column:
-    return F.udf(lambda t: chunk(t, config) if t is not None else [], T.ArrayType(T.StringType()), useArrow=True)(text)
+    """Pickled, so that a batch is 100 texts of any size; an Arrow batch is 10,000."""
+    return F.udf(lambda t: chunk(t, config) if t is not None else [], T.ArrayType(T.StringType()), useArrow=False)(text)
 
 
 def chunked(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
@@ -118,10 +121,10 @@ def chunked(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     config, own = config or ChunkConfig(), carried(docs)
     kept = [c for c in docs.columns if c not in ("id", "content", "chunk_index", "chunk_total", "parent_id", "_n", "_error", "_ms", *own)] if config.keep_parent_fields else []
     before = [c for c in ("_error", "_ms") if c in docs.columns]
-    parts = docs.select(F.col("id").alias("parent_id"), *kept, *own, *before, chunks(F.col("content"), config).alias("parts"))
-    total = F.size("parts").alias("chunk_total")
-    rows = parts.select("parent_id", *kept, *own, *before, total, F.posexplode_outer("parts").alias("chunk_index", "content"))
-    id_ = F.when(F.col("chunk_index").isNotNull(), suffixed_id(F.col("parent_id"), F.concat(F.lit("_"), F.col("chunk_index").cast("string"))))
+    made = docs.select(F.col("id").alias("parent_id"), base_tag(F.col("id"), MAX_SUFFIX).alias("__tag"), *kept, *own, *before, chunks(F.col("content"), config).alias("parts"))
+    parts = made.withColumn("chunk_total", F.size("parts"))  # before they are taken apart, else each chunk's row carries them all
+    rows = parts.select("parent_id", "__tag", *kept, *own, *before, "chunk_total", F.posexplode_outer("parts").alias("chunk_index", "content"))
+    id_ = F.when(F.col("chunk_index").isNotNull(), suffixed_id(F.col("parent_id"), F.concat(F.lit("_"), F.col("chunk_index").cast("string")), F.col("__tag")))
     return metered(rows.select(id_.alias("id"), *kept, "content", "chunk_index", "chunk_total", "parent_id", *own, *before)).withColumn("_n", F.col("chunk_index"))
 
 

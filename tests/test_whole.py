@@ -184,3 +184,28 @@ def test_parquet_queries_give_the_operators_rows(spark, tmp_path):
     want = catalog.OPERATORS["parquet_parser"](read_blobs(spark, f"{tmp_path}/customer.parquet"), {})
     got = QUERIES["parquet_parse_all"](spark, str(tmp_path))
     assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_pages_are_read_once_and_chunks_leave_their_list(spark, tmp_path):
+    """Two Python stages of pickled batches, and no row of a chunk holds the other chunks."""
+    spark.createDataFrame([(1, "u", "<title>T</title><main><p>" + "A sentence of words. " * 100 + "</p></main>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = QUERIES["html_pipeline"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == plan.count("EvalPython") == 2
+    (generate,) = (line for line in plan.splitlines() if "Generate" in line)
+    assert "parts" not in generate.split("[", 1)[1]
+    got = [json.loads(r["json"]) for r in made.collect()]
+    assert [d["id"] for d in sorted(got, key=lambda d: d["_meta"]["chunk_index"])] == [f"page_1_{k}" for k in range(len(got))]
+    assert len(got) > 3 and {d["_meta"]["chunk_total"] for d in got} == {len(got)}
+
+
+def test_ids_of_chunks_at_the_limit(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.functions import ids
+    from sievework.operators import chunker
+
+    docs = spark.createDataFrame([("a" * n, "One sentence here. " * 60, "own") for n in (498, 499, 500, 508, 509, 510, 511)], "id string, content string, tag string")
+    made = chunker.chunk_documents(docs, chunker.ChunkConfig(chunk_size=60, overlap=0))
+    want = made.select("id", ids.suffixed_id(F.col("parent_id"), F.concat(F.lit("_"), F.col("chunk_index").cast("string"))).alias("want"), "tag").collect()
+    assert len(want) > 7 * 11 and all(r["id"] == r["want"] and len(r["id"]) <= 511 and r["tag"] == "own" for r in want)
