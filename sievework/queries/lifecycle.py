@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import mime, text, vendor
 from ..operators import json_records, lifecycle, usage
-from ..operators.tables import stage
 from ..sources import url
 from ..streaming import rollups, usage_stream
 from .base import MEASURES_SQL, USAGE_SQL, query, scalar, shared_folder, sql_text, table, usage_events
@@ -83,13 +82,17 @@ query("stream_billing", f"{_YEARS.replace('FROM events_u', 'FROM (SELECT * EXCLU
 def _stream_rollup(spark, d):
     """Events in four deliveries, of which later ones bring other figures or come too late; the rollup kept by batches."""
     folder = shared_folder(spark, "rollup")
-    events = stage(usage_events(spark, d), "usage")
-    steps = events.where("kind = 'step'")
-    again = steps.where("llm_requests % 2 = 0").withColumns({"seq": F.col("seq") + 10**15, "duration_ms": F.col("duration_ms") + 5, "documents_out": F.col("documents_out") * 2})
-    late = steps.where("llm_requests % 3 = 0").withColumns({"seq": F.col("seq") - 10**15, "duration_ms": F.lit(0).cast("long")})
-    for part in (events.where("year(ts) < 1997"), events.where("year(ts) >= 1997"), again, late):  # a delivery is a batch
-        part.write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+    events = usage_events(spark, d)
+    steps = spark.read.schema(events.schema).parquet
+    first = [f"{folder}/in/{n}" for n in range(2)]
+    deliveries = (
+        lambda: events.where("year(ts) < 1997"), lambda: events.where("year(ts) >= 1997"),
+        lambda: steps(*first).where("kind = 'step' AND llm_requests % 2 = 0").withColumns({"seq": F.col("seq") + 10**15, "duration_ms": F.col("duration_ms") + 5, "documents_out": F.col("documents_out") * 2}),
+        lambda: steps(*first).where("kind = 'step' AND llm_requests % 3 = 0").withColumns({"seq": F.col("seq") - 10**15, "duration_ms": F.lit(0).cast("long")}),
+    )
+    for n, part in enumerate(deliveries):  # a delivery is a batch
+        part().write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
         rollups.maintain(stream, f"{folder}/out", f"{folder}/check").awaitTermination()
     return rollups.read_rollup(spark, f"{folder}/out")
 

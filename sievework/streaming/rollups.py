@@ -24,9 +24,10 @@ def month(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMM")
 
 
-def identified(events: DataFrame) -> DataFrame:
-    """events with the id of each (project, time and event id) and its month."""
-    return events.withColumns({"id": F.concat_ws("|", F.col("project_id"), F.col("ts").cast("string"), F.col("event_id")), "month": month(F.col("ts"))})
+def identified(events: DataFrame, order: str = "seq") -> DataFrame:
+    """What the rollup needs of events, with the id of each (project, time and event id) and its month."""
+    needed = ["ts", "project_id", "pipeline_uid", "plugin", "kind", "status", order, *usage.STEP_SUMS]
+    return events.select("event_id", *needed).withColumns({"id": F.concat_ws("|", F.col("project_id"), F.col("ts").cast("string"), F.col("event_id")), "month": month(F.col("ts"))}).drop("event_id")
 
 
 def changes(new: DataFrame, old: DataFrame | None, order: str = "seq") -> DataFrame:
@@ -71,7 +72,7 @@ def apply_batch(events: DataFrame, batch: int, path: str, order: str = "seq") ->
     months = sorted(r["month"] for r in events.select(month(F.col("ts")).alias("month")).distinct().collect())  # few: a batch's months
     if not months:
         return
-    changed = changes(identified(events), touched(spark, path, months), order).withColumn("_gone", F.lit(False))
+    changed = changes(identified(events, order), touched(spark, path, months), order).withColumn("_gone", F.lit(False))
     made, sums = f"{path}/changes/batch={batch}", f"{path}/states/batch={batch}"
     changed.write.mode("overwrite").partitionBy("_sign", "month").parquet(made)  # read twice below
     if not _there(spark, f"{sums}/_SUCCESS"):
